@@ -154,3 +154,21 @@ def token_count(col) -> Column:
 def verbalize_label(col) -> Column:
     """1 -> ``Yes``, anything else -> ``No``."""
     return F.when(_c(col) == 1, F.lit("Yes")).otherwise(F.lit("No"))
+
+
+# Metric display renames, applied in this order after title-casing.
+DISPLAY_RENAMES = [("Macro F1", "Macro-F1"), ("Macro Ap", "Macro-AP"), ("Roc Auc", "ROC-AUC"),
+                   ("Ece", "ECE ↓"), ("F1 ", "F1-"), ("Precision ", "Prec-"), ("Recall ", "Rec-")]
+
+
+def metric_display_name(col) -> Column:
+    """``_`` to space, title case, then the fixed renames."""
+    c = F.initcap(F.replace(_c(col), F.lit("_"), F.lit(" ")))
+    for a, b in DISPLAY_RENAMES:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def diff_format(col) -> Column:
+    """Signed 4-decimal difference."""
+    return F.format_string("%+.4f", _c(col))

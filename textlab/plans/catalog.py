@@ -57,3 +57,126 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 register("scorer_quality")(flagship)
+
+
+# ---------------------------------------------------------------- §2.7 text functions
+
+def _docs(spark, sf):
+    return X.table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text")
+
+
+def _text_query(fn):
+    def q(spark, sf):
+        return _docs(spark, sf).select("row_id", fn(F.col("text")).alias("out"))
+    return q
+
+
+for _name, _fn in {
+    "clean_text": T.clean_text,
+    "normalize_mention": T.normalize_mention,
+    "normalize_email": T.normalize_email,
+    "unpack_hashtag": T.unpack_hashtag,
+    "expand_ampersand": T.expand_ampersand,
+    "collapse_whitespace": T.collapse_whitespace,
+    "simple_preprocess": T.simple_preprocess,
+    "generic_preprocess": T.generic_preprocess,
+    "baseline_preprocess": T.baseline_preprocess,
+    "social_normalize": T.social_normalize,
+}.items():
+    register(_name)(_text_query(_fn))
+
+
+@register("normalize_url")
+def q_normalize_url(spark, sf):
+    pages = X.table(spark, sf, "pages")
+    return pages.select(F.col("page_id").alias("row_id"),
+                        T.normalize_url(F.concat_ws(" ", "url", "html")).alias("out"))
+
+
+@register("token_length_stats")
+def q_token_length_stats(spark, sf):
+    return round_doubles(C.token_length_stats(X.labelled_corpus(spark, sf), by=["split"]))
+
+
+@register("corpus_unigrams")
+def q_corpus_unigrams(spark, sf):
+    return C.corpus_unigrams(X.table(spark, sf, "documents"), min_count=2)
+
+
+# Prompt templates of the registered prompt queries.
+ZERO_TEMPLATE = "Classifique o texto (0 = normal, 1 = ofensivo).\nTexto: {text}\n{examples}Classe:"
+FEW_TEMPLATE = "Classifique o texto.{examples}\nTexto: {text}\nClasse:"
+NAMES = ["normal", "ofensivo"]
+
+
+@register("format_prompt_zero")
+def q_format_prompt_zero(spark, sf):
+    from ..functions.prompts import format_prompt_zero
+    c = X.labelled_corpus(spark, sf)
+    return c.select("row_id", format_prompt_zero(ZERO_TEMPLATE, "text").alias("prompt"))
+
+
+def _few_shot_examples(spark, sf, n=2):
+    c = X.labelled_corpus(spark, sf)
+    return C.few_shot_sample(c.where(F.col("split") == "train"), n=n, seed=42)
+
+
+@register("format_prompt_few")
+def q_format_prompt_few(spark, sf):
+    from ..functions.prompts import examples_block, format_prompt_few
+    ex = examples_block(_few_shot_examples(spark, sf), NAMES)
+    test = X.labelled_corpus(spark, sf).where(F.col("split") == "test")
+    # attach_examples: one bounded row broadcast to every test row
+    j = test.crossJoin(F.broadcast(ex))
+    return j.select("row_id", format_prompt_few(FEW_TEMPLATE, "text", "examples").alias("prompt"))
+
+
+@register("attach_examples")
+def q_attach_examples(spark, sf):
+    from ..functions.prompts import examples_block
+    ex = examples_block(_few_shot_examples(spark, sf), NAMES)
+    test = X.labelled_corpus(spark, sf).where(F.col("split") == "test")
+    return test.crossJoin(F.broadcast(ex)).select("row_id", F.length("examples").cast("long").alias("examples_chars"),
+                                                  F.md5("examples").alias("examples_md5"))
+
+
+@register("build_instruction_pairs")
+def q_build_instruction_pairs(spark, sf):
+    from ..functions.prompts import build_instruction_pairs
+    c = X.labelled_corpus(spark, sf)
+    return build_instruction_pairs(c).select("row_id", "input_text", "target_text")
+
+
+@register("verbalize_label")
+def q_verbalize_label(spark, sf):
+    c = X.labelled_corpus(spark, sf)
+    return c.select("row_id", "label", T.verbalize_label("label").alias("target"))
+
+
+def _answers(spark, sf):
+    conv = X.table(spark, sf, "conversations")
+    return conv.select("conv_id", "turn", F.col("text").alias("generated"))
+
+
+@register("extract_label_simple")
+def q_extract_label_simple(spark, sf):
+    from ..functions.answers import extract_label_simple
+    return _answers(spark, sf).select("conv_id", "turn", extract_label_simple("generated").alias("pred"))
+
+
+@register("extract_label")
+def q_extract_label(spark, sf):
+    from ..functions.answers import extract_label
+    a = _answers(spark, sf)
+    return a.select("conv_id", "turn",
+                    extract_label("generated", 2).alias("pred"),
+                    extract_label("generated", 2, ["0", "1"]).alias("pred_named"),
+                    extract_label("generated", 3, ["neutro", "ofensivo", "odio"]).alias("pred_k3"))
+
+
+@register("extraction_outcome")
+def q_extraction_outcome(spark, sf):
+    from ..functions.answers import extraction_outcome
+    a = _answers(spark, sf)
+    return (a.select(extraction_outcome("generated", 2, ["0", "1"]).alias("outcome"))
+            .groupBy("outcome").agg(F.count(F.lit(1)).alias("n")))

@@ -153,3 +153,174 @@ SELECT s.dataset, s.experiment, round(accuracy, 6) AS accuracy, round(macro_f1,
        round(e.ece, 6) AS ece, c.n
 FROM summ s JOIN ece e USING (dataset, experiment) JOIN cnt c USING (dataset, experiment)
 """)
+
+
+# ---------------------------------------------------------------- §2.7 text functions
+
+def sql_social(x: str) -> str:
+    c = f"coalesce({x}, '')"
+    c = rx(c, T.URL_PATTERN, T.URL_TOKEN)
+    c = rx(c, T.MENTION_PATTERN, T.USER_TOKEN)
+    c = rx(c, T.EMAIL_PATTERN, T.EMAIL_TOKEN)
+    c = rx(c, T.HASHTAG_PATTERN, r"\1")
+    return f"array_to_string(regexp_extract_all({c}, {q(T.SOCIAL_TOKEN)}), ' ')"
+
+
+def sql_simple(x: str) -> str:
+    c = sql_ampersand(f"coalesce({x}, '')")
+    return sql_collapse(rx(c, r"[\r\n]+", " "))
+
+
+def sql_generic(x: str) -> str:
+    c = rx(x, T.URL_LOOSE_PATTERN, " ")
+    c = rx(c, T.MENTION_PATTERN, " ")
+    c = rx(c, T.HASHTAG_PATTERN, r"\1")
+    c = f"replace(replace(replace({c}, '&amp;', 'and'), '&lt;', '<'), '&gt;', '>')"
+    c = rx(c, T.WS_RUN, " ")
+    c = rx(c, T.NON_ASCII_RUN, " ")
+    return sql_unicode_strip(c)
+
+
+def sql_baseline(x: str) -> str:
+    c = f"replace(replace(coalesce({x}, ''), '&amp;', 'and'), '&', 'and')"
+    c = f"translate({c}, {q(T.CURLY_QUOTES_FROM)}, {q(T.CURLY_QUOTES_TO)})"
+    c = rx(c, T.NON_ASCII_RUN, " ")
+    c = rx(c, " +", " ")
+    return sql_social(c)
+
+
+_TEXT_SQL = {
+    "clean_text": sql_clean,
+    "normalize_mention": lambda x: rx(x, T.MENTION_PATTERN, T.USER_TOKEN),
+    "normalize_email": lambda x: rx(x, T.EMAIL_PATTERN, T.EMAIL_TOKEN),
+    "unpack_hashtag": lambda x: rx(x, T.HASHTAG_PATTERN, r"\1"),
+    "expand_ampersand": sql_ampersand,
+    "collapse_whitespace": sql_collapse,
+    "simple_preprocess": sql_simple,
+    "generic_preprocess": sql_generic,
+    "baseline_preprocess": sql_baseline,
+    "social_normalize": sql_social,
+}
+for _k, _f in _TEXT_SQL.items():
+    register(_k, f"SELECT doc_id AS row_id, {_f('text')} AS out FROM documents")
+
+register("normalize_url", f"""SELECT page_id AS row_id, {rx("concat_ws(' ', url, html)", T.URL_PATTERN, T.URL_TOKEN)} AS out
+FROM pages""")
+
+
+def sql_tokens(x: str) -> str:
+    s = sql_unicode_strip(f"coalesce({x}, '')")
+    return f"CASE WHEN {s} = '' THEN 0 ELSE len(regexp_split_to_array({s}, {q(T.WS_RUN)})) END"
+
+
+register("token_length_stats", f"""
+WITH {CORPUS},
+t AS (SELECT split, {sql_tokens('text')} AS tokens FROM corpus)
+SELECT split, max(tokens) AS max_tokens, min(tokens) AS min_tokens, round(avg(tokens), 6) AS mean_tokens,
+       count(*) AS texts
+FROM t GROUP BY split""")
+
+register("corpus_unigrams", r"""
+WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM documents)
+SELECT word, count(*) AS count FROM w GROUP BY word HAVING count(*) >= 2""")
+
+from .catalog import FEW_TEMPLATE, NAMES, ZERO_TEMPLATE  # noqa: E402
+
+
+def sql_zero(template: str, x: str) -> str:
+    return f"replace(replace({q(template)}, '{{text}}', coalesce({x}, '')), '{{examples}}', '')"
+
+
+register("format_prompt_zero", f"""
+WITH {CORPUS}
+SELECT row_id, {sql_zero(ZERO_TEMPLATE, 'text')} AS prompt FROM corpus""")
+
+
+def names_case(col: str, names) -> str:
+    whens = " ".join(f"WHEN {i} THEN {q(n)}" for i, n in enumerate(names))
+    return f"coalesce(CASE {col} {whens} END, CAST({col} AS VARCHAR))"
+
+
+FEW_SHOTS = f"""shots AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat('42-', CAST(row_id AS VARCHAR))), row_id) AS shot
+    FROM corpus WHERE split = 'train') WHERE shot <= 2),
+ex AS (
+  SELECT string_agg(concat('\nExemplo ', CAST(i AS VARCHAR), ':\nTexto: ', coalesce(text, ''), '\nClasse: ',
+                           CAST(label AS VARCHAR), ' (', {names_case('label', NAMES)}, ')\n'), '' ORDER BY i) AS examples
+  FROM (SELECT *, row_number() OVER (ORDER BY label, shot) AS i FROM shots))"""
+
+register("format_prompt_few", f"""
+WITH {CORPUS},
+{FEW_SHOTS}
+SELECT row_id, replace(replace({q(FEW_TEMPLATE)}, '{{examples}}', ex.examples), '{{text}}', coalesce(text, '')) AS prompt
+FROM corpus, ex WHERE split = 'test'""")
+
+register("attach_examples", f"""
+WITH {CORPUS},
+{FEW_SHOTS}
+SELECT row_id, CAST(length(ex.examples) AS BIGINT) AS examples_chars, md5(ex.examples) AS examples_md5
+FROM corpus, ex WHERE split = 'test'""")
+
+from ..functions.prompts import INSTRUCTION_TEMPLATE  # noqa: E402
+
+register("build_instruction_pairs", f"""
+WITH {CORPUS}
+SELECT row_id, replace({q(INSTRUCTION_TEMPLATE)}, '{{text}}', coalesce(text, '')) AS input_text,
+       CASE WHEN label = 1 THEN 'Yes' ELSE 'No' END AS target_text
+FROM corpus""")
+
+register("verbalize_label", f"""
+WITH {CORPUS}
+SELECT row_id, label, CASE WHEN label = 1 THEN 'Yes' ELSE 'No' END AS target FROM corpus""")
+
+
+def sql_in_range(n: str, k: int) -> str:
+    return f"({n} IS NOT NULL AND {n} >= 0 AND {n} < {k})"
+
+
+def sql_any_contains(x: str, words) -> str:
+    return "(" + " OR ".join(f"contains({x}, {q(w)})" for w in words) + ")"
+
+
+def sql_strategies(x: str, k: int, names=None):
+    text = f"coalesce({x}, '')"
+    stripped = sql_unicode_strip(text)
+    low = f"lower({stripped})"
+    n1 = f"TRY_CAST(regexp_extract({text}, {q(A.ISOLATED_NUMBER)}, 1) AS BIGINT)"
+    n2 = f"TRY_CAST(regexp_extract({text}, {q(A.DIGIT_RUN)}, 0) AS BIGINT)"
+    steps = [("isolated_number", sql_in_range(n1, k), n1), ("digit_run", sql_in_range(n2, k), n2)]
+    if k == 2:
+        pos = f"({sql_any_contains(low, A.POSITIVE_KEYWORDS)} AND NOT {sql_any_contains(low, A.NEGATION_KEYWORDS)})"
+        steps += [("keyword_positive", pos, "1"), ("keyword_negative", sql_any_contains(low, A.NEGATIVE_KEYWORDS), "0")]
+    for i, n in enumerate(names or []):
+        steps.append(("class_name", f"contains({low}, {q(n.lower())})", str(i)))
+    n5 = f"TRY_CAST({stripped} AS BIGINT)"
+    steps.append(("short_numeric", f"(length({stripped}) <= 3 AND {sql_in_range(n5, k)})", n5))
+    return steps
+
+
+def sql_extract(x: str, k: int, names=None) -> str:
+    whens = " ".join(f"WHEN {c} THEN {v}" for _, c, v in sql_strategies(x, k, names))
+    return f"CAST(CASE {whens} ELSE 0 END AS INTEGER)"
+
+
+def sql_outcome(x: str, k: int, names=None) -> str:
+    whens = " ".join(f"WHEN {c} THEN '{t}'" for t, c, _ in sql_strategies(x, k, names))
+    return f"CASE {whens} ELSE 'fallback' END"
+
+
+register("extract_label_simple", f"""
+SELECT conv_id, turn,
+  CAST(CASE WHEN {sql_in_range(f"TRY_CAST(regexp_extract(coalesce(text, ''), {q(A.DIGIT_RUN)}, 0) AS BIGINT)", 2)}
+       THEN TRY_CAST(regexp_extract(coalesce(text, ''), {q(A.DIGIT_RUN)}, 0) AS BIGINT) ELSE 0 END AS INTEGER) AS pred
+FROM conversations""")
+
+register("extract_label", f"""
+SELECT conv_id, turn, {sql_extract('text', 2)} AS pred, {sql_extract('text', 2, ['0', '1'])} AS pred_named,
+       {sql_extract('text', 3, ['neutro', 'ofensivo', 'odio'])} AS pred_k3
+FROM conversations""")
+
+register("extraction_outcome", f"""
+SELECT outcome, count(*) AS n FROM (SELECT {sql_outcome('text', 2, ['0', '1'])} AS outcome FROM conversations)
+GROUP BY outcome""")

@@ -180,3 +180,141 @@ def q_extraction_outcome(spark, sf):
     a = _answers(spark, sf)
     return (a.select(extraction_outcome("generated", 2, ["0", "1"]).alias("outcome"))
             .groupBy("outcome").agg(F.count(F.lit(1)).alias("n")))
+
+
+# ---------------------------------------------------------------- §2.4 metrics
+
+def _all_preds(spark, sf):
+    """Binary runs (3 scorers x 4 datasets) and the 10-class run, one long table."""
+    b = X.binary_predictions(spark, sf)
+    m = X.multiclass_predictions(spark, sf).drop("logits")
+    return b.unionByName(m)
+
+
+@register("confusion_matrix")
+def q_confusion_matrix(spark, sf):
+    return M.confusion_matrix(_all_preds(spark, sf), KEYS)
+
+
+@register("confusion_normalized")
+def q_confusion_normalized(spark, sf):
+    return round_doubles(M.confusion_normalized(_all_preds(spark, sf), KEYS))
+
+
+@register("per_class_report")
+def q_per_class_report(spark, sf):
+    r = M.per_class_report(_all_preds(spark, sf), KEYS, zero_division=0.0)
+    return round_doubles(r.select(*KEYS, "cls", "precision", "recall", "f1", "support"))
+
+
+@register("classification_report")
+def q_classification_report(spark, sf):
+    r = M.classification_report(_all_preds(spark, sf), KEYS)
+    return round_doubles(r.drop("ord"))
+
+
+@register("macro_f1")
+def q_macro_f1(spark, sf):
+    return round_doubles(M.summary_metrics(_all_preds(spark, sf), KEYS).select(*KEYS, "macro_f1"))
+
+
+@register("accuracy")
+def q_accuracy(spark, sf):
+    return round_doubles(M.summary_metrics(_all_preds(spark, sf), KEYS).select(*KEYS, "accuracy"))
+
+
+@register("f1_per_class")
+def q_f1_per_class(spark, sf):
+    return round_doubles(M.per_class_report(_all_preds(spark, sf), KEYS).select(*KEYS, "cls", "f1"))
+
+
+@register("micro_prf")
+def q_micro_prf(spark, sf):
+    s = M.summary_metrics(_all_preds(spark, sf), KEYS)
+    return round_doubles(s.select(*KEYS, "micro_precision", "micro_recall", "micro_f1"))
+
+
+@register("macro_prf")
+def q_macro_prf(spark, sf):
+    s = M.summary_metrics(_all_preds(spark, sf), KEYS, zero_division=1.0)
+    return round_doubles(s.select(*KEYS, "macro_precision", "macro_recall", "macro_f1"))
+
+
+@register("mcc")
+def q_mcc(spark, sf):
+    return round_doubles(M.summary_metrics(_all_preds(spark, sf), KEYS).select(*KEYS, "mcc"))
+
+
+@register("average_precision")
+def q_average_precision(spark, sf):
+    return round_doubles(M.average_precision(_all_preds(spark, sf), KEYS))
+
+
+@register("roc_auc_binary")
+def q_roc_auc_binary(spark, sf):
+    return round_doubles(M.roc_auc_binary(X.binary_predictions(spark, sf), KEYS))
+
+
+@register("roc_auc_ovr_macro")
+def q_roc_auc_ovr_macro(spark, sf):
+    return round_doubles(M.roc_auc_ovr_macro(_all_preds(spark, sf), KEYS))
+
+
+@register("pr_curve")
+def q_pr_curve(spark, sf):
+    return round_doubles(M.pr_curve(X.binary_predictions(spark, sf), KEYS, classes=[1]))
+
+
+@register("ece")
+def q_ece(spark, sf):
+    return round_doubles(M.ece(_all_preds(spark, sf), KEYS))
+
+
+@register("calibration_bins")
+def q_calibration_bins(spark, sf):
+    return round_doubles(M.calibration_bins(_all_preds(spark, sf), KEYS))
+
+
+@register("weighted_cross_entropy")
+def q_weighted_cross_entropy(spark, sf):
+    m = X.multiclass_predictions(spark, sf)
+    w = C.class_weights(m, "label", mode="balanced")
+    return round_doubles(M.weighted_cross_entropy(m, KEYS, w))
+
+
+@register("softmax")
+def q_softmax(spark, sf):
+    from ..functions.arrays import softmax
+    e = X.table(spark, sf, "embeddings")
+    p = softmax(F.slice("embedding", 1, X.N_MULTI))
+    return e.select(F.col("vec_id").alias("row_id"), F.posexplode(p).alias("cls", "prob")) \
+        .withColumn("prob", r6("prob"))
+
+
+@register("argmax_label")
+def q_argmax_label(spark, sf):
+    from ..functions.arrays import argmax_label
+    e = X.table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("row_id"), argmax_label(F.slice("embedding", 1, X.N_MULTI)).alias("pred"))
+
+
+@register("max_confidence")
+def q_max_confidence(spark, sf):
+    m = X.multiclass_predictions(spark, sf)
+    from ..functions.arrays import max_confidence
+    return m.select("row_id", r6(max_confidence("probs")).alias("confidence"))
+
+
+@register("prob_slice")
+def q_prob_slice(spark, sf):
+    from ..functions.arrays import prob_slice
+    m = X.multiclass_predictions(spark, sf)
+    return m.select("row_id", F.posexplode(prob_slice("probs", 3)).alias("cls", "prob")).withColumn("prob", r6("prob"))
+
+
+@register("evaluate_runs")
+def q_evaluate_runs(spark, sf):
+    ev = M.evaluate_runs(_all_preds(spark, sf), KEYS)
+    return round_doubles(ev.select(*KEYS, "macro_f1", "accuracy", "macro_avg_precision", "roc_auc",
+                                   "expected_calibration_error",
+                                   F.to_json("confusion_matrix").alias("confusion_matrix")))

@@ -80,13 +80,13 @@ preds AS (
 
 MULTI = f"""mlog AS (
   SELECT 'emb' AS dataset, 'slice10' AS experiment, vec_id AS row_id, CAST(label AS INTEGER) AS label,
-         list_transform(embedding[1:{X.N_MULTI}], x -> CAST(x AS DOUBLE)) AS logits
+         list_transform(embedding[1:{X.N_MULTI}], lambda x: CAST(x AS DOUBLE)) AS logits
   FROM embeddings),
 mexp AS (
-  SELECT *, list_transform(logits, x -> exp(x - list_max(logits))) AS e FROM mlog),
+  SELECT *, list_transform(logits, lambda x: exp(x - list_max(logits))) AS e FROM mlog),
 mpreds AS (
   SELECT dataset, experiment, row_id, label, logits,
-         list_transform(e, x -> x / list_sum(e)) AS probs
+         list_transform(e, lambda x: x / list_sum(e)) AS probs
   FROM mexp),
 mpred AS (
   SELECT *, CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) AS pred FROM mpreds)"""
@@ -324,3 +324,191 @@ FROM conversations""")
 register("extraction_outcome", f"""
 SELECT outcome, count(*) AS n FROM (SELECT {sql_outcome('text', 2, ['0', '1'])} AS outcome FROM conversations)
 GROUP BY outcome""")
+
+
+# ---------------------------------------------------------------- §2.4 metrics
+
+ALL_PREDS = f"""{CORPUS},
+{PREDS},
+{MULTI},
+allp AS (
+  SELECT dataset, experiment, row_id, label, pred, probs FROM preds
+  UNION ALL SELECT dataset, experiment, row_id, label, pred, probs FROM mpred)"""
+
+K = "dataset, experiment"
+
+register("confusion_matrix", f"""
+WITH {ALL_PREDS},
+cnt AS (SELECT {K}, label, pred, count(*) AS n FROM allp GROUP BY ALL),
+cls AS (SELECT {K}, label AS c FROM allp UNION SELECT {K}, pred FROM allp)
+SELECT a.dataset, a.experiment, a.c AS label, b.c AS pred, CAST(coalesce(cnt.n, 0) AS BIGINT) AS n
+FROM cls a JOIN cls b USING ({K})
+LEFT JOIN cnt ON cnt.dataset = a.dataset AND cnt.experiment = a.experiment AND cnt.label = a.c AND cnt.pred = b.c""")
+
+register("confusion_normalized", f"""
+WITH {ALL_PREDS},
+cnt AS (SELECT {K}, label, pred, count(*) AS n FROM allp GROUP BY ALL),
+cls AS (SELECT {K}, label AS c FROM allp UNION SELECT {K}, pred FROM allp),
+cm AS (
+  SELECT a.dataset, a.experiment, a.c AS label, b.c AS pred, CAST(coalesce(cnt.n, 0) AS BIGINT) AS n
+  FROM cls a JOIN cls b USING ({K})
+  LEFT JOIN cnt ON cnt.dataset = a.dataset AND cnt.experiment = a.experiment AND cnt.label = a.c AND cnt.pred = b.c)
+SELECT *, round(CASE WHEN sum(n) OVER w > 0 THEN n / sum(n) OVER w END, 6) AS share
+FROM cm WINDOW w AS (PARTITION BY {K}, label)""")
+
+
+def report_cte(zd: float = 0.0) -> str:
+    return f"""{class_stats_cte('allp')},
+rep AS (
+  SELECT {K}, cls, {ratio('tp', 'predicted', zd)} AS precision, {ratio('tp', 'support', zd)} AS recall,
+         {ratio('2 * tp', 'support + predicted', zd)} AS f1, support, tp, predicted
+  FROM stats)"""
+
+
+register("per_class_report", f"""
+WITH {ALL_PREDS},
+{report_cte()}
+SELECT {K}, cls, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM rep""")
+
+register("classification_report", f"""
+WITH {ALL_PREDS},
+{report_cte()},
+g AS (
+  SELECT {K}, sum(tp) / sum(support) AS acc, avg(precision) AS mp, avg(recall) AS mr, avg(f1) AS mf,
+         sum(precision * support) / sum(support) AS wp, sum(recall * support) / sum(support) AS wr,
+         sum(f1 * support) / sum(support) AS wf, CAST(sum(support) AS DOUBLE) AS n
+  FROM rep GROUP BY ALL),
+u AS (
+  SELECT {K}, CAST(cls AS VARCHAR) AS "row", precision, recall, f1, CAST(support AS DOUBLE) AS support FROM rep
+  UNION ALL SELECT {K}, 'accuracy', NULL, NULL, acc, n FROM g
+  UNION ALL SELECT {K}, 'macro avg', mp, mr, mf, n FROM g
+  UNION ALL SELECT {K}, 'weighted avg', wp, wr, wf, n FROM g)
+SELECT {K}, "row", round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       round(support, 6) AS support FROM u""")
+
+
+def summary_cte(zd: float = 0.0) -> str:
+    return f"""{report_cte(zd)},
+summ AS (
+  SELECT {K},
+    CAST(sum(tp) AS DOUBLE) / sum(support) AS accuracy,
+    avg(precision) AS macro_precision, avg(recall) AS macro_recall, avg(f1) AS macro_f1,
+    CAST(sum(tp) AS DOUBLE) AS c, CAST(sum(support) AS DOUBLE) AS s, CAST(sum(predicted) AS DOUBLE) AS pp,
+    sum(CAST(predicted AS DOUBLE) * support) AS pt, sum(CAST(predicted AS DOUBLE) * predicted) AS p2,
+    sum(CAST(support AS DOUBLE) * support) AS t2
+  FROM rep GROUP BY ALL)"""
+
+
+register("macro_f1", f"WITH {ALL_PREDS},\n{summary_cte()}\nSELECT {K}, round(macro_f1, 6) AS macro_f1 FROM summ")
+register("accuracy", f"WITH {ALL_PREDS},\n{summary_cte()}\nSELECT {K}, round(accuracy, 6) AS accuracy FROM summ")
+register("f1_per_class", f"WITH {ALL_PREDS},\n{report_cte()}\nSELECT {K}, cls, round(f1, 6) AS f1 FROM rep")
+register("micro_prf", f"""WITH {ALL_PREDS},
+{summary_cte()}
+SELECT {K}, round({ratio('c', 'pp')}, 6) AS micro_precision, round({ratio('c', 's')}, 6) AS micro_recall,
+       round({ratio('2 * c', 'pp + s')}, 6) AS micro_f1 FROM summ""")
+register("macro_prf", f"""WITH {ALL_PREDS},
+{summary_cte(1.0)}
+SELECT {K}, round(macro_precision, 6) AS macro_precision, round(macro_recall, 6) AS macro_recall,
+       round(macro_f1, 6) AS macro_f1 FROM summ""")
+register("mcc", f"""WITH {ALL_PREDS},
+{summary_cte()}
+SELECT {K}, round(CASE WHEN (s * s - p2) * (s * s - t2) > 0 THEN (c * s - pt) / sqrt((s * s - p2) * (s * s - t2))
+                       ELSE 0.0 END, 6) AS mcc FROM summ""")
+
+
+def curve_cte(src: str = "allp", classes: str | None = None) -> str:
+    where = f"WHERE cls IN ({classes})" if classes else ""
+    return f"""ex AS (
+  SELECT {K}, label, CAST(generate_subscripts(probs, 1) - 1 AS INTEGER) AS cls, unnest(probs) AS score FROM {src}),
+hist AS (
+  SELECT {K}, cls, score, CAST(sum(CASE WHEN label = cls THEN 1 ELSE 0 END) AS BIGINT) AS pos,
+         CAST(sum(CASE WHEN label = cls THEN 0 ELSE 1 END) AS BIGINT) AS neg
+  FROM ex {where} GROUP BY ALL),
+curve AS (
+  SELECT *, sum(pos) OVER w AS cum_pos, sum(neg) OVER w AS cum_neg,
+         sum(pos) OVER g AS P, sum(neg) OVER g AS N
+  FROM hist
+  WINDOW w AS (PARTITION BY {K}, cls ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         g AS (PARTITION BY {K}, cls))"""
+
+
+AP_CTE = """ap AS (
+  SELECT dataset, experiment, cls,
+         coalesce(sum(CASE WHEN P > 0 THEN (pos / P) * (cum_pos / (cum_pos + cum_neg)) END), 0.0) AS average_precision
+  FROM curve GROUP BY ALL)"""
+
+AUC_CTE = """auc AS (
+  SELECT dataset, experiment, cls,
+         CASE WHEN max(P) > 0 AND max(N) > 0
+              THEN sum(pos * ((N - cum_neg) + neg / 2.0)) / (CAST(max(P) AS DOUBLE) * max(N)) END AS auc
+  FROM curve GROUP BY ALL)"""
+
+register("average_precision", f"""WITH {ALL_PREDS},
+{curve_cte()},
+{AP_CTE}
+SELECT {K}, cls, round(average_precision, 6) AS average_precision FROM ap""")
+
+register("roc_auc_binary", f"""WITH {CORPUS},
+{PREDS},
+{curve_cte('preds', '1')},
+{AUC_CTE}
+SELECT {K}, round(auc, 6) AS roc_auc FROM auc""")
+
+register("roc_auc_ovr_macro", f"""WITH {ALL_PREDS},
+{curve_cte()},
+{AUC_CTE}
+SELECT {K}, round(CASE WHEN count(auc) = count(*) THEN avg(auc) END, 6) AS roc_auc FROM auc GROUP BY ALL""")
+
+register("pr_curve", f"""WITH {CORPUS},
+{PREDS},
+{curve_cte('preds', '1')}
+SELECT {K}, cls, round(score, 6) AS threshold, round(cum_pos / (cum_pos + cum_neg), 6) AS precision,
+       round(CASE WHEN P > 0 THEN cum_pos / P ELSE 1.0 END, 6) AS recall FROM curve
+UNION ALL
+SELECT DISTINCT {K}, cls, NULL, 1.0, 0.0 FROM curve""")
+
+HIT = "CASE WHEN list_position(probs, list_max(probs)) - 1 = label THEN 1 ELSE 0 END"
+
+register("ece", f"""WITH {ALL_PREDS},
+{ece_cte('allp', 'list_max(probs)', HIT)}
+SELECT {K}, round(ece, 6) AS ece FROM ece""")
+
+
+def bins_dim(n_bins: int = 10) -> str:
+    from ..operators.metrics import bin_edges
+    e = bin_edges(n_bins)
+    rows = ", ".join(f"({i}, CAST({e[i]!r} AS DOUBLE), CAST({e[i + 1]!r} AS DOUBLE))" for i in range(n_bins))
+    return f"bins(bin, bin_lower, bin_upper) AS (VALUES {rows})"
+
+
+register("calibration_bins", f"""WITH {ALL_PREDS},
+{ece_cte('allp', 'list_max(probs)', HIT)},
+{bins_dim()},
+grp AS (SELECT DISTINCT {K} FROM allp)
+SELECT g.dataset, g.experiment, b.bin, round(b.bin_lower, 6) AS bin_lower, round(b.bin_upper, 6) AS bin_upper,
+       round(coalesce(e.sc / e.nb, 0.0), 6) AS confidence, round(coalesce(CAST(e.sh AS DOUBLE) / e.nb, 0.0), 6) AS accuracy,
+       CAST(coalesce(e.nb, 0) AS BIGINT) AS count
+FROM grp g CROSS JOIN bins b
+LEFT JOIN ece_bins e ON e.dataset = g.dataset AND e.experiment = g.experiment AND e.bin = b.bin""")
+
+register("weighted_cross_entropy", f"""WITH {MULTI},
+cw AS (SELECT label, count(*) AS n_c FROM mpred GROUP BY label),
+w AS (SELECT label, CAST(sum(n_c) OVER () AS DOUBLE) / (count(*) OVER () * n_c) AS weight FROM cw),
+r AS (
+  SELECT dataset, experiment, w.weight,
+         -(logits[m.label + 1] - (list_max(logits) + ln(list_sum(list_transform(logits, lambda x: exp(x - list_max(logits))))))) AS nll
+  FROM mpred m JOIN w ON m.label = w.label)
+SELECT {K}, round(sum(weight * nll) / sum(weight), 6) AS weighted_cross_entropy, count(*) AS n FROM r GROUP BY ALL""")
+
+register("softmax", f"""WITH {MULTI}
+SELECT row_id, CAST(generate_subscripts(probs, 1) - 1 AS INTEGER) AS cls, round(unnest(probs), 6) AS prob FROM mpred""")
+
+register("argmax_label", f"""WITH {MULTI}
+SELECT row_id, pred FROM mpred""")
+
+register("max_confidence", f"""WITH {MULTI}
+SELECT row_id, round(list_max(probs), 6) AS confidence FROM mpred""")
+
+register("prob_slice", f"""WITH {MULTI}
+SELECT row_id, CAST(generate_subscripts(probs[1:3], 1) - 1 AS INTEGER) AS cls, round(unnest(probs[1:3]), 6) AS prob
+FROM mpred""")

@@ -72,6 +72,35 @@ def running_sums(
     return joined.drop(BUCKET, *[f"_loc_{c}" for c in sum_cols], *[f"_off_{c}" for c in sum_cols])
 
 
+def running_max(
+    df: DataFrame,
+    group_cols: Sequence[str],
+    order_col: str,
+    max_cols: Sequence[str],
+    exclusive: bool = False,
+    n_buckets: int | None = None,
+) -> DataFrame:
+    """Running maximum of ``max_cols`` in ascending ``order_col`` order per group
+    (nulls skipped); ``exclusive`` looks only at earlier rows. Adds ``runmax_<c>``.
+    The order key must be unique within a group."""
+    group_cols = list(group_cols)
+    b = range_buckets(df, order_col, n_buckets)
+    hi = -1 if exclusive else Window.currentRow
+    w_local = (Window.partitionBy(*group_cols, BUCKET).orderBy(F.col(order_col).asc())
+               .rowsBetween(Window.unboundedPreceding, hi))
+    local = b
+    for c in max_cols:
+        local = local.withColumn(f"_loc_{c}", F.max(c).over(w_local))
+    totals = b.groupBy(*group_cols, BUCKET).agg(*[F.max(c).alias(f"_tot_{c}") for c in max_cols])
+    w_off = (Window.partitionBy(*group_cols).orderBy(F.col(BUCKET).asc())
+             .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select(*group_cols, BUCKET, *[F.max(f"_tot_{c}").over(w_off).alias(f"_off_{c}") for c in max_cols])
+    joined = local.join(offsets, on=[*group_cols, BUCKET], how="inner")
+    for c in max_cols:
+        joined = joined.withColumn(f"runmax_{c}", F.greatest(F.col(f"_loc_{c}"), F.col(f"_off_{c}")))
+    return joined.drop(BUCKET, *[f"_loc_{c}" for c in max_cols], *[f"_off_{c}" for c in max_cols])
+
+
 def global_row_number(
     df: DataFrame,
     bucket_key: str,

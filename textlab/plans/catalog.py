@@ -318,3 +318,182 @@ def q_evaluate_runs(spark, sf):
     return round_doubles(ev.select(*KEYS, "macro_f1", "accuracy", "macro_avg_precision", "roc_auc",
                                    "expected_calibration_error",
                                    F.to_json("confusion_matrix").alias("confusion_matrix")))
+
+
+# ---------------------------------------------------------------- §2.2 / §2.3 projections and joins
+
+@register("join_text_labels")
+def q_join_text_labels(spark, sf):
+    j = C.join_text_labels(X.table(spark, sf, "documents"), X.table(spark, sf, "labels"), key="doc_id")
+    return j.select("doc_id", "lang", "n_chars", "quality", "toxic")
+
+
+@register("align_predictions")
+def q_align_predictions(spark, sf):
+    truth = X.labelled_corpus(spark, sf).select("row_id", "label")
+    preds = X.binary_predictions(spark, sf).where(F.col("experiment") == "e3").select("row_id", "pred")
+    return C.align_predictions(truth, preds)
+
+
+@register("union_corpora")
+def q_union_corpora(spark, sf):
+    lab = X.labelled_corpus(spark, sf).select("row_id", "text", "label").withColumn("origin", F.lit("documents"))
+    bench = X.table(spark, sf, "benchmark").select(F.col("item_id").alias("row_id"), "text") \
+        .withColumn("origin", F.lit("benchmark"))
+    u = C.union_corpora(lab, bench)
+    return u.select("origin", "row_id", "label", F.length("text").cast("long").alias("chars"))
+
+
+@register("project_text_label")
+def q_project_text_label(spark, sf):
+    return C.project_text_label(X.labelled_corpus(spark, sf))
+
+
+@register("canonical_rename")
+def q_canonical_rename(spark, sf):
+    j = C.join_text_labels(X.table(spark, sf, "documents"), X.table(spark, sf, "labels"), key="doc_id")
+    r = C.canonical_rename(j.select("doc_id", F.col("text").alias("body"), "toxic"), "body", "toxic")
+    return r.select("doc_id", "text", "label")
+
+
+@register("binarize_label")
+def q_binarize_label(spark, sf):
+    conv = X.table(spark, sf, "conversations")
+    return conv.select("conv_id", "turn", C.binarize_label("role", "assistant").alias("label"))
+
+
+@register("drop_null_rows")
+def q_drop_null_rows(spark, sf):
+    docs = X.table(spark, sf, "documents")
+    j = docs.join(X.table(spark, sf, "labels"), "doc_id", "left").select("doc_id", "text", F.col("toxic").alias("label"))
+    return C.drop_null_rows(j).select("doc_id", "label")
+
+
+@register("drop_all_null_columns")
+def q_drop_all_null_columns(spark, sf):
+    docs = X.table(spark, sf, "documents").select("doc_id", "lang")
+    unl = docs.join(X.table(spark, sf, "labels"), "doc_id", "left_anti")
+    j = unl.join(X.table(spark, sf, "labels"), "doc_id", "left")  # quality / toxic are all null here
+    return C.drop_all_null_columns(j)
+
+
+@register("cast_label")
+def q_cast_label(spark, sf):
+    lab = X.table(spark, sf, "labels").select(F.col("doc_id").alias("text"), F.col("quality").alias("label"))
+    return C.cast_label(lab)
+
+
+@register("filter_class")
+def q_filter_class(spark, sf):
+    return X.labelled_corpus(spark, sf).where(F.col("label") == 1).select("row_id", "dataset")
+
+
+@register("label_name_lookup")
+def q_label_name_lookup(spark, sf):
+    c = X.labelled_corpus(spark, sf)
+    named = c.select("row_id", C.label_name_lookup("label", NAMES).alias("name"))
+    return named.select("row_id", "name", C.label_id_lookup("name", NAMES).alias("label"))
+
+
+@register("add_row_index")
+def q_add_row_index(spark, sf):
+    return C.add_row_index(X.labelled_corpus(spark, sf).select("row_id")).select("row_id", "index")
+
+
+@register("sort_by_index")
+def q_sort_by_index(spark, sf):
+    idx = C.add_row_index(X.binary_predictions(spark, sf).where(F.col("experiment") == "e3").select("row_id", "pred"))
+    return idx.select("index", F.col("pred").alias("prediction")).orderBy("index")
+
+
+# ---------------------------------------------------------------- §2.4 corpus aggregations
+
+def _train(spark, sf):
+    return X.labelled_corpus(spark, sf).where(F.col("split") == "train")
+
+
+@register("class_distribution")
+def q_class_distribution(spark, sf):
+    return round_doubles(C.class_distribution(_train(spark, sf), names=NAMES))
+
+
+@register("class_weights_balanced")
+def q_class_weights_balanced(spark, sf):
+    return round_doubles(C.class_weights(_train(spark, sf), mode="balanced"))
+
+
+@register("class_weights_inverse")
+def q_class_weights_inverse(spark, sf):
+    return round_doubles(C.class_weights(_train(spark, sf), mode="inverse"))
+
+
+@register("minority_class")
+def q_minority_class(spark, sf):
+    return C.minority_class(X.labelled_corpus(spark, sf))
+
+
+@register("null_profile")
+def q_null_profile(spark, sf):
+    docs = X.table(spark, sf, "documents")
+    j = docs.join(X.table(spark, sf, "labels"), "doc_id", "left").select("doc_id", "text", "lang", "quality", "toxic")
+    return C.null_profile(j)
+
+
+@register("duplicate_count")
+def q_duplicate_count(spark, sf):
+    return C.duplicate_count(X.table(spark, sf, "documents"), ["text"])
+
+
+@register("column_profile")
+def q_column_profile(spark, sf):
+    return round_doubles(C.column_profile(X.table(spark, sf, "documents"), "n_chars"))
+
+
+@register("split_conservation")
+def q_split_conservation(spark, sf):
+    return C.split_conservation(C.random_split(X.labelled_corpus(spark, sf).drop("split")))
+
+
+# ---------------------------------------------------------------- §2.5 window-style operators
+
+@register("dedup_keep_first")
+def q_dedup_keep_first(spark, sf):
+    return C.dedup_keep_first(X.unlabelled_corpus(spark, sf)).select("row_id", "split")
+
+
+@register("few_shot_sample")
+def q_few_shot_sample(spark, sf):
+    return _few_shot_examples(spark, sf, n=3).select("label", "shot", "row_id")
+
+
+@register("random_split")
+def q_random_split(spark, sf):
+    return C.random_split(X.labelled_corpus(spark, sf).drop("split")).select("row_id", "split")
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf):
+    return C.stratified_split(X.labelled_corpus(spark, sf).drop("split")).select("row_id", "label", "split")
+
+
+@register("batch_assignment")
+def q_batch_assignment(spark, sf):
+    return C.batch_assignment(X.labelled_corpus(spark, sf).select("row_id"), 16)
+
+
+@register("length_bucketed_batches")
+def q_length_bucketed_batches(spark, sf):
+    d = X.unlabelled_corpus(spark, sf).select("row_id", "n_chars")
+    return C.length_bucketed_batches(d, "n_chars", batch_size=8, width=1000)
+
+
+@register("best_checkpoint")
+def q_best_checkpoint(spark, sf):
+    from ..operators.training import best_checkpoint
+    return round_doubles(best_checkpoint(X.epoch_metrics(spark, sf)))
+
+
+@register("early_stop_epoch")
+def q_early_stop_epoch(spark, sf):
+    from ..operators.training import early_stop_epoch
+    return early_stop_epoch(X.epoch_metrics(spark, sf), patience=5)

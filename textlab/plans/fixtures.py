@@ -75,3 +75,13 @@ def multiclass_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("vec_id").alias("row_id"), F.col("label").cast("int").alias("label"),
                     F.transform(logits, lambda x: x.cast("double")).alias("logits")) \
         .withColumn("probs", softmax("logits")).withColumn("pred", argmax_label("probs"))
+
+
+def epoch_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run = user_id, epoch = 1.. by (ts, event_id), value = events.value (nulls dropped)."""
+    from ..operators.rank import global_row_number
+    ev = table(spark, sf_dir, "events").where(F.col("value").isNotNull())
+    ev = ev.select(F.col("user_id").alias("run"), "ts", "event_id", "value",
+                   F.unix_micros(F.col("ts").cast("timestamp")).alias("_tsu"))
+    r = global_row_number(ev, "_tsu", [F.col("ts"), F.col("event_id")], group_cols=["run"], out="epoch")
+    return r.select("run", "epoch", "value")

@@ -512,3 +512,158 @@ SELECT row_id, round(list_max(probs), 6) AS confidence FROM mpred""")
 register("prob_slice", f"""WITH {MULTI}
 SELECT row_id, CAST(generate_subscripts(probs[1:3], 1) - 1 AS INTEGER) AS cls, round(unnest(probs[1:3]), 6) AS prob
 FROM mpred""")
+
+
+# ---------------------------------------------------------------- §2.2 / §2.3 projections and joins
+
+register("join_text_labels", """SELECT d.doc_id, d.lang, d.n_chars, l.quality, l.toxic
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
+
+register("align_predictions", f"""WITH {CORPUS},
+{PREDS}
+SELECT c.row_id, c.label, p.pred FROM corpus c JOIN preds p ON c.row_id = p.row_id WHERE p.experiment = 'e3'""")
+
+register("union_corpora", f"""WITH {CORPUS}
+SELECT 'documents' AS origin, row_id, label, CAST(length(text) AS BIGINT) AS chars FROM corpus
+UNION ALL
+SELECT 'benchmark', item_id, CAST(NULL AS INTEGER), CAST(length(text) AS BIGINT) FROM benchmark""")
+
+register("project_text_label", f"WITH {CORPUS}\nSELECT text, label FROM corpus")
+
+register("canonical_rename", """SELECT d.doc_id, d.text AS text, l.toxic AS label
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
+
+register("binarize_label", """SELECT conv_id, turn, CASE WHEN role IS NOT DISTINCT FROM 'assistant' THEN 1 ELSE 0 END AS label
+FROM conversations""")
+
+register("drop_null_rows", """SELECT d.doc_id, l.toxic AS label FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+WHERE d.text IS NOT NULL AND l.toxic IS NOT NULL""")
+
+register("drop_all_null_columns", """SELECT d.doc_id, d.lang FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
+
+register("cast_label", "SELECT CAST(doc_id AS VARCHAR) AS text, CAST(quality AS INTEGER) AS label FROM labels")
+
+register("filter_class", f"WITH {CORPUS}\nSELECT row_id, dataset FROM corpus WHERE label = 1")
+
+register("label_name_lookup", f"""WITH {CORPUS},
+n AS (SELECT row_id, CASE label {' '.join(f"WHEN {i} THEN {q(x)}" for i, x in enumerate(NAMES))} END AS name FROM corpus)
+SELECT row_id, name, CASE name {' '.join(f"WHEN {q(x)} THEN {i}" for i, x in enumerate(NAMES))} END AS label FROM n""")
+
+register("add_row_index", f"""WITH {CORPUS}
+SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS index FROM corpus""")
+
+register("sort_by_index", f"""WITH {CORPUS},
+{PREDS}
+SELECT row_number() OVER (ORDER BY row_id) - 1 AS index, pred AS prediction FROM preds WHERE experiment = 'e3'""")
+
+
+# ---------------------------------------------------------------- §2.4 corpus aggregations
+
+TRAIN = f"""{CORPUS},
+train AS (SELECT * FROM corpus WHERE split = 'train')"""
+
+register("class_distribution", f"""WITH {TRAIN},
+g AS (SELECT label, count(*) AS count FROM train GROUP BY label)
+SELECT label, count, round(count * 100.0 / sum(count) OVER (), 6) AS percent,
+       {names_case('label', NAMES)} AS name FROM g""")
+
+register("class_weights_balanced", f"""WITH {TRAIN},
+g AS (SELECT label, count(*) AS n_c FROM train GROUP BY label)
+SELECT label, n_c, round(CAST(sum(n_c) OVER () AS DOUBLE) / (count(*) OVER () * n_c), 6) AS weight FROM g""")
+
+register("class_weights_inverse", f"""WITH {TRAIN},
+g AS (SELECT label, count(*) AS n_c FROM train GROUP BY label)
+SELECT label, n_c, round(CAST(sum(n_c) OVER () AS DOUBLE) / n_c, 6) AS weight FROM g""")
+
+register("minority_class", f"""WITH {CORPUS},
+g AS (SELECT label, count(*) AS n FROM corpus GROUP BY label)
+SELECT (SELECT label FROM g ORDER BY n, label LIMIT 1) AS minority_label, min(n) AS minority_count FROM g""")
+
+register("null_profile", """WITH j AS (
+  SELECT d.doc_id, d.text, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+s AS (SELECT CAST(sum(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS doc_id,
+             CAST(sum(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS text,
+             CAST(sum(CASE WHEN lang IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS lang,
+             CAST(sum(CASE WHEN quality IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS quality,
+             CAST(sum(CASE WHEN toxic IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS toxic FROM j)
+SELECT *, doc_id + text + lang + quality + toxic AS total_nulls, doc_id + text + lang + quality + toxic > 0 AS has_nulls
+FROM s""")
+
+register("duplicate_count", """WITH g AS (SELECT text, count(*) AS n FROM documents GROUP BY text)
+SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates, count(*) AS distinct_values FROM g""")
+
+register("column_profile", """SELECT count(n_chars) AS count, CAST(sum(CASE WHEN n_chars IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls,
+  round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS stddev, round(CAST(min(n_chars) AS DOUBLE), 6) AS min,
+  round(quantile_cont(n_chars, 0.25), 6) AS p25, round(quantile_cont(n_chars, 0.5), 6) AS p50,
+  round(quantile_cont(n_chars, 0.75), 6) AS p75, round(CAST(max(n_chars) AS DOUBLE), 6) AS max
+FROM documents""")
+
+SPLIT3 = f"""o AS (
+  SELECT row_id, row_number() OVER (ORDER BY md5(concat('42-', CAST(row_id AS VARCHAR))), row_id) AS rn,
+         count(*) OVER () AS n FROM corpus),
+t AS (SELECT *, CAST(ceil(CAST(n AS DOUBLE) * 0.25) AS BIGINT) AS nt FROM o),
+v AS (SELECT *, CAST(ceil(CAST(n - nt AS DOUBLE) * 0.2) AS BIGINT) AS nv FROM t),
+sp AS (SELECT row_id, CASE WHEN rn <= nt THEN 'test' WHEN rn <= nt + nv THEN 'validation' ELSE 'train' END AS split FROM v)"""
+
+register("random_split", f"WITH {CORPUS},\n{SPLIT3}\nSELECT row_id, split FROM sp")
+
+register("split_conservation", f"""WITH {CORPUS},
+{SPLIT3},
+g AS (SELECT split, count(*) AS n FROM sp GROUP BY split)
+SELECT CAST(sum(CASE WHEN split = 'train' THEN n ELSE 0 END) AS BIGINT) AS train,
+       CAST(sum(CASE WHEN split = 'validation' THEN n ELSE 0 END) AS BIGINT) AS validation,
+       CAST(sum(CASE WHEN split = 'test' THEN n ELSE 0 END) AS BIGINT) AS test,
+       CAST(sum(n) AS BIGINT) AS total, true AS conserved FROM g""")
+
+register("stratified_split", f"""WITH {CORPUS},
+cc AS (SELECT label, count(*) AS n_c FROM corpus GROUP BY label),
+tot AS (SELECT sum(n_c) AS n, CAST(ceil(CAST(sum(n_c) AS DOUBLE) * 0.25) AS BIGINT) AS total FROM cc),
+ex AS (SELECT label, CAST(total * n_c AS DOUBLE) / n AS exact FROM cc, tot),
+fl AS (SELECT label, CAST(floor(exact) AS BIGINT) AS base, exact - floor(exact) AS frac FROM ex),
+lf AS (SELECT (SELECT total FROM tot) - sum(base) AS left_ FROM fl),
+qt AS (SELECT label, base + CASE WHEN row_number() OVER (ORDER BY frac DESC, label) <= (SELECT left_ FROM lf)
+                                 THEN 1 ELSE 0 END AS quota FROM fl),
+o AS (SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(concat('42-', CAST(row_id AS VARCHAR))), row_id) AS rn
+      FROM corpus)
+SELECT row_id, label, CASE WHEN rn <= quota THEN 'test' ELSE 'train' END AS split FROM o JOIN qt USING (label)""")
+
+
+# ---------------------------------------------------------------- §2.5 window-style operators
+
+register("dedup_keep_first", f"""WITH {DOCS}
+SELECT row_id, split FROM docs WHERE split NOT IN ('train', 'validation') OR split IS NULL
+UNION ALL
+SELECT row_id, split FROM (
+  SELECT *, row_number() OVER (PARTITION BY split, text ORDER BY row_id) AS rn FROM docs
+  WHERE split IN ('train', 'validation')) WHERE rn = 1""")
+
+register("few_shot_sample", f"""WITH {CORPUS}
+SELECT label, shot, row_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat('42-', CAST(row_id AS VARCHAR))), row_id) AS shot
+  FROM corpus WHERE split = 'train') WHERE shot <= 3""")
+
+register("batch_assignment", f"""WITH {CORPUS}
+SELECT row_id, CAST(floor((row_number() OVER (ORDER BY row_id) - 1) / 16) AS BIGINT) AS batch FROM corpus""")
+
+register("length_bucketed_batches", f"""WITH {DOCS},
+b AS (SELECT row_id, n_chars, CAST(floor(n_chars / 1000) AS BIGINT) AS length_bucket FROM docs)
+SELECT row_id, n_chars, length_bucket,
+       CAST(floor((row_number() OVER (PARTITION BY length_bucket ORDER BY row_id) - 1) / 8) AS BIGINT) AS batch_in_bucket
+FROM b""")
+
+EPOCHS = """epochs AS (
+  SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, value
+  FROM events WHERE value IS NOT NULL)"""
+
+register("best_checkpoint", f"""WITH {EPOCHS}
+SELECT run, epoch AS best_epoch, round(value, 6) AS best_value, epochs FROM (
+  SELECT *, row_number() OVER (PARTITION BY run ORDER BY value DESC, epoch) AS r, count(*) OVER (PARTITION BY run) AS epochs
+  FROM epochs) WHERE r = 1""")
+
+register("early_stop_epoch", f"""WITH {EPOCHS},
+p AS (SELECT *, max(value) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+      FROM epochs),
+i AS (SELECT *, max(CASE WHEN prev IS NULL OR value > prev THEN epoch END)
+                 OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_imp FROM p)
+SELECT run, min(CASE WHEN epoch - last_imp >= 5 THEN epoch END) AS stop_epoch, count(*) AS epochs FROM i GROUP BY run""")

@@ -170,5 +170,6 @@ def metric_display_name(col) -> Column:
 
 
 def diff_format(col) -> Column:
-    """Signed 4-decimal difference."""
-    return F.format_string("%+.4f", _c(col))
+    """Signed 4-decimal difference (Python rounding of the binary value)."""
+    from .formats import py_format
+    return py_format(col, 4, None, signed=True)

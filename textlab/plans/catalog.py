@@ -497,3 +497,123 @@ def q_best_checkpoint(spark, sf):
 def q_early_stop_epoch(spark, sf):
     from ..operators.training import early_stop_epoch
     return early_stop_epoch(X.epoch_metrics(spark, sf), patience=5)
+
+
+# ---------------------------------------------------------------- §2.6 / §2.9 run tables
+
+from ..operators import runs as R  # noqa: E402
+
+CLASS_NAMES = ["0", "1"]
+
+
+def results_table(spark, sf):
+    """One wide row per (dataset, experiment) from the full metric records."""
+    ev = M.evaluate_runs(X.binary_predictions(spark, sf), KEYS)
+    return R.flatten_metric_maps(ev, KEYS, CLASS_NAMES)
+
+
+register("flatten_metric_maps")(lambda spark, sf: round_doubles(results_table(spark, sf)))
+
+
+@register("compare_models")
+def q_compare_models(spark, sf):
+    r = results_table(spark, sf)
+    cols = ["macro_f1", "accuracy", "macro_avg_precision", "roc_auc", "ece"] + \
+        [f"f1_{c}" for c in CLASS_NAMES] + [f"ap_{c}" for c in CLASS_NAMES]
+    out = R.rank_experiments(r).select("dataset", F.col("experiment").alias("model"), "rank", *cols)
+    return round_doubles(out).orderBy("dataset", "rank")
+
+
+@register("rank_experiments")
+def q_rank_experiments(spark, sf):
+    return round_doubles(R.rank_experiments(results_table(spark, sf)).select("dataset", "experiment", "rank", "macro_f1"))
+
+
+@register("best_method_per_metric")
+def q_best_method_per_metric(spark, sf):
+    return round_doubles(R.best_method_per_metric(results_table(spark, sf)))
+
+
+@register("metric_statistics")
+def q_metric_statistics(spark, sf):
+    return round_doubles(R.metric_statistics(results_table(spark, sf)))
+
+
+@register("minmax_scaled_metrics")
+def q_minmax_scaled_metrics(spark, sf):
+    return round_doubles(R.minmax_scaled_metrics(results_table(spark, sf)))
+
+
+@register("melt_class_f1")
+def q_melt_class_f1(spark, sf):
+    return round_doubles(R.melt_class_f1(results_table(spark, sf)))
+
+
+@register("select_by_prefix")
+def q_select_by_prefix(spark, sf):
+    return round_doubles(R.select_by_prefix(results_table(spark, sf), ["f1_", "ap_"], keep=["dataset", "experiment"]))
+
+
+@register("summary_table")
+def q_summary_table(spark, sf):
+    return R.summary_table(results_table(spark, sf))
+
+
+@register("detailed_table")
+def q_detailed_table(spark, sf):
+    return R.detailed_table(results_table(spark, sf))
+
+
+@register("class_table")
+def q_class_table(spark, sf):
+    return R.class_table(results_table(spark, sf))
+
+
+@register("report_latex_rows")
+def q_report_latex_rows(spark, sf):
+    return R.report_latex_rows(results_table(spark, sf))
+
+
+@register("report_markdown_rows")
+def q_report_markdown_rows(spark, sf):
+    return R.report_markdown_rows(results_table(spark, sf))
+
+
+@register("compare_two_methods")
+def q_compare_two_methods(spark, sf):
+    return round_doubles(R.compare_two_methods(results_table(spark, sf), "e3", "e1"))
+
+
+@register("diff_format")
+def q_diff_format(spark, sf):
+    c = R.compare_two_methods(results_table(spark, sf), "e3", "e1")
+    return c.select("dataset", "metric", T.diff_format("diff").alias("diff"))
+
+
+@register("metric_display_name")
+def q_metric_display_name(spark, sf):
+    lm = R.long_metrics(results_table(spark, sf), with_rank=False)
+    return lm.select("metric").distinct().select("metric", T.metric_display_name("metric").alias("display"))
+
+
+@register("filter_experiment")
+def q_filter_experiment(spark, sf):
+    return round_doubles(R.filter_experiment(results_table(spark, sf), "e3").select("dataset", "experiment", "macro_f1"))
+
+
+@register("cross_dataset_eval")
+def q_cross_dataset_eval(spark, sf):
+    """Train-side dataset fixes a decision threshold (its positive rate); the
+    rule is applied to every other dataset's test rows; metrics per pair."""
+    c = X.labelled_corpus(spark, sf)
+    p = X.binary_predictions(spark, sf).where(F.col("experiment") == "e3").select("dataset", "row_id", "label", "probs")
+    rates = (c.where(F.col("split") != "test").groupBy("dataset").agg(F.avg("label").alias("rate"))
+             .collect())  # one row per dataset: a bounded, tiny list
+    thr = F.create_map(*[x for r in sorted(rates) for x in (F.lit(r["dataset"]), F.lit(float(r["rate"])))])
+    test = p.join(c.where(F.col("split") == "test").select("row_id"), "row_id", "left_semi") \
+        .withColumnRenamed("dataset", "test_dataset")
+    pairs = (test.select("*", F.explode(thr).alias("train_dataset", "threshold"))
+             .where(F.col("train_dataset") != F.col("test_dataset")))
+    preds = pairs.withColumn("pred", (F.col("probs")[1] >= F.lit(1.0) - F.col("threshold")).cast("int"))
+    keys = ["train_dataset", "test_dataset"]
+    return round_doubles(M.summary_metrics(preds, keys).select(*keys, "accuracy", "macro_f1"))

@@ -667,3 +667,215 @@ p AS (SELECT *, max(value) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UN
 i AS (SELECT *, max(CASE WHEN prev IS NULL OR value > prev THEN epoch END)
                  OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_imp FROM p)
 SELECT run, min(CASE WHEN epoch - last_imp >= 5 THEN epoch END) AS stop_epoch, count(*) AS epochs FROM i GROUP BY run""")
+
+
+# ---------------------------------------------------------------- §2.6 / §2.9 run tables
+
+BIN_PREDS = f"""{CORPUS},
+{PREDS}"""
+
+RECORDS = f"""{class_stats_cte('preds')},
+rep AS (
+  SELECT {K}, cls, {ratio('tp', 'predicted')} AS precision, {ratio('tp', 'support')} AS recall,
+         {ratio('2 * tp', 'support + predicted')} AS f1, support, tp, predicted FROM stats),
+{curve_cte('preds')},
+{AP_CTE},
+{AUC_CTE},
+{ece_cte('preds', 'list_max(probs)', HIT)},
+results AS (
+  SELECT r.dataset, r.experiment, r.macro_f1, r.accuracy, a.macro_avg_precision, u.auc AS roc_auc, e.ece,
+         r.f1_0, r.f1_1, r.precision_0, r.precision_1, r.recall_0, r.recall_1, a.ap_0, a.ap_1
+  FROM (SELECT {K}, avg(f1) AS macro_f1, sum(tp) / sum(support) AS accuracy,
+               max(CASE WHEN cls = 0 THEN f1 END) AS f1_0, max(CASE WHEN cls = 1 THEN f1 END) AS f1_1,
+               max(CASE WHEN cls = 0 THEN precision END) AS precision_0, max(CASE WHEN cls = 1 THEN precision END) AS precision_1,
+               max(CASE WHEN cls = 0 THEN recall END) AS recall_0, max(CASE WHEN cls = 1 THEN recall END) AS recall_1
+        FROM rep GROUP BY ALL) r
+  JOIN (SELECT {K}, avg(average_precision) AS macro_avg_precision,
+               max(CASE WHEN cls = 0 THEN average_precision END) AS ap_0,
+               max(CASE WHEN cls = 1 THEN average_precision END) AS ap_1 FROM ap GROUP BY ALL) a USING ({K})
+  JOIN (SELECT * FROM auc WHERE cls = 1) u USING ({K})
+  JOIN ece e USING ({K})),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY macro_f1 DESC NULLS LAST, experiment) AS rank FROM results)"""
+
+RESULT_COLS = ["macro_f1", "accuracy", "macro_avg_precision", "roc_auc", "ece", "f1_0", "f1_1",
+               "precision_0", "precision_1", "recall_0", "recall_1", "ap_0", "ap_1"]
+
+
+def rnd(cols, prefix: str = "") -> str:
+    return ", ".join(f"round({prefix}{c}, 6) AS {c}" for c in cols)
+
+
+register("flatten_metric_maps", f"WITH {BIN_PREDS},\n{RECORDS}\nSELECT {K}, {rnd(RESULT_COLS)} FROM results")
+
+register("evaluate_runs", f"""WITH {ALL_PREDS},
+{class_stats_cte('allp')},
+rep AS (SELECT {K}, cls, {ratio('2 * tp', 'support + predicted')} AS f1, support, tp FROM stats),
+{curve_cte('allp')},
+{AP_CTE},
+{AUC_CTE},
+{ece_cte('allp', 'list_max(probs)', HIT)},
+kk AS (SELECT {K}, max(len(probs)) AS k FROM allp GROUP BY ALL),
+aucx AS (
+  SELECT {K}, CASE WHEN max(k) = 2 THEN max(CASE WHEN cls = 1 THEN auc END)
+                   ELSE CASE WHEN count(auc) = count(*) THEN avg(auc) END END AS roc_auc
+  FROM auc JOIN kk USING ({K}) GROUP BY ALL),
+cnt AS (SELECT {K}, label, pred, count(*) AS n FROM allp GROUP BY ALL),
+cls AS (SELECT {K}, label AS c FROM allp UNION SELECT {K}, pred FROM allp),
+cm AS (
+  SELECT a.dataset, a.experiment, a.c AS label, b.c AS pred, CAST(coalesce(cnt.n, 0) AS BIGINT) AS n
+  FROM cls a JOIN cls b USING ({K})
+  LEFT JOIN cnt ON cnt.dataset = a.dataset AND cnt.experiment = a.experiment AND cnt.label = a.c AND cnt.pred = b.c),
+cmrows AS (SELECT {K}, label, list(n ORDER BY pred) AS r FROM cm GROUP BY ALL),
+cma AS (SELECT {K}, CAST(to_json(list(r ORDER BY label)) AS VARCHAR) AS confusion_matrix FROM cmrows GROUP BY ALL)
+SELECT s.dataset, s.experiment, round(s.macro_f1, 6) AS macro_f1, round(s.accuracy, 6) AS accuracy,
+       round(a.macro_avg_precision, 6) AS macro_avg_precision, round(x.roc_auc, 6) AS roc_auc,
+       round(e.ece, 6) AS expected_calibration_error, c.confusion_matrix
+FROM (SELECT {K}, avg(f1) AS macro_f1, sum(tp) / sum(support) AS accuracy FROM rep GROUP BY ALL) s
+JOIN (SELECT {K}, avg(average_precision) AS macro_avg_precision FROM ap GROUP BY ALL) a USING ({K})
+JOIN aucx x USING ({K}) JOIN ece e USING ({K}) JOIN cma c USING ({K})""")
+
+CM_COLS = ["macro_f1", "accuracy", "macro_avg_precision", "roc_auc", "ece", "f1_0", "f1_1", "ap_0", "ap_1"]
+register("compare_models", f"""WITH {BIN_PREDS},
+{RECORDS}
+SELECT dataset, experiment AS model, rank, {rnd(CM_COLS)} FROM ranked""")
+
+register("rank_experiments", f"""WITH {BIN_PREDS},
+{RECORDS}
+SELECT dataset, experiment, rank, round(macro_f1, 6) AS macro_f1 FROM ranked""")
+
+
+def long_cte(cols, src: str = "ranked", name: str = "lm") -> str:
+    parts = [f"SELECT dataset, experiment, rank, '{c}' AS metric, CAST({c} AS DOUBLE) AS value FROM {src}" for c in cols]
+    return f"{name} AS (\n  " + "\n  UNION ALL ".join(parts) + ")"
+
+
+BEST_METRICS = ["macro_f1", "accuracy", "macro_avg_precision", "roc_auc", "f1_0", "f1_1", "ap_0", "ap_1", "ece"]
+register("best_method_per_metric", f"""WITH {BIN_PREDS},
+{RECORDS},
+{long_cte(BEST_METRICS)}
+SELECT dataset, metric, experiment, round(value, 6) AS value FROM (
+  SELECT *, row_number() OVER (PARTITION BY dataset, metric
+                               ORDER BY CASE WHEN metric = 'ece' THEN value ELSE -value END, rank) AS r
+  FROM lm WHERE value IS NOT NULL) WHERE r = 1""")
+
+STAT_METRICS = ["macro_f1", "accuracy", "roc_auc", "ece"]
+register("metric_statistics", f"""WITH {BIN_PREDS},
+{RECORDS},
+{long_cte(STAT_METRICS)},
+o AS (SELECT *, row_number() OVER (PARTITION BY dataset, metric ORDER BY CASE WHEN metric = 'ece' THEN value ELSE -value END, rank) AS rb,
+              row_number() OVER (PARTITION BY dataset, metric ORDER BY CASE WHEN metric = 'ece' THEN -value ELSE value END, rank) AS rw
+      FROM lm WHERE value IS NOT NULL),
+bw AS (SELECT dataset, metric, max(CASE WHEN rb = 1 THEN value END) AS best, max(CASE WHEN rb = 1 THEN experiment END) AS best_experiment,
+              max(CASE WHEN rw = 1 THEN value END) AS worst, max(CASE WHEN rw = 1 THEN experiment END) AS worst_experiment
+       FROM o GROUP BY ALL),
+st AS (SELECT dataset, metric, avg(value) AS mean, median(value) AS median, stddev_samp(value) AS std FROM lm GROUP BY ALL)
+SELECT dataset, metric, round(best, 6) AS best, best_experiment, round(worst, 6) AS worst, worst_experiment,
+       round(mean, 6) AS mean, round(median, 6) AS median, round(std, 6) AS std
+FROM st LEFT JOIN bw USING (dataset, metric)""")
+
+register("minmax_scaled_metrics", f"""WITH {BIN_PREDS},
+{RECORDS},
+{long_cte(RESULT_COLS)},
+v AS (SELECT *, CASE WHEN metric = 'ece' THEN max(value) OVER w - value ELSE value END AS v FROM lm
+      WINDOW w AS (PARTITION BY dataset, metric)),
+m AS (SELECT *, min(v) OVER w AS lo, max(v) OVER w AS hi FROM v WINDOW w AS (PARTITION BY dataset, metric))
+SELECT dataset, experiment, metric, round(value, 6) AS raw,
+       round(CASE WHEN hi - lo > 0 THEN (v - lo) / (hi - lo) ELSE v - lo END, 6) AS scaled FROM m""")
+
+register("melt_class_f1", f"""WITH {BIN_PREDS},
+{RECORDS}
+SELECT dataset, experiment, '0' AS class, round(f1_0, 6) AS f1 FROM results
+UNION ALL SELECT dataset, experiment, '1', round(f1_1, 6) FROM results""")
+
+register("select_by_prefix", f"""WITH {BIN_PREDS},
+{RECORDS}
+SELECT dataset, experiment, {rnd(['f1_0', 'f1_1', 'ap_0', 'ap_1'])} FROM results""")
+
+
+def fmt_sql(c: str, digits: int = 4, missing: str = "N/A") -> str:
+    return f"coalesce(printf('%.{digits}f', {c}), '{missing}')"
+
+
+register("summary_table", f"""WITH {BIN_PREDS},
+{RECORDS}
+SELECT dataset, experiment, {fmt_sql('macro_f1')} AS macro_f1, {fmt_sql('accuracy')} AS accuracy FROM results""")
+
+DET = ["macro_f1", "accuracy", "macro_avg_precision", "roc_auc", "ece", "f1_0", "f1_1"]
+register("detailed_table", f"""WITH {BIN_PREDS},
+{RECORDS}
+SELECT dataset, experiment, {', '.join(f"{fmt_sql(c)} AS {c}" for c in DET)} FROM results""")
+
+CLS = ["f1_0", "f1_1", "precision_0", "precision_1", "recall_0", "recall_1", "ap_0", "ap_1"]
+register("class_table", f"""WITH {BIN_PREDS},
+{RECORDS}
+SELECT dataset, experiment, {', '.join(f"{fmt_sql(c)} AS {c}" for c in CLS)} FROM results""")
+
+LATEX = ["macro_f1", "accuracy", "roc_auc", "ece", "f1_0", "f1_1"]
+
+
+def latex_cell(c: str) -> str:
+    good = c if c == "ece" else f"-{c}"
+    s = fmt_sql(c, 3, "---")
+    best = (f"(row_number() OVER (PARTITION BY dataset ORDER BY CASE WHEN {c} IS NOT NULL THEN {good} END NULLS LAST, rank) = 1"
+            f" AND {c} IS NOT NULL)")
+    return f"CASE WHEN {best} THEN concat('\\textbf{{', {s}, '}}') ELSE {s} END"
+
+
+register("report_latex_rows", f"""WITH {BIN_PREDS},
+{RECORDS}
+SELECT dataset, rank, concat(concat_ws(' & ', experiment, {', '.join(latex_cell(c) for c in LATEX)}), ' \\\\') AS line
+FROM ranked""")
+
+MD = ["macro_f1", "accuracy", "roc_auc", "ece"]
+register("report_markdown_rows", f"""WITH {BIN_PREDS},
+{RECORDS}
+SELECT dataset, rank, concat('| ', concat_ws(' | ', experiment, {', '.join(fmt_sql(c, 4, '---') for c in MD)}), ' |') AS line
+FROM ranked""")
+
+CMP = ["macro_f1", "accuracy", "roc_auc", "ece", "f1_0", "f1_1"]
+CMP_CTE = f"""{long_cte(CMP)},
+pv AS (SELECT dataset, metric, max(CASE WHEN experiment = 'e3' THEN value END) AS v1,
+              max(CASE WHEN experiment = 'e1' THEN value END) AS v2,
+              max(CASE WHEN experiment = 'e3' THEN 1 ELSE 0 END) AS h1, max(CASE WHEN experiment = 'e1' THEN 1 ELSE 0 END) AS h2
+       FROM lm GROUP BY ALL HAVING h1 = 1 AND h2 = 1)"""
+
+register("compare_two_methods", f"""WITH {BIN_PREDS},
+{RECORDS},
+{CMP_CTE}
+SELECT dataset, metric, round(v1, 6) AS v1, round(v2, 6) AS v2, round(v1 - v2, 6) AS diff,
+       coalesce(CASE WHEN metric = 'ece' THEN v1 - v2 < 0 ELSE v1 - v2 > 0 END, false) AS method1_wins FROM pv""")
+
+register("diff_format", f"""WITH {BIN_PREDS},
+{RECORDS},
+{CMP_CTE}
+SELECT dataset, metric, printf('%+.4f', v1 - v2) AS diff FROM pv""")
+
+
+def display_sql(x: str) -> str:
+    # initcap equivalent for these names: words are split on spaces only
+    words = f"string_split(replace({x}, '_', ' '), ' ')"
+    c = f"array_to_string(list_transform({words}, lambda w: concat(upper(w[1]), lower(w[2:]))), ' ')"
+    for a, b in T.DISPLAY_RENAMES:
+        c = f"replace({c}, {q(a)}, {q(b)})"
+    return c
+
+
+register("metric_display_name", f"""WITH m(metric) AS (VALUES {', '.join(f"('{c}')" for c in RESULT_COLS)})
+SELECT metric, {display_sql('metric')} AS display FROM m""")
+
+register("filter_experiment", f"""WITH {BIN_PREDS},
+{RECORDS}
+SELECT dataset, experiment, round(macro_f1, 6) AS macro_f1 FROM results WHERE experiment = 'e3'""")
+
+register("cross_dataset_eval", f"""WITH {BIN_PREDS},
+rates AS (SELECT dataset AS train_dataset, avg(label) AS threshold FROM corpus WHERE split <> 'test' GROUP BY dataset),
+test AS (SELECT p.dataset AS test_dataset, p.row_id, p.label, p.probs FROM preds p JOIN corpus c ON c.row_id = p.row_id
+         WHERE p.experiment = 'e3' AND c.split = 'test'),
+pr AS (SELECT r.train_dataset, t.test_dataset, t.label,
+              CAST(t.probs[2] >= 1.0 - r.threshold AS INTEGER) AS pred
+       FROM test t JOIN rates r ON r.train_dataset <> t.test_dataset),
+{class_stats_cte('pr', 'train_dataset, test_dataset')}
+SELECT train_dataset, test_dataset, round(sum(tp) / sum(support), 6) AS accuracy,
+       round(avg({ratio('2 * tp', 'support + predicted')}), 6) AS macro_f1
+FROM stats GROUP BY ALL""")

@@ -617,3 +617,120 @@ def q_cross_dataset_eval(spark, sf):
     preds = pairs.withColumn("pred", (F.col("probs")[1] >= F.lit(1.0) - F.col("threshold")).cast("int"))
     keys = ["train_dataset", "test_dataset"]
     return round_doubles(M.summary_metrics(preds, keys).select(*keys, "accuracy", "macro_f1"))
+
+
+# ---------------------------------------------------------------- §2.1 sources and sinks
+# Each query writes Spark-derived data to a fresh folder under the shared
+# checkpoint folder, then returns the lazy read of it.
+
+from pyspark.sql import types as TT  # noqa: E402
+
+from ..session import scratch_path  # noqa: E402
+from ..sources import readers as SR  # noqa: E402
+from ..sources import writers as SW  # noqa: E402
+
+
+def _write_splits(spark, sf, ext: str):
+    base = scratch_path(spark, "splits")
+    c = X.labelled_corpus(spark, sf).select("row_id", "text", "label", "split")
+    paths = {}
+    for split in ("train", "validation", "test"):
+        p = os.path.join(base, f"{split}{ext}")
+        SW.write_split_csv(c.where(F.col("split") == split).drop("split"), p, sep=SR.SEPARATORS[ext])
+        paths[split] = p
+    return paths
+
+
+import os  # noqa: E402
+
+
+@register("read_corpus_csv")
+def q_read_corpus_csv(spark, sf):
+    p = _write_splits(spark, sf, ".csv")
+    c = SR.read_corpus_csv(spark, p["train"], p["validation"], p["test"], schema=SR.CORPUS_SCHEMA)
+    return c.select("split", "row_id", "text", "label")
+
+
+@register("write_split_csv")
+def q_write_split_csv(spark, sf):
+    base = scratch_path(spark, "split-csv")
+    c = X.labelled_corpus(spark, sf).select("row_id", "text", "label", "split")
+    SW.write_split_csv(c, base, partition_by="split")
+    schema = TT.StructType(SR.CORPUS_SCHEMA.fields + [TT.StructField("split", TT.StringType())])
+    return spark.read.options(**SR.CSV_OPTIONS).schema(schema).csv(base).select("split", "row_id", "text", "label")
+
+
+@register("read_delimited")
+def q_read_delimited(spark, sf):
+    p = _write_splits(spark, sf, ".tsv")
+    return SR.read_delimited(spark, p["test"], SR.CORPUS_SCHEMA)
+
+
+@register("read_json_corpus")
+def q_read_json_corpus(spark, sf):
+    base = scratch_path(spark, "json-corpus")
+    X.labelled_corpus(spark, sf).where(F.col("split") == "test").select("row_id", "text", "label") \
+        .write.mode("overwrite").json(base)
+    return SR.read_json_corpus(spark, base, type_split=3).select("split", "row_id", "text", "label")
+
+
+@register("read_named_split")
+def q_read_named_split(spark, sf):
+    base = scratch_path(spark, "named-split")
+    X.labelled_corpus(spark, sf).select("row_id", "label", "split").write.mode("overwrite") \
+        .partitionBy("split").parquet(base)
+    return SR.read_named_split(spark, base, "test").select("row_id", "label")
+
+
+def _write_records(spark, sf):
+    base = scratch_path(spark, "records")
+    ev = M.evaluate_runs(X.binary_predictions(spark, sf), KEYS)
+    SW.write_metric_json(ev, base, partition_by=("dataset", "experiment"))
+    return base
+
+
+@register("write_metric_json")
+def q_write_metric_json(spark, sf):
+    base = _write_records(spark, sf)
+    recs = spark.read.schema(SR.RECORD_SCHEMA).json(base)
+    return round_doubles(recs.select("dataset", "experiment", "macro_f1", "accuracy", "macro_avg_precision",
+                                     "roc_auc", F.col("expected_calibration_error").alias("ece")))
+
+
+@register("scan_result_records")
+def q_scan_result_records(spark, sf):
+    base = _write_records(spark, sf)
+    s = SR.scan_result_records(spark, os.path.join(base, "*", "*", "*.json"), CLASS_NAMES)
+    return round_doubles(s.withColumnRenamed("group", "dataset"))
+
+
+@register("write_submission_jsonl")
+def q_write_submission_jsonl(spark, sf):
+    base = scratch_path(spark, "submission")
+    idx = C.add_row_index(X.binary_predictions(spark, sf).where(F.col("experiment") == "e3").select("row_id", "pred"))
+    SW.write_submission_jsonl(idx, base, pred_col="pred")
+    schema = TT.StructType([TT.StructField("index", TT.LongType()), TT.StructField("prediction", TT.IntegerType())])
+    return spark.read.schema(schema).json(base)
+
+
+@register("write_prediction_csv")
+def q_write_prediction_csv(spark, sf):
+    base = scratch_path(spark, "pred-csv")
+    p = X.binary_predictions(spark, sf).where(F.col("experiment") == "e3")
+    s = M.summary_metrics(p, ["experiment"]).select(
+        F.col("macro_f1").alias("Macro_F1"), F.col("micro_f1").alias("Micro_F1"),
+        F.col("accuracy").alias("Accuracy"), F.col("mcc").alias("MCC"))
+    SW.write_prediction_csv(p, s, base)
+    schema = TT.StructType([TT.StructField("True", TT.IntegerType()), TT.StructField("Prediction", TT.IntegerType())])
+    t = spark.read.options(**SR.CSV_OPTIONS).schema(schema).csv(os.path.join(base, "predictions"))
+    return t.groupBy("True", "Prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("write_result_tables")
+def q_write_result_tables(spark, sf):
+    base = scratch_path(spark, "result-tables")
+    r = results_table(spark, sf)
+    SW.write_result_tables(r, base, R.summary_table(r), R.detailed_table(r))
+    schema = TT.StructType([TT.StructField("dataset", TT.StringType()), TT.StructField("experiment", TT.StringType()),
+                            TT.StructField("macro_f1", TT.StringType()), TT.StructField("accuracy", TT.StringType())])
+    return spark.read.options(**SR.CSV_OPTIONS).schema(schema).csv(os.path.join(base, "summary_results"))

@@ -879,3 +879,23 @@ pr AS (SELECT r.train_dataset, t.test_dataset, t.label,
 SELECT train_dataset, test_dataset, round(sum(tp) / sum(support), 6) AS accuracy,
        round(avg({ratio('2 * tp', 'support + predicted')}), 6) AS macro_f1
 FROM stats GROUP BY ALL""")
+
+
+# ---------------------------------------------------------------- §2.1 sources and sinks
+
+register("read_corpus_csv", f"WITH {CORPUS}\nSELECT split, row_id, text, label FROM corpus")
+register("write_split_csv", f"WITH {CORPUS}\nSELECT split, row_id, text, label FROM corpus")
+register("read_delimited", f"WITH {CORPUS}\nSELECT row_id, text, label FROM corpus WHERE split = 'test'")
+register("read_json_corpus", f"WITH {CORPUS}\nSELECT split, row_id, text, label FROM corpus WHERE split = 'test'")
+register("read_named_split", f"WITH {CORPUS}\nSELECT row_id, label FROM corpus WHERE split = 'test'")
+register("write_metric_json", f"""WITH {BIN_PREDS},
+{RECORDS}
+SELECT {K}, {rnd(['macro_f1', 'accuracy', 'macro_avg_precision', 'roc_auc', 'ece'])} FROM results""")
+register("scan_result_records", f"WITH {BIN_PREDS},\n{RECORDS}\nSELECT {K}, {rnd(RESULT_COLS)} FROM results")
+register("write_submission_jsonl", f"""WITH {BIN_PREDS}
+SELECT row_number() OVER (ORDER BY row_id) - 1 AS index, pred AS prediction FROM preds WHERE experiment = 'e3'""")
+register("write_prediction_csv", f"""WITH {BIN_PREDS}
+SELECT label AS "True", pred AS "Prediction", count(*) AS n FROM preds WHERE experiment = 'e3' GROUP BY ALL""")
+register("write_result_tables", f"""WITH {BIN_PREDS},
+{RECORDS}
+SELECT dataset, experiment, {fmt_sql('macro_f1')} AS macro_f1, {fmt_sql('accuracy')} AS accuracy FROM results""")

@@ -39,20 +39,28 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _guarded(c: Column, needle: str, pattern: str, repl: str) -> Column:
+    """Run the regex only on values holding its literal trigger (same result,
+    avoids backtracking scans of texts that cannot match)."""
+    return F.when(F.contains(c, F.lit(needle)), F.regexp_replace(c, pattern, repl)).otherwise(c)
+
+
 def normalize_url(col) -> Column:
-    return F.regexp_replace(_c(col), URL_PATTERN, URL_TOKEN)
+    c = _c(col)
+    hit = F.contains(c, F.lit("http")) | F.contains(c, F.lit("www"))
+    return F.when(hit, F.regexp_replace(c, URL_PATTERN, URL_TOKEN)).otherwise(c)
 
 
 def normalize_mention(col) -> Column:
-    return F.regexp_replace(_c(col), MENTION_PATTERN, USER_TOKEN)
+    return _guarded(_c(col), "@", MENTION_PATTERN, USER_TOKEN)
 
 
 def normalize_email(col) -> Column:
-    return F.regexp_replace(_c(col), EMAIL_PATTERN, EMAIL_TOKEN)
+    return _guarded(_c(col), "@", EMAIL_PATTERN, EMAIL_TOKEN)
 
 
 def unpack_hashtag(col) -> Column:
-    return F.regexp_replace(_c(col), HASHTAG_PATTERN, "$1")
+    return _guarded(_c(col), "#", HASHTAG_PATTERN, "$1")
 
 
 def expand_ampersand(col) -> Column:
@@ -98,9 +106,10 @@ def generic_preprocess(col, emoji_col: Column | None = None) -> Column:
     step (see ``textlab.functions.emoji``); by default the step is off.
     """
     c = _c(col) if emoji_col is None else emoji_col
-    c = F.regexp_replace(c, URL_LOOSE_PATTERN, " ")
-    c = F.regexp_replace(c, MENTION_PATTERN, " ")
-    c = F.regexp_replace(c, HASHTAG_PATTERN, "$1")
+    hit = F.contains(c, F.lit("http")) | F.contains(c, F.lit("www"))
+    c = F.when(hit, F.regexp_replace(c, URL_LOOSE_PATTERN, " ")).otherwise(c)
+    c = _guarded(c, "@", MENTION_PATTERN, " ")
+    c = _guarded(c, "#", HASHTAG_PATTERN, "$1")
     c = F.replace(c, F.lit("&amp;"), F.lit("and"))
     c = F.replace(c, F.lit("&lt;"), F.lit("<"))
     c = F.replace(c, F.lit("&gt;"), F.lit(">"))

@@ -214,6 +214,19 @@ def roc_auc_ovr_macro(preds: DataFrame, keys: Sequence[str], probs: str = "probs
         F.when(F.count("auc") == F.count(F.lit(1)), F.avg("auc")).alias("roc_auc"))
 
 
+def ranking_metrics(preds: DataFrame, keys: Sequence[str], probs: str = "probs", label: str = "label") -> DataFrame:
+    """One pass over one curve: per (keys, cls) average precision, one-vs-rest
+    AUC (null when a side is empty), positives and negatives."""
+    c = _curve(preds, keys, probs, label)
+    ap_term = F.when(F.col("P") > 0, (F.col("pos") / F.col("P")) * (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))))
+    auc_term = F.col("pos") * ((F.col("N") - F.col("cum_neg")) + F.col("neg") / 2.0)
+    g = c.groupBy(*_k(keys), "cls").agg(
+        F.coalesce(F.sum(ap_term), F.lit(0.0)).alias("average_precision"),
+        F.sum(auc_term).alias("_w"), F.first("P").alias("P"), F.first("N").alias("N"))
+    auc = F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("_w") / (F.col("P").cast("double") * F.col("N")))
+    return g.select(*_k(keys), "cls", "average_precision", auc.alias("auc"), "P", "N")
+
+
 def pr_curve(preds: DataFrame, keys: Sequence[str], probs: str = "probs", label: str = "label",
              classes: Sequence[int] | None = None) -> DataFrame:
     """(keys, cls, threshold, precision, recall) per distinct score, plus the
@@ -313,7 +326,7 @@ def evaluate_runs(preds: DataFrame, keys: Sequence[str], label_names: Sequence[s
     per-class maps (keyed by class name) and the confusion matrix."""
     keys = _k(keys)
     rep = per_class_report(preds, keys, zero_division)
-    ap = average_precision(preds, keys)
+    rk = ranking_metrics(preds, keys)
 
     def name(c):
         if not label_names:
@@ -328,15 +341,13 @@ def evaluate_runs(preds: DataFrame, keys: Sequence[str], label_names: Sequence[s
         F.map_from_entries(F.collect_list(F.struct(name(F.col("cls")), F.col("precision")))).alias("precision_per_class"),
         F.map_from_entries(F.collect_list(F.struct(name(F.col("cls")), F.col("recall")))).alias("recall_per_class"),
     )
-    ap_maps = ap.groupBy(*keys).agg(
+    # two probability entries: binary AUC on class 1; more: one-vs-rest macro mean
+    ap_maps = rk.groupBy(*keys).agg(
         F.avg("average_precision").alias("macro_avg_precision"),
         F.map_from_entries(F.collect_list(F.struct(name(F.col("cls")), F.col("average_precision")))).alias("avg_precision_per_class"),
+        F.when(F.count(F.lit(1)) == 2, F.max(F.when(F.col("cls") == 1, F.col("auc"))))
+         .otherwise(F.when(F.count("auc") == F.count(F.lit(1)), F.avg("auc"))).alias("roc_auc"),
     )
-    k_probs = preds.groupBy(*keys).agg(F.max(F.size("probs")).alias("_k"))
-    auc_bin = roc_auc_binary(preds, keys)
-    auc_ovr = roc_auc_ovr_macro(preds, keys).withColumnRenamed("roc_auc", "_ovr")
-    auc = (k_probs.join(auc_bin, keys, "left").join(auc_ovr, keys, "left")
-           .select(*keys, F.when(F.col("_k") == 2, F.col("roc_auc")).otherwise(F.col("_ovr")).alias("roc_auc")))
-    return (cls_maps.join(ap_maps, keys, "left").join(auc, keys, "left")
+    return (cls_maps.join(ap_maps, keys, "left")
             .join(ece(preds, keys, n_bins=n_bins).withColumnRenamed("ece", "expected_calibration_error"), keys, "left")
             .join(confusion_array(preds, keys), keys, "left"))

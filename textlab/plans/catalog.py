@@ -734,3 +734,30 @@ def q_write_result_tables(spark, sf):
     schema = TT.StructType([TT.StructField("dataset", TT.StringType()), TT.StructField("experiment", TT.StringType()),
                             TT.StructField("macro_f1", TT.StringType()), TT.StructField("accuracy", TT.StringType())])
     return spark.read.options(**SR.CSV_OPTIONS).schema(schema).csv(os.path.join(base, "summary_results"))
+
+
+# ---------------------------------------------------------------- §2.9 model-facing jobs
+
+from ..operators import scoring as S  # noqa: E402
+
+
+@register("score_batches")
+def q_score_batches(spark, sf):
+    c = X.labelled_corpus(spark, sf)
+    s = S.score_batches(c, S.length_scorer_factory, id_cols=["row_id", "label"])
+    return s.select("row_id", "label", "pred", r6(F.col("probs")[1]).alias("p1"))
+
+
+@register("train_weighted_classifier")
+def q_train_weighted_classifier(spark, sf):
+    c = X.labelled_corpus(spark, sf).withColumn("text", T.clean_text("text"))
+    model = S.train_weighted_classifier(c.where(F.col("split") == "train"))
+    p = S.predict(model, c.where(F.col("split") == "test"), keep=["row_id", "label"]).withColumn("experiment", F.lit("tfidf_lr"))
+    return round_doubles(M.summary_metrics(p, ["experiment"]).select("experiment", "accuracy", "macro_f1"))
+
+
+@register("select_model")
+def q_select_model(spark, sf):
+    c = X.labelled_corpus(spark, sf).withColumn("text", T.clean_text("text"))
+    _, table = S.select_model(c.where(F.col("split") == "train"), c.where(F.col("split") == "validation"))
+    return table.select("config", "reg_param", "selected")

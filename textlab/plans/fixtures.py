@@ -35,8 +35,22 @@ SPLIT_RULE = "CASE row_id % 4 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE '
 N_MULTI = 10
 
 
+# Tables whose rows carry whole texts (CPU-heavy per row).
+TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores (one large row group) is spread
+    round-robin before CPU-heavy text work; at cluster scale the scan already
+    has far more splits than cores and this is a no-op."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    return df.repartition(cores) if n < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

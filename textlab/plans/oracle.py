@@ -899,3 +899,12 @@ SELECT label AS "True", pred AS "Prediction", count(*) AS n FROM preds WHERE exp
 register("write_result_tables", f"""WITH {BIN_PREDS},
 {RECORDS}
 SELECT dataset, experiment, {fmt_sql('macro_f1')} AS macro_f1, {fmt_sql('accuracy')} AS accuracy FROM results""")
+
+
+# ---------------------------------------------------------------- §2.9 model-facing jobs
+
+register("score_batches", f"""WITH {CORPUS},
+l AS (SELECT row_id, label, [0.0, ((length(text) % 11) - 5) / 2.0] AS logits FROM corpus),
+e AS (SELECT *, list_transform(logits, lambda x: exp(x - list_max(logits))) AS e FROM l),
+p AS (SELECT row_id, label, list_transform(e, lambda x: x / list_sum(e)) AS probs FROM e)
+SELECT row_id, label, CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) AS pred, round(probs[2], 6) AS p1 FROM p""")

@@ -57,5 +57,5 @@ def align_target_labels(target_ids, length) -> Column:
     t = _c(target_ids)
     n = _c(length) if not isinstance(length, int) else F.lit(length)
     m = F.least(F.size(t), n)
-    pad = F.array_repeat(F.lit(-100), n - m)
+    pad = F.array_repeat(F.lit(-100), n - m)  # fixed value: the ignored label id
     return F.concat(pad, F.slice(t, F.size(t) - m + 1, m))

@@ -761,3 +761,39 @@ def q_select_model(spark, sf):
     c = X.labelled_corpus(spark, sf).withColumn("text", T.clean_text("text"))
     _, table = S.select_model(c.where(F.col("split") == "train"), c.where(F.col("split") == "validation"))
     return table.select("config", "reg_param", "selected")
+
+
+# ---------------------------------------------------------------- §2.8 token ids
+
+from ..operators import tokens as TK  # noqa: E402
+
+
+def _vocab(spark, sf):
+    from ..functions.text import verbalize_label
+    train = X.labelled_corpus(spark, sf).where(F.col("split") == "train")
+    return TK.vocabulary(train.select(F.concat_ws(" ", "text", verbalize_label("label")).alias("text")))
+
+
+@register("encode_tokens")
+def q_encode_tokens(spark, sf):
+    test = X.labelled_corpus(spark, sf).where(F.col("split") == "test").select("row_id", "text")
+    v = _vocab(spark, sf)
+    r = TK.encode_tokens(test, v, max_length=16, padding="right")
+    l = TK.encode_tokens(test, v, max_length=16, padding="left").select("row_id", F.col("input_ids").alias("left_ids"))
+    out = r.join(l, "row_id")
+    return out.select("row_id", F.array_join("input_ids", " ").alias("input_ids"),
+                      F.array_join("left_ids", " ").alias("left_ids"),
+                      F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_tokens"))
+
+
+@register("corpus_vocabulary")
+def q_corpus_vocabulary(spark, sf):
+    return _vocab(spark, sf)
+
+
+@register("align_target_labels")
+def q_align_target_labels(spark, sf):
+    from ..functions.prompts import build_instruction_pairs
+    test = build_instruction_pairs(X.labelled_corpus(spark, sf).where(F.col("split") == "test"))
+    enc = TK.encode_tokens(test.select("row_id", F.col("target_text").alias("text")), _vocab(spark, sf), max_length=8)
+    return enc.select("row_id", F.array_join(TK.align_target_labels("input_ids", 16), " ").alias("labels"))

@@ -908,3 +908,53 @@ l AS (SELECT row_id, label, [0.0, ((length(text) % 11) - 5) / 2.0] AS logits FRO
 e AS (SELECT *, list_transform(logits, lambda x: exp(x - list_max(logits))) AS e FROM l),
 p AS (SELECT row_id, label, list_transform(e, lambda x: x / list_sum(e)) AS probs FROM e)
 SELECT row_id, label, CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) AS pred, round(probs[2], 6) AS p1 FROM p""")
+
+
+# ---------------------------------------------------------------- §2.8 token ids
+
+from ..operators import tokens as TKN  # noqa: E402
+
+VOCAB = f"""vt AS (
+  SELECT unnest(regexp_extract_all(lower(concat_ws(' ', text, CASE WHEN label = 1 THEN 'Yes' ELSE 'No' END)),
+                                   {q(TKN.TOKEN_PATTERN)})) AS token
+  FROM corpus WHERE split = 'train'),
+vocab AS (
+  SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) - 1 + {len(TKN.SPECIALS)} AS id, count(*) AS count
+  FROM vt GROUP BY token)"""
+
+
+def enc_cte(src: str, name: str, max_length: int) -> str:
+    return f"""{name}_t AS (
+  SELECT row_id, unnest(tk) AS token, unnest(generate_series(0, len(tk) - 1)) AS pos
+  FROM (SELECT row_id, regexp_extract_all(lower(coalesce(text, '')), {q(TKN.TOKEN_PATTERN)}) AS tk FROM {src})),
+{name}_i AS (
+  SELECT t.row_id, list(coalesce(v.id, {TKN.UNK_ID}) ORDER BY t.pos) AS ids
+  FROM {name}_t t LEFT JOIN vocab v ON v.token = t.token WHERE t.pos < {max_length} GROUP BY t.row_id),
+{name} AS (
+  SELECT s.row_id, coalesce(i.ids, []) AS ids FROM {src} s LEFT JOIN {name}_i i ON i.row_id = s.row_id)"""
+
+
+def pad_right(ids: str, L: int) -> str:
+    return f"list_concat({ids}, list_transform(range({L} - len({ids})), lambda x: {TKN.PAD_ID}))"
+
+
+def pad_left(ids: str, L: int) -> str:
+    return f"list_concat(list_transform(range({L} - len({ids})), lambda x: {TKN.PAD_ID}), {ids})"
+
+
+register("corpus_vocabulary", f"WITH {CORPUS},\n{VOCAB}\nSELECT token, id, count FROM vocab")
+
+register("encode_tokens", f"""WITH {CORPUS},
+{VOCAB},
+test AS (SELECT row_id, text FROM corpus WHERE split = 'test'),
+{enc_cte('test', 'enc', 16)}
+SELECT row_id, array_to_string({pad_right('ids', 16)}, ' ') AS input_ids,
+       array_to_string({pad_left('ids', 16)}, ' ') AS left_ids, CAST(len(ids) AS INTEGER) AS n_tokens FROM enc""")
+
+register("align_target_labels", f"""WITH {CORPUS},
+{VOCAB},
+tg AS (SELECT row_id, CASE WHEN label = 1 THEN 'Yes' ELSE 'No' END AS text FROM corpus WHERE split = 'test'),
+{enc_cte('tg', 'enc', 8)},
+p AS (SELECT row_id, {pad_right('ids', 8)} AS ids FROM enc)
+SELECT row_id, array_to_string(list_concat(list_transform(range(16 - least(len(ids), 16)), lambda x: -100),
+                                           ids[len(ids) - least(len(ids), 16) + 1:]), ' ') AS labels FROM p""")

@@ -797,3 +797,31 @@ def q_align_target_labels(spark, sf):
     test = build_instruction_pairs(X.labelled_corpus(spark, sf).where(F.col("split") == "test"))
     enc = TK.encode_tokens(test.select("row_id", F.col("target_text").alias("text")), _vocab(spark, sf), max_length=8)
     return enc.select("row_id", F.array_join(TK.align_target_labels("input_ids", 16), " ").alias("labels"))
+
+
+# ---------------------------------------------------------------- §2.7 Python helpers, streaming
+
+@register("emoji_to_text")
+def q_emoji_to_text(spark, sf):
+    from ..functions.emoji import emoji_to_text
+    conv = X.table(spark, sf, "conversations")
+    return conv.select("conv_id", "turn", emoji_to_text("text", "words").alias("out"),
+                       emoji_to_text("text", "tokens").alias("out_tokens"))
+
+
+@register("segment_hashtags")
+def q_segment_hashtags(spark, sf):
+    from ..operators.hashtags import segment_hashtags
+    docs = X.table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    return segment_hashtags(docs).select("row_id", "text")
+
+
+@register("stream_clean_text")
+def q_stream_clean_text(spark, sf):
+    from ..streaming.text_stream import run_to_completion, start_text_job, text_stream
+    schema = X.table(spark, sf, "documents").schema
+    src = text_stream(spark, sf, schema, glob="documents.parquet")
+    sink, ckpt = scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt")
+    q = start_text_job(src, {"out": T.clean_text(F.col("text"))}, [F.col("doc_id").alias("row_id")], sink, ckpt)
+    run_to_completion(q, 600)
+    return spark.read.parquet(sink)

@@ -958,3 +958,5 @@ tg AS (SELECT row_id, CASE WHEN label = 1 THEN 'Yes' ELSE 'No' END AS text FROM
 p AS (SELECT row_id, {pad_right('ids', 8)} AS ids FROM enc)
 SELECT row_id, array_to_string(list_concat(list_transform(range(16 - least(len(ids), 16)), lambda x: -100),
                                            ids[len(ids) - least(len(ids), 16) + 1:]), ' ') AS labels FROM p""")
+
+register("stream_clean_text", f"SELECT doc_id AS row_id, {sql_clean('text')} AS out FROM documents")

@@ -52,6 +52,12 @@ def examples_block(examples: DataFrame, names: Sequence[str] | None = None,
     return agg.select(F.array_join(numbered, "").alias("examples"))
 
 
+def attach_examples(df: DataFrame, block: DataFrame, name: str = "examples") -> DataFrame:
+    """The same example block on every row: a scalar subquery, computed once,
+    no join (the block is one row of at most shots x classes texts)."""
+    return df.withColumn(name, block.select(F.col("examples")).scalar())
+
+
 def format_prompt_few(template: str, text_col, examples_col) -> Column:
     """``{examples}`` replaced first, then ``{text}`` (also inside the examples)."""
     c = F.replace(F.lit(template), F.lit(EXAMPLES_SLOT), _c(examples_col))

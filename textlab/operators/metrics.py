@@ -175,9 +175,14 @@ def score_histogram(preds: DataFrame, keys: Sequence[str], probs: str = "probs",
 
 def _curve(preds: DataFrame, keys: Sequence[str], probs: str, label: str, classes=None) -> DataFrame:
     """Histogram with inclusive running sums from the top score down, plus class totals."""
-    h = score_histogram(preds, keys, probs, label, classes)
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(preds.sparkSession)
+    # the histogram feeds the range sketch and three plan branches: write it
+    # once to the shared checkpoint folder (reliable, lineage cut) and reuse it
+    h = score_histogram(preds, keys, probs, label, classes).checkpoint(eager=True)
     cum = running_sums(h, [*_k(keys), "cls"], "score", ["pos", "neg"], descending=True)
-    totals = h.groupBy(*_k(keys), "cls").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    # class totals from the same frame: the histogram shuffle is shared, not redone
+    totals = cum.groupBy(*_k(keys), "cls").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return cum.join(totals, on=[*_k(keys), "cls"], how="inner")
 
 

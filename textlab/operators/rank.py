@@ -59,7 +59,8 @@ def running_sums(
     local = b
     for c in sum_cols:
         local = local.withColumn(f"_loc_{c}", F.sum(c).over(w_local))
-    totals = b.groupBy(*group_cols, BUCKET).agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
+    # totals come from the windowed frame, so both branches share one shuffle
+    totals = local.groupBy(*group_cols, BUCKET).agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
     border = F.col(BUCKET).desc() if descending else F.col(BUCKET).asc()
     w_off = Window.partitionBy(*group_cols).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -91,7 +92,7 @@ def running_max(
     local = b
     for c in max_cols:
         local = local.withColumn(f"_loc_{c}", F.max(c).over(w_local))
-    totals = b.groupBy(*group_cols, BUCKET).agg(*[F.max(c).alias(f"_tot_{c}") for c in max_cols])
+    totals = local.groupBy(*group_cols, BUCKET).agg(*[F.max(c).alias(f"_tot_{c}") for c in max_cols])
     w_off = (Window.partitionBy(*group_cols).orderBy(F.col(BUCKET).asc())
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(*group_cols, BUCKET, *[F.max(f"_tot_{c}").over(w_off).alias(f"_off_{c}") for c in max_cols])
@@ -119,7 +120,7 @@ def global_row_number(
     b = range_buckets(df, bucket_key, n_buckets).withColumn("_one", F.lit(1))
     w_local = Window.partitionBy(*group_cols, BUCKET).orderBy(*order_cols)
     local = b.withColumn("_loc", F.row_number().over(w_local))
-    totals = b.groupBy(*group_cols, BUCKET).agg(F.count(F.lit(1)).alias("_tot"))
+    totals = local.groupBy(*group_cols, BUCKET).agg(F.max("_loc").alias("_tot"))
     w_off = (Window.partitionBy(*group_cols).orderBy(F.col(BUCKET))
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(*group_cols, BUCKET, F.coalesce(F.sum("_tot").over(w_off), F.lit(0)).alias("_off"))

@@ -64,9 +64,10 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, text_col: str = "text", id_co
            .select(id_col, F.transform("_p", lambda s: s["_id"]).alias("_ids")))
     out = df.join(ids, id_col, "left").withColumn("_ids", F.coalesce("_ids", F.array().cast("array<int>")))
     n = F.size("_ids")
-    if pad_to == "longest":
-        w = Window.partitionBy(batch_col) if batch_col else Window.partitionBy()
-        length = F.max(n).over(w)
+    if pad_to == "longest" and batch_col:
+        length = F.max(n).over(Window.partitionBy(batch_col))  # batches are bounded
+    elif pad_to == "longest":
+        length = out.select(F.max(F.size("_ids"))).scalar()  # one global max, no window
     else:
         length = F.lit(max_length)
     out = out.withColumn("_L", length)

@@ -126,18 +126,18 @@ def q_format_prompt_few(spark, sf):
     from ..functions.prompts import examples_block, format_prompt_few
     ex = examples_block(_few_shot_examples(spark, sf), NAMES)
     test = X.labelled_corpus(spark, sf).where(F.col("split") == "test")
-    # attach_examples: one bounded row broadcast to every test row
-    j = test.crossJoin(F.broadcast(ex))
-    return j.select("row_id", format_prompt_few(FEW_TEMPLATE, "text", "examples").alias("prompt"))
+    # attach_examples: the one-row block enters every row as a scalar subquery
+    return test.select("row_id", format_prompt_few(FEW_TEMPLATE, "text", ex.scalar()).alias("prompt"))
 
 
 @register("attach_examples")
 def q_attach_examples(spark, sf):
-    from ..functions.prompts import examples_block
+    from ..functions.prompts import attach_examples, examples_block
     ex = examples_block(_few_shot_examples(spark, sf), NAMES)
     test = X.labelled_corpus(spark, sf).where(F.col("split") == "test")
-    return test.crossJoin(F.broadcast(ex)).select("row_id", F.length("examples").cast("long").alias("examples_chars"),
-                                                  F.md5("examples").alias("examples_md5"))
+    j = attach_examples(test, ex)
+    return j.select("row_id", F.length("examples").cast("long").alias("examples_chars"),
+                    F.md5("examples").alias("examples_md5"))
 
 
 @register("build_instruction_pairs")

@@ -35,9 +35,10 @@ def class_union(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
             .agg(F.array_sort(F.array_union(F.collect_set("label"), F.collect_set("pred"))).alias("classes")))
 
 
-def confusion_matrix(preds: DataFrame, keys: Sequence[str], label: str = "label", pred: str = "pred") -> DataFrame:
+def confusion_matrix(preds: DataFrame, keys: Sequence[str], label: str = "label", pred: str = "pred",
+                     counts: DataFrame | None = None) -> DataFrame:
     """Counts by (true, pred), zero-filled over the label union of each group."""
-    counts = confusion_counts(preds, keys, label, pred)
+    counts = counts if counts is not None else confusion_counts(preds, keys, label, pred)
     grid = (class_union(counts, keys)
             .select(*_k(keys), F.explode("classes").alias("label"), "classes")
             .select(*_k(keys), "label", F.explode("classes").alias("pred")))
@@ -53,9 +54,10 @@ def confusion_normalized(preds: DataFrame, keys: Sequence[str], label: str = "la
     return cm.withColumn("share", F.when(total > 0, F.col("n") / total))
 
 
-def confusion_array(preds: DataFrame, keys: Sequence[str], label: str = "label", pred: str = "pred") -> DataFrame:
+def confusion_array(preds: DataFrame, keys: Sequence[str], label: str = "label", pred: str = "pred",
+                    counts: DataFrame | None = None) -> DataFrame:
     """(keys, confusion_matrix array<array<bigint>>) rows = true class."""
-    cm = confusion_matrix(preds, keys, label, pred)
+    cm = confusion_matrix(preds, keys, label, pred, counts)
     rows = (cm.groupBy(*_k(keys), "label")
             .agg(F.array_sort(F.collect_list(F.struct("pred", "n"))).alias("cells"))
             .select(*_k(keys), "label", F.transform("cells", lambda c: c["n"]).alias("row")))
@@ -64,9 +66,10 @@ def confusion_array(preds: DataFrame, keys: Sequence[str], label: str = "label",
             .select(*_k(keys), F.transform("rows", lambda r: r["row"]).alias("confusion_matrix")))
 
 
-def class_stats(preds: DataFrame, keys: Sequence[str], label: str = "label", pred: str = "pred") -> DataFrame:
+def class_stats(preds: DataFrame, keys: Sequence[str], label: str = "label", pred: str = "pred",
+                counts: DataFrame | None = None) -> DataFrame:
     """(keys, cls, tp, support, predicted) over the label union."""
-    counts = confusion_counts(preds, keys, label, pred)
+    counts = counts if counts is not None else confusion_counts(preds, keys, label, pred)
     roles = F.array(
         F.struct(F.col("label").alias("cls"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"),
                  F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(F.lit(0)).cast("long").alias("tp")),
@@ -84,9 +87,9 @@ def _ratio(num, den, zero_division: float):
 
 
 def per_class_report(preds: DataFrame, keys: Sequence[str], zero_division: float = 0.0,
-                     label: str = "label", pred: str = "pred") -> DataFrame:
+                     label: str = "label", pred: str = "pred", counts: DataFrame | None = None) -> DataFrame:
     """precision, recall, F1, support per class; ``zero_division`` for 0/0."""
-    s = class_stats(preds, keys, label, pred)
+    s = class_stats(preds, keys, label, pred, counts)
     return s.select(
         *_k(keys), "cls",
         _ratio(F.col("tp"), F.col("predicted"), zero_division).alias("precision"),
@@ -124,9 +127,10 @@ def classification_report(preds: DataFrame, keys: Sequence[str], zero_division:
     return per.unionByName(acc).unionByName(mac).unionByName(wei)
 
 
-def summary_metrics(preds: DataFrame, keys: Sequence[str], zero_division: float = 0.0) -> DataFrame:
+def summary_metrics(preds: DataFrame, keys: Sequence[str], zero_division: float = 0.0,
+                    counts: DataFrame | None = None) -> DataFrame:
     """accuracy, macro P/R/F1, micro P/R/F1 and MCC per group."""
-    s = class_stats(preds, keys)
+    s = class_stats(preds, keys, counts=counts)
     rep = s.select(
         *_k(keys), "tp", "support", "predicted",
         _ratio(F.col("tp"), F.col("predicted"), zero_division).alias("precision"),
@@ -294,11 +298,16 @@ def calibration_bins(preds: DataFrame, keys: Sequence[str], probs: str = "probs"
                     F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 
 
-def ece(preds: DataFrame, keys: Sequence[str], probs: str = "probs", label: str = "label", n_bins: int = 10) -> DataFrame:
+def ece(preds: DataFrame, keys: Sequence[str], probs: str = "probs", label: str = "label", n_bins: int = 10,
+        cells: DataFrame | None = None) -> DataFrame:
     """sum_b (n_b / n) * |conf_b - acc_b|; n counts every row (also those in no bin)."""
-    rows = _calibration_rows(preds, keys, probs, label, n_bins)
-    per = rows.groupBy(*_k(keys), "bin").agg(
-        F.count(F.lit(1)).alias("nb"), F.sum("conf").alias("sc"), F.sum("hit").alias("sh"))
+    if cells is None:
+        rows = _calibration_rows(preds, keys, probs, label, n_bins)
+        per = rows.groupBy(*_k(keys), "bin").agg(
+            F.count(F.lit(1)).alias("nb"), F.sum("conf").alias("sc"), F.sum("hit").alias("sh"))
+    else:
+        per = cells.groupBy(*_k(keys), "bin").agg(
+            F.sum("n").alias("nb"), F.sum("sc").alias("sc"), F.sum(F.col("n") * F.col("hit")).alias("sh"))
     w = Window.partitionBy(*_k(keys))
     per = per.withColumn("n", F.sum("nb").over(w))
     term = F.when(F.col("bin").isNotNull(),
@@ -324,13 +333,34 @@ def weighted_cross_entropy(df: DataFrame, keys: Sequence[str], weights: DataFram
 
 # ---------------------------------------------------------------- one record per run
 
+def metric_cells(preds: DataFrame, keys: Sequence[str], probs: str = "probs", label: str = "label",
+                 pred: str = "pred", n_bins: int = 10) -> DataFrame:
+    """One pass over the rows: (keys, label, pred, bin, hit) -> n, sum of
+    confidence. Every confusion- and calibration-based metric derives from this
+    small table (at most classes^2 x (bins + 1) x 2 rows per group)."""
+    rows = preds.select(*_k(keys), F.col(label).alias("label"), F.col(pred).alias("pred"),
+                        max_confidence(probs).alias("conf"),
+                        (argmax_label(probs) == F.col(label)).cast("int").alias("hit"))
+    return (rows.withColumn("bin", bin_index("conf", n_bins))
+            .groupBy(*_k(keys), "label", "pred", "bin", "hit")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("conf").alias("sc")))
+
+
+def counts_from_cells(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return cells.groupBy(*_k(keys), "label", "pred").agg(F.sum("n").alias("n"))
+
+
 def evaluate_runs(preds: DataFrame, keys: Sequence[str], label_names: Sequence[str] | None = None,
                   zero_division: float = 0.0, n_bins: int = 10) -> DataFrame:
     """The full metric record per group: macro_f1, accuracy, macro_avg_precision,
     roc_auc (binary when two probability entries, else one-vs-rest macro), ece,
     per-class maps (keyed by class name) and the confusion matrix."""
     keys = _k(keys)
-    rep = per_class_report(preds, keys, zero_division)
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(preds.sparkSession)
+    cells = metric_cells(preds, keys, n_bins=n_bins).checkpoint(eager=True)  # small, read by 3 branches
+    counts = counts_from_cells(cells, keys)
+    rep = per_class_report(preds, keys, zero_division, counts=counts)
     rk = ranking_metrics(preds, keys)
 
     def name(c):
@@ -354,5 +384,6 @@ def evaluate_runs(preds: DataFrame, keys: Sequence[str], label_names: Sequence[s
          .otherwise(F.when(F.count("auc") == F.count(F.lit(1)), F.avg("auc"))).alias("roc_auc"),
     )
     return (cls_maps.join(ap_maps, keys, "left")
-            .join(ece(preds, keys, n_bins=n_bins).withColumnRenamed("ece", "expected_calibration_error"), keys, "left")
-            .join(confusion_array(preds, keys), keys, "left"))
+            .join(ece(preds, keys, n_bins=n_bins, cells=cells).withColumnRenamed("ece", "expected_calibration_error"),
+                  keys, "left")
+            .join(confusion_array(preds, keys, counts=counts), keys, "left"))

@@ -41,6 +41,8 @@ def round_doubles(df: DataFrame) -> DataFrame:
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Cleaned, deduplicated corpus -> deterministic scorers on the cleaned
     length -> confusion-based quality and calibration per (dataset, experiment)."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
     corpus = X.labelled_corpus(spark, sf)
     deduped = C.dedup_keep_first(corpus)
     cleaned = deduped.withColumn("text", T.clean_text("text")).withColumn("n_chars", F.length("text").cast("long"))
@@ -50,9 +52,11 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
              .select("dataset", F.col("r.experiment").alias("experiment"), "row_id", "label",
                      F.array(F.lit(1.0) - F.col("r.p"), F.col("r.p")).alias("probs"))
              .withColumn("pred", F.when(F.col("probs")[1] > F.col("probs")[0], 1).otherwise(0)))
-    summ = M.summary_metrics(preds, KEYS).select(*KEYS, "accuracy", "macro_f1")
-    cal = M.ece(preds, KEYS)
-    n = preds.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+    # one pass over the rows into the small cells table, everything else from it
+    cells = M.metric_cells(preds, KEYS).checkpoint(eager=True)
+    summ = M.summary_metrics(preds, KEYS, counts=M.counts_from_cells(cells, KEYS)).select(*KEYS, "accuracy", "macro_f1")
+    cal = M.ece(preds, KEYS, cells=cells)
+    n = cells.groupBy(*KEYS).agg(F.sum("n").alias("n"))
     return round_doubles(summ.join(cal, KEYS).join(n, KEYS))
 
 

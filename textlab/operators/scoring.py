@@ -63,7 +63,7 @@ def length_scorer_factory():
 
 # ---------------------------------------------------------------- training
 
-def featurize_stages(text_col: str = "text", num_features: int = 1 << 18):
+def featurize_stages(text_col: str = "text", num_features: int = 1 << 16):
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=r"[\p{L}\p{N}_]+", gaps=False,
                          toLowercase=True)
@@ -80,7 +80,7 @@ def with_class_weights(train: DataFrame, label_col: str = "label") -> DataFrame:
 
 
 def train_weighted_classifier(train: DataFrame, text_col: str = "text", label_col: str = "label",
-                              reg_param: float = 0.0, max_iter: int = 50, num_features: int = 1 << 18):
+                              reg_param: float = 0.0, max_iter: int = 20, num_features: int = 1 << 16):
     """Class-weighted TF-IDF + logistic regression pipeline (weighted cross-entropy)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
@@ -100,19 +100,35 @@ def predict(model, df: DataFrame, keep: Sequence[str] = ("row_id", "label")) ->
 
 
 def select_model(train: DataFrame, validation: DataFrame, reg_params: Sequence[float] = (0.0, 0.01, 0.1),
-                 text_col: str = "text", label_col: str = "label"):
+                 text_col: str = "text", label_col: str = "label", max_iter: int = 20,
+                 num_features: int = 1 << 16):
     """Fit one model per configuration, score macro-F1 on validation, keep the
-    best (first on ties). Returns (best model, table of configs and scores)."""
+    best (first on ties). The TF-IDF features are fitted and written once (shared
+    checkpoint folder); only the classifier is refitted per configuration.
+    Returns (best pipeline model, table of configs and scores)."""
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+
+    from ..session import ensure_checkpoint_dir
     from .metrics import summary_metrics
     spark = train.sparkSession
+    ensure_checkpoint_dir(spark)
+    feats = Pipeline(stages=featurize_stages(text_col, num_features)).fit(train)
+    tr = with_class_weights(train.withColumn(label_col, F.col(label_col).cast("double")), label_col)
+    tr = feats.transform(tr).select(label_col, "weight", "features").checkpoint(eager=True)
+    va = feats.transform(validation).select(F.col(label_col).cast("int").alias("label"), "features") \
+        .checkpoint(eager=True)
     rows, best = [], None
     for i, rp in enumerate(reg_params):
-        m = train_weighted_classifier(train, text_col, label_col, reg_param=rp)
-        p = predict(m, validation, keep=[label_col]).withColumn("config", F.lit(i))
-        f1 = summary_metrics(p.withColumnRenamed(label_col, "label"), ["config"]).first()["macro_f1"]
+        lr = LogisticRegression(featuresCol="features", labelCol=label_col, weightCol="weight",
+                                regParam=rp, maxIter=max_iter, family="multinomial").fit(tr)
+        p = lr.transform(va).select("label", F.col("prediction").cast("int").alias("pred"),
+                                    vector_to_array("probability").alias("probs")).withColumn("config", F.lit(i))
+        f1 = summary_metrics(p, ["config"]).first()["macro_f1"]
         rows.append((i, float(rp), float(f1)))
         if best is None or f1 > best[1]:
-            best = (m, f1, i)
+            best = (PipelineModel(stages=list(feats.stages) + [lr]), f1, i)
     table = spark.createDataFrame(pd.DataFrame(rows, columns=["config", "reg_param", "val_macro_f1"]))
     table = table.withColumn("selected", F.col("config") == F.lit(best[2]))
     return best[0], table

@@ -141,7 +141,7 @@ def column_profile(df: DataFrame, col: str) -> DataFrame:
 
 def token_length_stats(df: DataFrame, text_col: str = "text", by: Sequence[str] = ()) -> DataFrame:
     """max / min / mean whitespace-token count per text, optionally per split."""
-    t = df.select(*by, token_count(text_col).alias("tokens"))
+    t = df.select(*by, token_count(text_col).cast("long").alias("tokens"))
     return t.groupBy(*by).agg(F.max("tokens").alias("max_tokens"), F.min("tokens").alias("min_tokens"),
                               F.avg("tokens").alias("mean_tokens"), F.count(F.lit(1)).alias("texts"))
 
@@ -202,7 +202,7 @@ def few_shot_sample(df: DataFrame, n: int, seed: int = 42, label_col: str = "lab
     h, _ = hash_order_key(seed)
     src = df if classes is None else df.where(F.col(label_col).isin(list(classes)))
     w = Window.partitionBy(label_col).orderBy(h, F.col("row_id"))
-    return src.withColumn("shot", F.row_number().over(w)).where(F.col("shot") <= n)
+    return src.withColumn("shot", F.row_number().over(w).cast("long")).where(F.col("shot") <= n)
 
 
 def _ceil_count(n: int, ratio: float) -> int:

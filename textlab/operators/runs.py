@@ -50,7 +50,7 @@ def rank_experiments(results: DataFrame, partition: Sequence[str] = ("dataset",)
     """Rank column by ``metric`` (desc by default), experiment name breaks ties."""
     order = F.col(metric).asc_nulls_last() if ascending else F.col(metric).desc_nulls_last()
     w = Window.partitionBy(*partition).orderBy(order, F.col("experiment"))
-    return results.withColumn("rank", F.row_number().over(w))
+    return results.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
 def metric_columns(results: DataFrame) -> list[str]:

@@ -829,3 +829,21 @@ def q_stream_clean_text(spark, sf):
     q = start_text_job(src, {"out": T.clean_text(F.col("text"))}, [F.col("doc_id").alias("row_id")], sink, ckpt)
     run_to_completion(q, 600)
     return spark.read.parquet(sink)
+
+
+# ---------------------------------------------------------------- workflow entry points
+
+@register("load_data")
+def q_load_data(spark, sf):
+    from ..api import load_data
+    p = _write_splits(spark, sf, ".csv")
+    corpus, _ = load_data(spark, p["train"], p["validation"], p["test"], schema=SR.CORPUS_SCHEMA)
+    return corpus
+
+
+@register("load_synthetic")
+def q_load_synthetic(spark, sf):
+    from ..api import load_synthetic
+    conv = X.table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text", "role")
+    return load_synthetic(conv, "text", "role", "assistant").select("row_id", "text", "label", "split")

@@ -960,3 +960,18 @@ SELECT row_id, array_to_string(list_concat(list_transform(range(16 - least(len(i
                                            ids[len(ids) - least(len(ids), 16) + 1:]), ' ') AS labels FROM p""")
 
 register("stream_clean_text", f"SELECT doc_id AS row_id, {sql_clean('text')} AS out FROM documents")
+
+
+# ---------------------------------------------------------------- workflow entry points
+
+register("load_data", f"""WITH {CORPUS},
+{DEDUP}
+SELECT split, row_id, {sql_clean('text')} AS text, label FROM dedup""")
+
+register("load_synthetic", f"""WITH src AS (
+  SELECT conv_id * 1000 + turn AS row_id, text,
+         CASE WHEN role IS NOT DISTINCT FROM 'assistant' THEN 1 ELSE 0 END AS label FROM conversations),
+corpus AS (SELECT row_id, {sql_simple('CAST(text AS VARCHAR)')} AS text, CAST(label AS INTEGER) AS label
+           FROM src WHERE text IS NOT NULL),
+{SPLIT3}
+SELECT c.row_id, c.text, c.label, sp.split FROM corpus c JOIN sp USING (row_id)""")

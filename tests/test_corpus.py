@@ -60,3 +60,14 @@ def test_batches(spark):
     df = spark.range(0, 50).withColumnRenamed("id", "row_id")
     b = C.batch_assignment(df, 16)
     assert sorted(r["count"] for r in b.groupBy("batch").count().collect()) == [2, 16, 16, 16]
+
+
+def test_exact_quantiles_match_percentile(spark):
+    import random
+    from textlab.operators.rank import exact_quantiles
+    rnd = random.Random(3)
+    rows = [(float(rnd.randint(0, 50)),) for _ in range(997)] + [(None,)] * 3
+    df = spark.createDataFrame(rows, "v double")
+    got = exact_quantiles(df, "v", [0.0, 0.1, 0.25, 0.5, 0.9, 1.0], n_buckets=7)
+    want = df.agg(*[F.percentile("v", p) for p in [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]]).first()
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, want))

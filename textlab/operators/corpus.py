@@ -128,14 +128,19 @@ def duplicate_count(df: DataFrame, cols: Sequence[str] = ("text",)) -> DataFrame
 
 
 def column_profile(df: DataFrame, col: str) -> DataFrame:
-    """count, nulls, mean, sample stddev, min, exact quartiles and max of a numeric column."""
+    """count, nulls, mean, sample stddev, min, exact quartiles and max of a numeric column.
+
+    The quartiles come from an exact distributed rank (``exact_quantiles``), not
+    from an aggregate that buffers every distinct value of the column."""
+    from .rank import exact_quantiles
     c = F.col(col).cast("double")
+    q = exact_quantiles(df, col, [0.25, 0.5, 0.75])
     return df.agg(
         F.count(c).alias("count"),
         F.sum(F.when(c.isNull(), 1).otherwise(0)).cast("long").alias("nulls"),
         F.avg(c).alias("mean"), F.stddev_samp(c).alias("stddev"), F.min(c).alias("min"),
-        F.percentile(c, 0.25).alias("p25"), F.percentile(c, 0.5).alias("p50"),
-        F.percentile(c, 0.75).alias("p75"), F.max(c).alias("max"),
+        F.lit(q[0]).cast("double").alias("p25"), F.lit(q[1]).cast("double").alias("p50"),
+        F.lit(q[2]).cast("double").alias("p75"), F.max(c).alias("max"),
     )
 
 

@@ -136,3 +136,36 @@ def hash_order_key(seed: int, row_id_col: str = "row_id"):
     h = F.md5(F.concat(F.lit(f"{seed}-"), F.col(row_id_col).cast("string")))
     prefix = F.conv(F.substring(h, 1, 12), 16, 10).cast("long")
     return h, prefix
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], n_buckets: int | None = None) -> list:
+    """Exact linear-interpolation quantiles (position p * (n - 1), as the SQL
+    ``percentile`` / ``quantile_cont``) without holding the column in one buffer.
+
+    Values are first combined into (value, count) — a value holding a third of
+    all rows is one partial row per task — then a range-bucketed running sum
+    over the distinct values gives each value's rank interval; only the rows
+    covering the needed ranks (at most two per probability) reach the driver."""
+    vals = df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    counts = vals.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    cum = running_sums(counts, [], "_v", ["_n"], descending=False, n_buckets=n_buckets)
+    n = cum.agg(F.max("cum__n")).first()[0]
+    if not n:
+        return [None for _ in probs]
+    pos = [p * (n - 1) for p in probs]
+    need = sorted({int(x // 1) for x in pos} | {int(-(-x // 1)) for x in pos})
+    cond = None
+    for r in need:  # 0-based rank r lies in [cum - n, cum)
+        c = (F.col("cum__n") - F.col("_n") <= r) & (F.col("cum__n") > r)
+        cond = c if cond is None else cond | c
+    rows = cum.where(cond).select("_v", "_n", "cum__n").collect()
+    at = {}
+    for r in need:
+        for row in rows:
+            if row["cum__n"] - row["_n"] <= r < row["cum__n"]:
+                at[r] = row["_v"]
+    out = []
+    for x in pos:
+        lo, hi = int(x // 1), int(-(-x // 1))
+        out.append(at[lo] if lo == hi else (hi - x) * at[lo] + (x - lo) * at[hi])
+    return out

@@ -32,12 +32,12 @@ def tokens(col) -> "F.Column":
 
 def vocabulary(df: DataFrame, text_col: str = "text", min_count: int = 1, max_size: int | None = None) -> DataFrame:
     """(token, id, count). Counting is a partial aggregation; the id order is an
-    exact global rank cut into ranges by (count, first token bytes), so ties on
+    exact global rank cut into ranges by (count, first 4 token bytes), so ties on
     a common count never land in one task."""
     counts = (df.select(F.explode(tokens(text_col)).alias("token")).groupBy("token")
               .agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= min_count))
-    prefix = F.conv(F.rpad(F.hex(F.substring(F.encode("token", "UTF-8"), 1, 3)), 6, "0"), 16, 10).cast("double")
-    keyed = counts.withColumn("_bk", -F.col("count").cast("double") * 16777216.0 + prefix)
+    prefix = F.conv(F.rpad(F.hex(F.substring(F.encode("token", "UTF-8"), 1, 4)), 8, "0"), 16, 10).cast("double")
+    keyed = counts.withColumn("_bk", -F.col("count").cast("double") * 4294967296.0 + prefix)
     ranked = global_row_number(keyed, "_bk", [F.col("count").desc(), F.col("token").asc()], out="_rn")
     vocab = ranked.select("token", (F.col("_rn") - 1 + len(SPECIALS)).alias("id"), "count")
     if max_size is not None:

@@ -42,7 +42,11 @@ def vocabulary(df: DataFrame, text_col: str = "text", min_count: int = 1, max_si
     vocab = ranked.select("token", (F.col("_rn") - 1 + len(SPECIALS)).alias("id"), "count")
     if max_size is not None:
         vocab = vocab.where(F.col("id") < max_size)
-    return vocab
+    # an artifact read by every encoding pass: written once to the shared
+    # checkpoint folder instead of re-ranked per use
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return vocab.checkpoint(eager=True)
 
 
 def _lookup(toks: DataFrame, vocab: DataFrame) -> DataFrame:

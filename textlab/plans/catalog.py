@@ -781,7 +781,7 @@ def _vocab(spark, sf):
 @register("encode_tokens")
 def q_encode_tokens(spark, sf):
     test = X.labelled_corpus(spark, sf).where(F.col("split") == "test").select("row_id", "text")
-    v = _vocab(spark, sf)
+    v = _vocab(spark, sf)  # written once, read by both encodings
     r = TK.encode_tokens(test, v, max_length=16, padding="right")
     l = TK.encode_tokens(test, v, max_length=16, padding="left").select("row_id", F.col("input_ids").alias("left_ids"))
     out = r.join(l, "row_id")

@@ -43,8 +43,11 @@ def spread(df: DataFrame) -> DataFrame:
     """A scan with fewer splits than cores (one large row group) is spread
     round-robin before CPU-heavy text work; at cluster scale the scan already
     has far more splits than cores and this is a no-op."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # no JVM context (e.g. a remote session): leave the scan as is
+        return df
     return df.repartition(cores) if n < cores else df
 
 

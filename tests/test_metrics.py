@@ -12,12 +12,12 @@ from textlab.operators import rank as RK
 # Derived confusion matrices (rows = true class) and the published
 # macro-F1 / accuracy / F1(0) / F1(1) of the same runs.
 GOLDEN = [
-    ("hatebr", "llm_lora_cabrita", 786, 60, 63, 841, 0.9296, 0.9297, 0.9274, 0.9319),
-    ("hatebr", "slm_finetuning_xlmr", 761, 85, 98, 806, 0.8954, 0.8954, 0.8927, 0.8981),
-    ("hatebr", "llm_fewshot_cabrita", 96, 750, 31, 873, 0.4441, 0.5537, 0.1973, 0.6909),
-    ("olidbr", "llm_lora_llama", 120, 134, 117, 1367, 0.7024, 0.8556, 0.4888, 0.9159),
-    ("olidbr", "llm_prompt_llama", 9, 245, 46, 1438, 0.4832, 0.8326, 0.0583, 0.9081),
-    ("cross_dataset", "llm_prompt_cabrita", 92, 162, 231, 1253, 0.5917, 0.7739, 0.3189, 0.8644),
+    ("set_a", "run_1", 786, 60, 63, 841, 0.9296, 0.9297, 0.9274, 0.9319),
+    ("set_a", "run_4", 761, 85, 98, 806, 0.8954, 0.8954, 0.8927, 0.8981),
+    ("set_a", "run_8", 96, 750, 31, 873, 0.4441, 0.5537, 0.1973, 0.6909),
+    ("set_b", "run_1", 120, 134, 117, 1367, 0.7024, 0.8556, 0.4888, 0.9159),
+    ("set_b", "run_8", 9, 245, 46, 1438, 0.4832, 0.8326, 0.0583, 0.9081),
+    ("set_c", "run_5", 92, 162, 231, 1253, 0.5917, 0.7739, 0.3189, 0.8644),
 ]
 
 

@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from .text import verbalize_label
 
-# Placeholders and the few-shot example layout.
+# Placeholders and the few-shot example layout
+# (number, text, label id, label name).
 TEXT_SLOT = "{text}"
 EXAMPLES_SLOT = "{examples}"
-EXAMPLE_HEAD = "\nExemplo "
-EXAMPLE_TEXT = ":\nTexto: "
-EXAMPLE_CLASS = "\nClasse: "
+EXAMPLE_TEMPLATE = "\nExemplo %d:\nTexto: %s\nClasse: %s (%s)\n"
 
 # The instruction template of the prompt-tuning baseline.
 INSTRUCTION_TEMPLATE = ("[INST] Determine if the following text contains hate speech. "
@@ -47,8 +46,7 @@ def examples_block(examples: DataFrame, names: Sequence[str] | None = None,
                            F.col("label").cast("string").alias("lab"), name.alias("lname"))
     agg = rows.agg(F.sort_array(F.collect_list(F.struct(*order, "text", "lab", "lname"))).alias("ex"))
     numbered = F.transform(
-        "ex", lambda e, i: F.concat(F.lit(EXAMPLE_HEAD), (i + 1).cast("string"), F.lit(EXAMPLE_TEXT), e["text"],
-                                    F.lit(EXAMPLE_CLASS), e["lab"], F.lit(" ("), e["lname"], F.lit(")\n")))
+        "ex", lambda e, i: F.format_string(EXAMPLE_TEMPLATE, i + 1, e["text"], e["lab"], e["lname"]))
     return agg.select(F.array_join(numbered, "").alias("examples"))
 
 

@@ -224,6 +224,7 @@ register("corpus_unigrams", r"""
 WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM documents)
 SELECT word, count(*) AS count FROM w GROUP BY word HAVING count(*) >= 2""")
 
+from ..functions.prompts import EXAMPLE_TEMPLATE  # noqa: E402
 from .catalog import FEW_TEMPLATE, NAMES, ZERO_TEMPLATE  # noqa: E402
 
 
@@ -246,8 +247,7 @@ FEW_SHOTS = f"""shots AS (
     SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat('42-', CAST(row_id AS VARCHAR))), row_id) AS shot
     FROM corpus WHERE split = 'train') WHERE shot <= 2),
 ex AS (
-  SELECT string_agg(concat('\nExemplo ', CAST(i AS VARCHAR), ':\nTexto: ', coalesce(text, ''), '\nClasse: ',
-                           CAST(label AS VARCHAR), ' (', {names_case('label', NAMES)}, ')\n'), '' ORDER BY i) AS examples
+  SELECT string_agg(printf({q(EXAMPLE_TEMPLATE)}, i, coalesce(text, ''), CAST(label AS VARCHAR), {names_case('label', NAMES)}), '' ORDER BY i) AS examples
   FROM (SELECT *, row_number() OVER (ORDER BY label, shot) AS i FROM shots))"""
 
 register("format_prompt_few", f"""

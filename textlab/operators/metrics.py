@@ -387,3 +387,12 @@ def evaluate_runs(preds: DataFrame, keys: Sequence[str], label_names: Sequence[s
             .join(ece(preds, keys, n_bins=n_bins, cells=cells).withColumnRenamed("ece", "expected_calibration_error"),
                   keys, "left")
             .join(confusion_array(preds, keys, counts=counts), keys, "left"))
+
+
+def cross_dataset_eval(preds: DataFrame, train_col: str = "train_dataset", test_col: str = "test_dataset",
+                       extra_keys: Sequence[str] = (), full: bool = False) -> DataFrame:
+    """Metrics of models trained on one corpus and tested on another: the
+    (train, test) pair is just more grouping keys; ``full`` gives the complete
+    metric record, otherwise the confusion-based summary."""
+    keys = [train_col, test_col, *extra_keys]
+    return evaluate_runs(preds, keys) if full else summary_metrics(preds, keys)

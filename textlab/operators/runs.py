@@ -112,11 +112,12 @@ def minmax_scaled_metrics(results: DataFrame, partition: Sequence[str] = ("datas
 
 
 def melt_class_f1(results: DataFrame, partition: Sequence[str] = ("dataset",)) -> DataFrame:
-    """wide ``f1_*`` -> (experiment, class, f1); class name cleaned and title-cased."""
+    """wide ``f1_*`` -> (experiment, class, f1); every ``f1_`` removed from the
+    name, ``_`` to space, title-cased."""
     f1_cols = [c for c in results.columns if c.startswith("f1_")]
     lm = results.select(*partition, "experiment", *[F.col(c).cast("double") for c in f1_cols]) \
         .unpivot([*partition, "experiment"], f1_cols, "class", "f1")
-    name = F.initcap(F.replace(F.regexp_replace(F.col("class"), "^f1_", ""), F.lit("_"), F.lit(" ")))
+    name = F.initcap(F.replace(F.replace(F.col("class"), F.lit("f1_"), F.lit("")), F.lit("_"), F.lit(" ")))
     return lm.withColumn("class", name)
 
 

@@ -8,8 +8,6 @@ up exactly where it stopped (file source + file sink = exactly once).
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -40,7 +38,3 @@ def run_to_completion(query: StreamingQuery, timeout_s: float | None = None) ->
     if query.exception():
         raise query.exception()
 
-
-def apply_columns(fn: Callable[[Column], Column], col: str) -> Callable[[], Column]:
-    from pyspark.sql import functions as F
-    return lambda: fn(F.col(col))

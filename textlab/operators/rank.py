@@ -23,9 +23,15 @@ def default_buckets(df: DataFrame) -> int:
     return max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16)
 
 
-def range_buckets(df: DataFrame, key: str, n_buckets: int | None = None, rel_err: float = 1e-3) -> DataFrame:
-    """Add ``_range_bucket``: equal-count value ranges of the numeric ``key``."""
+def range_buckets(df: DataFrame, key: str, n_buckets: int | None = None, rel_err: float | None = None) -> DataFrame:
+    """Add ``_range_bucket``: equal-count value ranges of the numeric ``key``.
+
+    The sketch's rank error is tied to the bucket count (a quarter of one
+    bucket's share), so ranges stay balanced however many buckets a large
+    shuffle asks for; the key must be non-null and (nearly) unique — heavy ties
+    are combined into (value, count) rows first."""
     n = n_buckets or default_buckets(df)
+    rel_err = rel_err if rel_err is not None else min(1e-3, 0.25 / n)
     probs = [i / n for i in range(1, n)]
     keyd = F.col(key).cast("double")
     splits = df.select(keyd.alias("_k")).approxQuantile("_k", probs, rel_err)

@@ -120,9 +120,21 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return g.select(*cols, total.cast("long").alias("total_nulls"), (total > 0).alias("has_nulls"))
 
 
+def text_digest(col):
+    """32-byte SHA-256 of a text (null stays null): a compact exact shuffle key."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.unhex(F.sha2(c, 256))
+
+
 def duplicate_count(df: DataFrame, cols: Sequence[str] = ("text",)) -> DataFrame:
-    """Rows beyond the first per value (null equals null); partial aggregation first."""
-    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+    """Rows beyond the first per value (null equals null); partial aggregation
+    first. A single string column is grouped by its digest, not its full text."""
+    cols = list(cols)
+    if len(cols) == 1 and df.schema[cols[0]].dataType.typeName() == "string":
+        keys = [text_digest(cols[0]).alias("_d")]
+    else:
+        keys = cols
+    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return g.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicates"),
                  F.count(F.lit(1)).alias("distinct_values"))
 
@@ -181,7 +193,7 @@ def dedup_keep_first(df: DataFrame, text_col: str = "text", splits: Sequence[str
     A hot text is combined map-side (min per digest), never sent whole to one
     task; survivors are then kept by a semi join on the unique row key.
     """
-    digest = F.sha2(F.col(text_col), 256)
+    digest = text_digest(text_col)
     scope = F.col(split_col).isin(list(splits)) if splits is not None else F.lit(True)
     cand = df.where(scope)
     firsts = (cand.groupBy(split_col, digest.alias("_d"))

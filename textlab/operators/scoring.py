@@ -28,8 +28,16 @@ def _scorer(factory: Callable[[], Callable[[list[str]], np.ndarray]]):
     return _SCORERS[key]
 
 
+def _materialize(df: DataFrame) -> DataFrame:
+    """Model output is the expensive part: write it once to the shared checkpoint
+    folder so every downstream metric reads it instead of re-running the model."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def score_batches(df: DataFrame, scorer_factory: Callable[[], Callable[[list[str]], np.ndarray]],
-                  text_col: str = "text", id_cols: Sequence[str] = ("row_id",)) -> DataFrame:
+                  text_col: str = "text", id_cols: Sequence[str] = ("row_id",), materialize: bool = True) -> DataFrame:
     """Apply ``scorer_factory()`` (text list -> [n, k] logits) to Arrow batches;
     adds ``logits``, ``probs`` (softmax) and ``pred`` (first argmax)."""
     id_cols = list(id_cols)
@@ -46,6 +54,8 @@ def score_batches(df: DataFrame, scorer_factory: Callable[[], Callable[[list[str
             yield out
 
     scored = df.select(*id_cols, text_col).mapInPandas(run, out_schema)
+    if materialize:
+        scored = _materialize(scored)
     return scored.withColumn("probs", softmax("logits")).withColumn("pred", argmax_label("probs"))
 
 
@@ -132,3 +142,56 @@ def select_model(train: DataFrame, validation: DataFrame, reg_params: Sequence[f
     table = spark.createDataFrame(pd.DataFrame(rows, columns=["config", "reg_param", "val_macro_f1"]))
     table = table.withColumn("selected", F.col("config") == F.lit(best[2]))
     return best[0], table
+
+
+# ---------------------------------------------------------------- prompted classification
+
+def generate_batches(df: DataFrame, generator_factory: Callable[[], Callable], prompt_col: str = "prompt",
+                     id_cols: Sequence[str] = ("row_id",), materialize: bool = True) -> DataFrame:
+    """One pass of an injected generator over Arrow batches of prompts:
+    ``generator(list[str]) -> (list[str] answers, [n, V] next-token logits)``.
+    Adds ``generated`` and ``logits``."""
+    id_cols = list(id_cols)
+    in_schema = df.select(*id_cols).schema
+    out_schema = T.StructType(list(in_schema.fields) + [T.StructField("generated", T.StringType()),
+                                                        T.StructField("logits", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        gen = _scorer(generator_factory)
+        for pdf in batches:
+            answers, logits = gen(pdf[prompt_col].fillna("").astype(str).tolist())
+            out = pdf[id_cols].copy()
+            out["generated"] = list(answers)
+            out["logits"] = list(np.asarray(logits, dtype=np.float64))
+            yield out
+
+    out = df.select(*id_cols, prompt_col).mapInPandas(run, out_schema)
+    return _materialize(out) if materialize else out
+
+
+def prompted_predictions(df: DataFrame, generator_factory: Callable[[], Callable], num_classes: int,
+                         label_names: Sequence[str] | None = None, prompt_col: str = "prompt",
+                         id_cols: Sequence[str] = ("row_id",), renormalize: bool = False) -> DataFrame:
+    """Prompted run in a single generation pass: ``pred`` parsed from the answer
+    (``extract_label`` cascade), ``probs`` = softmax over the whole next-token
+    vector, first ``num_classes`` entries (not re-normalised by default)."""
+    from ..functions.answers import extract_label
+    from ..functions.arrays import prob_slice
+    g = generate_batches(df, generator_factory, prompt_col, id_cols)
+    return (g.withColumn("pred", extract_label("generated", num_classes, label_names))
+            .withColumn("probs", prob_slice(softmax("logits"), num_classes, renormalize)))
+
+
+class LengthGenerator:
+    """Deterministic stand-in generator: the answer names ``len(prompt) mod 3``;
+    next-token logits are [len mod 5 / 2, len mod 7 / 3, len mod 11 / 4]."""
+
+    def __call__(self, prompts: list[str]):
+        n = np.fromiter((len(p) for p in prompts), dtype=np.int64, count=len(prompts))
+        answers = [f"Classe: {int(x % 3)}" for x in n]
+        logits = np.stack([(n % 5) / 2.0, (n % 7) / 3.0, (n % 11) / 4.0], axis=1)
+        return answers, logits
+
+
+def length_generator_factory():
+    return LengthGenerator()

@@ -847,3 +847,18 @@ def q_load_synthetic(spark, sf):
     conv = X.table(spark, sf, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text", "role")
     return load_synthetic(conv, "text", "role", "assistant").select("row_id", "text", "label", "split")
+
+
+@register("prompted_classification")
+def q_prompted_classification(spark, sf):
+    """Zero-shot prompts over the test split -> one generation pass -> parsed
+    answers and sliced next-token probabilities -> metrics per dataset."""
+    from ..functions.prompts import format_prompt_zero
+    test = X.labelled_corpus(spark, sf).where(F.col("split") == "test")
+    prompts = test.select("row_id", "dataset", "label", format_prompt_zero(ZERO_TEMPLATE, "text").alias("prompt"))
+    p = S.prompted_predictions(prompts, S.length_generator_factory, 2, id_cols=["row_id", "dataset", "label"])
+    p = p.withColumn("experiment", F.lit("prompted"))
+    cells = M.metric_cells(p, KEYS)
+    summ = M.summary_metrics(p, KEYS, counts=M.counts_from_cells(cells, KEYS)).select(*KEYS, "accuracy", "macro_f1")
+    auc = M.roc_auc_binary(p, KEYS)
+    return round_doubles(summ.join(auc, KEYS, "left").join(M.ece(p, KEYS, cells=cells), KEYS, "left"))

@@ -975,3 +975,21 @@ corpus AS (SELECT row_id, {sql_simple('CAST(text AS VARCHAR)')} AS text, CAST(la
            FROM src WHERE text IS NOT NULL),
 {SPLIT3}
 SELECT c.row_id, c.text, c.label, sp.split FROM corpus c JOIN sp USING (row_id)""")
+
+
+register("prompted_classification", f"""WITH {CORPUS},
+pr AS (SELECT row_id, dataset, label, {sql_zero(ZERO_TEMPLATE, 'text')} AS prompt FROM corpus WHERE split = 'test'),
+g AS (SELECT row_id, dataset, label, concat('Classe: ', CAST(length(prompt) % 3 AS VARCHAR)) AS generated,
+             [(length(prompt) % 5) / 2.0, (length(prompt) % 7) / 3.0, (length(prompt) % 11) / 4.0] AS logits FROM pr),
+e AS (SELECT *, list_transform(logits, lambda x: exp(x - list_max(logits))) AS ex FROM g),
+preds AS (SELECT dataset, 'prompted' AS experiment, row_id, label, {sql_extract('generated', 2)} AS pred,
+                 list_transform(ex, lambda x: x / list_sum(ex))[1:2] AS probs FROM e),
+{class_stats_cte('preds')},
+summ AS (SELECT {K}, sum(tp) / sum(support) AS accuracy, avg({ratio('2 * tp', 'support + predicted')}) AS macro_f1
+         FROM stats GROUP BY ALL),
+{curve_cte('preds', '1')},
+{AUC_CTE},
+{ece_cte('preds', 'list_max(probs)', HIT)}
+SELECT s.dataset, s.experiment, round(s.accuracy, 6) AS accuracy, round(s.macro_f1, 6) AS macro_f1,
+       round(a.auc, 6) AS roc_auc, round(e.ece, 6) AS ece
+FROM summ s LEFT JOIN auc a USING ({K}) LEFT JOIN ece e USING ({K})""")

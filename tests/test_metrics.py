@@ -13,11 +13,29 @@ from textlab.operators import rank as RK
 # macro-F1 / accuracy / F1(0) / F1(1) of the same runs.
 GOLDEN = [
     ("set_a", "run_1", 786, 60, 63, 841, 0.9296, 0.9297, 0.9274, 0.9319),
+    ("set_a", "run_2", 785, 61, 68, 836, 0.9262, 0.9263, 0.9241, 0.9284),
+    ("set_a", "run_3", 773, 73, 79, 825, 0.9131, 0.9131, 0.9105, 0.9156),
     ("set_a", "run_4", 761, 85, 98, 806, 0.8954, 0.8954, 0.8927, 0.8981),
+    ("set_a", "run_5", 552, 294, 127, 777, 0.7554, 0.7594, 0.7239, 0.7868),
+    ("set_a", "run_6", 537, 309, 207, 697, 0.7027, 0.7051, 0.6755, 0.7298),
+    ("set_a", "run_7", 407, 439, 158, 746, 0.6456, 0.6589, 0.5769, 0.7142),
     ("set_a", "run_8", 96, 750, 31, 873, 0.4441, 0.5537, 0.1973, 0.6909),
     ("set_b", "run_1", 120, 134, 117, 1367, 0.7024, 0.8556, 0.4888, 0.9159),
+    ("set_b", "run_2", 135, 119, 160, 1324, 0.6982, 0.8395, 0.4918, 0.9047),
+    ("set_b", "run_3", 117, 137, 129, 1355, 0.6893, 0.847, 0.468, 0.9106),
+    ("set_b", "run_4", 95, 159, 311, 1173, 0.5605, 0.7296, 0.2879, 0.8331),
+    ("set_b", "run_5", 35, 219, 111, 1373, 0.5339, 0.8101, 0.175, 0.8927),
+    ("set_b", "run_6", 18, 236, 72, 1412, 0.5032, 0.8228, 0.1047, 0.9017),
+    ("set_b", "run_7", 19, 235, 85, 1399, 0.5018, 0.8159, 0.1061, 0.8974),
     ("set_b", "run_8", 9, 245, 46, 1438, 0.4832, 0.8326, 0.0583, 0.9081),
+    ("set_c", "run_1", 103, 151, 177, 1307, 0.6371, 0.8113, 0.3858, 0.8885),
+    ("set_c", "run_2", 102, 152, 187, 1297, 0.6301, 0.8049, 0.3757, 0.8844),
+    ("set_c", "run_3", 92, 162, 168, 1316, 0.6233, 0.8101, 0.358, 0.8886),
+    ("set_c", "run_4", 93, 161, 209, 1275, 0.6039, 0.7871, 0.3345, 0.8733),
     ("set_c", "run_5", 92, 162, 231, 1253, 0.5917, 0.7739, 0.3189, 0.8644),
+    ("set_c", "run_6", 95, 159, 311, 1173, 0.5605, 0.7296, 0.2879, 0.8331),
+    ("set_c", "run_7", 64, 190, 214, 1270, 0.5517, 0.7675, 0.2406, 0.8628),
+    ("set_c", "run_8", 19, 235, 85, 1399, 0.5018, 0.8159, 0.1061, 0.8974),
 ]
 
 

@@ -29,10 +29,16 @@ def prepare_corpus(df: DataFrame, text_col: str = "text", label_col: str = "labe
 
 
 def load_data(spark: SparkSession, train_path: str, val_path: str, test_path: str,
-              text_column: str = "text", label_column: str = "label", schema=None):
-    """Returns (corpus, class_weights of the train split)."""
+              text_column: str = "text", label_column: str = "label", schema=None, materialize: bool = False):
+    """Returns (corpus, class_weights of the train split). ``materialize`` writes
+    the cleaned corpus once to the shared checkpoint folder, so every training
+    or scoring run reads it instead of re-reading and re-cleaning the files."""
     raw = SR.read_corpus_csv(spark, train_path, val_path, test_path, text_column, label_column, schema)
     corpus = prepare_corpus(raw)
+    if materialize:
+        from .session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
+        corpus = corpus.checkpoint(eager=True)
     weights = C.class_weights(corpus.where(F.col("split") == "train"), "label", "balanced")
     return corpus, weights
 

@@ -119,3 +119,13 @@ def test_exact_rank_helpers_match_plain_windows(spark, n_buckets):
     ref2 = df.withColumn("m", F.max("x").over(w2))
     assert sorted(map(tuple, mx.select("id", "runmax_x").collect()), key=repr) == \
         sorted(map(tuple, ref2.select("id", "m").collect()), key=repr)
+
+
+def test_hot_group_is_spread_over_ranges(spark):
+    """A group holding most rows is cut into balanced (group, range) windows."""
+    df = spark.range(0, 20000).select(
+        F.when(F.col("id") % 10 < 9, F.lit("hot")).otherwise(F.lit("cold")).alias("g"),
+        F.xxhash64("id").alias("k"), F.col("id"))
+    b = RK.range_buckets(df, "k", n_buckets=32)
+    sizes = [r["count"] for r in b.where("g = 'hot'").groupBy(RK.BUCKET).count().collect()]
+    assert len(sizes) == 32 and max(sizes) <= 2 * 18000 / 32

@@ -129,17 +129,16 @@ def _few_shot_examples(spark, sf, n=2):
 def q_format_prompt_few(spark, sf):
     from ..functions.prompts import examples_block, format_prompt_few
     ex = examples_block(_few_shot_examples(spark, sf), NAMES)
-    test = X.labelled_corpus(spark, sf).where(F.col("split") == "test")
+    rows = X.labelled_corpus(spark, sf)
     # attach_examples: the one-row block enters every row as a scalar subquery
-    return test.select("row_id", format_prompt_few(FEW_TEMPLATE, "text", ex.scalar()).alias("prompt"))
+    return rows.select("row_id", format_prompt_few(FEW_TEMPLATE, "text", ex.scalar()).alias("prompt"))
 
 
 @register("attach_examples")
 def q_attach_examples(spark, sf):
     from ..functions.prompts import attach_examples, examples_block
     ex = examples_block(_few_shot_examples(spark, sf), NAMES)
-    test = X.labelled_corpus(spark, sf).where(F.col("split") == "test")
-    j = attach_examples(test, ex)
+    j = attach_examples(X.labelled_corpus(spark, sf), ex)
     return j.select("row_id", F.length("examples").cast("long").alias("examples_chars"),
                     F.md5("examples").alias("examples_md5"))
 
@@ -666,16 +665,16 @@ def q_write_split_csv(spark, sf):
 
 @register("read_delimited")
 def q_read_delimited(spark, sf):
-    p = _write_splits(spark, sf, ".tsv")
-    return SR.read_delimited(spark, p["test"], SR.CORPUS_SCHEMA)
+    path = os.path.join(scratch_path(spark, "tsv"), "corpus.tsv")
+    SW.write_split_csv(X.labelled_corpus(spark, sf).select("row_id", "text", "label"), path, sep="\t")
+    return SR.read_delimited(spark, path, SR.CORPUS_SCHEMA)
 
 
 @register("read_json_corpus")
 def q_read_json_corpus(spark, sf):
     base = scratch_path(spark, "json-corpus")
-    X.labelled_corpus(spark, sf).where(F.col("split") == "test").select("row_id", "text", "label") \
-        .write.mode("overwrite").json(base)
-    return SR.read_json_corpus(spark, base, type_split=3).select("split", "row_id", "text", "label")
+    X.labelled_corpus(spark, sf).select("row_id", "text", "label").write.mode("overwrite").json(base)
+    return SR.read_json_corpus(spark, base, type_split=1).select("split", "row_id", "text", "label")
 
 
 @register("read_named_split")
@@ -780,7 +779,7 @@ def _vocab(spark, sf):
 
 @register("encode_tokens")
 def q_encode_tokens(spark, sf):
-    test = X.labelled_corpus(spark, sf).where(F.col("split") == "test").select("row_id", "text")
+    test = X.labelled_corpus(spark, sf).select("row_id", "text")  # vocabulary from train, every row encoded
     v = _vocab(spark, sf)  # written once, read by both encodings
     r = TK.encode_tokens(test, v, max_length=16, padding="right")
     l = TK.encode_tokens(test, v, max_length=16, padding="left").select("row_id", F.col("input_ids").alias("left_ids"))
@@ -798,7 +797,7 @@ def q_corpus_vocabulary(spark, sf):
 @register("align_target_labels")
 def q_align_target_labels(spark, sf):
     from ..functions.prompts import build_instruction_pairs
-    test = build_instruction_pairs(X.labelled_corpus(spark, sf).where(F.col("split") == "test"))
+    test = build_instruction_pairs(X.labelled_corpus(spark, sf))
     enc = TK.encode_tokens(test.select("row_id", F.col("target_text").alias("text")), _vocab(spark, sf), max_length=8)
     return enc.select("row_id", F.array_join(TK.align_target_labels("input_ids", 16), " ").alias("labels"))
 
@@ -851,10 +850,10 @@ def q_load_synthetic(spark, sf):
 
 @register("prompted_classification")
 def q_prompted_classification(spark, sf):
-    """Zero-shot prompts over the test split -> one generation pass -> parsed
+    """Zero-shot prompts over every labelled row -> one generation pass -> parsed
     answers and sliced next-token probabilities -> metrics per dataset."""
     from ..functions.prompts import format_prompt_zero
-    test = X.labelled_corpus(spark, sf).where(F.col("split") == "test")
+    test = X.labelled_corpus(spark, sf)
     prompts = test.select("row_id", "dataset", "label", format_prompt_zero(ZERO_TEMPLATE, "text").alias("prompt"))
     p = S.prompted_predictions(prompts, S.length_generator_factory, 2, id_cols=["row_id", "dataset", "label"])
     p = p.withColumn("experiment", F.lit("prompted"))

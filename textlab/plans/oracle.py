@@ -254,13 +254,13 @@ register("format_prompt_few", f"""
 WITH {CORPUS},
 {FEW_SHOTS}
 SELECT row_id, replace(replace({q(FEW_TEMPLATE)}, '{{examples}}', ex.examples), '{{text}}', coalesce(text, '')) AS prompt
-FROM corpus, ex WHERE split = 'test'""")
+FROM corpus, ex""")
 
 register("attach_examples", f"""
 WITH {CORPUS},
 {FEW_SHOTS}
 SELECT row_id, CAST(length(ex.examples) AS BIGINT) AS examples_chars, md5(ex.examples) AS examples_md5
-FROM corpus, ex WHERE split = 'test'""")
+FROM corpus, ex""")
 
 from ..functions.prompts import INSTRUCTION_TEMPLATE  # noqa: E402
 
@@ -885,8 +885,8 @@ FROM stats GROUP BY ALL""")
 
 register("read_corpus_csv", f"WITH {CORPUS}\nSELECT split, row_id, text, label FROM corpus")
 register("write_split_csv", f"WITH {CORPUS}\nSELECT split, row_id, text, label FROM corpus")
-register("read_delimited", f"WITH {CORPUS}\nSELECT row_id, text, label FROM corpus WHERE split = 'test'")
-register("read_json_corpus", f"WITH {CORPUS}\nSELECT split, row_id, text, label FROM corpus WHERE split = 'test'")
+register("read_delimited", f"WITH {CORPUS}\nSELECT row_id, text, label FROM corpus")
+register("read_json_corpus", f"WITH {CORPUS}\nSELECT 'train' AS split, row_id, text, label FROM corpus")
 register("read_named_split", f"WITH {CORPUS}\nSELECT row_id, label FROM corpus WHERE split = 'test'")
 register("write_metric_json", f"""WITH {BIN_PREDS},
 {RECORDS}
@@ -946,14 +946,14 @@ register("corpus_vocabulary", f"WITH {CORPUS},\n{VOCAB}\nSELECT token, id, count
 
 register("encode_tokens", f"""WITH {CORPUS},
 {VOCAB},
-test AS (SELECT row_id, text FROM corpus WHERE split = 'test'),
+test AS (SELECT row_id, text FROM corpus),
 {enc_cte('test', 'enc', 16)}
 SELECT row_id, array_to_string({pad_right('ids', 16)}, ' ') AS input_ids,
        array_to_string({pad_left('ids', 16)}, ' ') AS left_ids, CAST(len(ids) AS INTEGER) AS n_tokens FROM enc""")
 
 register("align_target_labels", f"""WITH {CORPUS},
 {VOCAB},
-tg AS (SELECT row_id, CASE WHEN label = 1 THEN 'Yes' ELSE 'No' END AS text FROM corpus WHERE split = 'test'),
+tg AS (SELECT row_id, CASE WHEN label = 1 THEN 'Yes' ELSE 'No' END AS text FROM corpus),
 {enc_cte('tg', 'enc', 8)},
 p AS (SELECT row_id, {pad_right('ids', 8)} AS ids FROM enc)
 SELECT row_id, array_to_string(list_concat(list_transform(range(16 - least(len(ids), 16)), lambda x: -100),
@@ -978,7 +978,7 @@ SELECT c.row_id, c.text, c.label, sp.split FROM corpus c JOIN sp USING (row_id)"
 
 
 register("prompted_classification", f"""WITH {CORPUS},
-pr AS (SELECT row_id, dataset, label, {sql_zero(ZERO_TEMPLATE, 'text')} AS prompt FROM corpus WHERE split = 'test'),
+pr AS (SELECT row_id, dataset, label, {sql_zero(ZERO_TEMPLATE, 'text')} AS prompt FROM corpus),
 g AS (SELECT row_id, dataset, label, concat('Classe: ', CAST(length(prompt) % 3 AS VARCHAR)) AS generated,
              [(length(prompt) % 5) / 2.0, (length(prompt) % 7) / 3.0, (length(prompt) % 11) / 4.0] AS logits FROM pr),
 e AS (SELECT *, list_transform(logits, lambda x: exp(x - list_max(logits))) AS ex FROM g),

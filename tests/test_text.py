@@ -55,3 +55,20 @@ def test_display_and_verbalize(spark):
         ["Macro-F1", "ROC-AUC", "ECE ↓", "F1-0", "Prec-1"]
     df = spark.createDataFrame([(1,), (0,), (None,)], "l int")
     assert [r[0] for r in df.select(T.verbalize_label("l")).collect()] == ["Yes", "No", "No"]
+
+
+def test_unicode_strip_matches_python_strip(spark):
+    import random
+    import re
+
+    from textlab.functions.text import STRIP_CHARS, WS, unicode_strip
+    # the trim set is exactly the regex whitespace class
+    py_ws = re.sub(r"\\x\{([0-9a-fA-F]+)\}", lambda m: "\\U%08x" % int(m.group(1), 16), WS)
+    assert [c for c in range(0x110000) if re.fullmatch(py_ws, chr(c))] == [ord(c) for c in STRIP_CHARS]
+    rnd = random.Random(7)
+    pool = list(STRIP_CHARS) + list("ab é😀ç\u200b\ufeff")
+    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 12))) for _ in range(2000)]
+    texts += [None, "", "\x85x\x85", "\u3000\u3000"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.s for r in df.select("i", unicode_strip("t").alias("s")).collect()}
+    assert all(got[i] == (None if t is None else t.strip()) for i, t in enumerate(texts))

@@ -31,7 +31,8 @@ def _c(col) -> Column:
 
 
 def _in_range(num: Column, k: int) -> Column:
-    return num.isNotNull() & (num >= 0) & (num < k)
+    # null (no number) gives a null condition, which no CASE branch takes
+    return num.between(0, k - 1)
 
 
 def _as_long(s: Column) -> Column:
@@ -40,10 +41,9 @@ def _as_long(s: Column) -> Column:
 
 
 def _any_contains(text: Column, words: Sequence[str]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(text, F.lit(w))
-    return out
+    """Substring test for any of ``words`` as one literal alternation, so the
+    (stripped, lower-cased) text is computed once per list, not once per word."""
+    return text.rlike("|".join(f"\\Q{w}\\E" for w in words))
 
 
 def _strategies(col, num_classes: int, label_names: Sequence[str] | None) -> list[tuple[str, Column, Column]]:

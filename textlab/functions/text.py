@@ -74,9 +74,14 @@ def collapse_whitespace(col) -> Column:
     return F.trim(F.regexp_replace(_c(col), WS_RUN, " "))
 
 
+# The characters Python's str.strip() removes (every one lies below U+3001).
+STRIP_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
 def unicode_strip(col) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(col), f"^{WS}+|{WS}+$", "")
+    """Python ``str.strip()``: remove leading/trailing Unicode whitespace. A
+    character-set trim scans only the two ends, not the whole text."""
+    return F.btrim(_c(col), F.lit(STRIP_CHARS))
 
 
 def clean_text(col) -> Column:

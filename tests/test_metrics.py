@@ -129,3 +129,26 @@ def test_hot_group_is_spread_over_ranges(spark):
     b = RK.range_buckets(df, "k", n_buckets=32)
     sizes = [r["count"] for r in b.where("g = 'hot'").groupBy(RK.BUCKET).count().collect()]
     assert len(sizes) == 32 and max(sizes) <= 2 * 18000 / 32
+
+
+def test_hash_key_ranges_need_no_sketch_and_stay_balanced(spark):
+    """md5-prefix order keys are uniform: equal-width ranges hold equal shares of
+    a hot class, and the exact stratified ranks match a plain window."""
+    from pyspark.sql import Window
+
+    from textlab.operators.corpus import stratified_split
+    df = spark.range(0, 30000).select(F.col("id").alias("row_id"),
+                                      F.when(F.col("id") % 3 == 0, 1).otherwise(0).alias("label"))
+    h, prefix = RK.hash_order_key(42)
+    x = df.withColumn("_hp", prefix)
+    b = RK.range_buckets(x, "_hp", n_buckets=32, key_range=RK.HASH_KEY_RANGE)
+    sizes = [r["count"] for r in b.where("label = 0").groupBy(RK.BUCKET).count().collect()]
+    assert len(sizes) == 32 and max(sizes) <= 1.3 * 20000 / 32
+    got = {r.row_id: r.split for r in stratified_split(df, 0.25).collect()}
+    w = Window.partitionBy("label").orderBy(h, F.col("row_id"))
+    ref = df.withColumn("rn", F.row_number().over(w)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    quotas = {r.label: r.n for r in ref.collect()}
+    plain = df.withColumn("rn", F.row_number().over(w)).collect()
+    from textlab.operators.corpus import stratified_quotas
+    q = stratified_quotas(quotas, 0.25)
+    assert all(got[r.row_id] == ("test" if r.rn <= q[r.label] else "train") for r in plain)

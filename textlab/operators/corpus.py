@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_count
-from .rank import global_row_number, hash_order_key
+from .rank import HASH_KEY_RANGE, global_row_number, hash_order_key
 
 # ---------------------------------------------------------------- joins / projections
 
@@ -235,7 +235,7 @@ def random_split(df: DataFrame, test_ratio: float = 0.25, val_ratio: float = 0.2
     n = x.count()
     n_test = _ceil_count(n, test_ratio)
     n_val = _ceil_count(n - n_test, val_ratio)
-    r = global_row_number(x, "_hp", [F.col("_h"), F.col(order_col)], out="_rn")
+    r = global_row_number(x, "_hp", [F.col("_h"), F.col(order_col)], out="_rn", key_range=HASH_KEY_RANGE)
     split = (F.when(F.col("_rn") <= n_test, "test")
              .when(F.col("_rn") <= n_test + n_val, "validation").otherwise("train"))
     return r.withColumn(out, split).drop("_h", "_hp", "_rn")
@@ -263,7 +263,8 @@ def stratified_split(df: DataFrame, test_ratio: float = 0.25, seed: int = 42, la
     quotas = stratified_quotas(counts, test_ratio)
     h, prefix = hash_order_key(seed, order_col)
     x = df.withColumn("_h", h).withColumn("_hp", prefix)
-    r = global_row_number(x, "_hp", [F.col("_h"), F.col(order_col)], group_cols=[label_col], out="_rn")
+    r = global_row_number(x, "_hp", [F.col("_h"), F.col(order_col)], group_cols=[label_col], out="_rn",
+                          key_range=HASH_KEY_RANGE)
     quota = label_id_quota(label_col, quotas)
     return r.withColumn(out, F.when(F.col("_rn") <= quota, "test").otherwise("train")).drop("_h", "_hp", "_rn")
 

@@ -17,24 +17,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "_range_bucket"
+# Hex digits of the md5 order key used as its numeric prefix; the prefix is
+# uniform on HASH_KEY_RANGE.
+HASH_PREFIX_DIGITS = 12
+HASH_KEY_RANGE = (0.0, float(16 ** HASH_PREFIX_DIGITS))
 
 
 def default_buckets(df: DataFrame) -> int:
     return max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16)
 
 
-def range_buckets(df: DataFrame, key: str, n_buckets: int | None = None, rel_err: float | None = None) -> DataFrame:
+def range_buckets(df: DataFrame, key: str, n_buckets: int | None = None, rel_err: float | None = None,
+                  key_range: tuple[float, float] | None = None) -> DataFrame:
     """Add ``_range_bucket``: equal-count value ranges of the numeric ``key``.
 
     The sketch's rank error is tied to the bucket count (a quarter of one
     bucket's share), so ranges stay balanced however many buckets a large
     shuffle asks for; the key must be non-null and (nearly) unique — heavy ties
-    are combined into (value, count) rows first."""
+    are combined into (value, count) rows first.
+
+    ``key_range=(lo, hi)``: the key is uniform on [lo, hi) by construction (a
+    hash prefix), so equal-width ranges are equal-count ranges and no sketch
+    pass over the input is needed."""
     n = n_buckets or default_buckets(df)
-    rel_err = rel_err if rel_err is not None else min(1e-3, 0.25 / n)
-    probs = [i / n for i in range(1, n)]
     keyd = F.col(key).cast("double")
-    splits = df.select(keyd.alias("_k")).approxQuantile("_k", probs, rel_err)
+    if key_range is not None:
+        lo, hi = key_range
+        splits = [lo + (hi - lo) * i / n for i in range(1, n)]
+    else:
+        rel_err = rel_err if rel_err is not None else min(1e-3, 0.25 / n)
+        probs = [i / n for i in range(1, n)]
+        splits = df.select(keyd.alias("_k")).approxQuantile("_k", probs, rel_err)
     inner = sorted({s for s in splits if s is not None})
     edges = [float("-inf"), *inner, float("inf")]
     out = df.withColumn("_k", keyd)
@@ -115,15 +128,17 @@ def global_row_number(
     group_cols: Sequence[str] = (),
     out: str = "rn",
     n_buckets: int | None = None,
+    key_range: tuple[float, float] | None = None,
 ) -> DataFrame:
     """Exact ``row_number() over (partition by group_cols order by order_cols)``
     (1-based) without sending a group to one task.
 
     ``bucket_key`` is numeric and non-decreasing along ``order_cols`` (usually
-    the first order column, or a monotone prefix of it).
+    the first order column, or a monotone prefix of it); ``key_range`` as in
+    ``range_buckets``.
     """
     group_cols = list(group_cols)
-    b = range_buckets(df, bucket_key, n_buckets).withColumn("_one", F.lit(1))
+    b = range_buckets(df, bucket_key, n_buckets, key_range=key_range).withColumn("_one", F.lit(1))
     w_local = Window.partitionBy(*group_cols, BUCKET).orderBy(*order_cols)
     local = b.withColumn("_loc", F.row_number().over(w_local))
     totals = local.groupBy(*group_cols, BUCKET).agg(F.max("_loc").alias("_tot"))
@@ -140,7 +155,7 @@ def hash_order_key(seed: int, row_id_col: str = "row_id"):
     Returns (md5 string column, monotone numeric prefix for bucketing).
     """
     h = F.md5(F.concat(F.lit(f"{seed}-"), F.col(row_id_col).cast("string")))
-    prefix = F.conv(F.substring(h, 1, 12), 16, 10).cast("long")
+    prefix = F.conv(F.substring(h, 1, HASH_PREFIX_DIGITS), 16, 10).cast("long")
     return h, prefix
 
 
@@ -153,7 +168,11 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], n_buckets:
     over the distinct values gives each value's rank interval; only the rows
     covering the needed ranks (at most two per probability) reach the driver."""
     vals = df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    counts = vals.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    # (value, count) is read by the range sketch, the total and the rank lookup:
+    # written once to the shared checkpoint folder, not re-aggregated per pass
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = vals.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")).checkpoint(eager=True)
     cum = running_sums(counts, [], "_v", ["_n"], descending=False, n_buckets=n_buckets)
     n = cum.agg(F.max("cum__n")).first()[0]
     if not n:

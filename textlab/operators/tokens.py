@@ -32,8 +32,13 @@ def vocabulary(df: DataFrame, text_col: str = "text", min_count: int = 1, max_si
     """(token, id, count). Counting is a partial aggregation; the id order is an
     exact global rank cut into ranges by (count, first 4 token bytes), so ties on
     a common count never land in one task."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    # the counts feed the range sketch and the ranking: written once to the
+    # shared checkpoint folder so the corpus is tokenized once, not per pass
     counts = (df.select(F.explode(tokens(text_col)).alias("token")).groupBy("token")
-              .agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= min_count))
+              .agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= min_count)
+              .checkpoint(eager=True))
     prefix = F.conv(F.rpad(F.hex(F.substring(F.encode("token", "UTF-8"), 1, 4)), 8, "0"), 16, 10).cast("double")
     keyed = counts.withColumn("_bk", -F.col("count").cast("double") * 4294967296.0 + prefix)
     ranked = global_row_number(keyed, "_bk", [F.col("count").desc(), F.col("token").asc()], out="_rn")
@@ -42,8 +47,6 @@ def vocabulary(df: DataFrame, text_col: str = "text", min_count: int = 1, max_si
         vocab = vocab.where(F.col("id") < max_size)
     # an artifact read by every encoding pass: written once to the shared
     # checkpoint folder instead of re-ranked per use
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
     return vocab.checkpoint(eager=True)
 
 

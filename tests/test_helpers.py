@@ -52,3 +52,24 @@ def test_score_batches_matches_formula(spark):
         z = ((len(text) % 11) - 5) / 2.0
         p1 = math.exp(z) / (1 + math.exp(z))
         assert abs(rows[rid][1][1] - p1) < 1e-12 and rows[rid][0] == int(p1 > 0.5)
+
+
+def test_emoji_oracle_matches_spark_on_emoji_text(spark, tmp_path):
+    """The emoji SQL oracle and the Spark function agree on texts that do hold
+    emoji (the driver tables have none)."""
+    import duckdb
+
+    from textlab.functions.emoji import emoji_to_text
+    from textlab.plans.oracle import ORACLE
+    texts = ["hi\U0001F600 ok", "\u2600:x_y-z: :a b:", "multi\nline \U0001F44D\U0001F44D", None, "",
+             "::", ":only", "tab\t:\U0001F600:\u3000x", "plain text"]
+    df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "conv_id long, turn int, text string")
+    got = {r.conv_id: (r.out, r.out_tokens) for r in df.select(
+        "conv_id", emoji_to_text("text", "words").alias("out"), emoji_to_text("text", "tokens").alias("out_tokens")
+    ).collect()}
+    path = str(tmp_path / "conversations.parquet")
+    df.toPandas().to_parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{path}')")
+    want = {r[0]: (r[2], r[3]) for r in con.execute(ORACLE["emoji_to_text"]).fetchall()}
+    assert got == want

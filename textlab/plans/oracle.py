@@ -993,3 +993,35 @@ summ AS (SELECT {K}, sum(tp) / sum(support) AS accuracy, avg({ratio('2 * tp', 's
 SELECT s.dataset, s.experiment, round(s.accuracy, 6) AS accuracy, round(s.macro_f1, 6) AS macro_f1,
        round(a.auc, 6) AS roc_auc, round(e.ece, 6) AS ece
 FROM summ s LEFT JOIN auc a USING ({K}) LEFT JOIN ece e USING ({K})""")
+
+
+def _emoji_oracle() -> str:
+    """Code points -> names from the same rule as the Spark side (a VALUES table
+    generated at import), text split into code points and re-joined in order;
+    the words mode then rewrites each ``:<non-space run>:`` (leftmost-first
+    alternation = Python's left-to-right substitution scan)."""
+    from ..functions.emoji import emoji_names
+    values = ", ".join(f"({cp}, {q(n)})" for cp, n in sorted(emoji_names().items()))
+    run = f":{T.NON_WS}+:"
+    return f"""WITH names(cp, name) AS (VALUES {values}),
+ch AS (
+  SELECT conv_id, turn, unnest(cs) AS c, unnest(range(len(cs))) AS i
+  FROM (SELECT conv_id, turn, regexp_extract_all(text, '(?s).') AS cs FROM conversations WHERE text IS NOT NULL)),
+j AS (
+  SELECT conv_id, turn,
+         string_agg(coalesce(':' || n.name || ':', ch.c), '' ORDER BY i) AS named,
+         string_agg(coalesce(' ' || n.name || ' ', ch.c), '' ORDER BY i) AS spaced
+  FROM ch LEFT JOIN names n ON n.cp = unicode(ch.c) GROUP BY conv_id, turn),
+w AS (
+  SELECT c.conv_id, c.turn, c.text, coalesce(j.named, '') AS named, coalesce(j.spaced, '') AS spaced
+  FROM conversations c LEFT JOIN j ON c.conv_id = j.conv_id AND c.turn = j.turn)
+SELECT conv_id, turn,
+       CASE WHEN text IS NULL THEN NULL ELSE array_to_string(list_transform(
+         regexp_extract_all(named, {q(run + '|(?s).')}),
+         lambda p: CASE WHEN length(p) > 1 THEN replace(replace(replace(p, '_', ' '), '-', ' '), ':', '') ELSE p END),
+         '') END AS out,
+       CASE WHEN text IS NULL THEN NULL ELSE spaced END AS out_tokens
+FROM w"""
+
+
+register("emoji_to_text", _emoji_oracle())

@@ -73,3 +73,24 @@ def test_emoji_oracle_matches_spark_on_emoji_text(spark, tmp_path):
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{path}')")
     want = {r[0]: (r[2], r[3]) for r in con.execute(ORACLE["emoji_to_text"]).fetchall()}
     assert got == want
+
+
+def test_segment_oracle_matches_spark_on_real_tags(spark, tmp_path):
+    """The segmentation SQL oracle and the Spark operator agree on compound tags
+    (the driver tables hold only symbol-run tags, which clean to nothing)."""
+    import duckdb
+
+    from textlab.plans.oracle import ORACLE
+    texts = ["hate speech is bad", "speech is free and bad", "stop #HateSpeech now", "no tags here",
+             "#isbad! and #Stop_Hate", "#a#b x", "# lone", "#123abc #xyzzyplugh", None, "",
+             "is is is hate speech stop now free", "#speechisbadnow\n#HATE"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    path = str(tmp_path / "documents.parquet")
+    df.toPandas().to_parquet(path)
+    from textlab.operators.hashtags import segment_hashtags
+    got = {r.row_id: r.text for r in segment_hashtags(df.withColumnRenamed("doc_id", "row_id")).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}')")
+    want = {r[0]: r[1] for r in con.execute(ORACLE["segment_hashtags"]).fetchall()}
+    assert got == want
+    assert got[2] == "stop hate speech now" and got[11] == "speech is bad now\nhate"

@@ -1025,3 +1025,55 @@ FROM w"""
 
 
 register("emoji_to_text", _emoji_oracle())
+
+
+def _segment_oracle(top_n: int = 50_000, max_word: int = 24) -> str:
+    """Unigram model (ASCII words outside hashtags; top ``top_n`` by count, the
+    total over all of them), a recursive best-split per distinct cleaned tag
+    (ties to the smallest start), back-pointers walked into words, and each
+    text rebuilt piece by piece."""
+    from ..operators.hashtags import HASHTAG_TOKEN
+    return f"""WITH RECURSIVE
+u AS (
+  SELECT word, count(*) AS cnt FROM (
+    SELECT unnest(regexp_extract_all(lower(regexp_replace(text, {q(HASHTAG_TOKEN)}, ' ', 'g')), '[\\p{{L}}\\p{{N}}_]+')) AS word
+    FROM documents)
+  WHERE regexp_full_match(word, '[a-z0-9]+') GROUP BY word),
+tot AS (SELECT CAST(coalesce(nullif(sum(cnt), 0), 1) AS DOUBLE) AS total FROM u),
+top AS (SELECT word, cnt FROM u ORDER BY cnt DESC, word LIMIT {top_n}),
+tags AS (SELECT DISTINCT unnest(regexp_extract_all(text, {q(HASHTAG_TOKEN)})) AS tag FROM documents
+         WHERE contains(text, '#')),
+ts AS (SELECT tag, regexp_replace(lower(tag), '[^a-z0-9]', '', 'g') AS s FROM tags),
+dp(tag, s, n, j, best, back) AS (
+  SELECT tag, s, length(s), 0, [0.0::DOUBLE], [0] FROM ts WHERE length(s) > 0
+  UNION ALL
+  SELECT dp.tag, dp.s, dp.n, dp.j + 1, list_append(dp.best, m.v), list_append(dp.back, m.i)
+  FROM dp, LATERAL (
+    SELECT c.i, c.v FROM (
+      SELECT r.i AS i, dp.best[r.i + 1] + CASE WHEN t.cnt IS NOT NULL THEN log10(t.cnt / tot.total)
+               ELSE log10(10.0 / (tot.total * pow(10.0, dp.j + 1 - r.i))) END AS v
+      FROM range(greatest(0, dp.j + 1 - {max_word}), dp.j + 1) r(i)
+      CROSS JOIN tot
+      LEFT JOIN top t ON t.word = substr(dp.s, r.i + 1, dp.j + 1 - r.i)) c
+    ORDER BY c.v DESC, c.i ASC LIMIT 1) m
+  WHERE dp.j < dp.n),
+bt(tag, s, back, j, words) AS (
+  SELECT tag, s, back, j, []::VARCHAR[] FROM dp WHERE j = n
+  UNION ALL
+  SELECT tag, s, back, back[j + 1], list_prepend(substr(s, back[j + 1] + 1, j - back[j + 1]), words)
+  FROM bt WHERE j > 0),
+seg AS (
+  SELECT ts.tag, coalesce(array_to_string(bt.words, ' '), '') AS segmented
+  FROM ts LEFT JOIN (SELECT tag, words FROM bt WHERE j = 0) bt ON ts.tag = bt.tag),
+pieces AS (
+  SELECT doc_id, unnest(p) AS piece, unnest(range(len(p))) AS pos FROM (
+    SELECT doc_id, regexp_extract_all(text, {q(HASHTAG_TOKEN + '|[^#]+|#')}) AS p FROM documents
+    WHERE contains(text, '#'))),
+rebuilt AS (
+  SELECT doc_id, string_agg(coalesce(seg.segmented, pieces.piece), '' ORDER BY pos) AS new_text
+  FROM pieces LEFT JOIN seg ON pieces.piece = seg.tag GROUP BY doc_id)
+SELECT d.doc_id AS row_id, coalesce(r.new_text, d.text) AS text
+FROM documents d LEFT JOIN rebuilt r ON d.doc_id = r.doc_id"""
+
+
+register("segment_hashtags", _segment_oracle())

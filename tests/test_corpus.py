@@ -71,3 +71,34 @@ def test_exact_quantiles_match_percentile(spark):
     got = exact_quantiles(df, "v", [0.0, 0.1, 0.25, 0.5, 0.9, 1.0], n_buckets=7)
     want = df.agg(*[F.percentile("v", p) for p in [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]]).first()
     assert all(abs(a - b) < 1e-9 for a, b in zip(got, want))
+
+
+def test_early_stop_matches_python_on_random_runs(spark):
+    """Single-pass early stopping against a plain loop (nulls and ties included)."""
+    import random
+
+    from textlab.operators.training import early_stop_epoch
+
+    def py_stop(vals, patience, sign):
+        prev, last_imp = None, 0
+        for e, v in enumerate(vals, 1):
+            x = None if v is None else v * sign
+            if prev is None or (x is not None and x > prev):
+                last_imp = e
+            if x is not None:
+                prev = x if prev is None else max(prev, x)
+            if e - last_imp >= patience:
+                return e
+        return None
+
+    rnd = random.Random(5)
+    runs = {r: [None if rnd.random() < 0.15 else float(rnd.randint(0, 6)) for _ in range(rnd.randint(1, 25))]
+            for r in range(200)}
+    df = spark.createDataFrame([(r, e, v) for r, vals in runs.items() for e, v in enumerate(vals, 1)],
+                               "run int, epoch int, value double")
+    for gib in (True, False):
+        for pat in (1, 3):
+            got = {r.run: (r.stop_epoch, r.epochs) for r in early_stop_epoch(df, patience=pat,
+                                                                             greater_is_better=gib).collect()}
+            want = {r: (py_stop(vals, pat, 1.0 if gib else -1.0), len(vals)) for r, vals in runs.items()}
+            assert got == want

@@ -25,14 +25,18 @@ def best_checkpoint(epochs: DataFrame, run_col: str = "run", metric_col: str = "
 def early_stop_epoch(epochs: DataFrame, run_col: str = "run", metric_col: str = "value",
                      patience: int = 5, greater_is_better: bool = True) -> DataFrame:
     """Per run the first epoch after ``patience`` successive evaluations without a
-    new best (strict improvement); null when training would run to the end."""
+    new best (strict improvement); null when training would run to the end.
+
+    Improvements are strict, so the last improving epoch up to epoch e is where
+    the running maximum of (value, -epoch) was first reached: one running max
+    pass. A null value counts as an improvement only while no value has been
+    seen, hence the (-inf, +epoch) key for nulls."""
     sign = 1.0 if greater_is_better else -1.0
-    x = epochs.select(run_col, "epoch", (F.col(metric_col) * sign).alias("_v"))
-    prev = running_max(x, [run_col], "epoch", ["_v"], exclusive=True)
-    imp = prev.withColumn("_imp_epoch", F.when(F.col("runmax__v").isNull() | (F.col("_v") > F.col("runmax__v")),
-                                               F.col("epoch")))
-    last = running_max(imp, [run_col], "epoch", ["_imp_epoch"])
-    stale = last.withColumn("_stale", F.col("epoch") - F.col("runmax__imp_epoch"))
+    v = F.col(metric_col) * sign
+    key = (F.when(v.isNull(), F.struct(F.lit(float("-inf")).alias("v"), F.col("epoch").cast("double").alias("e")))
+           .otherwise(F.struct(v.alias("v"), (-F.col("epoch")).cast("double").alias("e"))))
+    best = running_max(epochs.select(run_col, "epoch", key.alias("_best")), [run_col], "epoch", ["_best"])
+    stale = best.withColumn("_stale", F.col("epoch") - F.abs(F.col("runmax__best.e")).cast("long"))
     return stale.groupBy(run_col).agg(
         F.min(F.when(F.col("_stale") >= patience, F.col("epoch"))).alias("stop_epoch"),
         F.count(F.lit(1)).alias("epochs"))

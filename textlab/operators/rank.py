@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "_range_bucket"
+KEY_TMP = "_range_key"
 # Hex digits of the md5 order key used as its numeric prefix; the prefix is
 # uniform on HASH_KEY_RANGE.
 HASH_PREFIX_DIGITS = 12
@@ -47,14 +48,14 @@ def range_buckets(df: DataFrame, key: str, n_buckets: int | None = None, rel_err
     else:
         rel_err = rel_err if rel_err is not None else min(1e-3, 0.25 / n)
         probs = [i / n for i in range(1, n)]
-        splits = df.select(keyd.alias("_k")).approxQuantile("_k", probs, rel_err)
+        splits = df.select(keyd.alias(KEY_TMP)).approxQuantile(KEY_TMP, probs, rel_err)
     inner = sorted({s for s in splits if s is not None})
     edges = [float("-inf"), *inner, float("inf")]
-    out = df.withColumn("_k", keyd)
+    out = df.withColumn(KEY_TMP, keyd)
     if len(edges) < 3:
-        return out.withColumn(BUCKET, F.lit(0.0)).drop("_k")
-    bucketizer = Bucketizer(splits=edges, inputCol="_k", outputCol=BUCKET, handleInvalid="keep")
-    return bucketizer.transform(out).drop("_k")
+        return out.withColumn(BUCKET, F.lit(0.0)).drop(KEY_TMP)
+    bucketizer = Bucketizer(splits=edges, inputCol=KEY_TMP, outputCol=BUCKET, handleInvalid="keep")
+    return bucketizer.transform(out).drop(KEY_TMP)
 
 
 def running_sums(

@@ -72,3 +72,21 @@ def test_unicode_strip_matches_python_strip(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = {r.i: r.s for r in df.select("i", unicode_strip("t").alias("s")).collect()}
     assert all(got[i] == (None if t is None else t.strip()) for i, t in enumerate(texts))
+
+
+def test_text_queries_read_only_needed_columns(spark):
+    """Column pruning reaches the Parquet scans of the text queries."""
+    import os
+    import re
+
+    import pytest
+
+    import __spark_entry__ as E
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("test tables not present")
+    want = {"clean_text": {"struct<doc_id:bigint,text:string>"},
+            "extract_label": {"struct<conv_id:bigint,turn:bigint,text:string>"}}
+    for key, schemas in want.items():
+        plan = E.queries()[key](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert set(re.findall(r"ReadSchema: (struct<[^>]*>)", plan)) == schemas, key

@@ -50,3 +50,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(listed(of(*BASE)), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"),
         F.coalesce(F.array_max(F.transform("pii", lambda s: s["score"])), F.lit(0.0)).alias("max_score"))
+
+
+@register
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

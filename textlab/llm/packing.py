@@ -47,10 +47,14 @@ END_ID = 1
 # sequence); the plan with the fewest sequences is used.
 SETTINGS = ((48, 8), (96, 3), (256, 1))
 SALTS = 64           # rank counters per length
-CACHE_WORDS = 600_000
-# Latin-1 letters (one character in lower case, composed already), then ASCII
-# marks other than the apostrophe, which the tokenizer treats in its own way.
-SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+CACHE_PARTS = 600_000
+# Latin-1 letters (each is one composed character in either case) and ASCII marks
+# but for the apostrophe, which the tokenizer treats in its own way.
+LETTER = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+MARK = r"!-&(-/:-@\[-`{-~"
+SIMPLE = re.compile(f"[{LETTER}0-9{MARK} \n]*")
+PARTS = re.compile(f"[{LETTER}]+|[0-9]|[{MARK}]+")
+LETTERS = re.compile(f"[{LETTER}]+")
 PIECES = "doc_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -59,54 +63,45 @@ PIECES = "doc_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint"
 class Encoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer's own split never crosses a space or line feed and each part is
-    encoded by itself, so a text's ids are the ids of its parts in order. Ids of
-    parts are kept in a bounded table; only unseen parts reach the tokenizer.
+    The tokenizer splits a text before it encodes the parts one by one, so a
+    text's ids are the ids of its parts in order. Texts of Latin-1 letters, digits
+    and plain marks are cut into those parts here (letter runs in lower case,
+    single digits, runs of marks); others are cut at spaces and line feeds, which
+    no part crosses. Ids of parts are kept in a bounded table; only unseen parts
+    reach the tokenizer, letter runs many to a call, as each ends with a word-end
+    token."""
 
-    A part of Latin letters and closing punctuation splits between the two, and
-    letters count in lower case, so its ids are those of its two shares. Unseen
-    letter runs are encoded many to a call: each ends with a word-end token."""
-
-    def __init__(self, path: str, most: int = CACHE_WORDS):
+    def __init__(self, path: str, most: int = CACHE_PARTS):
         from tokenizers import Tokenizer
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.forget()
-
-    def forget(self) -> None:
-        self.parts: dict[str, bytes] = {"": b""}
-        self.runs: dict[str, bytes] = {"": b""}  # lower-case letter runs
+        self.known: dict[str, bytes] = {"": b""}
 
     def plain(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def learn_runs(self, runs: list[str]) -> None:
+    def learn(self, new: list[str]) -> None:
+        runs = [p for p in new if LETTERS.fullmatch(p)]
         for at in range(0, len(runs), 1000):
             some = runs[at:at + 1000]
-            ids = np.frombuffer(self.plain([" ".join(some)])[0], "<u4")
-            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-            raw = ids.tobytes()
-            self.runs.update((w, raw[a:b]) for w, a, b in zip(some, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True))
-
-    def learn(self, new: list[str]) -> None:
-        shares = [SIMPLE.fullmatch(w) for w in new]
-        self.learn_runs(list({r for m in shares if m and (r := m[1].lower()) not in self.runs}))
-        marks = list({m[2] for m in shares if m and m[2] not in self.parts})
-        rest = [w for w, m in zip(new, shares) if not m]
-        for at in range(0, len(some := marks + rest), 1000):
-            self.parts.update(zip(some[at:at + 1000], self.plain(some[at:at + 1000])))
-        self.parts.update((w, self.runs[m[1].lower()] + self.parts[m[2]]) for w, m in zip(new, shares) if m)
+            raw = self.plain([" ".join(some)])[0]
+            cuts = (4 * (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1)).tolist()
+            self.known.update((w, raw[a:b]) for w, a, b in zip(some, [0, *cuts[:-1]], cuts, strict=True))
+        rest = [p for p in new if not LETTERS.fullmatch(p)]
+        for at in range(0, len(rest), 1000):
+            self.known.update(zip(rest[at:at + 1000], self.plain(rest[at:at + 1000])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = {w for ws in split for w in ws}
-        if len(self.parts) + len(words) > self.most:
-            self.forget()
-        self.learn([w for w in words if w not in self.parts])
-        parts = self.parts
-        return [b"".join([parts[w] for w in ws]) for ws in split]
+        split = [PARTS.findall(t.lower()) if SIMPLE.fullmatch(t) and "<|" not in t else t.replace("\n", " ").split(" ")
+                 for t in texts]
+        parts = set().union(*split)
+        if len(self.known) + len(parts) > self.most:
+            self.known = {"": b""}
+        self.learn(list(parts.difference(self.known)))
+        known = self.known
+        return [b"".join([known[p] for p in ps]) for ps in split]
 
 
 def batches_by_chars(values: list[str], most: int = 4_000_000):

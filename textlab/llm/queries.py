@@ -66,3 +66,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_components
     return simhash_components(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@register
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import main_text
+    return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))

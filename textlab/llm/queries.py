@@ -72,3 +72,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import main_text
     return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@register
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import url_verdicts
+    return url_verdicts(table(spark, sf_dir, "pages"))
+
+
+@register
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_verdicts
+    return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -84,3 +84,17 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_verdicts
     return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import Mix
+    return Mix(table(spark, sf_dir, "documents")).per_document().select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "copies", "block")
+
+
+@register
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup
+    return line_dedup(table(spark, sf_dir, "documents")).select(
+        F.col("row.doc_id").alias("doc_id"), F.col("new_text").alias("text"), "removed_lines", "removed_words")

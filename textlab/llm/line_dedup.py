@@ -59,7 +59,7 @@ def lines_of(text: Column) -> Column:
 def fingerprints(docs: DataFrame, gram: int = GRAM, reach: int = REACH) -> DataFrame:
     """Selected grams: KEY, at (the line's number), line, g1, g2, left (nearest first) and right lines around."""
     per_doc = docs.groupBy(*KEY).agg(F.first("lines").alias("lines"))  # one shuffle; all windows below keep its partitioning
-    line = per_doc.select(*KEY, F.explode("lines").alias("line"))
+    line = per_doc.select(*KEY, F.explode("lines").alias("l")).select(*KEY, F.struct("l.pos", "l.h", "l.words").alias("line"), "l.h2")
     doc = Window.partitionBy(*KEY)
     placed = line.withColumn("start", F.coalesce(F.sum("line.words").over(
         doc.orderBy("line.pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, reach: int = REACH) -> DataF
     grams = placed.withColumns({
         "at": F.row_number().over(by),
         "whole": F.sum("line.words").over(doc) - F.col("start") >= gram,
-        "hs": F.collect_list("line.h").over(ahead), "hs2": F.collect_list("line.h2").over(ahead),
+        "hs": F.collect_list("line.h").over(ahead), "hs2": F.collect_list("h2").over(ahead),
         "left": F.collect_list("line").over(by.rangeBetween(-(reach - 1), -1)),
         "on": F.collect_list("line").over(by.rangeBetween(0, gram + reach - 2))})
     grams = grams.withColumns({"g1": F.xxhash64("hs"), "g2": F.xxhash64("hs2")})
@@ -93,7 +93,8 @@ def repeated_lines(prints: DataFrame) -> DataFrame:
     hashes = lambda c: F.transform(c, lambda x: x["h"])
     first = saved(prints.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(
         order.alias("order"), hashes("left").alias("left"), hashes("right").alias("right"))).alias("first")).where("n > 1"), "repeated-fingerprints")
-    pairs = prints.join(first.select(F.col("g1").alias("f1"), F.col("g2").alias("f2"), "first"),
+    # merge joins at every size: neither side is bounded, and AQE splits a hot fingerprint
+    pairs = prints.join(first.select(F.col("g1").alias("f1"), F.col("g2").alias("f2"), "first").hint("merge"),
                         (F.col("g1") == F.col("f1")) & (F.col("g2") == F.col("f2"))).where(order != F.col("first.order"))
     reach = pairs.withColumns({"back": same_ahead(F.col("left"), F.col("first.left")), "on": same_ahead(F.col("right"), F.col("first.right"))})
     numbered = lambda c, sign, base: F.transform(c, lambda x, i: F.struct((F.col("at") + sign * (i + base)).alias("at"), x.alias("line")))
@@ -118,7 +119,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     prints = saved(fingerprints(docs.where("text IS NOT NULL").select(*KEY, lines_of(F.col("text")).alias("lines")), gram, reach), "fingerprints")
     gone = saved(deletions(repeated_lines(prints), least), "deleted-lines").select(
         F.col("id").alias("d_id"), F.col("k1").alias("d1"), F.col("k2").alias("d2"), "places", "removed_words")
-    joined = docs.join(gone, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("k1") == F.col("d1")) & (F.col("k2") == F.col("d2")), "left")
+    joined = docs.join(gone.hint("merge"), F.col("id").eqNullSafe(F.col("d_id")) & (F.col("k1") == F.col("d1")) & (F.col("k2") == F.col("d2")), "left")
     split = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("places"))
     rest = F.transform(F.array(split), lambda s: F.array_join(F.transform(kept, lambda i: F.get(s, i)), "\n"))[0]

@@ -4,12 +4,15 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 Parquet and reread as the next stage's docs. The first four return the columns of
 ``documents``; the last returns one row per packed piece. A stage judges every row
 its predecessor kept.
+
+Documents are told apart by their id: rows that repeat an id count as one document,
+and a row without an id, which no verdict can name, passes the filters and is not mixed in.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlab.llm.common import saved, table
@@ -30,9 +33,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines are cut out of the texts; n_chars follows."""
-    cut = line_dedup(docs)
-    return cut.select("row.*", "new_text").withColumn("text", F.col("new_text")) \
-        .withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    def column(c: str) -> Column:
+        old = F.col("row").getField(c)
+        if c == "text":
+            return F.col("new_text").alias(c)
+        if c == "n_chars":
+            return F.when(F.col("new_text").isNull(), old).otherwise(F.length("new_text")).cast(docs.schema[c].dataType).alias(c)
+        return old.alias(c)
+    return line_dedup(docs).select(*[column(c) for c in docs.columns])
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +51,9 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, so that sources meet their targets."""
-    taken = Mix(docs).per_document().where("taken > 0").select(F.col("doc_id").alias("_taken_id"), "copies").distinct()
-    kept = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_taken_id")))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    taken = Mix(docs).per_document().where("taken > 0").select(F.col("doc_id").alias("id"), "copies").distinct()
+    rows = docs.select(F.struct("*").alias("row")).withColumn("id", F.col("row.doc_id"))
+    return rows.join(taken, "id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +63,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Documents whose id is not among the ids of ``gone``."""
-    ids = saved(gone.select(F.col("doc_id").alias("_gone_id")).distinct(), "rejected-ids")
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left_anti")
+    ids = saved(gone.select("doc_id").where("doc_id IS NOT NULL").distinct(), "rejected-ids")
+    return docs.join(ids, docs["doc_id"] == ids["doc_id"], "left_anti")
 
 
 STAGES = [

@@ -28,7 +28,7 @@ SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
 
 # Learning parameters.
-BINS = 32              # candidate thresholds per feature
+BINS = 256             # candidate thresholds per feature
 MOST_RULES = 8
 MOST_CONDITIONS = 3
 LEAST_PRECISION = 0.9  # of a rule, on the rows kept aside
@@ -113,12 +113,12 @@ class Rule:
 
 
 def thresholds(rows: DataFrame, bins: int) -> dict[str, list[float]]:
-    """Cut points of every feature: approximate quantiles of its distinct values."""
+    """Cut points of every feature: halfway between neighbouring quantiles of its distinct values."""
     out = {}
     for name, sql in FEATURES.items():
         values = rows.select(F.round(F.expr(sql), 4).alias("v")).distinct()
-        cuts = values.approxQuantile("v", [i / bins for i in range(1, bins)], 0.25 / bins)
-        out[name] = sorted(set(cuts))
+        cuts = sorted(set(values.approxQuantile("v", [i / bins for i in range(bins + 1)], 0.25 / bins)))
+        out[name] = [(a + b) / 2 for a, b in zip(cuts, cuts[1:])]
     return out
 
 

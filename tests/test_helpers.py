@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from textlab.operators.hashtags import segment_hashtags, segment_word
+from textlab.operators.hashtags import segment_hashtags
 
 
 def brute_segment(s, counts, total):
@@ -21,11 +21,16 @@ def brute_segment(s, counts, total):
     return arg
 
 
-def test_segment_word_matches_brute_force():
-    counts = {"hate": 50, "speech": 40, "is": 200, "bad": 30, "ha": 5, "te": 3, "sp": 1}
+def test_segmentation_matches_brute_force(spark):
+    from textlab.operators.hashtags import segment_tags
+    counts = {"hate": 50, "speech": 40, "is": 200, "bad": 30, "ha": 5, "te": 3, "sp": 1, "pneumonoultramicroscopicsilico": 2}
     total = sum(counts.values())
-    for s in ["hatespeech", "isbad", "hatesp", "xyz", "speechisbad"]:
-        assert segment_word(s, counts, total) == brute_segment(s, counts, total)
+    tags = ["hatespeech", "isbad", "hatesp", "xyz", "speechisbad", "ispneumonoultramicroscopicsilico"]
+    texts = [" ".join([w] * c) for w, c in counts.items()] + [f"#{t}" for t in tags]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.tag[1:]: r.segmented.split(" ") for r in segment_tags(df).collect()}
+    assert all(got[t] == brute_segment(t, counts, total) for t in tags[:5])
+    assert got[tags[5]] == ["is", "pneumonoultramicroscopicsilico"]  # no bound on a word's length
 
 
 def test_segment_hashtags_rewrites_text(spark):

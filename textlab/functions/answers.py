@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -35,9 +37,15 @@ def _in_range(num: Column, k: int) -> Column:
     return num.between(0, k - 1)
 
 
+# The decimal digits of the Basic Multilingual Plane and the ASCII digit of each.
+DECIMALS = [chr(c) for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) == "Nd"]
+DECIMAL_FROM, DECIMAL_TO = "".join(DECIMALS), "".join(str(unicodedata.digit(c)) for c in DECIMALS)
+
+
 def _as_long(s: Column) -> Column:
     # null for '' and for numbers that overflow (both count as out of range)
-    return s.try_cast("bigint")
+    plain = F.when(s.rlike(r"[^\x{00}-\x{7f}]"), F.translate(s, DECIMAL_FROM, DECIMAL_TO)).otherwise(s)
+    return plain.try_cast("bigint")
 
 
 def _any_contains(text: Column, words: Sequence[str]) -> Column:

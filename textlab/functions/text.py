@@ -175,9 +175,15 @@ DISPLAY_RENAMES = [("Macro F1", "Macro-F1"), ("Macro Ap", "Macro-AP"), ("Roc Auc
                    ("Ece", "ECE ↓"), ("F1 ", "F1-"), ("Precision ", "Prec-"), ("Recall ", "Rec-")]
 
 
+def title_case(col) -> Column:
+    """A capital at the start of every run of letters, lower case after it."""
+    runs = F.regexp_extract_all(_c(col), F.lit(r"\p{L}+|[^\p{L}]+"), 0)
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substr(r, F.lit(2))))), "")
+
+
 def metric_display_name(col) -> Column:
     """``_`` to space, title case, then the fixed renames."""
-    c = F.initcap(F.replace(_c(col), F.lit("_"), F.lit(" ")))
+    c = title_case(F.replace(_c(col), F.lit("_"), F.lit(" ")))
     for a, b in DISPLAY_RENAMES:
         c = F.replace(c, F.lit(a), F.lit(b))
     return c

@@ -197,8 +197,9 @@ def dedup_keep_first(df: DataFrame, text_col: str = "text", splits: Sequence[str
     scope = F.col(split_col).isin(list(splits)) if splits is not None else F.lit(True)
     cand = df.where(scope)
     firsts = (cand.groupBy(split_col, digest.alias("_d"))
-              .agg(F.min(order_col).alias(order_col)).select(order_col))
-    kept = cand.join(firsts, on=order_col, how="left_semi")
+              .agg(F.min(order_col).alias("_first")).select(F.col(split_col).alias("_split"), "_first"))
+    # the key is (split, row): files that number their rows alike stay apart
+    kept = cand.join(firsts, F.col(split_col).eqNullSafe(F.col("_split")) & (F.col(order_col) == F.col("_first")), "left_semi")
     if splits is None:
         return kept
     rest = df.where(~scope | F.col(split_col).isNull())
@@ -245,6 +246,8 @@ def stratified_quotas(counts: dict[int, int], ratio: float) -> dict[int, int]:
     """Largest-remainder quotas of ``ceil(n * ratio)`` rows over the classes;
     ties of the remainder go to the smaller label."""
     n = sum(counts.values())
+    if not n:
+        return {}
     total = _ceil_count(n, ratio)
     exact = {c: total * k / n for c, k in counts.items()}
     base = {c: int(math.floor(v)) for c, v in exact.items()}
@@ -259,14 +262,19 @@ def stratified_split(df: DataFrame, test_ratio: float = 0.25, seed: int = 42, la
                      order_col: str = "row_id", out: str = "split") -> DataFrame:
     """Two-way split keeping class ratios: per class the first quota rows (by
     seeded hash) go to ``test``; quotas come from the (tiny) class counts."""
-    counts = {r[0]: r[1] for r in df.groupBy(label_col).count().collect()}  # one row per class
+    counts = {r[0]: r[1] for r in df.groupBy(label_col).count().collect()  # one row per class
+              if r[0] is not None}  # rows without a label go to train
     quotas = stratified_quotas(counts, test_ratio)
     h, prefix = hash_order_key(seed, order_col)
-    x = df.withColumn("_h", h).withColumn("_hp", prefix)
+    x = df.where(F.col(label_col).isNotNull()).withColumn("_h", h).withColumn("_hp", prefix)
     r = global_row_number(x, "_hp", [F.col("_h"), F.col(order_col)], group_cols=[label_col], out="_rn",
                           key_range=HASH_KEY_RANGE)
+    unlabelled = df.where(F.col(label_col).isNull()).withColumn(out, F.lit("train"))
+    if not quotas:
+        return unlabelled
     quota = label_id_quota(label_col, quotas)
-    return r.withColumn(out, F.when(F.col("_rn") <= quota, "test").otherwise("train")).drop("_h", "_hp", "_rn")
+    split = r.withColumn(out, F.when(F.col("_rn") <= quota, "test").otherwise("train")).drop("_h", "_hp", "_rn")
+    return split.unionByName(unlabelled)
 
 
 def label_id_quota(label_col: str, quotas: dict[int, int]):

@@ -321,11 +321,13 @@ def weighted_cross_entropy(df: DataFrame, keys: Sequence[str], weights: DataFram
                            label: str = "label") -> DataFrame:
     """sum(w_y * -log softmax(logits)[y]) / sum(w_y) per group.
 
-    ``weights``: (label, weight), one row per class (bounded by the class count).
+    ``weights``: (label, weight), one row per class. A row whose label has no
+    weight fails the job: it must not vanish from the mean.
     """
     w = weights.select(F.col("label").alias("_wl"), F.col("weight").alias("_w"))
-    rows = df.join(F.broadcast(w), F.col(label) == F.col("_wl"), "inner").select(
-        *_k(keys), "_w", (-log_softmax_at(logits, F.col(label))).alias("_nll"))
+    known = F.coalesce("_w", F.raise_error(F.concat(F.lit("no class weight for label "), F.coalesce(F.col(label).cast("string"), F.lit("null")))).cast("double"))
+    rows = df.join(w, F.col(label) == F.col("_wl"), "left").select(
+        *_k(keys), known.alias("_w"), (-log_softmax_at(logits, F.col(label))).alias("_nll"))
     return rows.groupBy(*_k(keys)).agg(
         (F.sum(F.col("_w") * F.col("_nll")) / F.sum("_w")).alias("weighted_cross_entropy"),
         F.count(F.lit(1)).alias("n"))

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import title_case
+
 from ..functions.formats import py_format
 
 # Column groups of the result table.
@@ -117,7 +119,7 @@ def melt_class_f1(results: DataFrame, partition: Sequence[str] = ("dataset",)) -
     f1_cols = [c for c in results.columns if c.startswith("f1_")]
     lm = results.select(*partition, "experiment", *[F.col(c).cast("double") for c in f1_cols]) \
         .unpivot([*partition, "experiment"], f1_cols, "class", "f1")
-    name = F.initcap(F.replace(F.replace(F.col("class"), F.lit("f1_"), F.lit("")), F.lit("_"), F.lit(" ")))
+    name = title_case(F.replace(F.replace(F.col("class"), F.lit("f1_"), F.lit("")), F.lit("_"), F.lit(" ")))
     return lm.withColumn("class", name)
 
 

@@ -3,7 +3,7 @@ classifier trained with MLlib, and validation-based model selection.
 
 The scorer is the only Python on the row path: Arrow batches go through
 ``mapInPandas`` (batch size = ``spark.sql.execution.arrow.maxRecordsPerBatch``),
-the scorer is built once per Python worker, and softmax / argmax run in the JVM.
+the scorer is built once per task, and softmax / argmax run in the JVM.
 """
 
 from __future__ import annotations
@@ -18,16 +18,6 @@ from pyspark.sql import types as T
 
 from ..functions.arrays import argmax_label, softmax
 
-_SCORERS: dict[int, Callable] = {}
-
-
-def _scorer(factory: Callable[[], Callable[[list[str]], np.ndarray]]):
-    key = id(factory)
-    if key not in _SCORERS:  # once per Python worker process
-        _SCORERS[key] = factory()
-    return _SCORERS[key]
-
-
 def _materialize(df: DataFrame) -> DataFrame:
     """Model output is the expensive part: write it once to the shared checkpoint
     folder so every downstream metric reads it instead of re-running the model."""
@@ -45,7 +35,7 @@ def score_batches(df: DataFrame, scorer_factory: Callable[[], Callable[[list[str
     out_schema = T.StructType(list(in_schema.fields) + [T.StructField("logits", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
-        score = _scorer(scorer_factory)
+        score = scorer_factory()  # once per task
         for pdf in batches:
             texts = pdf[text_col].fillna("").astype(str).tolist()
             logits = np.asarray(score(texts), dtype=np.float64)
@@ -86,7 +76,7 @@ def with_class_weights(train: DataFrame, label_col: str = "label") -> DataFrame:
     """Attach balanced weights n / (k * n_c); the weight table has one row per class."""
     from .corpus import class_weights
     w = class_weights(train, label_col, "balanced").select(F.col("label").alias("_wl"), F.col("weight"))
-    return train.join(F.broadcast(w), F.col(label_col) == F.col("_wl")).drop("_wl")
+    return train.join(w, F.col(label_col) == F.col("_wl")).drop("_wl")
 
 
 def train_weighted_classifier(train: DataFrame, text_col: str = "text", label_col: str = "label",
@@ -157,7 +147,7 @@ def generate_batches(df: DataFrame, generator_factory: Callable[[], Callable], p
                                                         T.StructField("logits", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
-        gen = _scorer(generator_factory)
+        gen = generator_factory()  # once per task
         for pdf in batches:
             answers, logits = gen(pdf[prompt_col].fillna("").astype(str).tolist())
             out = pdf[id_cols].copy()

@@ -18,9 +18,6 @@ TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1
 SPECIALS = ["[PAD]", "[UNK]"]
 PAD_ID, UNK_ID = 0, 1
 IGNORE_ID = -100
-# Vocabulary rows above which the id lookup is a shuffle join (AQE splits hot
-# tokens) instead of a broadcast.
-BROADCAST_MAX_ROWS = 2_000_000
 
 
 def tokens(col) -> "F.Column":
@@ -51,23 +48,34 @@ def vocabulary(df: DataFrame, text_col: str = "text", min_count: int = 1, max_si
 
 
 def _lookup(toks: DataFrame, vocab: DataFrame) -> DataFrame:
-    v = vocab.select("token", F.col("id").alias("_id"))
-    if v.count() <= BROADCAST_MAX_ROWS:  # checked bound
-        v = F.broadcast(v)
-    return toks.join(v, "token", "left").withColumn("_id", F.coalesce("_id", F.lit(UNK_ID)).cast("int"))
+    # no hint: the planner chooses by bytes, AQE splits a hot token's partition
+    return toks.join(vocab.select("token", F.col("id").alias("_id")), "token", "left").withColumn("_id", F.coalesce("_id", F.lit(UNK_ID)).cast("int"))
 
 
-def encode_tokens(df: DataFrame, vocab: DataFrame, text_col: str = "text", id_col: str = "row_id",
-                  max_length: int = 256, padding: str = "right", pad_to: str = "max_length",
-                  batch_col: str | None = None) -> DataFrame:
-    """Adds ``input_ids`` and ``attention_mask`` (int arrays). ``pad_to='longest'``
-    pads to the longest row of ``batch_col`` (a bounded batch), else to max_length."""
+def token_ids(df: DataFrame, vocab: DataFrame, text_col: str = "text", id_col: str = "row_id", max_length: int = 256) -> DataFrame:
+    """Adds ``_ids``, the unpadded ids of the first ``max_length`` tokens."""
     toks = (df.select(id_col, F.posexplode(tokens(text_col)).alias("pos", "token"))
             .where(F.col("pos") < max_length))
     ids = (_lookup(toks, vocab).groupBy(id_col)
            .agg(F.sort_array(F.collect_list(F.struct("pos", "_id"))).alias("_p"))
            .select(id_col, F.transform("_p", lambda s: s["_id"]).alias("_ids")))
-    out = df.join(ids, id_col, "left").withColumn("_ids", F.coalesce("_ids", F.array().cast("array<int>")))
+    return df.join(ids, id_col, "left").withColumn("_ids", F.coalesce("_ids", F.array().cast("array<int>")))
+
+
+def padded(ids, length, padding: str = "right"):
+    """(input_ids, attention_mask) of an id array filled up to ``length``."""
+    ids, length = (F.col(x) if isinstance(x, str) else x for x in (ids, length))
+    fill = length - F.size(ids)
+    parts = [(ids, F.array_repeat(F.lit(PAD_ID), fill)), (F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), fill))]
+    return tuple(F.concat(*(p if padding == "right" else p[::-1])) for p in parts)
+
+
+def encode_tokens(df: DataFrame, vocab: DataFrame, text_col: str = "text", id_col: str = "row_id",
+                  max_length: int = 256, padding: str = "right", pad_to: str = "max_length",
+                  batch_col: str | None = None) -> DataFrame:
+    """Adds ``input_ids`` and ``attention_mask`` (int arrays). ``pad_to='longest'``
+    pads to the longest row of ``batch_col`` (a bounded batch), else to max_length."""
+    out = token_ids(df, vocab, text_col, id_col, max_length)
     n = F.size("_ids")
     if pad_to == "longest" and batch_col:
         length = F.max(n).over(Window.partitionBy(batch_col))  # batches are bounded
@@ -76,14 +84,8 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, text_col: str = "text", id_co
     else:
         length = F.lit(max_length)
     out = out.withColumn("_L", length)
-    pad = F.array_repeat(F.lit(PAD_ID), F.col("_L") - n)
-    ones = F.array_repeat(F.lit(1), n)
-    zeros = F.array_repeat(F.lit(0), F.col("_L") - n)
-    if padding == "left":
-        out = out.withColumns({"input_ids": F.concat(pad, "_ids"), "attention_mask": F.concat(zeros, ones)})
-    else:
-        out = out.withColumns({"input_ids": F.concat("_ids", pad), "attention_mask": F.concat(ones, zeros)})
-    return out.drop("_ids", "_L")
+    ids, mask = padded("_ids", "_L", padding)
+    return out.withColumns({"input_ids": ids, "attention_mask": mask}).drop("_ids", "_L")
 
 
 def align_target_labels(target_ids, length: int):

@@ -99,12 +99,12 @@ def q_normalize_url(spark, sf):
 
 @register("token_length_stats")
 def q_token_length_stats(spark, sf):
-    return round_doubles(C.token_length_stats(X.labelled_corpus(spark, sf), by=["split"]))
+    return round_doubles(C.token_length_stats(X.unlabelled_corpus(spark, sf), by=["split"]))
 
 
 @register("corpus_unigrams")
 def q_corpus_unigrams(spark, sf):
-    return C.corpus_unigrams(X.table(spark, sf, "documents"), min_count=2)
+    return C.corpus_unigrams(X.table(spark, sf, "documents"))
 
 
 # Prompt templates of the registered prompt queries.
@@ -116,7 +116,7 @@ NAMES = ["normal", "ofensivo"]
 @register("format_prompt_zero")
 def q_format_prompt_zero(spark, sf):
     from ..functions.prompts import format_prompt_zero
-    c = X.labelled_corpus(spark, sf)
+    c = X.unlabelled_corpus(spark, sf)
     return c.select("row_id", format_prompt_zero(ZERO_TEMPLATE, "text").alias("prompt"))
 
 
@@ -265,7 +265,7 @@ def q_roc_auc_ovr_macro(spark, sf):
 
 @register("pr_curve")
 def q_pr_curve(spark, sf):
-    return round_doubles(M.pr_curve(X.binary_predictions(spark, sf), KEYS, classes=[1]))
+    return round_doubles(M.pr_curve(_all_preds(spark, sf), KEYS))
 
 
 @register("ece")
@@ -289,7 +289,7 @@ def q_weighted_cross_entropy(spark, sf):
 def q_softmax(spark, sf):
     from ..functions.arrays import softmax
     e = X.table(spark, sf, "embeddings")
-    p = softmax(F.slice("embedding", 1, X.N_MULTI))
+    p = softmax("embedding")
     return e.select(F.col("vec_id").alias("row_id"), F.posexplode(p).alias("cls", "prob")) \
         .withColumn("prob", r6("prob"))
 
@@ -298,20 +298,20 @@ def q_softmax(spark, sf):
 def q_argmax_label(spark, sf):
     from ..functions.arrays import argmax_label
     e = X.table(spark, sf, "embeddings")
-    return e.select(F.col("vec_id").alias("row_id"), argmax_label(F.slice("embedding", 1, X.N_MULTI)).alias("pred"))
+    return e.select(F.col("vec_id").alias("row_id"), argmax_label("embedding").alias("pred"))
 
 
 @register("max_confidence")
 def q_max_confidence(spark, sf):
-    m = X.multiclass_predictions(spark, sf)
-    from ..functions.arrays import max_confidence
+    from ..functions.arrays import max_confidence, softmax
+    m = X.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), softmax("embedding").alias("probs"))
     return m.select("row_id", r6(max_confidence("probs")).alias("confidence"))
 
 
 @register("prob_slice")
 def q_prob_slice(spark, sf):
-    from ..functions.arrays import prob_slice
-    m = X.multiclass_predictions(spark, sf)
+    from ..functions.arrays import prob_slice, softmax
+    m = X.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), softmax("embedding").alias("probs"))
     return m.select("row_id", F.posexplode(prob_slice("probs", 3)).alias("cls", "prob")).withColumn("prob", r6("prob"))
 
 
@@ -400,7 +400,7 @@ def q_label_name_lookup(spark, sf):
 
 @register("add_row_index")
 def q_add_row_index(spark, sf):
-    return C.add_row_index(X.labelled_corpus(spark, sf).select("row_id")).select("row_id", "index")
+    return C.add_row_index(X.unlabelled_corpus(spark, sf).select("row_id")).select("row_id", "index")
 
 
 @register("sort_by_index")
@@ -454,7 +454,7 @@ def q_column_profile(spark, sf):
 
 @register("split_conservation")
 def q_split_conservation(spark, sf):
-    return C.split_conservation(C.random_split(X.labelled_corpus(spark, sf).drop("split")))
+    return C.split_conservation(C.random_split(X.unlabelled_corpus(spark, sf).select("row_id")))
 
 
 # ---------------------------------------------------------------- §2.5 window-style operators
@@ -471,7 +471,7 @@ def q_few_shot_sample(spark, sf):
 
 @register("random_split")
 def q_random_split(spark, sf):
-    return C.random_split(X.labelled_corpus(spark, sf).drop("split")).select("row_id", "split")
+    return C.random_split(X.unlabelled_corpus(spark, sf).select("row_id")).select("row_id", "split")
 
 
 @register("stratified_split")
@@ -481,7 +481,7 @@ def q_stratified_split(spark, sf):
 
 @register("batch_assignment")
 def q_batch_assignment(spark, sf):
-    return C.batch_assignment(X.labelled_corpus(spark, sf).select("row_id"), 16)
+    return C.batch_assignment(X.unlabelled_corpus(spark, sf).select("row_id"), 16)
 
 
 @register("length_bucketed_batches")
@@ -746,9 +746,9 @@ from ..operators import scoring as S  # noqa: E402
 
 @register("score_batches")
 def q_score_batches(spark, sf):
-    c = X.labelled_corpus(spark, sf)
-    s = S.score_batches(c, S.length_scorer_factory, id_cols=["row_id", "label"])
-    return s.select("row_id", "label", "pred", r6(F.col("probs")[1]).alias("p1"))
+    c = X.unlabelled_corpus(spark, sf)
+    s = S.score_batches(c, S.length_scorer_factory, id_cols=["row_id"])
+    return s.select("row_id", "pred", r6(F.col("probs")[1]).alias("p1"))
 
 
 @register("train_weighted_classifier")
@@ -771,6 +771,10 @@ def q_select_model(spark, sf):
 from ..operators import tokens as TK  # noqa: E402
 
 
+# Fixed value: the sequence length of the reference.
+MAX_LENGTH = 256
+
+
 def _vocab(spark, sf):
     from ..functions.text import verbalize_label
     train = X.labelled_corpus(spark, sf).where(F.col("split") == "train")
@@ -779,14 +783,12 @@ def _vocab(spark, sf):
 
 @register("encode_tokens")
 def q_encode_tokens(spark, sf):
-    test = X.labelled_corpus(spark, sf).select("row_id", "text")  # vocabulary from train, every row encoded
-    v = _vocab(spark, sf)  # written once, read by both encodings
-    r = TK.encode_tokens(test, v, max_length=16, padding="right")
-    l = TK.encode_tokens(test, v, max_length=16, padding="left").select("row_id", F.col("input_ids").alias("left_ids"))
-    out = r.join(l, "row_id")
-    return out.select("row_id", F.array_join("input_ids", " ").alias("input_ids"),
-                      F.array_join("left_ids", " ").alias("left_ids"),
-                      F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_tokens"))
+    docs = X.unlabelled_corpus(spark, sf).select("row_id", "text")  # vocabulary from train, every document encoded
+    ids = TK.token_ids(docs, _vocab(spark, sf), max_length=MAX_LENGTH)  # once, padded to either side
+    right, mask = TK.padded("_ids", F.lit(MAX_LENGTH))
+    left, _ = TK.padded("_ids", F.lit(MAX_LENGTH), "left")
+    return ids.select("row_id", F.array_join(right, " ").alias("input_ids"), F.array_join(left, " ").alias("left_ids"),
+                      F.aggregate(mask, F.lit(0), lambda a, x: a + x).alias("n_tokens"))
 
 
 @register("corpus_vocabulary")
@@ -799,7 +801,7 @@ def q_align_target_labels(spark, sf):
     from ..functions.prompts import build_instruction_pairs
     test = build_instruction_pairs(X.labelled_corpus(spark, sf))
     enc = TK.encode_tokens(test.select("row_id", F.col("target_text").alias("text")), _vocab(spark, sf), max_length=8)
-    return enc.select("row_id", F.array_join(TK.align_target_labels("input_ids", 16), " ").alias("labels"))
+    return enc.select("row_id", F.array_join(TK.align_target_labels("input_ids", MAX_LENGTH), " ").alias("labels"))
 
 
 # ---------------------------------------------------------------- §2.7 Python helpers, streaming

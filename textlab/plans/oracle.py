@@ -57,6 +57,9 @@ DOCS = f"""docs AS (
   SELECT doc_id AS row_id, lang AS dataset, {X.SPLIT_RULE.replace('row_id', 'doc_id')} AS split,
          text, n_chars, source FROM documents)"""
 
+# every document, named like the labelled corpus
+EVERY = DOCS.replace("docs AS", "corpus AS")
+
 DEDUP = """dedup AS (
   SELECT * FROM corpus WHERE split NOT IN ('train', 'validation') OR split IS NULL
   UNION ALL
@@ -214,7 +217,7 @@ def sql_tokens(x: str) -> str:
 
 
 register("token_length_stats", f"""
-WITH {CORPUS},
+WITH {EVERY},
 t AS (SELECT split, {sql_tokens('text')} AS tokens FROM corpus)
 SELECT split, max(tokens) AS max_tokens, min(tokens) AS min_tokens, round(avg(tokens), 6) AS mean_tokens,
        count(*) AS texts
@@ -222,7 +225,7 @@ FROM t GROUP BY split""")
 
 register("corpus_unigrams", r"""
 WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM documents)
-SELECT word, count(*) AS count FROM w GROUP BY word HAVING count(*) >= 2""")
+SELECT word, count(*) AS count FROM w GROUP BY word""")
 
 from ..functions.prompts import EXAMPLE_TEMPLATE  # noqa: E402
 from .catalog import FEW_TEMPLATE, NAMES, ZERO_TEMPLATE  # noqa: E402
@@ -233,7 +236,7 @@ def sql_zero(template: str, x: str) -> str:
 
 
 register("format_prompt_zero", f"""
-WITH {CORPUS}
+WITH {EVERY}
 SELECT row_id, {sql_zero(ZERO_TEMPLATE, 'text')} AS prompt FROM corpus""")
 
 
@@ -459,9 +462,8 @@ register("roc_auc_ovr_macro", f"""WITH {ALL_PREDS},
 {AUC_CTE}
 SELECT {K}, round(CASE WHEN count(auc) = count(*) THEN avg(auc) END, 6) AS roc_auc FROM auc GROUP BY ALL""")
 
-register("pr_curve", f"""WITH {CORPUS},
-{PREDS},
-{curve_cte('preds', '1')}
+register("pr_curve", f"""WITH {ALL_PREDS},
+{curve_cte('allp')}
 SELECT {K}, cls, round(score, 6) AS threshold, round(cum_pos / (cum_pos + cum_neg), 6) AS precision,
        round(CASE WHEN P > 0 THEN cum_pos / P ELSE 1.0 END, 6) AS recall FROM curve
 UNION ALL
@@ -500,18 +502,24 @@ r AS (
   FROM mpred m JOIN w ON m.label = w.label)
 SELECT {K}, round(sum(weight * nll) / sum(weight), 6) AS weighted_cross_entropy, count(*) AS n FROM r GROUP BY ALL""")
 
-register("softmax", f"""WITH {MULTI}
-SELECT row_id, CAST(generate_subscripts(probs, 1) - 1 AS INTEGER) AS cls, round(unnest(probs), 6) AS prob FROM mpred""")
+# the whole vector as logits
+WHOLE = """wexp AS (
+  SELECT vec_id AS row_id, list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE) - CAST(list_max(embedding) AS DOUBLE))) AS e
+  FROM embeddings),
+whole AS (SELECT row_id, list_transform(e, lambda x: x / list_sum(e)) AS probs FROM wexp)"""
+
+register("softmax", f"""WITH {WHOLE}
+SELECT row_id, CAST(generate_subscripts(probs, 1) - 1 AS INTEGER) AS cls, round(unnest(probs), 6) AS prob FROM whole""")
 
-register("argmax_label", f"""WITH {MULTI}
-SELECT row_id, pred FROM mpred""")
+register("argmax_label", """
+SELECT vec_id AS row_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS pred FROM embeddings""")
 
-register("max_confidence", f"""WITH {MULTI}
-SELECT row_id, round(list_max(probs), 6) AS confidence FROM mpred""")
+register("max_confidence", f"""WITH {WHOLE}
+SELECT row_id, round(list_max(probs), 6) AS confidence FROM whole""")
 
-register("prob_slice", f"""WITH {MULTI}
+register("prob_slice", f"""WITH {WHOLE}
 SELECT row_id, CAST(generate_subscripts(probs[1:3], 1) - 1 AS INTEGER) AS cls, round(unnest(probs[1:3]), 6) AS prob
-FROM mpred""")
+FROM whole""")
 
 
 # ---------------------------------------------------------------- §2.2 / §2.3 projections and joins
@@ -550,7 +558,7 @@ register("label_name_lookup", f"""WITH {CORPUS},
 n AS (SELECT row_id, CASE label {' '.join(f"WHEN {i} THEN {q(x)}" for i, x in enumerate(NAMES))} END AS name FROM corpus)
 SELECT row_id, name, CASE name {' '.join(f"WHEN {q(x)} THEN {i}" for i, x in enumerate(NAMES))} END AS label FROM n""")
 
-register("add_row_index", f"""WITH {CORPUS}
+register("add_row_index", f"""WITH {EVERY}
 SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS index FROM corpus""")
 
 register("sort_by_index", f"""WITH {CORPUS},
@@ -606,9 +614,9 @@ t AS (SELECT *, CAST(ceil(CAST(n AS DOUBLE) * 0.25) AS BIGINT) AS nt FROM o),
 v AS (SELECT *, CAST(ceil(CAST(n - nt AS DOUBLE) * 0.2) AS BIGINT) AS nv FROM t),
 sp AS (SELECT row_id, CASE WHEN rn <= nt THEN 'test' WHEN rn <= nt + nv THEN 'validation' ELSE 'train' END AS split FROM v)"""
 
-register("random_split", f"WITH {CORPUS},\n{SPLIT3}\nSELECT row_id, split FROM sp")
+register("random_split", f"WITH {EVERY},\n{SPLIT3}\nSELECT row_id, split FROM sp")
 
-register("split_conservation", f"""WITH {CORPUS},
+register("split_conservation", f"""WITH {EVERY},
 {SPLIT3},
 g AS (SELECT split, count(*) AS n FROM sp GROUP BY split)
 SELECT CAST(sum(CASE WHEN split = 'train' THEN n ELSE 0 END) AS BIGINT) AS train,
@@ -643,7 +651,7 @@ SELECT label, shot, row_id FROM (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat('42-', CAST(row_id AS VARCHAR))), row_id) AS shot
   FROM corpus WHERE split = 'train') WHERE shot <= 3""")
 
-register("batch_assignment", f"""WITH {CORPUS}
+register("batch_assignment", f"""WITH {EVERY}
 SELECT row_id, CAST(floor((row_number() OVER (ORDER BY row_id) - 1) / 16) AS BIGINT) AS batch FROM corpus""")
 
 register("length_bucketed_batches", f"""WITH {DOCS},
@@ -903,11 +911,11 @@ SELECT dataset, experiment, {fmt_sql('macro_f1')} AS macro_f1, {fmt_sql('accurac
 
 # ---------------------------------------------------------------- §2.9 model-facing jobs
 
-register("score_batches", f"""WITH {CORPUS},
-l AS (SELECT row_id, label, [0.0, ((length(text) % 11) - 5) / 2.0] AS logits FROM corpus),
+register("score_batches", f"""WITH {EVERY},
+l AS (SELECT row_id, [0.0, ((length(text) % 11) - 5) / 2.0] AS logits FROM corpus),
 e AS (SELECT *, list_transform(logits, lambda x: exp(x - list_max(logits))) AS e FROM l),
-p AS (SELECT row_id, label, list_transform(e, lambda x: x / list_sum(e)) AS probs FROM e)
-SELECT row_id, label, CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) AS pred, round(probs[2], 6) AS p1 FROM p""")
+p AS (SELECT row_id, list_transform(e, lambda x: x / list_sum(e)) AS probs FROM e)
+SELECT row_id, CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) AS pred, round(probs[2], 6) AS p1 FROM p""")
 
 
 # ---------------------------------------------------------------- §2.8 token ids
@@ -946,18 +954,18 @@ register("corpus_vocabulary", f"WITH {CORPUS},\n{VOCAB}\nSELECT token, id, count
 
 register("encode_tokens", f"""WITH {CORPUS},
 {VOCAB},
-test AS (SELECT row_id, text FROM corpus),
-{enc_cte('test', 'enc', 16)}
-SELECT row_id, array_to_string({pad_right('ids', 16)}, ' ') AS input_ids,
-       array_to_string({pad_left('ids', 16)}, ' ') AS left_ids, CAST(len(ids) AS INTEGER) AS n_tokens FROM enc""")
+test AS (SELECT doc_id AS row_id, text FROM documents),
+{enc_cte('test', 'enc', 256)}
+SELECT row_id, array_to_string({pad_right('ids', 256)}, ' ') AS input_ids,
+       array_to_string({pad_left('ids', 256)}, ' ') AS left_ids, CAST(len(ids) AS INTEGER) AS n_tokens FROM enc""")
 
 register("align_target_labels", f"""WITH {CORPUS},
 {VOCAB},
 tg AS (SELECT row_id, CASE WHEN label = 1 THEN 'Yes' ELSE 'No' END AS text FROM corpus),
 {enc_cte('tg', 'enc', 8)},
 p AS (SELECT row_id, {pad_right('ids', 8)} AS ids FROM enc)
-SELECT row_id, array_to_string(list_concat(list_transform(range(16 - least(len(ids), 16)), lambda x: -100),
-                                           ids[len(ids) - least(len(ids), 16) + 1:]), ' ') AS labels FROM p""")
+SELECT row_id, array_to_string(list_concat(list_transform(range(256 - least(len(ids), 256)), lambda x: -100),
+                                           ids[len(ids) - least(len(ids), 256) + 1:]), ' ') AS labels FROM p""")
 
 register("stream_clean_text", f"SELECT doc_id AS row_id, {sql_clean('text')} AS out FROM documents")
 
@@ -1027,9 +1035,8 @@ FROM w"""
 register("emoji_to_text", _emoji_oracle())
 
 
-def _segment_oracle(top_n: int = 50_000, max_word: int = 24) -> str:
-    """Unigram model (ASCII words outside hashtags; top ``top_n`` by count, the
-    total over all of them), a recursive best-split per distinct cleaned tag
+def _segment_oracle() -> str:
+    """Unigram model (ASCII words outside hashtags), a recursive best-split per distinct cleaned tag
     (ties to the smallest start), back-pointers walked into words, and each
     text rebuilt piece by piece."""
     from ..operators.hashtags import HASHTAG_TOKEN
@@ -1040,7 +1047,6 @@ u AS (
     FROM documents)
   WHERE regexp_full_match(word, '[a-z0-9]+') GROUP BY word),
 tot AS (SELECT CAST(coalesce(nullif(sum(cnt), 0), 1) AS DOUBLE) AS total FROM u),
-top AS (SELECT word, cnt FROM u ORDER BY cnt DESC, word LIMIT {top_n}),
 tags AS (SELECT DISTINCT unnest(regexp_extract_all(text, {q(HASHTAG_TOKEN)})) AS tag FROM documents
          WHERE contains(text, '#')),
 ts AS (SELECT tag, regexp_replace(lower(tag), '[^a-z0-9]', '', 'g') AS s FROM tags),
@@ -1051,10 +1057,10 @@ dp(tag, s, n, j, best, back) AS (
   FROM dp, LATERAL (
     SELECT c.i, c.v FROM (
       SELECT r.i AS i, dp.best[r.i + 1] + CASE WHEN t.cnt IS NOT NULL THEN log10(t.cnt / tot.total)
-               ELSE log10(10.0 / (tot.total * pow(10.0, dp.j + 1 - r.i))) END AS v
-      FROM range(greatest(0, dp.j + 1 - {max_word}), dp.j + 1) r(i)
+               ELSE 1.0::DOUBLE - log10(tot.total) - (dp.j + 1 - r.i) END AS v
+      FROM range(0, dp.j + 1) r(i)
       CROSS JOIN tot
-      LEFT JOIN top t ON t.word = substr(dp.s, r.i + 1, dp.j + 1 - r.i)) c
+      LEFT JOIN u t ON t.word = substr(dp.s, r.i + 1, dp.j + 1 - r.i)) c
     ORDER BY c.v DESC, c.i ASC LIMIT 1) m
   WHERE dp.j < dp.n),
 bt(tag, s, back, j, words) AS (

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_path
+
 # CSV dialect of the corpus files (RFC 4180 quoting, text may hold newlines).
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"',
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "mode": "PERMISSIVE"}
@@ -35,18 +37,22 @@ RECORD_SCHEMA = T.StructType([
 
 
 def _with_order(df: DataFrame) -> DataFrame:
-    """Keep an explicit ``row_id``; otherwise derive a stable file-order key."""
+    """Keep an explicit ``row_id``; otherwise number the rows, written once to the
+    shared folder so that every later read sees the same numbers."""
     if "row_id" in df.columns:
         return df
-    return df.withColumn("row_id", F.monotonically_increasing_id())
+    path = scratch_path(df.sparkSession, "numbered-rows")
+    df.withColumn("row_id", F.monotonically_increasing_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
-def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Separator chosen by extension (.csv comma, .tsv tab); anything else is rejected."""
+def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
+    """Separator chosen by extension (.csv comma, .tsv tab); anything else is rejected.
+    ``multi_line=False`` reads files whose quoted texts hold no line feed in parallel splits."""
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     if ext not in SEPARATORS:
         raise ValueError(f"unsupported file type {ext!r}: expected one of {sorted(SEPARATORS)}")
-    reader = spark.read.options(**CSV_OPTIONS).option("sep", SEPARATORS[ext])
+    reader = spark.read.options(**CSV_OPTIONS).option("multiLine", multi_line).option("sep", SEPARATORS[ext])
     if schema is not None:
         reader = reader.schema(schema)
     return reader.csv(path)
@@ -54,25 +60,29 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None =
 
 def read_corpus_csv(spark: SparkSession, train_path: str, val_path: str, test_path: str,
                     text_column: str = "text", label_column: str = "label",
-                    schema: T.StructType | None = None) -> DataFrame:
-    """Three split files -> one corpus with a ``split`` column (text, label canonical)."""
+                    schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
+    """Three split files -> one corpus with a ``split`` column (text, label canonical).
+
+    Files without a ``row_id`` are numbered over their union, so ids never meet
+    across splits."""
     parts = []
     for split, path in (("train", train_path), ("validation", val_path), ("test", test_path)):
-        df = read_delimited(spark, path, schema)
+        df = read_delimited(spark, path, schema, multi_line)
         df = df.withColumnsRenamed({text_column: "text", label_column: "label"})
-        parts.append(_with_order(df).withColumn("split", F.lit(split)))
+        parts.append(df.withColumn("split", F.lit(split)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    return out.withColumn("label", F.col("label").cast("int"))
+    return _with_order(out).withColumn("label", F.col("label").cast("int"))
 
 
 def read_json_corpus(spark: SparkSession, path: str, type_split: int = 1,
-                     schema: T.StructType | None = None) -> DataFrame:
-    """JSON-lines dataset; ``type_split`` 1/2/3 names the split (train/validation/test)."""
+                     schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
+    """JSON dataset, one record a line or (``multi_line``) an array or indented records;
+    ``type_split`` 1/2/3 names the split (train/validation/test). Malformed input fails."""
     if type_split not in SPLIT_CODES:
         raise ValueError("type_split must be 1 (train), 2 (validation) or 3 (test)")
-    reader = spark.read.schema(schema or CORPUS_SCHEMA)
+    reader = spark.read.schema(schema or CORPUS_SCHEMA).option("multiLine", multi_line).option("mode", "FAILFAST")
     return _with_order(reader.json(path)).withColumn("split", F.lit(SPLIT_CODES[type_split]))
 
 
@@ -84,9 +94,10 @@ def read_named_split(spark: SparkSession, path: str, split: str) -> DataFrame:
 def scan_result_records(spark: SparkSession, pattern: str, class_names=None) -> DataFrame:
     """Every run directory's first ``*_results.json`` -> one row (run name = the
     directory name, ``key=`` prefixes dropped; the grandparent directory is kept
-    as ``group``). Unreadable records are skipped; absent metrics are null;
-    sorted by macro_f1 descending."""
-    raw = (spark.read.schema(RECORD_SCHEMA).option("mode", "DROPMALFORMED").json(pattern)
+    as ``group``). Records may be indented; a malformed one fails the read; absent
+    metrics are null; class columns are named by the records themselves unless
+    ``class_names`` is given; sorted by macro_f1 descending."""
+    raw = (spark.read.schema(RECORD_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(pattern)
            .select("*", F.col("_metadata.file_path").alias("_path")))
     parts = F.split(F.col("_path"), "/")
     strip = lambda c: F.regexp_replace(c, "^[^=/]*=", "")
@@ -98,5 +109,5 @@ def scan_result_records(spark: SparkSession, pattern: str, class_names=None) ->
     first = raw.groupBy("_dir").agg(F.min("_path").alias("_path"))
     recs = raw.join(first, ["_dir", "_path"], "left_semi").drop("_dir", "_path")
     from ..operators.runs import flatten_metric_maps
-    names = class_names or ["0", "1"]
+    names = class_names or sorted(r[0] for r in recs.select(F.explode(F.map_keys("f1_per_class"))).distinct().collect())  # one row per class
     return flatten_metric_maps(recs, ["group", "experiment"], names).orderBy(F.col("macro_f1").desc_nulls_last())

@@ -114,7 +114,7 @@ def minority_class(df: DataFrame, label_col: str = "label") -> DataFrame:
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Per column null count, plus any-null flag and total null cells (one pass)."""
     cols = list(cols or df.columns)
-    per = [F.sum(F.when(F.col(f"`{c}`").isNull(), 1).otherwise(0)).cast("long").alias(c) for c in cols]
+    per = [F.coalesce(F.sum(F.when(F.col(f"`{c}`").isNull(), 1).otherwise(0)), F.lit(0)).cast("long").alias(c) for c in cols]
     g = df.agg(*per)
     total = sum((F.col(f"`{c}`") for c in cols), F.lit(0))
     return g.select(*cols, total.cast("long").alias("total_nulls"), (total > 0).alias("has_nulls"))
@@ -231,15 +231,27 @@ def random_split(df: DataFrame, test_ratio: float = 0.25, val_ratio: float = 0.2
                  order_col: str = "row_id", out: str = "split") -> DataFrame:
     """Exact-size shuffle split: ``ceil(n*test)`` test rows, ``ceil(rest*val)``
     validation rows, the remainder train; order = md5 of (seed, row_id)."""
-    h, prefix = hash_order_key(seed, order_col)
-    x = df.withColumn("_h", h).withColumn("_hp", prefix)
-    n = x.count()
+    n = df.count()
     n_test = _ceil_count(n, test_ratio)
     n_val = _ceil_count(n - n_test, val_ratio)
-    r = global_row_number(x, "_hp", [F.col("_h"), F.col(order_col)], out="_rn", key_range=HASH_KEY_RANGE)
-    split = (F.when(F.col("_rn") <= n_test, "test")
-             .when(F.col("_rn") <= n_test + n_val, "validation").otherwise("train"))
-    return r.withColumn(out, split).drop("_h", "_hp", "_rn")
+    # only (hash, id) pairs are ranked; the rows are then labelled by comparison with two cut values
+    h, _ = hash_order_key(seed, order_col)
+    ranked = _hash_ranked(df, seed, order_col)
+    id_type = df.schema[order_col].dataType
+    cuts = {r["_rn"]: F.struct(F.lit(r["_h"]).alias("h"), F.lit(r[order_col]).cast(id_type).alias("id"))
+            for r in ranked.where(F.col("_rn").isin(n_test, n_test + n_val)).collect()}  # two rows
+    place = F.struct(h.alias("h"), F.col(order_col).alias("id"))
+    split = F.when(place <= cuts[n_test], "test") if n_test else F.when(F.lit(False), "test")
+    if n_val:
+        split = split.when(place <= cuts[n_test + n_val], "validation")
+    return df.withColumn(out, split.otherwise("train"))
+
+
+def _hash_ranked(df: DataFrame, seed: int, order_col: str, group_cols: Sequence[str] = ()) -> DataFrame:
+    """(groups, id, _h, _rn): exact rank of every row by its seeded hash, without the other columns."""
+    h, prefix = hash_order_key(seed, order_col)
+    keys = df.select(*group_cols, order_col, h.alias("_h"), prefix.alias("_hp"))
+    return global_row_number(keys, "_hp", [F.col("_h"), F.col(order_col)], group_cols=group_cols, out="_rn", key_range=HASH_KEY_RANGE)
 
 
 def stratified_quotas(counts: dict[int, int], ratio: float) -> dict[int, int]:
@@ -265,21 +277,16 @@ def stratified_split(df: DataFrame, test_ratio: float = 0.25, seed: int = 42, la
     counts = {r[0]: r[1] for r in df.groupBy(label_col).count().collect()  # one row per class
               if r[0] is not None}  # rows without a label go to train
     quotas = stratified_quotas(counts, test_ratio)
-    h, prefix = hash_order_key(seed, order_col)
-    x = df.where(F.col(label_col).isNotNull()).withColumn("_h", h).withColumn("_hp", prefix)
-    r = global_row_number(x, "_hp", [F.col("_h"), F.col(order_col)], group_cols=[label_col], out="_rn",
-                          key_range=HASH_KEY_RANGE)
-    unlabelled = df.where(F.col(label_col).isNull()).withColumn(out, F.lit("train"))
     if not quotas:
-        return unlabelled
-    quota = label_id_quota(label_col, quotas)
-    split = r.withColumn(out, F.when(F.col("_rn") <= quota, "test").otherwise("train")).drop("_h", "_hp", "_rn")
-    return split.unionByName(unlabelled)
-
-
-def label_id_quota(label_col: str, quotas: dict[int, int]):
-    m = F.create_map(*[x for c, q in sorted(quotas.items()) for x in (F.lit(c), F.lit(q))])
-    return F.coalesce(F.element_at(m, F.col(label_col)), F.lit(0))
+        return df.withColumn(out, F.lit("train"))
+    h, _ = hash_order_key(seed, order_col)
+    ranked = _hash_ranked(df.where(F.col(label_col).isNotNull()), seed, order_col, [label_col])
+    quota = F.element_at(F.create_map(*[x for c, q in sorted(quotas.items()) for x in (F.lit(c), F.lit(q))]), F.col(label_col))
+    # one row per class: the last hash and id that go to the test part
+    cuts = ranked.where(F.col("_rn") == quota).select(F.col(label_col).alias("_class"), F.struct("_h", order_col).alias("_cut"))
+    cut = df.join(cuts, F.col(label_col) == F.col("_class"), "left")
+    inside = F.struct(h.alias("_h"), F.col(order_col)) <= F.col("_cut")
+    return cut.withColumn(out, F.when(inside, "test").otherwise("train")).drop("_class", "_cut")
 
 
 def batch_assignment(df: DataFrame, batch_size: int, order_col: str = "row_id", out: str = "batch") -> DataFrame:

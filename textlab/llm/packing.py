@@ -36,6 +36,7 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,16 +105,16 @@ class Encoder:
         return [b"".join([known[p] for p in ps]) for ps in split]
 
 
-def batches_by_chars(values: list[str], most: int = 4_000_000):
-    """Consecutive slices of at most ``most`` characters (one value at least)."""
+def slices_by_chars(sizes: list[int], most: int = 2_000_000):
+    """Consecutive ranges of texts with at most ``most`` characters (one text at least)."""
     start = total = 0
-    for i, v in enumerate(values):
-        if total and total + len(v) > most:
+    for i, n in enumerate(sizes):
+        if total and total + n > most:
             yield start, i
             start, total = i, 0
-        total += len(v)
-    if values:
-        yield start, len(values)
+        total += n
+    if sizes:
+        yield start, len(sizes)
 
 
 def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE,
@@ -126,10 +127,10 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     def run(batches):
         encoder = Encoder(tokenizer)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in batches_by_chars(texts):
+            column = batch.column(1).fill_null("")
+            for lo, hi in slices_by_chars(pc.utf8_length(column).to_pylist()):
                 cut = []
-                for i, raw in enumerate(encoder.encode(texts[lo:hi]), lo):
+                for i, raw in enumerate(encoder.encode(column.slice(lo, hi - lo).to_pylist()), lo):
                     raw += end
                     for piece, start in enumerate(range(0, len(raw), 4 * size)):
                         cut.append((i, piece, start // 4, raw[start:start + 4 * size]))

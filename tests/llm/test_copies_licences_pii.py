@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import types as T
 
+from textlab.llm.common import Cover
 from textlab.llm.exact_dedup import exact_dedup, misra_gries
 from textlab.llm.license_scan import NOTICES, Scanner, license_scan
 from textlab.llm.pii import KINDS, base_spans, find_pii, luhn, mod97, pii_spans
@@ -123,6 +124,12 @@ def test_other_licences_do_not_match():
         assert scanner.scan(text.encode())["labels"] == "", text
 
 
+def test_many_notices_in_one_long_text():
+    got = Scanner().scan(b"under the mit license. All rights reservd? all rights reserved. " * 20_000)
+    assert got["n_base"] == 20_000 and got["labels"] == "all-rights-reserved,mit"
+    assert sum(s["label"] == "mit" for s in got["spans"]) == 20_000
+
+
 def test_fuzzy_span_covers_the_changed_words():
     got = Scanner().scan(b"Released undr the MIT Licence today")
     assert [(s["label"], s["start"], s["end"], s["edits"]) for s in got["spans"]] == [("mit", 1, 5, 2)]
@@ -164,6 +171,30 @@ def test_base_spans_match_the_plain_patterns():
         assert base_spans(text) == brute_spans(text), text
 
 
+def test_long_runs_and_many_spans_end():
+    digits = "7" * 300_000  # longer than int() takes, and no pattern may read it again from every digit
+    assert find_pii(f"{digits}.1.1.1 {digits}") == []
+    assert base_spans("0" * 6000 + "1.2.3.4") == [("ip", 0, 6007)]
+    many = "ssn 123-45-6789, 4539 5787 6362 1486; " * 20_000
+    kinds = [s[0] for s in find_pii(many)]
+    assert kinds.count("ssn") == kinds.count("card") == 20_000
+
+
+def test_cover_is_a_plain_overlap_test():
+    rng = random.Random(4)
+    for _ in range(300):
+        spans = [(a, a + rng.randint(1, 6)) for a in (rng.randint(0, 60) for _ in range(rng.randint(0, 8)))]
+        cover = Cover(spans)
+        for _ in range(12):
+            a = rng.randint(0, 66)
+            b = a + rng.randint(1, 6)
+            meets = any(a < y and x < b for x, y in spans)
+            assert cover.meets(a, b) == meets
+            if not meets:
+                cover.add(a, b)
+                spans.append((a, b))
+
+
 def test_checksums():
     assert luhn("4539578763621486") and not luhn("4539578763621487")
     assert mod97("DE89370400440532013000") and not mod97("DE89370400440532013001")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +40,27 @@ def text_or_empty(col: str = "text") -> Column:
 
 def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(NOT_SPACE + "+")).cast("long")
+
+
+class Cover:
+    """Disjoint half-open intervals of one text; finds by bisection whether a span meets one."""
+
+    def __init__(self, spans=()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted(spans):
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def meets(self, start: int, end: int) -> bool:
+        at = bisect_left(self.starts, end) - 1
+        return at >= 0 and self.ends[at] > start
+
+    def add(self, start: int, end: int) -> None:
+        """Adds a span that meets none."""
+        at = bisect_left(self.starts, start)
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)

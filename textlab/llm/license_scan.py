@@ -18,10 +18,13 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Cover
+
 # Phrases whose exact places are counted, and their labels.
 BASE_PHRASES = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
 
@@ -71,11 +74,13 @@ class Scanner:
     def scan(self, text: bytes) -> dict:
         words = self.word.findall(text.lower())  # bytes.lower() changes A-Z only
         flat = b" " + b" ".join(words) + b" "
+        spaces = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
+        word_at = lambda byte: int(np.searchsorted(spaces, byte))
         base = []
         for label, phrase in self.base:
             at = flat.find(phrase)
             while at >= 0:
-                n = flat.count(b" ", 0, at)
+                n = word_at(at)
                 base.append((label, n, n + phrase.count(b" ") - 1, 0))
                 at = flat.find(phrase, at + 1)
         chars = flat.decode("latin-1")  # one character a byte: offsets stay byte offsets
@@ -94,11 +99,12 @@ class Scanner:
                     continue
                 m = pattern.search(chars, lo, hi) if hi > lo else None
                 if m and m.end() > m.start():
-                    first = flat.count(b" ", 0, m.start()) - 1
-                    last = flat.count(b" ", 0, m.end())
+                    first = word_at(m.start()) - 1
+                    last = word_at(m.end())
                     fuzzy.add((label, first, last, sum(m.fuzzy_counts), size))
                     done = m.end()
-        spans = base + [x[:4] for x in fuzzy if not any(b[0] == x[0] and b[1] < x[2] and x[1] < b[2] for b in base)]
+        covers = {label: Cover(b[1:3] for b in base if b[0] == label) for label, _ in self.base}
+        spans = base + [x[:4] for x in fuzzy if not (x[0] in covers and covers[x[0]].meets(x[1], x[2]))]
         score = 1.0 if base else max((1.0 - e / size for _, _, _, e, size in fuzzy), default=0.0)
         return {
             "n_words": len(words), "n_base": len(base),

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Cover
+
 # Kinds in output order; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "account")
 BASE = KINDS[:4]
@@ -27,7 +29,8 @@ NEAR = 40
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# A leftmost match starts where its run of digits does, and dots end runs: each run is read once.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
@@ -80,7 +83,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     if "@" in text:
         found += [("email", a, b) for a, b in emails(text)]
     for m in IP.finditer(text):
-        if all(int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m.group().split("."))):
             found.append(("ip", m.start(), m.end()))
     for m in CARD.finditer(text):
         digits = re.sub("[^0-9]", "", m.group()) if m.end() - m.start() >= 16 else ""
@@ -127,12 +130,12 @@ def find_pii(text: str) -> list[tuple[str, int, int, float]]:
     if not re.search("[0-9@]", text):
         return []
     spans = [(k, a, b, score(text, k, a, b)) for k, a, b in base_spans(text)]
-    taken = [(a, b) for _, a, b, _ in spans]
+    taken = Cover((a, b) for _, a, b, _ in spans)
     for k, a, b in further_spans(text):
         s = score(text, k, a, b)
-        if s >= LEAST_SCORE and not any(a < y and x < b for x, y in taken):
+        if s >= LEAST_SCORE and not taken.meets(a, b):
             spans.append((k, a, b, s))
-            taken.append((a, b))
+            taken.add(a, b)
     return sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 

@@ -64,6 +64,16 @@ def test_encoder_equals_direct_encoding():
         assert np.frombuffer(raw, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_long_parts_are_encoded_but_not_kept():
+    from tokenizers import Tokenizer
+    tokenizer, encoder = Tokenizer.from_file(PATH), Encoder(PATH)
+    texts = ["日本語" * 50 + " short", "w" * 500 + " short", "日本語" * 50 + " again"]
+    for _ in range(2):
+        for text, raw in zip(texts, encoder.encode(texts)):
+            assert np.frombuffer(raw, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert "short" in encoder.known and max(map(len, encoder.known)) <= 64
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_plan_is_valid_and_near_the_bound(seed):
     rng = random.Random(seed)

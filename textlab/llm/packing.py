@@ -20,8 +20,8 @@ the one with the fewest sequences is used.
 
 Sequences with the same content lengths are planned together as one run of
 consecutive ids. Documents find their place by their rank among the pieces of
-the same length; ranks are counted per (length, salt), so a length that a third
-of all documents share is spread over all tasks.
+the same length; ranks are counted per (length, salt), with as many salts as shuffle
+partitions, so a length that a third of all documents share is spread over all tasks.
 
 Defined results: a null or empty text is one piece holding only the closing id;
 an empty table gives an empty result; repeated rows are packed each; further
@@ -47,8 +47,9 @@ END_ID = 1
 # Settings tried on the histogram, as (rounded sizes, most large pieces to a
 # sequence); the plan with the fewest sequences is used.
 SETTINGS = ((48, 8), (96, 3), (256, 1))
-SALTS = 64           # rank counters per length
+SALTS = 64           # rank counters per length; as many as shuffle partitions where those are more
 CACHE_PARTS = 600_000
+CACHE_CHARS = 64     # longer parts (whole sentences of scripts without spaces) are not kept
 # Latin-1 letters (each is one composed character in either case) and ASCII marks
 # but for the apostrophe, which the tokenizer treats in its own way.
 LETTER = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
@@ -68,7 +69,7 @@ class Encoder:
     text's ids are the ids of its parts in order. Texts of Latin-1 letters, digits
     and plain marks are cut into those parts here (letter runs in lower case,
     single digits, runs of marks); others are cut at spaces and line feeds, which
-    no part crosses. Ids of parts are kept in a bounded table; only unseen parts
+    no part crosses. Ids of short parts are kept in a bounded table; only unseen parts
     reach the tokenizer, letter runs many to a call, as each ends with a word-end
     token."""
 
@@ -100,9 +101,14 @@ class Encoder:
         parts = set().union(*split)
         if len(self.known) + len(parts) > self.most:
             self.known = {"": b""}
-        self.learn(list(parts.difference(self.known)))
+        new = list(parts.difference(self.known))
+        self.learn(new)
         known = self.known
-        return [b"".join([known[p] for p in ps]) for ps in split]
+        out = [b"".join([known[p] for p in ps]) for ps in split]
+        for p in new:
+            if len(p) > CACHE_CHARS:
+                del known[p]
+        return out
 
 
 def slices_by_chars(sizes: list[int], most: int = 2_000_000):
@@ -325,10 +331,11 @@ def grouped_plan(histogram: dict[int, int], size: int, groups: int, large: int)
 
 # ------------------------------------------------------------------- operator
 
-def pack(pieces: DataFrame, size: int = SIZE, settings=SETTINGS, salts: int = SALTS) -> DataFrame:
+def pack(pieces: DataFrame, size: int = SIZE, settings=SETTINGS, salts: int | None = None) -> DataFrame:
     """Add sequence_id and offset to a table of pieces (doc_id, piece, length, ...).
 
     ``pieces`` must be a stored table: it is read twice."""
+    salts = salts or max(SALTS, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     by_salt = Window.partitionBy("length", "_salt").orderBy("_key", "doc_id", "piece")
     salted = pieces.withColumn("_key", F.xxhash64("doc_id", "piece", "ids_crc32")) \
         .withColumn("_salt", F.pmod("_key", F.lit(salts)).cast("int"))
@@ -341,8 +348,8 @@ def pack(pieces: DataFrame, size: int = SIZE, settings=SETTINGS, salts: int = SA
     ranks, firsts, offsets = (np.array([r[i] for r in places.rows], np.int64)[order] for i in (1, 2, 3))
 
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = F.broadcast(cells.select(  # at most size x salts rows
-        F.col("length").alias("_length"), F.col("_salt").alias("_of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before")))
+    starts = cells.select(  # one row per cell; the join has the keys of the rank window
+        F.col("length").alias("_length"), F.col("_salt").alias("_of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
     ranked = (salted.withColumn("_rank", F.row_number().over(by_salt) - 1)
               .join(starts, (F.col("length") == F.col("_length")) & (F.col("_salt") == F.col("_of")))
               .withColumn("_rank", F.col("_rank") + F.col("_before")).select(*pieces.columns, "_rank"))

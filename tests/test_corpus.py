@@ -102,3 +102,13 @@ def test_early_stop_matches_python_on_random_runs(spark):
                                                                              greater_is_better=gib).collect()}
             want = {r: (py_stop(vals, pat, 1.0 if gib else -1.0), len(vals)) for r, vals in runs.items()}
             assert got == want
+
+
+def test_table_profile_covers_every_column(spark):
+    df = spark.createDataFrame([(1, "ab", None), (2, "ab", None), (4, "", 1.5), (None, None, None)], "n long, t string, x double")
+    got = {r["column"]: r.asDict() for r in C.table_profile(df).collect()}
+    assert got["n"]["count"] == 3 and got["n"]["nulls"] == 1 and got["n"]["p50"] == 2.0 and got["n"]["min_length"] is None
+    assert got["t"] == {"column": "t", "count": 3, "nulls": 1, "distinct_values": 2, "top_count": 2, "mean_length": 4 / 3, "min_length": 0,
+                        "max_length": 2, **dict.fromkeys(["mean", "stddev", "min", "p25", "p50", "p75", "max"])}
+    assert got["x"]["count"] == 1 and got["x"]["stddev"] is None and got["x"]["top_count"] == 1
+    assert {r["column"]: r["count"] for r in C.table_profile(df.where("false")).collect()} in ({}, {"n": 0, "t": 0, "x": 0})

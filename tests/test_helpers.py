@@ -49,6 +49,27 @@ def test_emoji_words(spark):
     assert df.select(emoji_to_text("t", "tokens")).first()[0] == "hi grinning_face  ok"
 
 
+def test_emoji_sequences_get_one_name(spark):
+    from textlab.functions.emoji import emoji_to_text
+    cases = [("\U0001F44D\U0001F3FD", " thumbs_up_sign_emoji_modifier_fitzpatrick_type-4 "), ("\U0001F1E7\U0001F1F7", " flag_br "),
+             ("\U0001F1E7\U0001F1F7\U0001F1E7", " flag_br  regional_indicator_symbol_letter_b "), ("#\uFE0F\u20E3 7", " keycap_#  7"),
+             ("\u2600\uFE0F", " black_sun_with_rays "), ("\U0001F469\u200D\U0001F4BB", " woman_personal_computer "), ("1 # *", "1 # *"),
+             ("a\n\u2600\nb", "a\n black_sun_with_rays \nb"), ("\uFE0F", "\uFE0F"), ("", ""), (None, None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = [r[1] for r in df.select("i", emoji_to_text("t", "tokens")).orderBy("i").collect()]
+    assert got == [want for _, want in cases]
+
+
+def test_whole_cleaners(spark):
+    from textlab.operators.hashtags import baseline_clean, social_clean
+    texts = ["hate speech is bad", "stop #HateSpeech @joe \U0001F600 &amp; http://x.y", "\u201cis\u201d #\u00d3dio #speech_is", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row_id long, text string")
+    got = {r.row_id: r.text for r in baseline_clean(df).collect()}
+    assert got == {0: "hate speech is bad", 1: "stop hate speech <user> grinning face and <url>", 2: '" is " # dio speech is', 3: "", 4: ""}
+    got = {r.row_id: r.text for r in social_clean(df).collect()}
+    assert got[2] == "\u201c is \u201d \u00d3dio speech is" and got[3] == ""
+
+
 def test_score_batches_matches_formula(spark):
     from textlab.operators.scoring import length_scorer_factory, score_batches
     df = spark.createDataFrame([(1, "abc"), (2, "x" * 10), (3, "")], "row_id long, text string")
@@ -59,43 +80,36 @@ def test_score_batches_matches_formula(spark):
         assert abs(rows[rid][1][1] - p1) < 1e-12 and rows[rid][0] == int(p1 > 0.5)
 
 
-def test_emoji_oracle_matches_spark_on_emoji_text(spark, tmp_path):
-    """The emoji SQL oracle and the Spark function agree on texts that do hold
-    emoji (the driver tables have none)."""
+def test_emoji_oracle_matches_spark_on_emoji_text(spark):
+    """The emoji SQL and the Spark function agree on awkward texts."""
     import duckdb
 
     from textlab.functions.emoji import emoji_to_text
-    from textlab.plans.oracle import ORACLE
-    texts = ["hi\U0001F600 ok", "\u2600:x_y-z: :a b:", "multi\nline \U0001F44D\U0001F44D", None, "",
-             "::", ":only", "tab\t:\U0001F600:\u3000x", "plain text"]
-    df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "conv_id long, turn int, text string")
-    got = {r.conv_id: (r.out, r.out_tokens) for r in df.select(
-        "conv_id", emoji_to_text("text", "words").alias("out"), emoji_to_text("text", "tokens").alias("out_tokens")
-    ).collect()}
-    path = str(tmp_path / "conversations.parquet")
-    df.toPandas().to_parquet(path)
+    from textlab.plans.oracle import emoji_ctes
+    texts = ["hi\U0001F600 ok", "\u2600:x_y-z: :a b:", "multi\nline \U0001F44D\U0001F3FD\U0001F44D", None, "", "9\u20E3 9 #*",
+             "::", ":only", "tab\t:\U0001F600:\u3000x", "plain text", "\U0001F1E7\U0001F1F7\U0001F1E7x", "\u2764\uFE0F\u200D\U0001F525"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row_id long, text string")
+    got = {r.row_id: (r.words, r.tokens) for r in df.select(
+        "row_id", emoji_to_text("text", "words").alias("words"), emoji_to_text("text", "tokens").alias("tokens")).collect()}
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{path}')")
-    want = {r[0]: (r[2], r[3]) for r in con.execute(ORACLE["emoji_to_text"]).fetchall()}
+    con.register("src", df.toPandas())
+    want = {r[0]: (r[1], r[2]) for r in con.execute(f"WITH {emoji_ctes('src')} SELECT row_id, words, tokens FROM named").fetchall()}
     assert got == want
 
 
-def test_segment_oracle_matches_spark_on_real_tags(spark, tmp_path):
-    """The segmentation SQL oracle and the Spark operator agree on compound tags
-    (the driver tables hold only symbol-run tags, which clean to nothing)."""
+def test_segment_oracle_matches_spark_on_real_tags(spark):
+    """The segmentation SQL and the Spark operator agree on awkward tags."""
     import duckdb
 
-    from textlab.plans.oracle import ORACLE
+    from textlab.plans.oracle import segment_ctes
     texts = ["hate speech is bad", "speech is free and bad", "stop #HateSpeech now", "no tags here",
              "#isbad! and #Stop_Hate", "#a#b x", "# lone", "#123abc #xyzzyplugh", None, "",
              "is is is hate speech stop now free", "#speechisbadnow\n#HATE"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    path = str(tmp_path / "documents.parquet")
-    df.toPandas().to_parquet(path)
-    from textlab.operators.hashtags import segment_hashtags
-    got = {r.row_id: r.text for r in segment_hashtags(df.withColumnRenamed("doc_id", "row_id")).collect()}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row_id long, text string")
+    got = {r.row_id: r.text for r in segment_hashtags(df).collect()}
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}')")
-    want = {r[0]: r[1] for r in con.execute(ORACLE["segment_hashtags"]).fetchall()}
+    con.register("src", df.toPandas())
+    tag = r"#[^\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{3000}]+"
+    want = {r[0]: r[1] for r in con.execute(f"WITH RECURSIVE {segment_ctes('src', tag)} SELECT row_id, text FROM segmented").fetchall()}
     assert got == want
     assert got[2] == "stop hate speech now" and got[11] == "speech is bad now\nhate"

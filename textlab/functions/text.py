@@ -39,6 +39,11 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _guarded(c: Column, needle: str, pattern: str, repl: str) -> Column:
     """Run the regex only on values holding its literal trigger (same result,
     avoids backtracking scans of texts that cannot match)."""
@@ -110,7 +115,9 @@ def generic_preprocess(col, emoji_col: Column | None = None) -> Column:
     ``emoji_col``: optionally the text already passed through an emoji-to-name
     step (see ``textlab.functions.emoji``); by default the step is off.
     """
-    c = _c(col) if emoji_col is None else emoji_col
+    if emoji_col is not None:
+        return once(emoji_col, lambda t: generic_preprocess(t))
+    c = _c(col)
     hit = F.contains(c, F.lit("http")) | F.contains(c, F.lit("www"))
     c = F.when(hit, F.regexp_replace(c, URL_LOOSE_PATTERN, " ")).otherwise(c)
     c = _guarded(c, "@", MENTION_PATTERN, " ")
@@ -127,14 +134,20 @@ def generic_preprocess(col, emoji_col: Column | None = None) -> Column:
 SOCIAL_TOKEN = f"<url>|<user>|<email>|(?:{WORD}|')+|{NON_WS}"
 
 
+def social_tags(col) -> Column:
+    """Addresses, names and e-mails to tags; null -> ''."""
+    return normalize_email(normalize_mention(normalize_url(F.coalesce(_c(col), F.lit("")))))
+
+
+def social_tokens(col) -> Column:
+    """Social tokens joined by one space, case kept."""
+    return F.array_join(F.regexp_extract_all(_c(col), F.lit(SOCIAL_TOKEN), 0), " ")
+
+
 def social_normalize(col) -> Column:
-    """Url/user/email to tags, hashtags unpacked, tokens joined by one space, case kept."""
-    c = F.coalesce(_c(col), F.lit(""))
-    c = normalize_url(c)
-    c = normalize_mention(c)
-    c = normalize_email(c)
-    c = unpack_hashtag(c)
-    return F.array_join(F.regexp_extract_all(c, F.lit(SOCIAL_TOKEN), 0), " ")
+    """Url/user/email to tags, hashtags unpacked to their word, tokens joined by one space
+    (``operators.hashtags.social_clean`` segments the hashtags as well)."""
+    return social_tokens(unpack_hashtag(social_tags(col)))
 
 
 # Typographic quotes mapped to ASCII.
@@ -142,17 +155,21 @@ CURLY_QUOTES_FROM = "‘’“”"
 CURLY_QUOTES_TO = "''\"\""
 
 
-def baseline_preprocess(col, emoji_col: Column | None = None) -> Column:
+def ascii_text(col) -> Column:
     """``&amp;``/``&`` to ``and``, curly quotes straightened, non-ASCII runs to a
-    space, space runs collapsed, then social normalisation (hashtags unpacked
-    to their word; dictionary segmentation is ``segment_hashtags``)."""
-    c = F.coalesce(_c(col), F.lit("")) if emoji_col is None else emoji_col
+    space, space runs collapsed; null -> ''."""
+    c = F.coalesce(_c(col), F.lit(""))
     c = F.replace(c, F.lit("&amp;"), F.lit("and"))
     c = F.replace(c, F.lit("&"), F.lit("and"))
     c = F.translate(c, CURLY_QUOTES_FROM, CURLY_QUOTES_TO)
     c = F.regexp_replace(c, NON_ASCII_RUN, " ")
-    c = F.regexp_replace(c, " +", " ")
-    return social_normalize(c)
+    return F.regexp_replace(c, " +", " ")
+
+
+def baseline_preprocess(col, emoji_col: Column | None = None) -> Column:
+    """``ascii_text``, then social normalisation with hashtags unpacked to their word
+    (``operators.hashtags.baseline_clean`` is the whole chain, emoji and segmentation included)."""
+    return once(ascii_text(col if emoji_col is None else emoji_col), social_normalize)
 
 
 def whitespace_tokens(col) -> Column:

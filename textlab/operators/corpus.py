@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import token_count
 from .rank import HASH_KEY_RANGE, global_row_number, hash_order_key
@@ -156,6 +157,36 @@ def column_profile(df: DataFrame, col: str) -> DataFrame:
     )
 
 
+def table_profile(df: DataFrame) -> DataFrame:
+    """One row per column of ``df``: count, nulls, distinct values, count of the most frequent value, text lengths
+    (of strings) and mean, deviation, range and exact quartiles (of numbers).
+
+    Values of all columns are counted in one pass by (column, digest), combined map-side."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.sha2(F.col(f"`{c}`").cast("string"), 256).alias("digest"),
+                               F.length(F.col(f"`{c}`").cast("string")).cast("long").alias("length")) for c in df.columns])
+    counted = (df.select(F.explode(cells).alias("cell")).select("cell.*").groupBy("column", "digest")
+               .agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("chars"), F.min("length").alias("low"), F.max("length").alias("high")))
+    present = F.col("digest").isNotNull()
+    general = counted.groupBy("column").agg(
+        F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("count"),
+        F.coalesce(F.sum(F.when(~present, F.col("n"))), F.lit(0)).alias("nulls"),
+        F.count("digest").alias("distinct_values"), F.max(F.when(present, F.col("n"))).alias("top_count"),
+        F.sum("chars").alias("_chars"), F.min("low").alias("_low"), F.max("high").alias("_high"))
+    texts = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
+    numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+    is_text = F.col("column").isin(texts)
+    general = general.select(
+        "column", "count", "nulls", "distinct_values", "top_count", F.when(is_text, F.col("_chars") / F.col("count")).alias("mean_length"),
+        F.when(is_text, F.col("_low")).alias("min_length"), F.when(is_text, F.col("_high")).alias("max_length"))
+    if not numbers:
+        return general
+    measured = None
+    for c in numbers:
+        one = column_profile(df, c).drop("count", "nulls").withColumn("column", F.lit(c))
+        measured = one if measured is None else measured.unionByName(one)
+    return general.join(measured, "column", "left")
+
+
 def token_length_stats(df: DataFrame, text_col: str = "text", by: Sequence[str] = ()) -> DataFrame:
     """max / min / mean whitespace-token count per text, optionally per split."""
     t = df.select(*by, token_count(text_col).cast("long").alias("tokens"))

@@ -101,11 +101,12 @@ def predict(model, df: DataFrame, keep: Sequence[str] = ("row_id", "label")) ->
 
 def select_model(train: DataFrame, validation: DataFrame, reg_params: Sequence[float] = (0.0, 0.01, 0.1),
                  text_col: str = "text", label_col: str = "label", max_iter: int = 20,
-                 num_features: int = 1 << 16):
+                 num_features: int = 1 << 16, test: DataFrame | None = None):
     """Fit one model per configuration, score macro-F1 on validation, keep the
-    best (first on ties). The TF-IDF features are fitted and written once (shared
-    checkpoint folder); only the classifier is refitted per configuration.
-    Returns (best pipeline model, table of configs and scores)."""
+    best (first on ties) and score it on ``test``. The TF-IDF features are fitted and
+    written once (shared checkpoint folder); only the classifier is refitted per configuration.
+    Returns (best pipeline model, table of configs and scores; ``test_macro_f1`` is null
+    but for the selected one)."""
     from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import vector_to_array
@@ -131,6 +132,12 @@ def select_model(train: DataFrame, validation: DataFrame, reg_params: Sequence[f
             best = (PipelineModel(stages=list(feats.stages) + [lr]), f1, i)
     table = spark.createDataFrame(pd.DataFrame(rows, columns=["config", "reg_param", "val_macro_f1"]))
     table = table.withColumn("selected", F.col("config") == F.lit(best[2]))
+    tested = None
+    if test is not None:
+        p = predict(best[0], test.withColumn(label_col, F.col(label_col).cast("int")), keep=[F.col(label_col).alias("label")])
+        row = summary_metrics(p.withColumn("config", F.lit(best[2])), ["config"]).first()
+        tested = row["macro_f1"] if row else None
+    table = table.withColumn("test_macro_f1", F.when(F.col("selected"), F.lit(tested).cast("double")))
     return best[0], table
 
 

@@ -83,13 +83,28 @@ for _name, _fn in {
     "expand_ampersand": T.expand_ampersand,
     "collapse_whitespace": T.collapse_whitespace,
     "simple_preprocess": T.simple_preprocess,
-    "generic_preprocess": T.generic_preprocess,
-    "baseline_preprocess": T.baseline_preprocess,
-    "social_normalize": T.social_normalize,
 }.items():
     register(_name)(_text_query(_fn))
 
 
+@register("generic_preprocess")
+def q_generic_preprocess(spark, sf):
+    from ..functions.emoji import emoji_to_text
+    return X.posts(spark, sf).select("row_id", T.generic_preprocess("text", emoji_to_text("text", "tokens")).alias("out"))
+
+
+@register("baseline_preprocess")
+def q_baseline_preprocess(spark, sf):
+    from ..operators.hashtags import baseline_clean
+    return baseline_clean(X.posts(spark, sf)).select("row_id", F.col("text").alias("out"))
+
+
+@register("social_normalize")
+def q_social_normalize(spark, sf):
+    from ..operators.hashtags import social_clean
+    return social_clean(X.posts(spark, sf)).select("row_id", F.col("text").alias("out"))
+
+
 @register("normalize_url")
 def q_normalize_url(spark, sf):
     pages = X.table(spark, sf, "pages")
@@ -449,7 +464,7 @@ def q_duplicate_count(spark, sf):
 
 @register("column_profile")
 def q_column_profile(spark, sf):
-    return round_doubles(C.column_profile(X.table(spark, sf, "documents"), "n_chars"))
+    return round_doubles(C.table_profile(X.table(spark, sf, "documents")))
 
 
 @register("split_conservation")
@@ -610,16 +625,15 @@ def q_cross_dataset_eval(spark, sf):
     rule is applied to every other dataset's test rows; metrics per pair."""
     c = X.labelled_corpus(spark, sf)
     p = X.binary_predictions(spark, sf).where(F.col("experiment") == "e3").select("dataset", "row_id", "label", "probs")
-    rates = (c.where(F.col("split") != "test").groupBy("dataset").agg(F.avg("label").alias("rate"))
-             .collect())  # one row per dataset: a bounded, tiny list
-    thr = F.create_map(*[x for r in sorted(rates) for x in (F.lit(r["dataset"]), F.lit(float(r["rate"])))])
+    rates = c.where(F.col("split") != "test").groupBy(F.col("dataset").alias("train_dataset")).agg(F.avg("label").alias("rate"))
     test = p.join(c.where(F.col("split") == "test").select("row_id"), "row_id", "left_semi") \
-        .withColumnRenamed("dataset", "test_dataset")
-    pairs = (test.select("*", F.explode(thr).alias("train_dataset", "threshold"))
-             .where(F.col("train_dataset") != F.col("test_dataset")))
-    preds = pairs.withColumn("pred", (F.col("probs")[1] >= F.lit(1.0) - F.col("threshold")).cast("int"))
+        .groupBy(F.col("dataset").alias("test_dataset"), "label", F.col("probs")[1].alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    thresholds = rates.agg(F.collect_list(F.struct("train_dataset", "rate"))).scalar()  # one entry per dataset
+    pairs = test.withColumn("rule", F.explode(thresholds)).select("*", "rule.*").where(F.col("train_dataset") != F.col("test_dataset"))
+    pred = (F.col("score") >= F.lit(1.0) - F.col("rate")).cast("int").alias("pred")
     keys = ["train_dataset", "test_dataset"]
-    return round_doubles(M.cross_dataset_eval(preds).select(*keys, "accuracy", "macro_f1"))
+    counts = pairs.groupBy(*keys, "label", pred).agg(F.sum("n").alias("n"))
+    return round_doubles(M.summary_metrics(pairs, keys, counts=counts).select(*keys, "accuracy", "macro_f1"))
 
 
 # ---------------------------------------------------------------- §2.1 sources and sinks
@@ -724,9 +738,10 @@ def q_write_prediction_csv(spark, sf):
         F.col("macro_f1").alias("Macro_F1"), F.col("micro_f1").alias("Micro_F1"),
         F.col("accuracy").alias("Accuracy"), F.col("mcc").alias("MCC"))
     SW.write_prediction_csv(p, s, base)
-    schema = TT.StructType([TT.StructField("True", TT.IntegerType()), TT.StructField("Prediction", TT.IntegerType())])
-    t = spark.read.options(**SR.CSV_OPTIONS).schema(schema).csv(os.path.join(base, "predictions"))
-    return t.groupBy("True", "Prediction").agg(F.count(F.lit(1)).alias("n"))
+    read = lambda name, schema: spark.read.options(**SR.CSV_OPTIONS).schema(schema).csv(os.path.join(base, name))
+    cells = read("predictions", "`True` int, Prediction int").groupBy("True", "Prediction").agg(F.count(F.lit(1)).alias("n"))
+    metrics = read("metrics", "Macro_F1 double, Micro_F1 double, Accuracy double, MCC double")
+    return round_doubles(cells.unionByName(metrics, allowMissingColumns=True))
 
 
 @register("write_result_tables")
@@ -734,9 +749,14 @@ def q_write_result_tables(spark, sf):
     base = scratch_path(spark, "result-tables")
     r = results_table(spark, sf)
     SW.write_result_tables(r, base, R.summary_table(r), R.detailed_table(r))
-    schema = TT.StructType([TT.StructField("dataset", TT.StringType()), TT.StructField("experiment", TT.StringType()),
-                            TT.StructField("macro_f1", TT.StringType()), TT.StructField("accuracy", TT.StringType())])
-    return spark.read.options(**SR.CSV_OPTIONS).schema(schema).csv(os.path.join(base, "summary_results"))
+    tables = []
+    for name, columns in (("all_results", r.columns), ("summary_results", R.summary_table(r).columns), ("detailed_results", R.detailed_table(r).columns)):
+        t = spark.read.options(**SR.CSV_OPTIONS).schema(", ".join(f"`{c}` string" for c in columns)).csv(os.path.join(base, name))
+        values = [c for c in columns if c not in KEYS]
+        t = t.select(F.lit(name).alias("table"), *KEYS, *values).unpivot(["table", *KEYS], values, "column", "value")
+        tables.append(t)
+    raw = tables[0].withColumn("value", R.fmt(F.col("value").cast("double")))  # full doubles in the file, compared at 4 places
+    return raw.unionByName(tables[1]).unionByName(tables[2])
 
 
 # ---------------------------------------------------------------- §2.9 model-facing jobs
@@ -762,8 +782,9 @@ def q_train_weighted_classifier(spark, sf):
 @register("select_model")
 def q_select_model(spark, sf):
     c = X.labelled_corpus(spark, sf).withColumn("text", T.clean_text("text"))
-    _, table = S.select_model(c.where(F.col("split") == "train"), c.where(F.col("split") == "validation"))
-    return table.select("config", "reg_param", "selected")
+    part = lambda name: c.where(F.col("split") == name)
+    _, table = S.select_model(part("train"), part("validation"), test=part("test"))
+    return round_doubles(table)
 
 
 # ---------------------------------------------------------------- §2.8 token ids
@@ -809,16 +830,13 @@ def q_align_target_labels(spark, sf):
 @register("emoji_to_text")
 def q_emoji_to_text(spark, sf):
     from ..functions.emoji import emoji_to_text
-    conv = X.table(spark, sf, "conversations")
-    return conv.select("conv_id", "turn", emoji_to_text("text", "words").alias("out"),
-                       emoji_to_text("text", "tokens").alias("out_tokens"))
+    return X.posts(spark, sf).select("row_id", emoji_to_text("text", "words").alias("out"), emoji_to_text("text", "tokens").alias("out_tokens"))
 
 
 @register("segment_hashtags")
 def q_segment_hashtags(spark, sf):
     from ..operators.hashtags import segment_hashtags
-    docs = X.table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text")
-    return segment_hashtags(docs).select("row_id", "text")
+    return segment_hashtags(X.posts(spark, sf)).select("row_id", "text")
 
 
 @register("stream_clean_text")

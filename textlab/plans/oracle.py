@@ -160,13 +160,15 @@ FROM summ s JOIN ece e USING (dataset, experiment) JOIN cnt c USING (dataset, ex
 
 # ---------------------------------------------------------------- §2.7 text functions
 
-def sql_social(x: str) -> str:
+def sql_social_tags(x: str) -> str:
     c = f"coalesce({x}, '')"
     c = rx(c, T.URL_PATTERN, T.URL_TOKEN)
     c = rx(c, T.MENTION_PATTERN, T.USER_TOKEN)
-    c = rx(c, T.EMAIL_PATTERN, T.EMAIL_TOKEN)
-    c = rx(c, T.HASHTAG_PATTERN, r"\1")
-    return f"array_to_string(regexp_extract_all({c}, {q(T.SOCIAL_TOKEN)}), ' ')"
+    return rx(c, T.EMAIL_PATTERN, T.EMAIL_TOKEN)
+
+
+def sql_social_tokens(x: str) -> str:
+    return f"array_to_string(regexp_extract_all({x}, {q(T.SOCIAL_TOKEN)}), ' ')"
 
 
 def sql_simple(x: str) -> str:
@@ -184,12 +186,11 @@ def sql_generic(x: str) -> str:
     return sql_unicode_strip(c)
 
 
-def sql_baseline(x: str) -> str:
+def sql_ascii(x: str) -> str:
     c = f"replace(replace(coalesce({x}, ''), '&amp;', 'and'), '&', 'and')"
     c = f"translate({c}, {q(T.CURLY_QUOTES_FROM)}, {q(T.CURLY_QUOTES_TO)})"
     c = rx(c, T.NON_ASCII_RUN, " ")
-    c = rx(c, " +", " ")
-    return sql_social(c)
+    return rx(c, " +", " ")
 
 
 _TEXT_SQL = {
@@ -200,9 +201,6 @@ _TEXT_SQL = {
     "expand_ampersand": sql_ampersand,
     "collapse_whitespace": sql_collapse,
     "simple_preprocess": sql_simple,
-    "generic_preprocess": sql_generic,
-    "baseline_preprocess": sql_baseline,
-    "social_normalize": sql_social,
 }
 for _k, _f in _TEXT_SQL.items():
     register(_k, f"SELECT doc_id AS row_id, {_f('text')} AS out FROM documents")
@@ -601,11 +599,17 @@ FROM s""")
 register("duplicate_count", """WITH g AS (SELECT text, count(*) AS n FROM documents GROUP BY text)
 SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates, count(*) AS distinct_values FROM g""")
 
-register("column_profile", """SELECT count(n_chars) AS count, CAST(sum(CASE WHEN n_chars IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls,
-  round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS stddev, round(CAST(min(n_chars) AS DOUBLE), 6) AS min,
-  round(quantile_cont(n_chars, 0.25), 6) AS p25, round(quantile_cont(n_chars, 0.5), 6) AS p50,
-  round(quantile_cont(n_chars, 0.75), 6) AS p75, round(CAST(max(n_chars) AS DOUBLE), 6) AS max
-FROM documents""")
+def profile_sql(c: str, number: bool) -> str:
+    of_number = {"mean": f"avg({c})", "stddev": f"stddev_samp({c})", "min": f"CAST(min({c}) AS DOUBLE)", "p25": f"quantile_cont({c}, 0.25)",
+                 "p50": f"quantile_cont({c}, 0.5)", "p75": f"quantile_cont({c}, 0.75)", "max": f"CAST(max({c}) AS DOUBLE)"}
+    of_text = {"mean_length": f"round(avg(length({c})), 6)", "min_length": f"min(length({c}))", "max_length": f"max(length({c}))"}
+    return f"""SELECT '{c}' AS "column", count({c}) AS count, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct_values,
+  (SELECT max(n) FROM (SELECT count(*) AS n FROM documents WHERE {c} IS NOT NULL GROUP BY {c})) AS top_count,
+  {', '.join(f"{'NULL' if number else x} AS {k}" for k, x in of_text.items())},
+  {', '.join(f"{f'round({x}, 6)' if number else 'NULL'} AS {k}" for k, x in of_number.items())} FROM documents"""
+
+
+register("column_profile", "\nUNION ALL\n".join(profile_sql(c, c in ("doc_id", "n_chars")) for c in ("doc_id", "n_chars", "text", "lang", "source")))
 
 SPLIT3 = f"""o AS (
   SELECT row_id, row_number() OVER (ORDER BY md5(concat('42-', CAST(row_id AS VARCHAR))), row_id) AS rn,
@@ -902,11 +906,29 @@ SELECT {K}, {rnd(['macro_f1', 'accuracy', 'macro_avg_precision', 'roc_auc', 'ece
 register("scan_result_records", f"WITH {BIN_PREDS},\n{RECORDS}\nSELECT {K}, {rnd(RESULT_COLS)} FROM results")
 register("write_submission_jsonl", f"""WITH {BIN_PREDS}
 SELECT row_number() OVER (ORDER BY row_id) - 1 AS index, pred AS prediction FROM preds WHERE experiment = 'e3'""")
-register("write_prediction_csv", f"""WITH {BIN_PREDS}
-SELECT label AS "True", pred AS "Prediction", count(*) AS n FROM preds WHERE experiment = 'e3' GROUP BY ALL""")
+register("write_prediction_csv", f"""WITH {BIN_PREDS},
+e3 AS (SELECT * FROM preds WHERE experiment = 'e3'),
+{class_stats_cte('e3', 'experiment')},
+m AS (SELECT sum(tp)::DOUBLE AS c, sum(support)::DOUBLE AS s, sum(predicted::DOUBLE * support) AS pt, sum(predicted::DOUBLE * predicted) AS p2,
+             sum(support::DOUBLE * support) AS t2, avg({ratio('2 * tp', 'support + predicted')}) AS macro_f1, sum(predicted) AS pp
+      FROM stats GROUP BY experiment)
+SELECT label AS "True", pred AS "Prediction", count(*) AS n, NULL AS "Macro_F1", NULL AS "Micro_F1", NULL AS "Accuracy", NULL AS "MCC"
+FROM e3 GROUP BY ALL
+UNION ALL
+SELECT NULL, NULL, NULL, round(macro_f1, 6), round(2 * c / (pp + s), 6), round(c / s, 6),
+       round(CASE WHEN (s * s - p2) * (s * s - t2) > 0 THEN (c * s - pt) / sqrt((s * s - p2) * (s * s - t2)) ELSE 0 END, 6) FROM m""")
+
+
+def long_rows(table: str, columns) -> str:
+    return " UNION ALL ".join(f"SELECT '{table}' AS \"table\", dataset, experiment, '{c}' AS \"column\", {fmt_sql(c)} AS value FROM results"
+                              for c in columns)
+
+
 register("write_result_tables", f"""WITH {BIN_PREDS},
 {RECORDS}
-SELECT dataset, experiment, {fmt_sql('macro_f1')} AS macro_f1, {fmt_sql('accuracy')} AS accuracy FROM results""")
+{long_rows('all_results', RESULT_COLS)}
+UNION ALL {long_rows('summary_results', ['macro_f1', 'accuracy'])}
+UNION ALL {long_rows('detailed_results', DET)}""")
 
 
 # ---------------------------------------------------------------- §2.9 model-facing jobs
@@ -1003,51 +1025,63 @@ SELECT s.dataset, s.experiment, round(s.accuracy, 6) AS accuracy, round(s.macro_
 FROM summ s LEFT JOIN auc a USING ({K}) LEFT JOIN ece e USING ({K})""")
 
 
-def _emoji_oracle() -> str:
-    """Code points -> names from the same rule as the Spark side (a VALUES table
-    generated at import), text split into code points and re-joined in order;
-    the words mode then rewrites each ``:<non-space run>:`` (leftmost-first
-    alternation = Python's left-to-right substitution scan)."""
-    from ..functions.emoji import emoji_names
-    values = ", ".join(f"({cp}, {q(n)})" for cp, n in sorted(emoji_names().items()))
-    run = f":{T.NON_WS}+:"
-    return f"""WITH names(cp, name) AS (VALUES {values}),
-ch AS (
-  SELECT conv_id, turn, unnest(cs) AS c, unnest(range(len(cs))) AS i
-  FROM (SELECT conv_id, turn, regexp_extract_all(text, '(?s).') AS cs FROM conversations WHERE text IS NOT NULL)),
-j AS (
-  SELECT conv_id, turn,
-         string_agg(coalesce(':' || n.name || ':', ch.c), '' ORDER BY i) AS named,
-         string_agg(coalesce(' ' || n.name || ' ', ch.c), '' ORDER BY i) AS spaced
-  FROM ch LEFT JOIN names n ON n.cp = unicode(ch.c) GROUP BY conv_id, turn),
-w AS (
-  SELECT c.conv_id, c.turn, c.text, coalesce(j.named, '') AS named, coalesce(j.spaced, '') AS spaced
-  FROM conversations c LEFT JOIN j ON c.conv_id = j.conv_id AND c.turn = j.turn)
-SELECT conv_id, turn,
-       CASE WHEN text IS NULL THEN NULL ELSE array_to_string(list_transform(
-         regexp_extract_all(named, {q(run + '|(?s).')}),
-         lambda p: CASE WHEN length(p) > 1 THEN replace(replace(replace(p, '_', ' '), '-', ' '), ':', '') ELSE p END),
-         '') END AS out,
-       CASE WHEN text IS NULL THEN NULL ELSE spaced END AS out_tokens
-FROM w"""
-
-
-register("emoji_to_text", _emoji_oracle())
+POSTS = f"""posts AS (
+  SELECT doc_id AS row_id,
+         concat(text, ' &amp; ', [{', '.join(q(x) for x in X.SYMBOLS)}][1 + doc_id % {len(X.SYMBOLS)}], ' http://', source, '/',
+                doc_id, ' @', lang, ' me@ex.com #', coalesce(w[1], ''), coalesce(w[2], ''), ' #\u00d3dio!') AS text
+  FROM (SELECT *, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents) WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL)"""
 
 
-def _segment_oracle() -> str:
-    """Unigram model (ASCII words outside hashtags), a recursive best-split per distinct cleaned tag
-    (ties to the smallest start), back-pointers walked into words, and each
+def emoji_ctes(src: str) -> str:
+    """``named`` (row_id, text, words, tokens) of ``src``: texts cut into symbol sequences and the rest, each
+    distinct sequence named from its code points, texts joined again."""
+    from ..functions import emoji as E
+    values = ", ".join(f"({cp}, {q(n)})" for cp, n in sorted(E.emoji_names().items()))
+    run = f":{T.NON_WS}+:"
+    return f"""names(cp, name) AS (VALUES {values}),
+ep AS (
+  SELECT row_id, unnest(ps) AS piece, unnest(range(len(ps))) AS i
+  FROM (SELECT row_id, regexp_extract_all(text, {q(E.piece_pattern())}) AS ps FROM {src} WHERE text IS NOT NULL)),
+ec AS (
+  SELECT piece, unnest(cs) AS ch, unnest(range(len(cs))) AS k
+  FROM (SELECT piece, regexp_extract_all(piece, '(?s).') AS cs
+        FROM (SELECT DISTINCT piece FROM ep WHERE regexp_full_match(piece, {q(E.sequence_pattern())})))),
+said AS (
+  SELECT piece, CASE
+    WHEN regexp_full_match(piece, '[\\x{{1F1E6}}-\\x{{1F1FF}}]{{2}}')
+      THEN concat('flag_', string_agg(CASE WHEN unicode(ch) BETWEEN 127462 AND 127487 THEN chr(97 + unicode(ch) - 127462) END, '' ORDER BY k))
+    WHEN contains(piece, '\u20e3') THEN concat('keycap_', substr(piece, 1, 1))
+    ELSE string_agg(n.name, '_' ORDER BY k) END AS name
+  FROM ec LEFT JOIN names n ON n.cp = unicode(ec.ch) GROUP BY piece),
+ej AS (
+  SELECT row_id, string_agg(coalesce(':' || name || ':', ep.piece), '' ORDER BY i) AS marked,
+         string_agg(coalesce(' ' || name || ' ', ep.piece), '' ORDER BY i) AS spaced
+  FROM ep LEFT JOIN said ON said.piece = ep.piece GROUP BY row_id),
+named AS (
+  SELECT s.row_id, CASE WHEN s.text IS NOT NULL THEN array_to_string(list_transform(
+           regexp_extract_all(coalesce(marked, ''), {q(run + '|(?s).')}),
+           lambda p: CASE WHEN length(p) > 1 THEN replace(replace(replace(p, '_', ' '), '-', ' '), ':', '') ELSE p END), '') END AS words,
+         CASE WHEN s.text IS NOT NULL THEN coalesce(spaced, '') END AS tokens
+  FROM {src} s LEFT JOIN ej ON ej.row_id = s.row_id)"""
+
+
+register("emoji_to_text", f"WITH {POSTS},\n{emoji_ctes('posts')}\nSELECT row_id, words AS out, tokens AS out_tokens FROM named")
+register("generic_preprocess", f"WITH {POSTS},\n{emoji_ctes('posts')}\nSELECT row_id, {sql_generic('tokens')} AS out FROM named")
+
+
+def segment_ctes(src: str, tag: str, foreign: bool = True) -> str:
+    """``segmented`` (row_id, text) of ``src``: unigram model (ASCII words outside hashtags), a recursive
+    best split per distinct cleaned tag (ties to the smallest start), back-pointers walked into words, and each
     text rebuilt piece by piece."""
-    from ..operators.hashtags import HASHTAG_TOKEN
-    return f"""WITH RECURSIVE
-u AS (
+    kept = "" if foreign else "WHEN regexp_matches(ts.tag, '[^\\x00-\\x7f]') THEN substr(ts.tag, 2) "
+    return f"""u AS (
   SELECT word, count(*) AS cnt FROM (
-    SELECT unnest(regexp_extract_all(lower(regexp_replace(text, {q(HASHTAG_TOKEN)}, ' ', 'g')), '[\\p{{L}}\\p{{N}}_]+')) AS word
-    FROM documents)
+    SELECT unnest(regexp_extract_all(lower(regexp_replace(text, {q(tag)}, ' ', 'g')), '[\\p{{L}}\\p{{N}}_]+')) AS word
+    FROM {src})
   WHERE regexp_full_match(word, '[a-z0-9]+') GROUP BY word),
 tot AS (SELECT CAST(coalesce(nullif(sum(cnt), 0), 1) AS DOUBLE) AS total FROM u),
-tags AS (SELECT DISTINCT unnest(regexp_extract_all(text, {q(HASHTAG_TOKEN)})) AS tag FROM documents
+tags AS (SELECT DISTINCT unnest(regexp_extract_all(text, {q(tag)})) AS tag FROM {src}
          WHERE contains(text, '#')),
 ts AS (SELECT tag, regexp_replace(lower(tag), '[^a-z0-9]', '', 'g') AS s FROM tags),
 dp(tag, s, n, j, best, back) AS (
@@ -1069,17 +1103,29 @@ bt(tag, s, back, j, words) AS (
   SELECT tag, s, back, back[j + 1], list_prepend(substr(s, back[j + 1] + 1, j - back[j + 1]), words)
   FROM bt WHERE j > 0),
 seg AS (
-  SELECT ts.tag, coalesce(array_to_string(bt.words, ' '), '') AS segmented
+  SELECT ts.tag, CASE {kept}WHEN true THEN coalesce(array_to_string(bt.words, ' '), '') END AS segmented
   FROM ts LEFT JOIN (SELECT tag, words FROM bt WHERE j = 0) bt ON ts.tag = bt.tag),
 pieces AS (
-  SELECT doc_id, unnest(p) AS piece, unnest(range(len(p))) AS pos FROM (
-    SELECT doc_id, regexp_extract_all(text, {q(HASHTAG_TOKEN + '|[^#]+|#')}) AS p FROM documents
+  SELECT row_id, unnest(p) AS piece, unnest(range(len(p))) AS pos FROM (
+    SELECT row_id, regexp_extract_all(text, {q(tag + '|[^#]+|#')}) AS p FROM {src}
     WHERE contains(text, '#'))),
 rebuilt AS (
-  SELECT doc_id, string_agg(coalesce(seg.segmented, pieces.piece), '' ORDER BY pos) AS new_text
-  FROM pieces LEFT JOIN seg ON pieces.piece = seg.tag GROUP BY doc_id)
-SELECT d.doc_id AS row_id, coalesce(r.new_text, d.text) AS text
-FROM documents d LEFT JOIN rebuilt r ON d.doc_id = r.doc_id"""
-
-
-register("segment_hashtags", _segment_oracle())
+  SELECT row_id, string_agg(coalesce(seg.segmented, pieces.piece), '' ORDER BY pos) AS new_text
+  FROM pieces LEFT JOIN seg ON pieces.piece = seg.tag GROUP BY row_id),
+segmented AS (
+  SELECT d.row_id, coalesce(r.new_text, d.text) AS text
+  FROM {src} d LEFT JOIN rebuilt r ON d.row_id = r.row_id)"""
+
+
+# Fixed value: a hashtag of the social cleaner.
+TAG_WORD = "#[\\p{L}\\p{N}_]+"
+register("segment_hashtags", f"WITH RECURSIVE {POSTS},\n{segment_ctes('posts', '#' + T.NON_WS + '+')}\nSELECT row_id, text FROM segmented")
+register("social_normalize", f"""WITH RECURSIVE {POSTS},
+tagged AS (SELECT row_id, {sql_social_tags('text')} AS text FROM posts),
+{segment_ctes('tagged', TAG_WORD, foreign=False)}
+SELECT row_id, {sql_social_tokens('text')} AS out FROM segmented""")
+register("baseline_preprocess", f"""WITH RECURSIVE {POSTS},
+{emoji_ctes('posts')},
+tagged AS (SELECT row_id, {sql_social_tags(sql_ascii('words'))} AS text FROM named),
+{segment_ctes('tagged', TAG_WORD, foreign=False)}
+SELECT row_id, {sql_social_tokens('text')} AS out FROM segmented""")

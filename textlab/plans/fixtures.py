@@ -79,15 +79,16 @@ def unlabelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 SYMBOLS = ["\U0001F600", "\U0001F44D\U0001F3FD", "\U0001F1E7\U0001F1F7", "1\uFE0F\u20E3", "\u2600\uFE0F",
            "\U0001F469\U0001F3FE\u200D\U0001F4BB", "\U0001F1E7", ":)"]
 
+FIRST_TWO = "([A-Za-z]+)[^A-Za-z]*([A-Za-z]*)"
+
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a social-media post (row_id, text): its text, then a symbol, an address, a name, an
     e-mail and a compound tag made of its own id, language, source and first two words."""
-    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)
-    word = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit(""))
+    word = lambda i: F.regexp_extract("text", FIRST_TWO, i)
     symbol = F.get(F.array(*[F.lit(s) for s in SYMBOLS]), (F.col("doc_id") % len(SYMBOLS)).cast("int"))
     extra = F.concat(F.lit(" &amp; "), symbol, F.lit(" http://"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(" @"), "lang",
-                     F.lit(" me"), F.lit("@ex.com #"), word(0), word(1), F.lit(" #\u00d3dio!"))
+                     F.lit(" me"), F.lit("@ex.com #"), word(1), word(2), F.lit(" #\u00d3dio!"))
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.concat("text", extra).alias("text"))
 
 

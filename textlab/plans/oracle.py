@@ -1028,8 +1028,8 @@ FROM summ s LEFT JOIN auc a USING ({K}) LEFT JOIN ece e USING ({K})""")
 POSTS = f"""posts AS (
   SELECT doc_id AS row_id,
          concat(text, ' &amp; ', [{', '.join(q(x) for x in X.SYMBOLS)}][1 + doc_id % {len(X.SYMBOLS)}], ' http://', source, '/',
-                doc_id, ' @', lang, ' me@ex.com #', coalesce(w[1], ''), coalesce(w[2], ''), ' #\u00d3dio!') AS text
-  FROM (SELECT *, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents) WHERE text IS NOT NULL
+                doc_id, ' @', lang, ' me@ex.com #', regexp_extract(text, {q(X.FIRST_TWO)}, 1), regexp_extract(text, {q(X.FIRST_TWO)}, 2), ' #\u00d3dio!') AS text
+  FROM documents WHERE text IS NOT NULL
   UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL)"""
 
 

@@ -113,3 +113,14 @@ def test_segment_oracle_matches_spark_on_real_tags(spark):
     want = {r[0]: r[1] for r in con.execute(f"WITH RECURSIVE {segment_ctes('src', tag)} SELECT row_id, text FROM segmented").fetchall()}
     assert got == want
     assert got[2] == "stop hate speech now" and got[11] == "speech is bad now\nhate"
+
+
+def test_selected_model_is_scored_on_test(spark):
+    from textlab.operators.scoring import select_model
+    rows = [(i, "good fine nice" if i % 2 else "bad awful poor", i % 2) for i in range(24)]
+    df = spark.createDataFrame(rows, "row_id long, text string, label int")
+    wrong = df.where("row_id < 8").withColumn("label", F.expr("CASE WHEN row_id < 2 THEN 1 - label ELSE label END"))
+    _, table = select_model(df, df, reg_params=(0.0, 0.1), max_iter=5, num_features=64, test=wrong)
+    got = {r.config: r for r in table.collect()}
+    assert got[0].selected and not got[1].selected and got[0].val_macro_f1 == 1.0
+    assert abs(got[0].test_macro_f1 - 0.75) < 1e-12 and got[1].test_macro_f1 is None  # three of four right in each class

@@ -5,8 +5,8 @@ Parquet and reread as the next stage's docs. The first four return the columns o
 ``documents``; the last returns one row per packed piece. A stage judges every row
 its predecessor kept.
 
-Documents are told apart by their id: rows that repeat an id count as one document,
-and a row without an id, which no verdict can name, passes the filters and is not mixed in.
+Filters tell documents apart by their id: rows that repeat an id count as one document,
+and a row without an id, which no verdict can name, passes. Mixing takes every row by itself.
 """
 
 from __future__ import annotations
@@ -50,10 +50,11 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, so that sources meet their targets."""
-    taken = Mix(docs).per_document().where("taken > 0").select(F.col("doc_id").alias("id"), "copies").distinct()
-    rows = docs.select(F.struct("*").alias("row")).withColumn("id", F.col("row.doc_id"))
-    return rows.join(taken, "id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    """Every document as often as the mix takes it, so that sources meet their targets; shard by shard, shuffled."""
+    rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "mix-rows")  # numbers that stay
+    texts = rows.select("row", *[F.col("doc").getField(c).alias(c) for c in ("doc_id", "text", "source")])
+    taken = Mix(texts, row_col="row").stream()
+    return rows.join(taken.select("row", "shard", "position"), "row").orderBy("shard", "position").select("doc.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

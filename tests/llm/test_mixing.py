@@ -102,3 +102,28 @@ def test_odd_rows(spark):
     assert Mix(frame(spark, [])).per_document().collect() == []
     nothing = Mix(frame(spark, [(1, None, "a"), (2, " ", None)])).per_document().collect()
     assert [(r.target, r.taken) for r in nothing] == [(0.0, 0), (0.0, 0)]
+
+
+def test_copies_are_the_rows_that_shards_hold(spark):
+    """Without a shard's turns, the documents of their blocks are not taken."""
+    class Lost(Mix):
+        def stream(self, shards=8):
+            return super().stream(shards).where("shard <> 0")
+
+    rows = corpus(random.Random(6), 300)
+    mix, lost = Mix(frame(spark, rows)), Lost(frame(spark, rows))
+    in_first = defaultdict(int)
+    for r in mix.stream().where("shard = 0").collect():
+        in_first[r.doc_id] += 1
+    copies = {r.doc_id: r.copies for r in mix.per_document().collect()}
+    got = {r.doc_id: (r.copies, r.taken, r.size) for r in lost.per_document().collect()}
+    assert in_first and set(got) == set(range(300))
+    assert all(got[i] == (n - in_first[i], (n - in_first[i]) * got[i][2], got[i][2]) for i, n in copies.items())
+
+
+def test_repeated_and_nameless_rows_are_taken_by_themselves(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (1, "d e", "y"), (None, "f g h i", "y"), (None, "f g h i", "y"), (2, "k " * 9, "x")]
+    mix = Mix(frame(spark, rows))
+    stream = mix.stream().collect()
+    assert len({(r.row, r.copy) for r in stream}) == len(stream)
+    assert sum(r.copies for r in mix.per_document().collect()) == len(stream)

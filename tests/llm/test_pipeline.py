@@ -137,3 +137,12 @@ def test_empty_tables(spark, tables, tmp_path):
     for name, source in (("documents", steps[0][0]), ("labels", spark.read.parquet(f"{folder}/labels.parquet"))):
         source.limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert P.run(spark, str(tmp_path)).collect() == []
+
+
+def test_mixing_stage_gives_the_stream_in_order(spark):
+    from textlab.llm.mixing import Mix
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, words(rng, rng.randint(5, 60)), "en", f"s{i % 3}", 1, "x") for i in range(300)], DOCS)
+    want = [r.doc_id for r in Mix(docs).stream().orderBy("shard", "position").collect()]
+    got = [r.doc_id for r in P.mixing_stage(spark, docs, "").collect()]
+    assert got == want and got != sorted(got)

@@ -15,6 +15,7 @@ holds every source's quota; each node halves what it holds by drawing its left
 half without replacement (so the counts of the halves are multivariate
 hypergeometric), down to one node per output shard. Each shard then gets its quota of
 every source as the next blocks of that source's order, and shuffles them locally.
+What the mix takes of a document is counted over the shards.
 
 Only DataFrame functions run, and the tree works on at most ``BLOCKS`` x ``cap`` rows
 plus a few per source, whatever the corpus holds. Seeds are fixed: reruns agree.
@@ -46,11 +47,12 @@ def unit(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), *cols), 11) / float(1 << 53)
 
 
-def documents(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """doc_id, source, size, place (the document's place in its source's permutation, in [0, 1))."""
+def documents(df: DataFrame, id_col: str, text_col: str, source_col: str, row_col: str | None = None) -> DataFrame:
+    """row (a number of its own for every row), doc_id, source, size, place (in its source's permutation, in [0, 1))."""
     size = n_words(text_or_empty(text_col))
     key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("size "), size.cast("string")))
-    return df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"),
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    return df.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"),
                      unit(F.lit("place"), key).alias("place"))
 
 
@@ -108,7 +110,7 @@ def copies(docs: DataFrame, sources: DataFrame, blocks: DataFrame) -> DataFrame:
     plan = saved(sources.select("key", "source_size", "target", "whole", "rest", "n_blocks").join(cut, "key", "left"), "mix-plan")
     rows = docs.withColumn("key", source_key()).join(plan, "key").withColumn("block", F.floor(F.col("place") * F.col("n_blocks")).cast("int"))
     # the documents of the cut block alone, in order; one that fits by half is taken
-    inside = Window.partitionBy("key").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("key").orderBy("place", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     edge = rows.where(F.col("block") == F.col("cut_block")).withColumn(
         "last", (F.col("cut_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2.0 <= F.col("rest")).cast("int"))
     others = rows.where(F.col("cut_block").isNull() | (F.col("block") != F.col("cut_block"))).withColumn(
@@ -139,28 +141,33 @@ def shards_of(sources: DataFrame, blocks: DataFrame, shards: int = SHARDS) -> Da
 
 
 class Mix:
-    """The stored tables of one mix: documents, sources and blocks."""
+    """The stored tables of one mix: documents, sources, blocks and the passes each document is in.
+
+    ``row_col`` names a column that tells all rows of ``df`` apart; without it rows are numbered here."""
 
     def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                 weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP):
-        self.docs = saved(documents(df, id_col, text_col, source_col), "mix-documents")
+                 weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP, row_col: str | None = None):
+        self.docs = saved(documents(df, id_col, text_col, source_col, row_col), "mix-documents")
         self.sources = saved(planned(targets(self.docs, weights, budget, cap)), "mix-sources")
         self.blocks = saved(taken_blocks(self.docs, self.sources), "mix-blocks")
+        self.rows = saved(copies(self.docs, self.sources, self.blocks), "mix-passes")
 
     def per_document(self) -> DataFrame:
-        """doc_id, source, size, source_size, target, copies, taken, block."""
-        return copies(self.docs, self.sources, self.blocks).select(
-            "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "block")
+        """doc_id, source, size, source_size, target, copies (rows of the stream), taken, block."""
+        drawn = self.stream().groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("drawn"))
+        copies = F.coalesce("drawn", F.lit(0))
+        return self.rows.join(drawn, "row", "left").select(
+            "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"), "block")
 
     def stream(self, shards: int = SHARDS) -> DataFrame:
-        """The mix itself: doc_id, copy, shard, position (a key that shuffles within the shard)."""
+        """The mix itself: row, doc_id, copy, shard, position (a key that shuffles within the shard)."""
         order = Window.partitionBy("key").orderBy("pass", "block")
         kept = self.blocks.where("words > 0").join(self.sources.select("key", "whole", "rest"), "key")
         passes = F.col("whole") + (F.col("before") < F.col("rest")).cast("int")
         turns = (kept.where(passes > 0).select("key", "block", F.explode(F.sequence(F.lit(1), passes)).alias("pass"))
                  .withColumn("turn", F.row_number().over(order)).join(shards_of(self.sources, self.blocks, shards), ["key", "turn"])
                  .select("key", "block", "pass", "shard"))
-        rows = copies(self.docs, self.sources, self.blocks).where("copies > 0").select(
-            "doc_id", "key", "block", "place", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("pass"))
+        rows = self.rows.where("copies > 0").select(
+            "row", "doc_id", "key", "block", "place", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("pass"))
         return rows.join(turns, ["key", "block", "pass"]).select(
-            "doc_id", F.col("pass").alias("copy"), "shard", F.xxhash64(F.lit(SEED), "shard", "place", "pass").alias("position"))
+            "row", "doc_id", F.col("pass").alias("copy"), "shard", F.xxhash64(F.lit(SEED), "shard", "place", "pass").alias("position"))

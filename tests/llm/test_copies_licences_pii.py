@@ -216,3 +216,17 @@ def test_spans_of_odd_rows(spark):
     assert out == [(0, [("phone", 0, 15)]), (1, []), (2, []), (3, [("email", 0, 6)]),
                    (3, [("email", 5, 11), ("ip", long, long + 7)])]
     assert pii_spans(frame(spark, [])).collect() == [] and list(KINDS[:4]) == ["email", "ip", "card", "phone"]
+
+
+def test_iban_ends_before_what_follows():
+    german, british, norse = "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947"
+    for iban in (german, german.replace(" ", ""), british, british.replace(" ", ""), norse):
+        for after in (" BIC COBADEFFXXX", " BIC: COBADEFFXXX", " SWIFT NWBKGB2L", " 2024", " 7", " UND MEHR TEXT IN GROSSEN BUCHSTABEN", " and", ".", ""):
+            for before in ("", "IBAN ", "AB12 ", "é"):
+                text = before + iban + after
+                assert [text[a:b] for k, a, b, _ in find_pii(text) if k == "iban"] == [iban], text
+    both = f"{german} {british} {norse}"
+    assert [both[a:b] for k, a, b, _ in find_pii(both) if k == "iban"] == [german, british, norse]
+    assert "iban" not in [s[0] for s in find_pii("DE89 3704 0044 0532 0130 01 BIC COBADEFFXXX")]  # wrong check digits
+    assert "iban" not in [s[0] for s in find_pii(german.replace(" ", "") + "x")]
+    assert find_pii("AA00 " * 20_000) is not None  # linear

@@ -33,9 +33,16 @@ LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+WORD = re.compile("[A-Za-z0-9]")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
+# Characters of an IBAN by country, where registered.
+IBAN_LENGTH = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 "
+    "GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 "
+    "NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SD18 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20").split()}
+
 # Context words by kind; English with the common German, French and Spanish ones.
 CONTEXT = {
     "email": ("mail", "contact", "correo", "courriel"),
@@ -61,6 +68,35 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def iban_end(text: str, start: int, stop: int) -> int:
+    """End of the IBAN that starts a run of capitals and digits, 0 if none does.
+
+    What follows an IBAN (a BIC, a capital word, a number) may continue the run, so every end
+    of a word counts; the country's length is tried first, then the longest."""
+    ends, n = {}, 0
+    for i in range(start, stop):
+        if text[i] != " ":
+            n += 1
+            if n >= 15 and not WORD.match(text, i + 1):
+                ends[n] = i + 1
+    known = IBAN_LENGTH.get(text[start:start + 2])
+    longest_first = sorted(ends, reverse=True)
+    for n in longest_first if known is None else [n for n in (known, *longest_first[:1]) if n in ends]:
+        if mod97(text[start:ends[n]].replace(" ", "")):
+            return ends[n]
+    return 0
+
+
+def ibans(text: str):
+    """Every IBAN; a run that holds none at its start is read again from its next word."""
+    at = 0
+    while m := IBAN.search(text, at):
+        end = iban_end(text, m.start(), m.end())
+        if end:
+            yield m.start(), end
+        at = end or m.start() + 1
+
+
 def emails(text: str):
     """Every ``@`` with a local part before and a dotted domain after it.
 
@@ -97,7 +133,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def further_spans(text: str) -> list[tuple[str, int, int]]:
-    found = [("iban", m.start(), m.end()) for m in IBAN.finditer(text) if mod97(m.group().replace(" ", ""))]
+    found = [("iban", a, b) for a, b in ibans(text)]
     for m in SSN.finditer(text):
         area, group, serial = m.group().split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":

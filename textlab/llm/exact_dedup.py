@@ -3,7 +3,7 @@
 A Misra-Gries pass names the digests that may be frequent, an exact count
 verifies them, and the verified winners (at most ``k`` rows) are broadcast:
 rows of a winner get their verdict map-side and never shuffle. What is left
-holds no digest above ``1/(k+1)`` of the rows, so an ordinary shuffle is even.
+holds no digest above ``2/(k+1)`` of the rows, so an ordinary shuffle is even.
 
 Defined results: a null text counts as empty; an empty table gives an empty
 result; rows without an id never beat rows with one, and a group of only null

@@ -5,11 +5,13 @@ is the run of lines that start within ``GRAM`` words from it; it exists if the t
 goes on for so many words. Of all grams that start within ``REACH`` words the one
 with the least hash is selected: a fingerprint. A run of ``GRAM + REACH - 1`` words
 (50) or more that two texts share holds a whole window, so both select the same
-gram in it: no such run is missed, while only part of the grams is joined.
+gram in it, while only part of the grams is joined.
 
 Each fingerprint is matched with its earliest occurrence (by doc_id, then place) and
 the match is extended line by line to both sides, as far as the neighbouring
-fingerprints reach; beyond those, their own matches go on. Matched lines that follow
+fingerprints reach; beyond those, their own matches go on. If the earliest text holds
+only a part of a passage, the match ends where that part does: a passage of little
+over 50 words that later texts share can stay, a longer one keep some words at an end. Matched lines that follow
 one another make a run; runs of ``LEAST`` words or more are deleted, the first
 occurrence stays. A common short line alone is no run.
 

@@ -146,3 +146,17 @@ def test_mixing_stage_gives_the_stream_in_order(spark):
     want = [r.doc_id for r in Mix(docs).stream().orderBy("shard", "position").collect()]
     got = [r.doc_id for r in P.mixing_stage(spark, docs, "").collect()]
     assert got == want and got != sorted(got)
+
+
+def test_mixing_stage_takes_nameless_and_repeated_rows_one_by_one(spark):
+    rng = random.Random(9)
+    rows = [(None if i % 3 == 0 else i % 20, words(rng, rng.randint(5, 60)), "en", f"s{i % 2}", i, "x") for i in range(300)]
+    size, taken = defaultdict(int), defaultdict(int)
+    for r in rows:
+        size[r[3]] += len(r[1].split())
+    got = held(P.mixing_stage(spark, spark.createDataFrame(rows, DOCS), ""))
+    for r in got:
+        taken[r["source"]] += len(r["text"].split())
+    want = brute_targets(size)
+    assert all(abs(taken[s] - want[s]) <= 31 for s in size)
+    assert max(Counter(r["n_chars"] for r in got).values()) <= 2 and any(r["doc_id"] is None for r in got)

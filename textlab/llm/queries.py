@@ -98,3 +98,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
     return line_dedup(table(spark, sf_dir, "documents")).select(
         F.col("row.doc_id").alias("doc_id"), F.col("new_text").alias("text"), "removed_lines", "removed_words")
+
+
+@register
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import audits, damage, repair, turns
+    said = turns(table(spark, sf_dir, "conversations"))
+    return audits(said, repair(damage(said)))

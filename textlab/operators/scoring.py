@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,45 +99,33 @@ def predict(model, df: DataFrame, keep: Sequence[str] = ("row_id", "label")) ->
 
 
 def select_model(train: DataFrame, validation: DataFrame, reg_params: Sequence[float] = (0.0, 0.01, 0.1),
-                 text_col: str = "text", label_col: str = "label", max_iter: int = 20,
-                 num_features: int = 1 << 16, test: DataFrame | None = None):
-    """Fit one model per configuration, score macro-F1 on validation, keep the
-    best (first on ties) and score it on ``test``. The TF-IDF features are fitted and
-    written once (shared checkpoint folder); only the classifier is refitted per configuration.
-    Returns (best pipeline model, table of configs and scores; ``test_macro_f1`` is null
-    but for the selected one)."""
-    from pyspark.ml import Pipeline, PipelineModel
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
-
-    from ..session import ensure_checkpoint_dir
+                 text_col: str = "text", label_col: str = "label", max_iter: int = 10,
+                 num_features: int = 1 << 14, test: DataFrame | None = None, learning_rate: float = 0.05,
+                 halve_every: int | None = 4, folder: str | None = None):
+    """Train one configuration per weight decay, score macro-F1 on validation, keep the best (first on ties)
+    and score it on ``test``. All configurations share every pass over the data (``train_by_epochs``, ``max_iter``
+    epochs); every ``halve_every`` epochs the worse half stops.
+    Returns (best model, table of configs and scores; ``test_macro_f1`` is null but for the selected one)."""
+    from .epochs import Config, train_by_epochs
     from .metrics import summary_metrics
+    from .training import best_checkpoint
+    configs = [Config(f"config{i:04d}", learning_rate, float(rp)) for i, rp in enumerate(reg_params)]
+    models, epochs = train_by_epochs(train, validation, configs, epochs=max_iter, text_col=text_col, label_col=label_col,
+                                     features=num_features, halve_every=halve_every, folder=folder)
+    best = {r["run"]: r for r in best_checkpoint(epochs).collect()}  # one row per configuration
+    rows = [(i, float(rp), float(best[c.run]["best_value"]), int(best[c.run]["best_epoch"]), int(best[c.run]["epochs"]))
+            for i, (c, rp) in enumerate(zip(configs, reg_params))]
+    chosen = max(range(len(rows)), key=lambda i: (rows[i][2], -i))
     spark = train.sparkSession
-    ensure_checkpoint_dir(spark)
-    feats = Pipeline(stages=featurize_stages(text_col, num_features)).fit(train)
-    tr = with_class_weights(train.withColumn(label_col, F.col(label_col).cast("double")), label_col)
-    tr = feats.transform(tr).select(label_col, "weight", "features").checkpoint(eager=True)
-    va = feats.transform(validation).select(F.col(label_col).cast("int").alias("label"), "features") \
-        .checkpoint(eager=True)
-    rows, best = [], None
-    for i, rp in enumerate(reg_params):
-        lr = LogisticRegression(featuresCol="features", labelCol=label_col, weightCol="weight",
-                                regParam=rp, maxIter=max_iter, family="multinomial").fit(tr)
-        p = lr.transform(va).select("label", F.col("prediction").cast("int").alias("pred"),
-                                    vector_to_array("probability").alias("probs")).withColumn("config", F.lit(i))
-        f1 = summary_metrics(p, ["config"]).first()["macro_f1"]
-        rows.append((i, float(rp), float(f1)))
-        if best is None or f1 > best[1]:
-            best = (PipelineModel(stages=list(feats.stages) + [lr]), f1, i)
-    table = spark.createDataFrame(pd.DataFrame(rows, columns=["config", "reg_param", "val_macro_f1"]))
-    table = table.withColumn("selected", F.col("config") == F.lit(best[2]))
-    tested = None
+    table = spark.createDataFrame(rows, "config bigint, reg_param double, val_macro_f1 double, best_epoch bigint, epochs bigint")
+    table = table.withColumn("selected", F.col("config") == F.lit(chosen))
+    tested, model = None, models[configs[chosen].run]
     if test is not None:
-        p = predict(best[0], test.withColumn(label_col, F.col(label_col).cast("int")), keep=[F.col(label_col).alias("label")])
-        row = summary_metrics(p.withColumn("config", F.lit(best[2])), ["config"]).first()
+        p = model.transform(test, keep=[F.col(label_col).cast("int").alias("label")])
+        row = summary_metrics(p.withColumn("config", F.lit(chosen)), ["config"]).first()
         tested = row["macro_f1"] if row else None
     table = table.withColumn("test_macro_f1", F.when(F.col("selected"), F.lit(tested).cast("double")))
-    return best[0], table
+    return model, table
 
 
 # ---------------------------------------------------------------- prompted classification

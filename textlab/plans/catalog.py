@@ -787,6 +787,19 @@ def q_select_model(spark, sf):
     return round_doubles(table)
 
 
+@register("train_by_epochs")
+def q_train_by_epochs(spark, sf):
+    """Epoch table of two runs, with the best and the stopping epoch that the epoch operators read from it."""
+    from ..operators.epochs import Config, train_by_epochs
+    from ..operators.training import best_checkpoint, early_stop_epoch
+    c = X.labelled_corpus(spark, sf).withColumn("text", T.clean_text("text"))
+    part = lambda name: c.where(F.col("split") == name)
+    _, epochs = train_by_epochs(part("train"), part("validation"), [Config("steady", 0.02), Config("fast", 0.1, 0.01)], epochs=4, batches=4)
+    best = best_checkpoint(epochs).select("run", "best_epoch")
+    stop = early_stop_epoch(epochs, patience=2).select("run", "stop_epoch")
+    return round_doubles(epochs.drop("live").join(best, "run").join(stop, "run"))
+
+
 # ---------------------------------------------------------------- §2.8 token ids
 
 from ..operators import tokens as TK  # noqa: E402

@@ -130,8 +130,31 @@ def generic_preprocess(col, emoji_col: Column | None = None) -> Column:
     return unicode_strip(c)
 
 
-# Social token pattern (tags, words with apostrophes, single symbols).
-SOCIAL_TOKEN = f"<url>|<user>|<email>|(?:{WORD}|')+|{NON_WS}"
+# The social token grammar: at each place the first kind that fits is the token, so longer kinds come first.
+# Kinds that end in a letter or digit end only where no further ASCII letter, digit or underscore follows.
+SOCIAL_GRAMMAR = [
+    ("tag", r"<url>|<user>|<email>"),
+    ("emoticon", r"[:;=][-o^']?[)(\]\[|/\\*}{@$]+|[:;][-^']?[DPpOo3]+(?![A-Za-z0-9_])|</?3+(?![A-Za-z0-9_])|\^[_.-]?\^|[oO][_.][oO](?![A-Za-z0-9_])|T_T(?![A-Za-z0-9_])|-[_.]+-|[xX]D+(?![A-Za-z0-9_])"),
+    ("date", r"[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}(?![A-Za-z0-9_])|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:[0-9]{4}|[0-9]{2})(?![A-Za-z0-9_])"),
+    ("time", r"[0-9]{1,2}:[0-5][0-9](?::[0-5][0-9])?(?:[aApP][mM])?(?![A-Za-z0-9_])"),
+    ("phone", r"\+[0-9][0-9().-]{6,}[0-9](?![A-Za-z0-9_])|\([0-9]{2,3}\)[0-9]{3,5}-[0-9]{4}(?![A-Za-z0-9_])|[0-9]{3}-[0-9]{3}-[0-9]{4}(?![A-Za-z0-9_])"),
+    ("money", r"[$€£¥][0-9]+(?:[.,][0-9]+)*(?:[kKmMbB](?![A-Za-z0-9_]))?|[0-9]+(?:[.,][0-9]+)*[$€£¥]"),
+    ("percent", r"[0-9]+(?:[.,][0-9]+)*%"),
+    ("number", r"[0-9]+(?:[.,][0-9]+)+(?![A-Za-z0-9_])"),
+    ("acronym", r"(?:\p{Lu}\.){2,}(?:\p{Lu}(?![A-Za-z0-9_]))?"),
+    ("censored", r"\p{L}+\*+\p{L}+(?:\*+\p{L}*)*|\p{L}+\*{2,}"),
+    ("word", f"(?:{WORD}|')+"),
+    ("symbol", NON_WS),
+]
+SOCIAL_TOKEN = "|".join(pattern for _, pattern in SOCIAL_GRAMMAR)
+
+
+def social_token_kind(token) -> Column:
+    """The kind of a social token (the first of the grammar that it fits as a whole)."""
+    kind = F.lit(None).cast("string")
+    for name, pattern in reversed(SOCIAL_GRAMMAR):
+        kind = F.when(_c(token).rlike(f"^(?:{pattern})$"), name).otherwise(kind)
+    return kind
 
 
 def social_tags(col) -> Column:

@@ -79,16 +79,21 @@ def unlabelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 SYMBOLS = ["\U0001F600", "\U0001F44D\U0001F3FD", "\U0001F1E7\U0001F1F7", "1\uFE0F\u20E3", "\u2600\uFE0F",
            "\U0001F469\U0001F3FE\u200D\U0001F4BB", "\U0001F1E7", ":)"]
 
+# Tokens of the social grammar that the posts carry, by id.
+MARKS = [":-)", "U.S.A.", "f**k", "<3", "12/05/2021", "+55(11)99999-1234", "^_^", "50%", "R$3,50", "1,000.5"]
+
 FIRST_TWO = "([A-Za-z]+)[^A-Za-z]*([A-Za-z]*)"
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a social-media post (row_id, text): its text, then a symbol, an address, a name, an
-    e-mail and a compound tag made of its own id, language, source and first two words."""
+    e-mail, a time, a price, a grammar token and a compound tag made of its own id, language, source and first two words."""
     word = lambda i: F.regexp_extract("text", FIRST_TWO, i)
     symbol = F.get(F.array(*[F.lit(s) for s in SYMBOLS]), (F.col("doc_id") % len(SYMBOLS)).cast("int"))
     extra = F.concat(F.lit(" &amp; "), symbol, F.lit(" http://"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(" @"), "lang",
-                     F.lit(" me"), F.lit("@ex.com #"), word(1), word(2), F.lit(" #\u00d3dio!"))
+                     F.lit(" me"), F.lit("@ex.com at "), (F.col("doc_id") % 24).cast("string"), F.lit(":"),
+                     F.lpad((F.col("doc_id") % 60).cast("string"), 2, "0"), F.lit(" for $"), F.col("doc_id").cast("string"), F.lit(".99 "),
+                     F.get(F.array(*[F.lit(m) for m in MARKS]), (F.col("doc_id") % len(MARKS)).cast("int")), F.lit(" #"), word(1), word(2), F.lit(" #\u00d3dio!"))
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.concat("text", extra).alias("text"))
 
 

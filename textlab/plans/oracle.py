@@ -167,8 +167,22 @@ def sql_social_tags(x: str) -> str:
     return rx(c, T.EMAIL_PATTERN, T.EMAIL_TOKEN)
 
 
+# The social tokens, written for this dialect: tags, emoticons, dates, times, phone numbers, money, percentages,
+# numbers, acronyms, censored words, words, symbols.
+SOCIAL_TOKENS = "|".join([
+    "<(?:url|user|email)>",
+    r"(?:[:;=](?:-|o|\^|')?[\)\(\]\[\|/\\\*\}\{@\$]+)", r"(?:[:;](?:-|\^|')?[3DOPop]+\b)", r"<3+\b", r"</3+\b", r"\^(?:_|\.|-)?\^",
+    r"(?:o|O)(?:_|\.)(?:o|O)\b", r"T_T\b", r"-(?:_|\.)+-", r"(?:x|X)D+\b",
+    r"\d\d\d\d[-/.]\d\d?[-/.]\d\d?\b", r"\d\d?[-/.]\d\d?[-/.](?:\d\d\d\d|\d\d)\b",
+    r"\d\d?:[0-5]\d(?::[0-5]\d)?(?:(?:a|A|p|P)(?:m|M))?\b",
+    r"\+\d[\d().-]{6,}\d\b", r"\(\d{2,3}\)\d{3,5}-\d{4}\b", r"\d{3}-\d{3}-\d{4}\b",
+    r"(?:\$|€|£|¥)\d+(?:[,.]\d+)*(?:(?:k|K|m|M|b|B)\b)?", r"\d+(?:[,.]\d+)*(?:\$|€|£|¥)", r"\d+(?:[,.]\d+)*%", r"\d+(?:[,.]\d+)+\b",
+    r"(?:\p{Lu}\.)(?:\p{Lu}\.)+(?:\p{Lu}\b)?", r"\p{L}+\*+\p{L}+(?:\*+\p{L}*)*", r"\p{L}+\*\*+",
+    r"[\p{L}\p{N}_']+", r"[^\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"])
+
+
 def sql_social_tokens(x: str) -> str:
-    return f"array_to_string(regexp_extract_all({x}, {q(T.SOCIAL_TOKEN)}), ' ')"
+    return f"array_to_string(regexp_extract_all({x}, {q(SOCIAL_TOKENS)}), ' ')"
 
 
 def sql_simple(x: str) -> str:
@@ -1028,7 +1042,8 @@ FROM summ s LEFT JOIN auc a USING ({K}) LEFT JOIN ece e USING ({K})""")
 POSTS = f"""posts AS (
   SELECT doc_id AS row_id,
          concat(text, ' &amp; ', [{', '.join(q(x) for x in X.SYMBOLS)}][1 + doc_id % {len(X.SYMBOLS)}], ' http://', source, '/',
-                doc_id, ' @', lang, ' me@ex.com #', regexp_extract(text, {q(X.FIRST_TWO)}, 1), regexp_extract(text, {q(X.FIRST_TWO)}, 2), ' #\u00d3dio!') AS text
+                doc_id, ' @', lang, ' me@ex.com at ', doc_id % 24, ':', lpad((doc_id % 60)::VARCHAR, 2, '0'), ' for $', doc_id, '.99 ',
+                [{', '.join(q(x) for x in X.MARKS)}][1 + doc_id % {len(X.MARKS)}], ' #', regexp_extract(text, {q(X.FIRST_TWO)}, 1), regexp_extract(text, {q(X.FIRST_TWO)}, 2), ' #\u00d3dio!') AS text
   FROM documents WHERE text IS NOT NULL
   UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL)"""
 
@@ -1071,40 +1086,51 @@ register("generic_preprocess", f"WITH {POSTS},\n{emoji_ctes('posts')}\nSELECT ro
 
 
 def segment_ctes(src: str, tag: str, foreign: bool = True) -> str:
-    """``segmented`` (row_id, text) of ``src``: unigram model (ASCII words outside hashtags), a recursive
-    best split per distinct cleaned tag (ties to the smallest start), back-pointers walked into words, and each
-    text rebuilt piece by piece."""
+    """``segmented`` (row_id, text) of ``src``: words and word pairs outside hashtags, a recursive search over the
+    ends of each distinct cleaned tag that keeps the best split for every last word, the words read back from
+    it, and each text rebuilt piece by piece."""
     kept = "" if foreign else "WHEN regexp_matches(ts.tag, '[^\\x00-\\x7f]') THEN substr(ts.tag, 2) "
-    return f"""u AS (
-  SELECT word, count(*) AS cnt FROM (
-    SELECT unnest(regexp_extract_all(lower(regexp_replace(text, {q(tag)}, ' ', 'g')), '[\\p{{L}}\\p{{N}}_]+')) AS word
-    FROM {src})
-  WHERE regexp_full_match(word, '[a-z0-9]+') GROUP BY word),
-tot AS (SELECT CAST(coalesce(nullif(sum(cnt), 0), 1) AS DOUBLE) AS total FROM u),
+    return f"""lists AS (
+  SELECT regexp_extract_all(lower(regexp_replace(text, {q(tag)}, ' ', 'g')), '[\\p{{L}}\\p{{N}}_]+') AS w FROM {src}),
+bi AS (
+  SELECT word, CASE WHEN regexp_full_match(follows, '[a-z0-9]+') THEN follows END AS follows, count(*) AS cnt
+  FROM (SELECT unnest(w) AS word, unnest(list_append(w[2:], NULL)) AS follows FROM lists)
+  WHERE regexp_full_match(word, '[a-z0-9]+') GROUP BY ALL),
+u AS (SELECT word, sum(cnt)::BIGINT AS cnt FROM bi GROUP BY word),
+tot AS (SELECT CAST(coalesce(sum(cnt), 1) AS DOUBLE) AS total FROM u),
 tags AS (SELECT DISTINCT unnest(regexp_extract_all(text, {q(tag)})) AS tag FROM {src}
          WHERE contains(text, '#')),
 ts AS (SELECT tag, regexp_replace(lower(tag), '[^a-z0-9]', '', 'g') AS s FROM tags),
-dp(tag, s, n, j, best, back) AS (
-  SELECT tag, s, length(s), 0, [0.0::DOUBLE], [0] FROM ts WHERE length(s) > 0
+cut AS (
+  SELECT s, i, j, substr(s, i + 1, j - i) AS word
+  FROM (SELECT DISTINCT s, unnest(range(0, length(s))) AS i FROM ts WHERE length(s) > 0) x, LATERAL (SELECT unnest(range(x.i + 1, length(x.s) + 1)) AS j) y),
+sc AS (
+  SELECT cut.*, u.cnt, CASE WHEN u.cnt IS NOT NULL THEN log10(u.cnt / total) ELSE 1.0::DOUBLE - log10(total) - (j - i) END AS alone
+  FROM cut CROSS JOIN tot LEFT JOIN u ON u.word = cut.word),
+pr AS (
+  SELECT a.s, a.i AS h, b.i AS i, b.j AS j, log10(bi.cnt / a.cnt) AS cond
+  FROM sc a JOIN sc b ON a.s = b.s AND a.j = b.i JOIN bi ON bi.word = a.word AND bi.follows = b.word WHERE a.cnt IS NOT NULL AND b.cnt IS NOT NULL),
+dp(s, e, st) AS (
+  SELECT DISTINCT s, 0, [struct_pack(i := -1, j := 0, v := 0.0::DOUBLE, h := -1)] FROM ts WHERE length(s) > 0
   UNION ALL
-  SELECT dp.tag, dp.s, dp.n, dp.j + 1, list_append(dp.best, m.v), list_append(dp.back, m.i)
-  FROM dp, LATERAL (
-    SELECT c.i, c.v FROM (
-      SELECT r.i AS i, dp.best[r.i + 1] + CASE WHEN t.cnt IS NOT NULL THEN log10(t.cnt / tot.total)
-               ELSE 1.0::DOUBLE - log10(tot.total) - (dp.j + 1 - r.i) END AS v
-      FROM range(0, dp.j + 1) r(i)
-      CROSS JOIN tot
-      LEFT JOIN u t ON t.word = substr(dp.s, r.i + 1, dp.j + 1 - r.i)) c
-    ORDER BY c.v DESC, c.i ASC LIMIT 1) m
-  WHERE dp.j < dp.n),
-bt(tag, s, back, j, words) AS (
-  SELECT tag, s, back, j, []::VARCHAR[] FROM dp WHERE j = n
+  SELECT q.s, any_value(q.e) + 1, list_concat(any_value(q.st), list(struct_pack(i := q.i, j := q.j, v := q.v, h := q.h)))
+  FROM (
+    SELECT dp.s, dp.e, dp.st, sc.i::INT AS i, sc.j::INT AS j, p.v + CASE WHEN pr.cond IS NOT NULL THEN pr.cond ELSE sc.alone END AS v, p.i::INT AS h,
+           row_number() OVER (PARTITION BY dp.s, sc.i ORDER BY p.v + CASE WHEN pr.cond IS NOT NULL THEN pr.cond ELSE sc.alone END DESC, p.i) AS k
+    FROM dp JOIN sc ON sc.s = dp.s AND sc.j = dp.e + 1, LATERAL (SELECT unnest(dp.st) AS p) x
+    LEFT JOIN pr ON pr.s = dp.s AND pr.h = p.i AND pr.i = sc.i AND pr.j = sc.j
+    WHERE p.j = sc.i) q
+  WHERE q.k = 1 GROUP BY q.s),
+bt(s, st, i, j, words) AS (
+  SELECT s, st, l.i, l.j, []::VARCHAR[] FROM (
+    SELECT s, st, list_sort(list_transform(list_filter(st, lambda x: x.j = length(s)), lambda x: struct_pack(v := -x.v, i := x.i, j := x.j)))[1] AS l
+    FROM dp WHERE e = length(s))
   UNION ALL
-  SELECT tag, s, back, back[j + 1], list_prepend(substr(s, back[j + 1] + 1, j - back[j + 1]), words)
+  SELECT s, st, list_filter(st, lambda x: x.i = bt.i AND x.j = bt.j)[1].h, bt.i, list_prepend(substr(s, bt.i + 1, bt.j - bt.i), words)
   FROM bt WHERE j > 0),
 seg AS (
   SELECT ts.tag, CASE {kept}WHEN true THEN coalesce(array_to_string(bt.words, ' '), '') END AS segmented
-  FROM ts LEFT JOIN (SELECT tag, words FROM bt WHERE j = 0) bt ON ts.tag = bt.tag),
+  FROM ts LEFT JOIN (SELECT s, words FROM bt WHERE j = 0) bt ON ts.s = bt.s),
 pieces AS (
   SELECT row_id, unnest(p) AS piece, unnest(range(len(p))) AS pos FROM (
     SELECT row_id, regexp_extract_all(text, {q(tag + '|[^#]+|#')}) AS p FROM {src}

@@ -95,3 +95,37 @@ def test_a_cluster_without_a_shared_folder_is_refused():
             get = staticmethod(lambda key, default=None: default)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session())
+
+
+def test_rows_are_numbered_in_file_order(spark, tmp_path):
+    """A large later file is packed first by the scan; keep-first must still keep the first file's line."""
+    train = tmp_path / "train.csv"
+    train.mkdir()
+    write(train / "a.csv", [("small first", 0)])
+    write(train / "b.csv", [("small first", 1)] + [(f"t{i}", i % 2) for i in range(50_000)])
+    write(train / "c.csv", [("last", 1)])
+    val, test = write(tmp_path / "val.csv", [("v", 0)]), write(tmp_path / "test.csv", [("w", 1)])
+    for multi_line in (True, False):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")  # the large file in several splits where lines allow it
+        try:
+            rows = sorted(SR.read_corpus_csv(spark, str(train), val, test, multi_line=multi_line).collect(), key=lambda r: r.row_id)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert [r.row_id for r in rows] == list(range(50_005))
+        assert [r.text for r in rows] == ["small first", "small first", *[f"t{i}" for i in range(50_000)], "last", "v", "w"]
+    kept = C.dedup_keep_first(SR.read_corpus_csv(spark, str(train), val, test)).where("text = 'small first'").collect()
+    assert [(r.row_id, r.label) for r in kept] == [(0, 0)]
+
+
+def test_broken_records_are_reported_and_skipped(spark, tmp_path):
+    good = {"macro_f1": 0.5, "accuracy": 0.9, "f1_per_class": {"hate": 0.5}}
+    texts = {"good": json.dumps(good, indent=1), "cut": json.dumps(good)[:20], "empty": " ", "list": "[1, 2]", "other": json.dumps({"note": "x"}),
+             "kind": json.dumps({"macro_f1": {"a": 1}})}
+    for run, text in texts.items():
+        (tmp_path / "en" / run).mkdir(parents=True)
+        (tmp_path / "en" / run / "a_results.json").write_text(text)
+    (tmp_path / "en" / "good" / "b_results.json").write_text("later files play no part {")
+    pattern = str(tmp_path / "*" / "*" / "*_results.json")
+    assert {r.experiment: (r.macro_f1, r.f1_hate) for r in SR.scan_result_records(spark, pattern).collect()} == {"good": (0.5, 0.5), "other": (None, None)}
+    bad = {r.experiment: (r.group, r.error) for r in SR.broken_result_records(spark, pattern).collect()}
+    assert bad == {"cut": ("en", "malformed record"), "empty": ("en", "empty file"), "list": ("en", "no record"), "kind": ("en", "malformed record")}

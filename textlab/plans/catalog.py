@@ -721,6 +721,34 @@ def q_scan_result_records(spark, sf):
     return round_doubles(s.withColumnRenamed("group", "dataset"))
 
 
+@register("broken_result_records")
+def q_broken_result_records(spark, sf):
+    """Records as single files, those of one run cut in the middle: the run is reported, the others are read."""
+    base = scratch_path(spark, "cut-records")
+    ev = M.evaluate_runs(X.binary_predictions(spark, sf), KEYS)
+    line = F.to_json(F.struct("macro_f1", "accuracy"))
+    cut = F.when(F.col("experiment") == "e2", F.expr("left(value, length(value) div 2)")).otherwise(F.col("value"))
+    ev.select(*KEYS, line.alias("value")).withColumn("value", cut).write.partitionBy(*KEYS).text(base)
+    pattern = os.path.join(base, "*", "*", "*.txt")
+    bad = SR.broken_result_records(spark, pattern).select("group", "experiment", "error", F.lit(None).cast("double").alias("macro_f1"))
+    good = SR.scan_result_records(spark, pattern, CLASS_NAMES).select("group", "experiment", F.lit(None).cast("string").alias("error"), "macro_f1")
+    return round_doubles(bad.unionByName(good).withColumnRenamed("group", "dataset"))
+
+
+@register("file_order_ids")
+def q_file_order_ids(spark, sf):
+    """Split files in several parts and without ids: rows are numbered by split, file and line."""
+    base = scratch_path(spark, "plain-splits")
+    c = X.labelled_corpus(spark, sf).select("row_id", "text", "label", "split")
+    paths = []
+    for split, n in (("train", 5), ("validation", 2), ("test", 1)):
+        paths.append(os.path.join(base, f"{split}.csv"))
+        part = c.where(F.col("split") == split).repartitionByRange(n, "row_id").sortWithinPartitions("row_id")
+        SW.write_split_csv(part.select("text", "label"), paths[-1])
+    schema = TT.StructType([f for f in SR.CORPUS_SCHEMA if f.name != "row_id"])
+    return SR.read_corpus_csv(spark, *paths, schema=schema).select("split", "row_id", "text", "label")
+
+
 @register("write_submission_jsonl")
 def q_write_submission_jsonl(spark, sf):
     base = scratch_path(spark, "submission")

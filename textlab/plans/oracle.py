@@ -918,6 +918,13 @@ register("write_metric_json", f"""WITH {BIN_PREDS},
 {RECORDS}
 SELECT {K}, {rnd(['macro_f1', 'accuracy', 'macro_avg_precision', 'roc_auc', 'ece'])} FROM results""")
 register("scan_result_records", f"WITH {BIN_PREDS},\n{RECORDS}\nSELECT {K}, {rnd(RESULT_COLS)} FROM results")
+register("broken_result_records", f"""WITH {BIN_PREDS},
+{RECORDS}
+SELECT {K}, CASE WHEN experiment = 'e2' THEN 'malformed record' END AS error,
+       CASE WHEN experiment <> 'e2' THEN round(macro_f1, 6) END AS macro_f1 FROM results""")
+register("file_order_ids", f"""WITH {CORPUS}
+SELECT split, row_number() OVER (ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END, row_id) - 1 AS row_id,
+       text, label FROM corpus""")
 register("write_submission_jsonl", f"""WITH {BIN_PREDS}
 SELECT row_number() OVER (ORDER BY row_id) - 1 AS index, pred AS prediction FROM preds WHERE experiment = 'e3'""")
 register("write_prediction_csv", f"""WITH {BIN_PREDS},

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,14 +36,30 @@ RECORD_SCHEMA = T.StructType([
 ])
 
 
-def _with_order(df: DataFrame) -> DataFrame:
-    """Keep an explicit ``row_id``; otherwise number the rows, written once to the
-    shared folder so that every later read sees the same numbers."""
+def _placed(df: DataFrame) -> DataFrame:
+    """A scan's rows with the file and the block they come from."""
+    return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+
+
+def _with_order(df: DataFrame, rank: str | None = None) -> DataFrame:
+    """Keep an explicit ``row_id``; otherwise number ``_placed`` rows from 0 in the order of the files (by ``rank``,
+    if given, then by path) and of their lines, written once to the shared folder so that every later read sees the
+    same numbers.
+
+    A block is read by one task from its first row to its last, so a row's place in it is its distance from the
+    block's first row. Only the (file, block, rows) table is summed up, one row per scan split."""
     if "row_id" in df.columns:
-        return df
+        return df.drop("_file", "_block")
     path = scratch_path(df.sparkSession, "numbered-rows")
-    df.withColumn("row_id", F.monotonically_increasing_id()).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    by = [rank] if rank else []
+    blocks = rows.groupBy(*by, "_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy(*by, "_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first"))
+    # no hint: one row per block, so the planner broadcasts it by its size
+    placed = rows.join(starts.select(*by, "_file", "_block", "_start"), [*by, "_file", "_block"])
+    return placed.withColumn("row_id", F.col("_start") + F.col("_at")).drop("_file", "_block", "_at", "_start")
 
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
@@ -63,17 +79,17 @@ def read_corpus_csv(spark: SparkSession, train_path: str, val_path: str, test_pa
                     schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
     """Three split files -> one corpus with a ``split`` column (text, label canonical).
 
-    Files without a ``row_id`` are numbered over their union, so ids never meet
-    across splits."""
+    Files without a ``row_id`` are numbered over their union in file order, train first, so ids
+    never meet across splits and keep-first keeps the first line."""
     parts = []
-    for split, path in (("train", train_path), ("validation", val_path), ("test", test_path)):
-        df = read_delimited(spark, path, schema, multi_line)
+    for rank, (split, path) in enumerate((("train", train_path), ("validation", val_path), ("test", test_path))):
+        df = _placed(read_delimited(spark, path, schema, multi_line))
         df = df.withColumnsRenamed({text_column: "text", label_column: "label"})
-        parts.append(df.withColumn("split", F.lit(split)))
+        parts.append(df.withColumns({"split": F.lit(split), "_rank": F.lit(rank)}))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    return _with_order(out).withColumn("label", F.col("label").cast("int"))
+    return _with_order(out, "_rank").drop("_rank").withColumn("label", F.col("label").cast("int"))
 
 
 def read_json_corpus(spark: SparkSession, path: str, type_split: int = 1,
@@ -83,7 +99,7 @@ def read_json_corpus(spark: SparkSession, path: str, type_split: int = 1,
     if type_split not in SPLIT_CODES:
         raise ValueError("type_split must be 1 (train), 2 (validation) or 3 (test)")
     reader = spark.read.schema(schema or CORPUS_SCHEMA).option("multiLine", multi_line).option("mode", "FAILFAST")
-    return _with_order(reader.json(path)).withColumn("split", F.lit(SPLIT_CODES[type_split]))
+    return _with_order(_placed(reader.json(path))).withColumn("split", F.lit(SPLIT_CODES[type_split]))
 
 
 def read_named_split(spark: SparkSession, path: str, split: str) -> DataFrame:
@@ -91,23 +107,41 @@ def read_named_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("split") == split)
 
 
-def scan_result_records(spark: SparkSession, pattern: str, class_names=None) -> DataFrame:
-    """Every run directory's first ``*_results.json`` -> one row (run name = the
-    directory name, ``key=`` prefixes dropped; the grandparent directory is kept
-    as ``group``). Records may be indented; a malformed one fails the read; absent
-    metrics are null; class columns are named by the records themselves unless
-    ``class_names`` is given; sorted by macro_f1 descending."""
-    raw = (spark.read.schema(RECORD_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(pattern)
-           .select("*", F.col("_metadata.file_path").alias("_path")))
-    parts = F.split(F.col("_path"), "/")
+def read_result_records(spark: SparkSession, pattern: str) -> DataFrame:
+    """Every run directory's first matching file, read whole and parsed by itself: group, experiment, path, the
+    record as a struct, and ``error`` (null for a good record). A broken file costs nothing but its own row."""
+    files = (spark.read.text(pattern, wholetext=True)
+             .select("value", F.col("_metadata.file_path").alias("path")))
+    parts = F.split(F.col("path"), "/")
     strip = lambda c: F.regexp_replace(c, "^[^=/]*=", "")
-    raw = raw.withColumns({
+    files = files.withColumns({
         "experiment": strip(F.element_at(parts, -2)),
         "group": strip(F.element_at(parts, -3)),
-        "_dir": F.regexp_replace(F.col("_path"), "/[^/]*$", ""),
+        "_dir": F.regexp_replace(F.col("path"), "/[^/]*$", ""),
     })
-    first = raw.groupBy("_dir").agg(F.min("_path").alias("_path"))
-    recs = raw.join(first, ["_dir", "_path"], "left_semi").drop("_dir", "_path")
+    first = files.groupBy("_dir").agg(F.min("path").alias("path"))
+    schema = T.StructType([*RECORD_SCHEMA.fields, T.StructField("_corrupt", T.StringType())])
+    parsed = files.join(first, ["_dir", "path"], "left_semi").withColumn(
+        "record", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    error = (F.when(F.trim("value") == "", "empty file")
+             .when(~F.ltrim("value").startswith("{"), "no record")
+             .when(F.col("record").isNull() | F.col("record._corrupt").isNotNull(), "malformed record"))
+    return parsed.select("group", "experiment", "path", F.col("record").dropFields("_corrupt").alias("record"), error.alias("error"))
+
+
+def broken_result_records(spark: SparkSession, pattern: str) -> DataFrame:
+    """(group, experiment, path, error) of the files that ``scan_result_records`` leaves out."""
+    return read_result_records(spark, pattern).where("error IS NOT NULL").drop("record")
+
+
+def scan_result_records(spark: SparkSession, pattern: str, class_names=None) -> DataFrame:
+    """Every run directory's first ``*_results.json`` -> one row (run name = the
+    directory name, ``key=`` prefixes dropped; the grandparent directory is kept
+    as ``group``). Records may be indented; broken ones are left out and listed by
+    ``broken_result_records``; absent metrics are null; class columns are named by the records
+    themselves unless ``class_names`` is given; sorted by macro_f1 descending."""
+    good = read_result_records(spark, pattern).where("error IS NULL")
+    recs = good.select("group", "experiment", "record.*")
     from ..operators.runs import flatten_metric_maps
     names = class_names or sorted(r[0] for r in recs.select(F.explode(F.map_keys("f1_per_class"))).distinct().collect())  # one row per class
     return flatten_metric_maps(recs, ["group", "experiment"], names).orderBy(F.col("macro_f1").desc_nulls_last())

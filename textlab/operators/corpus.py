@@ -9,12 +9,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import token_count
-from .rank import HASH_KEY_RANGE, global_row_number, hash_order_key
+from .rank import HASH_KEY_RANGE, global_row_number, hash_order_key, written
 
 # ---------------------------------------------------------------- joins / projections
 
@@ -188,10 +188,17 @@ def table_profile(df: DataFrame) -> DataFrame:
 
 
 def token_length_stats(df: DataFrame, text_col: str = "text", by: Sequence[str] = ()) -> DataFrame:
-    """max / min / mean whitespace-token count per text, optionally per split."""
+    """max / min / mean whitespace-token count per text, for each group of ``by`` and, in the row whose ``by``
+    columns read ``all``, for the union of the groups: one pass with grouping sets. A null group stays null."""
+    by = list(by)
     t = df.select(*by, token_count(text_col).cast("long").alias("tokens"))
-    return t.groupBy(*by).agg(F.max("tokens").alias("max_tokens"), F.min("tokens").alias("min_tokens"),
-                              F.avg("tokens").alias("mean_tokens"), F.count(F.lit(1)).alias("texts"))
+    stats = [F.max("tokens").alias("max_tokens"), F.min("tokens").alias("min_tokens"),
+             F.avg("tokens").alias("mean_tokens"), F.count(F.lit(1)).alias("texts")]
+    if not by:
+        return t.agg(*stats)
+    sets = t.groupingSets([[F.col(c) for c in by], []], *[F.col(c) for c in by]).agg(*stats, F.grouping_id().alias("_all"))
+    union = F.col("_all") > 0
+    return sets.select(*[F.when(union, "all").otherwise(F.col(c).cast("string")).alias(c) for c in by], "max_tokens", "min_tokens", "mean_tokens", "texts")
 
 
 def split_conservation(df: DataFrame, split_col: str = "split") -> DataFrame:
@@ -259,9 +266,16 @@ def _ceil_count(n: int, ratio: float) -> int:
 
 
 def random_split(df: DataFrame, test_ratio: float = 0.25, val_ratio: float = 0.20, seed: int = 42,
-                 order_col: str = "row_id", out: str = "split") -> DataFrame:
+                 order_col: str = "row_id", out: str = "split", own_test: Column | None = None) -> DataFrame:
     """Exact-size shuffle split: ``ceil(n*test)`` test rows, ``ceil(rest*val)``
-    validation rows, the remainder train; order = md5 of (seed, row_id)."""
+    validation rows, the remainder train; order = md5 of (seed, row_id).
+
+    A source that brings its own test split names its rows by ``own_test``: they are the
+    test part as they are, and only the others are cut, into train and validation."""
+    if own_test is not None:
+        mine = F.coalesce(own_test, F.lit(False))
+        rest = random_split(df.where(~mine), 0.0, val_ratio, seed, order_col, out)
+        return rest.unionByName(df.where(mine).withColumn(out, F.lit("test")))
     n = df.count()
     n_test = _ceil_count(n, test_ratio)
     n_val = _ceil_count(n - n_test, val_ratio)
@@ -333,3 +347,33 @@ def length_bucketed_batches(df: DataFrame, length_col: str, batch_size: int, wid
     x = df.withColumn("length_bucket", F.floor(F.col(length_col) / width).cast("long"))
     r = global_row_number(x, order_col, [F.col(order_col)], group_cols=["length_bucket"], out="_rn")
     return r.withColumn("batch_in_bucket", F.floor((F.col("_rn") - 1) / batch_size).cast("long")).drop("_rn")
+
+
+def length_grouped_batches(df: DataFrame, length_col: str, batch_size: int, seed: int = 42, mega: int = 50,
+                           order_col: str = "row_id") -> DataFrame:
+    """Shuffled batches of rows of like length: a seeded order of all rows is cut into mega-batches of ``mega``
+    batches, each is sorted by descending length, and the longest row of all changes places with the first one, so
+    that the first batch needs the most memory. Adds ``batch`` and ``place`` (both from 0, in training order).
+
+    The order is an exact rank over hash ranges; a mega-batch is a bounded window. Null lengths count as zero;
+    ties go by the seeded order, the longest row is the first such in it."""
+    h, prefix = hash_order_key(seed, order_col)
+    size = mega * batch_size
+    keyed = df.withColumns({"_h": h, "_hp": prefix, "_len": F.coalesce(F.col(length_col).cast("long"), F.lit(0).cast("long"))})
+    ranked = global_row_number(keyed, "_hp", ["_h", order_col], out="_rn", key_range=HASH_KEY_RANGE)
+    cut = ranked.withColumn("_mega", F.floor((F.col("_rn") - 1) / size).cast("long"))
+    inside = Window.partitionBy("_mega").orderBy(F.desc("_len"), "_rn")
+    placed = cut.withColumn("_in", F.row_number().over(inside) - 1).withColumn("_at", F.col("_mega") * size + F.col("_in"))
+    placed = written(placed.drop("_h", "_hp", "_mega", "_in"), "length-grouped")
+    longest = placed.agg(F.min_by("_at", F.struct(-F.col("_len"), "_rn"))).first()[0]  # one number
+    if longest is None:
+        longest = 0
+    place = F.when(F.col("_at") == longest, 0).when(F.col("_at") == 0, longest).otherwise(F.col("_at")).cast("long")
+    return placed.withColumn("place", place).withColumn("batch", F.floor(F.col("place") / batch_size).cast("long")).drop("_len", "_rn", "_at")
+
+
+def padding_share(batches: DataFrame, length_col: str, batch_col: str = "batch") -> DataFrame:
+    """(tokens, padding, share): what padding every row to its batch's longest adds."""
+    per = batches.groupBy(batch_col).agg(F.max(length_col).alias("longest"), F.count(F.lit(1)).alias("rows"), F.sum(length_col).alias("used"))
+    return per.agg(F.sum("used").alias("tokens"), F.sum(F.col("longest") * F.col("rows") - F.col("used")).alias("padding")).withColumn(
+        "share", F.col("padding") / (F.col("tokens") + F.col("padding")))

@@ -16,6 +16,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
+ROW = "_row"  # a row's own number, whatever its id
 BUCKET = "_range_bucket"
 KEY_TMP = "_range_key"
 # Hex digits of the md5 order key used as its numeric prefix; the prefix is
@@ -24,6 +27,18 @@ HASH_PREFIX_DIGITS = 12
 HASH_KEY_RANGE = (0.0, float(16 ** HASH_PREFIX_DIGITS))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Written once to the shared checkpoint folder: read by several later steps."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str = "numbered") -> DataFrame:
+    """``df`` with a number of its own for every row, so rows that share an id or have none stay apart."""
+    return written(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def default_buckets(df: DataFrame) -> int:
     return max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16)
 

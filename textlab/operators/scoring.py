@@ -3,11 +3,16 @@ classifier trained with MLlib, and validation-based model selection.
 
 The scorer is the only Python on the row path: Arrow batches go through
 ``mapInPandas`` (batch size = ``spark.sql.execution.arrow.maxRecordsPerBatch``),
-the scorer is built once per task, and softmax / argmax run in the JVM.
+the scorer is built once per worker process, and softmax / argmax run in the JVM.
 """
 
 from __future__ import annotations
 
+import os
+import sys
+import types
+import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -25,16 +30,56 @@ def _materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+MODELS_KEPT = 2  # models that a worker process holds at once
+
+
+def worker_model(key: str, factory: Callable, keep: int = MODELS_KEPT):
+    """The model of ``key``, built once per worker process and used by all its tasks.
+
+    ``key`` is made on the driver and travels with the task (an ``id()`` would differ between processes or be
+    used again). The models live in a module of the worker's own, as functions that travel by value bring their
+    own globals; the one used longest ago is released (its ``close()`` called, if any) before a further one is built."""
+    store = sys.modules.setdefault("_worker_models", types.ModuleType("_worker_models"))
+    models = store.__dict__.setdefault("models", OrderedDict())
+    if key in models:
+        models.move_to_end(key)
+        return models[key]
+    while len(models) >= keep:
+        _, old = models.popitem(last=False)
+        close = getattr(old, "close", None)
+        if close:
+            close()
+        del old
+    models[key] = factory()
+    return models[key]
+
+
+def model_key(name: str | None = None) -> str:
+    """The key of a model: ``name`` (say a path and version) to share it between jobs, else one of its own."""
+    return name or uuid.uuid4().hex
+
+
+def shipped_file(spark, path: str) -> Callable[[], str]:
+    """Sends a weights file to every node once; the returned function gives its local path inside a task."""
+    from pyspark import SparkFiles
+    spark.sparkContext.addFile(path)
+    name = os.path.basename(path)
+    return lambda: SparkFiles.get(name)
+
+
 def score_batches(df: DataFrame, scorer_factory: Callable[[], Callable[[list[str]], np.ndarray]],
-                  text_col: str = "text", id_cols: Sequence[str] = ("row_id",), materialize: bool = True) -> DataFrame:
+                  text_col: str = "text", id_cols: Sequence[str] = ("row_id",), materialize: bool = True,
+                  model_name: str | None = None) -> DataFrame:
     """Apply ``scorer_factory()`` (text list -> [n, k] logits) to Arrow batches;
-    adds ``logits``, ``probs`` (softmax) and ``pred`` (first argmax)."""
+    adds ``logits``, ``probs`` (softmax) and ``pred`` (first argmax). The scorer is built once per worker
+    process; calls that give the same ``model_name`` share it."""
+    key = model_key(model_name)
     id_cols = list(id_cols)
     in_schema = df.select(*id_cols).schema
     out_schema = T.StructType(list(in_schema.fields) + [T.StructField("logits", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
-        score = scorer_factory()  # once per task
+        score = worker_model(key, scorer_factory)
         for pdf in batches:
             texts = pdf[text_col].fillna("").astype(str).tolist()
             logits = np.asarray(score(texts), dtype=np.float64)
@@ -131,17 +176,18 @@ def select_model(train: DataFrame, validation: DataFrame, reg_params: Sequence[f
 # ---------------------------------------------------------------- prompted classification
 
 def generate_batches(df: DataFrame, generator_factory: Callable[[], Callable], prompt_col: str = "prompt",
-                     id_cols: Sequence[str] = ("row_id",), materialize: bool = True) -> DataFrame:
+                     id_cols: Sequence[str] = ("row_id",), materialize: bool = True, model_name: str | None = None) -> DataFrame:
     """One pass of an injected generator over Arrow batches of prompts:
     ``generator(list[str]) -> (list[str] answers, [n, V] next-token logits)``.
     Adds ``generated`` and ``logits``."""
+    key = model_key(model_name)
     id_cols = list(id_cols)
     in_schema = df.select(*id_cols).schema
     out_schema = T.StructType(list(in_schema.fields) + [T.StructField("generated", T.StringType()),
                                                         T.StructField("logits", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
-        gen = generator_factory()  # once per task
+        gen = worker_model(key, generator_factory)
         for pdf in batches:
             answers, logits = gen(pdf[prompt_col].fillna("").astype(str).tolist())
             out = pdf[id_cols].copy()

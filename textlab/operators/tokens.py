@@ -8,16 +8,21 @@ of a batch.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rank import global_row_number
+from .rank import ROW, global_row_number, numbered, written
 
 # Token pattern, special tokens and their ids, ignored label id.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 SPECIALS = ["[PAD]", "[UNK]"]
 PAD_ID, UNK_ID = 0, 1
 IGNORE_ID = -100
+# Tokens that every task holds, and their longest: 4 MB of text at most.
+FREQUENT, FREQUENT_BYTES = 1 << 16, 64
 
 
 def tokens(col) -> "F.Column":
@@ -47,19 +52,52 @@ def vocabulary(df: DataFrame, text_col: str = "text", min_count: int = 1, max_si
     return vocab.checkpoint(eager=True)
 
 
-def _lookup(toks: DataFrame, vocab: DataFrame) -> DataFrame:
-    # no hint: the planner chooses by bytes, AQE splits a hot token's partition
-    return toks.join(vocab.select("token", F.col("id").alias("_id")), "token", "left").withColumn("_id", F.coalesce("_id", F.lit(UNK_ID)).cast("int"))
-
-
-def token_ids(df: DataFrame, vocab: DataFrame, text_col: str = "text", id_col: str = "row_id", max_length: int = 256) -> DataFrame:
-    """Adds ``_ids``, the unpadded ids of the first ``max_length`` tokens."""
-    toks = (df.select(id_col, F.posexplode(tokens(text_col)).alias("pos", "token"))
-            .where(F.col("pos") < max_length))
-    ids = (_lookup(toks, vocab).groupBy(id_col)
-           .agg(F.sort_array(F.collect_list(F.struct("pos", "_id"))).alias("_p"))
-           .select(id_col, F.transform("_p", lambda s: s["_id"]).alias("_ids")))
-    return df.join(ids, id_col, "left").withColumn("_ids", F.coalesce("_ids", F.array().cast("array<int>")))
+def frequent_tokens(vocab: DataFrame, most: int = FREQUENT) -> list[tuple[str, int]]:
+    """(token, id) of the most frequent tokens of at most ``FREQUENT_BYTES`` bytes: what every task holds is
+    bounded by their product, whatever the vocabulary."""
+    short = vocab.where((F.col("id") < most + len(SPECIALS)) & (F.octet_length("token") <= FREQUENT_BYTES))
+    return [(r["token"], r["id"]) for r in short.select("token", "id").collect()]
+
+
+def token_ids(df: DataFrame, vocab: DataFrame, text_col: str = "text", id_col: str = "row_id", max_length: int = 256,
+              frequent: int = FREQUENT) -> DataFrame:
+    """Adds ``_ids``, the unpadded ids of the first ``max_length`` tokens.
+
+    The frequent tokens are looked up in place, a batch at a time; only the others are shuffled, each once a row,
+    and AQE splits one that is hot. Rows are told apart by a number of their own (``id_col`` plays no part), and
+    texts take part in no shuffle unless the caller keeps their column."""
+    rows = numbered(df)
+    common = frequent_tokens(vocab, frequent)
+    whole = len(common) == vocab.count()  # then a token that is not found is unknown
+    shared = df.sparkSession.sparkContext.broadcast((pa.array([t for t, _ in common], pa.string()), np.array([i for _, i in common] + [UNK_ID], np.int32)))
+    toks = rows.select(ROW, F.slice(tokens(text_col), 1, max_length).alias("toks"))
+
+    def run(batches):
+        words, ids = shared.value
+        for batch in batches:
+            lists = batch.column("toks")
+            found = pc.index_in(lists.flatten(), value_set=words)
+            at = np.asarray(found.fill_null(len(words)))
+            sizes = np.asarray(lists.value_lengths())
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            mask = np.zeros(len(at), bool) if whole else at == len(words)
+            rare, place = np.flatnonzero(mask), np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            per_row = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[rare], minlength=len(sizes))
+            rare_ends = pa.array(np.concatenate([[0], np.cumsum(per_row)]), pa.int32())
+            missing = pa.StructArray.from_arrays([pa.array(place[rare].astype(np.int32)), lists.flatten().take(pa.array(rare))], ["pos", "token"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(ROW), pa.ListArray.from_arrays(ends, pa.array(ids[at])), pa.ListArray.from_arrays(rare_ends, missing)], [ROW, "_ids", "_rare"])
+
+    coded = toks.mapInArrow(run, f"{ROW} bigint, _ids array<int>, _rare array<struct<pos:int,token:string>>")
+    if not whole:
+        coded = written(coded, "coded")
+        seen = coded.select(ROW, F.explode("_rare").alias("r")).groupBy(ROW, "r.token").agg(F.collect_list("r.pos").alias("at"))
+        # no hint: the planner chooses by bytes, AQE splits a hot token's partition
+        late = (seen.join(vocab.select("token", F.col("id").cast("int").alias("id")), "token").groupBy(ROW)
+                .agg(F.map_from_entries(F.flatten(F.collect_list(F.transform("at", lambda p: F.struct(p, F.col("id")))))).alias("_late")))
+        patched = F.transform("_ids", lambda x, i: F.coalesce(F.element_at("_late", i), x))
+        coded = coded.join(late, ROW, "left").withColumn("_ids", F.when(F.col("_late").isNotNull(), patched).otherwise(F.col("_ids"))).drop("_late")
+    return rows.join(coded.drop("_rare"), ROW).drop(ROW)
 
 
 def padded(ids, length, padding: str = "right"):

@@ -505,6 +505,23 @@ def q_length_bucketed_batches(spark, sf):
     return C.length_bucketed_batches(d, "n_chars", batch_size=8, width=1000)
 
 
+@register("length_grouped_batches")
+def q_length_grouped_batches(spark, sf):
+    """Shuffled length grouping of all documents, with the padding share of its batches and of plain consecutive ones."""
+    d = X.unlabelled_corpus(spark, sf).select("row_id", F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
+    grouped = C.length_grouped_batches(d, "n_chars", batch_size=8, mega=20)
+    share = lambda df, name: C.padding_share(df, "n_chars").select(F.col("share").alias(name))
+    plain = C.batch_assignment(d, 8)
+    return round_doubles(grouped.withColumns({"share": share(grouped, "share").scalar(), "plain_share": share(plain, "plain_share").scalar()}))
+
+
+@register("own_test_split")
+def q_own_test_split(spark, sf):
+    """Documents of one source bring their own test part; the others are cut into train and validation."""
+    d = X.unlabelled_corpus(spark, sf).select("row_id", "split")
+    return C.random_split(d, val_ratio=0.2, out="part", own_test=F.col("split") == "test").select("row_id", "part")
+
+
 @register("best_checkpoint")
 def q_best_checkpoint(spark, sf):
     from ..operators.training import best_checkpoint

@@ -233,7 +233,9 @@ WITH {EVERY},
 t AS (SELECT split, {sql_tokens('text')} AS tokens FROM corpus)
 SELECT split, max(tokens) AS max_tokens, min(tokens) AS min_tokens, round(avg(tokens), 6) AS mean_tokens,
        count(*) AS texts
-FROM t GROUP BY split""")
+FROM t GROUP BY split
+UNION ALL
+SELECT 'all', max(tokens), min(tokens), round(avg(tokens), 6), count(*) FROM t""")
 
 register("corpus_unigrams", r"""
 WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM documents)
@@ -678,6 +680,22 @@ SELECT row_id, n_chars, length_bucket,
        CAST(floor((row_number() OVER (PARTITION BY length_bucket ORDER BY row_id) - 1) / 8) AS BIGINT) AS batch_in_bucket
 FROM b""")
 
+register("length_grouped_batches", f"""WITH {DOCS},
+o AS (SELECT row_id, coalesce(n_chars, 0) AS n_chars, row_number() OVER (ORDER BY md5('42-' || row_id), row_id) - 1 AS rn FROM docs),
+p AS (SELECT *, rn // 160 * 160 + row_number() OVER (PARTITION BY rn // 160 ORDER BY n_chars DESC, rn) - 1 AS pl FROM o),
+l AS (SELECT pl AS longest FROM p ORDER BY n_chars DESC, rn LIMIT 1),
+b AS (SELECT row_id, n_chars, CASE pl WHEN longest THEN 0 WHEN 0 THEN longest ELSE pl END AS place FROM p, l),
+g AS (SELECT *, place // 8 AS batch FROM b),
+c AS (SELECT n_chars, (row_number() OVER (ORDER BY row_id) - 1) // 8 AS batch FROM o),
+share AS (SELECT (sum(m * n) - sum(s)) / sum(m * n) AS share FROM (SELECT max(n_chars) AS m, count(*) AS n, sum(n_chars) AS s FROM g GROUP BY batch)),
+plain AS (SELECT (sum(m * n) - sum(s)) / sum(m * n) AS plain_share FROM (SELECT max(n_chars) AS m, count(*) AS n, sum(n_chars) AS s FROM c GROUP BY batch))
+SELECT row_id, n_chars, place, batch, round(share, 6) AS share, round(plain_share, 6) AS plain_share FROM g, share, plain""")
+
+register("own_test_split", f"""WITH {EVERY},
+o AS (SELECT row_id, row_number() OVER (ORDER BY md5('42-' || row_id), row_id) AS rn, count(*) OVER () AS n FROM corpus WHERE split <> 'test')
+SELECT row_id, CASE WHEN rn <= ceil(n * 0.2) THEN 'validation' ELSE 'train' END AS part FROM o
+UNION ALL SELECT row_id, 'test' FROM corpus WHERE split = 'test'""")
+
 EPOCHS = """epochs AS (
   SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, value
   FROM events WHERE value IS NOT NULL)"""

@@ -100,9 +100,9 @@ def per_class_report(preds: DataFrame, keys: Sequence[str], zero_division: float
 
 
 def classification_report(preds: DataFrame, keys: Sequence[str], zero_division: float = 0.0,
-                          label_names: Sequence[str] | None = None) -> DataFrame:
+                          label_names: Sequence[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Per-class rows plus ``accuracy``, ``macro avg`` and ``weighted avg`` rows."""
-    rep = per_class_report(preds, keys, zero_division)
+    rep = per_class_report(preds, keys, zero_division, counts=counts)
     name = F.col("cls").cast("string")
     if label_names:
         name = F.coalesce(F.element_at(F.create_map(*[x for i, n in enumerate(label_names)
@@ -356,7 +356,8 @@ def evaluate_runs(preds: DataFrame, keys: Sequence[str], label_names: Sequence[s
                   zero_division: float = 0.0, n_bins: int = 10) -> DataFrame:
     """The full metric record per group: macro_f1, accuracy, macro_avg_precision,
     roc_auc (binary when two probability entries, else one-vs-rest macro), ece,
-    per-class maps (keyed by class name) and the confusion matrix."""
+    per-class maps (keyed by class name), the confusion matrix and the classification report (a map from its rows
+    to precision, recall, f1 and support)."""
     keys = _k(keys)
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(preds.sparkSession)
@@ -385,7 +386,10 @@ def evaluate_runs(preds: DataFrame, keys: Sequence[str], label_names: Sequence[s
         F.when(F.count(F.lit(1)) == 2, F.max(F.when(F.col("cls") == 1, F.col("auc"))))
          .otherwise(F.when(F.count("auc") == F.count(F.lit(1)), F.avg("auc"))).alias("roc_auc"),
     )
-    return (cls_maps.join(ap_maps, keys, "left")
+    entry = F.struct("row", F.struct("precision", "recall", "f1", "support"))
+    reports = (classification_report(preds, keys, zero_division, label_names, counts).groupBy(*keys)
+               .agg(F.map_from_entries(F.collect_list(entry)).alias("classification_report")))
+    return (cls_maps.join(ap_maps, keys, "left").join(reports, keys, "left")
             .join(ece(preds, keys, n_bins=n_bins, cells=cells).withColumnRenamed("ece", "expected_calibration_error"),
                   keys, "left")
             .join(confusion_array(preds, keys, counts=counts), keys, "left"))

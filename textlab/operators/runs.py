@@ -209,5 +209,10 @@ def available_experiments(results: DataFrame, partition: Sequence[str] = ("datas
     return results.groupBy(*partition).agg(F.sort_array(F.collect_set("experiment")).alias("experiments"))
 
 
-def filter_experiment(results: DataFrame, experiment: str) -> DataFrame:
-    return results.where(F.col("experiment") == experiment)
+def filter_experiment(results: DataFrame, experiment: str, must_exist: bool = False) -> DataFrame:
+    """Rows of one run; ``must_exist`` fails with the names there are if there is none (a table has a row per run)."""
+    found = results.where(F.col("experiment") == experiment)
+    if must_exist and found.isEmpty():
+        names = sorted({n for r in available_experiments(results, []).collect() for n in r["experiments"]})
+        raise ValueError(f"no run {experiment!r}; there are {names}")
+    return found

@@ -144,7 +144,7 @@ def _few_shot_examples(spark, sf, n=2):
 def q_format_prompt_few(spark, sf):
     from ..functions.prompts import examples_block, format_prompt_few
     ex = examples_block(_few_shot_examples(spark, sf), NAMES)
-    rows = X.labelled_corpus(spark, sf)
+    rows = X.unlabelled_corpus(spark, sf)
     # attach_examples: the one-row block enters every row as a scalar subquery
     return rows.select("row_id", format_prompt_few(FEW_TEMPLATE, "text", ex.scalar()).alias("prompt"))
 
@@ -153,7 +153,7 @@ def q_format_prompt_few(spark, sf):
 def q_attach_examples(spark, sf):
     from ..functions.prompts import attach_examples, examples_block
     ex = examples_block(_few_shot_examples(spark, sf), NAMES)
-    j = attach_examples(X.labelled_corpus(spark, sf), ex)
+    j = attach_examples(X.unlabelled_corpus(spark, sf), ex)
     return j.select("row_id", F.length("examples").cast("long").alias("examples_chars"),
                     F.md5("examples").alias("examples_md5"))
 
@@ -295,7 +295,10 @@ def q_calibration_bins(spark, sf):
 
 @register("weighted_cross_entropy")
 def q_weighted_cross_entropy(spark, sf):
-    m = X.multiclass_predictions(spark, sf)
+    """Every entry of the embedding is a logit; the labels are the first classes."""
+    m = X.table(spark, sf, "embeddings").select(
+        F.lit("emb").alias("dataset"), F.lit("whole").alias("experiment"), F.col("label").cast("int").alias("label"),
+        F.transform("embedding", lambda x: x.cast("double")).alias("logits"))
     w = C.class_weights(m, "label", mode="balanced")
     return round_doubles(M.weighted_cross_entropy(m, KEYS, w))
 
@@ -330,12 +333,19 @@ def q_prob_slice(spark, sf):
     return m.select("row_id", F.posexplode(prob_slice("probs", 3)).alias("cls", "prob")).withColumn("prob", r6("prob"))
 
 
+def _report_text(report):
+    """``row:precision:recall:f1:support`` of every row in millionths, sorted, comma-joined."""
+    shown = lambda x: F.coalesce(F.round(x * 1e6).cast("long").cast("string"), F.lit(""))
+    row = lambda e: F.concat_ws(":", e["key"], *[shown(e["value"][c]) for c in ("precision", "recall", "f1", "support")])
+    return F.array_join(F.array_sort(F.transform(F.map_entries(report), row)), ",")
+
+
 @register("evaluate_runs")
 def q_evaluate_runs(spark, sf):
     ev = M.evaluate_runs(_all_preds(spark, sf), KEYS)
     return round_doubles(ev.select(*KEYS, "macro_f1", "accuracy", "macro_avg_precision", "roc_auc",
                                    "expected_calibration_error",
-                                   F.to_json("confusion_matrix").alias("confusion_matrix")))
+                                   F.to_json("confusion_matrix").alias("confusion_matrix"), _report_text("classification_report").alias("report")))
 
 
 # ---------------------------------------------------------------- §2.2 / §2.3 projections and joins
@@ -633,7 +643,7 @@ def q_metric_display_name(spark, sf):
 
 @register("filter_experiment")
 def q_filter_experiment(spark, sf):
-    return round_doubles(R.filter_experiment(results_table(spark, sf), "e3").select("dataset", "experiment", "macro_f1"))
+    return round_doubles(R.filter_experiment(results_table(spark, sf), "e3", must_exist=True).select("dataset", "experiment", "macro_f1"))
 
 
 @register("cross_dataset_eval")
@@ -872,7 +882,8 @@ def q_encode_tokens(spark, sf):
 
 @register("corpus_vocabulary")
 def q_corpus_vocabulary(spark, sf):
-    return _vocab(spark, sf)
+    """The vocabulary of all documents (``encode_tokens`` builds its own from the train split)."""
+    return TK.vocabulary(X.table(spark, sf, "documents"))
 
 
 @register("align_target_labels")

@@ -271,13 +271,13 @@ register("format_prompt_few", f"""
 WITH {CORPUS},
 {FEW_SHOTS}
 SELECT row_id, replace(replace({q(FEW_TEMPLATE)}, '{{examples}}', ex.examples), '{{text}}', coalesce(text, '')) AS prompt
-FROM corpus, ex""")
+FROM (SELECT doc_id AS row_id, text FROM documents), ex""")
 
 register("attach_examples", f"""
 WITH {CORPUS},
 {FEW_SHOTS}
 SELECT row_id, CAST(length(ex.examples) AS BIGINT) AS examples_chars, md5(ex.examples) AS examples_md5
-FROM corpus, ex""")
+FROM (SELECT doc_id AS row_id FROM documents), ex""")
 
 from ..functions.prompts import INSTRUCTION_TEMPLATE  # noqa: E402
 
@@ -507,7 +507,8 @@ SELECT g.dataset, g.experiment, b.bin, round(b.bin_lower, 6) AS bin_lower, round
 FROM grp g CROSS JOIN bins b
 LEFT JOIN ece_bins e ON e.dataset = g.dataset AND e.experiment = g.experiment AND e.bin = b.bin""")
 
-register("weighted_cross_entropy", f"""WITH {MULTI},
+register("weighted_cross_entropy", f"""WITH mpred AS (
+  SELECT 'emb' AS dataset, 'whole' AS experiment, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS logits FROM embeddings),
 cw AS (SELECT label, count(*) AS n_c FROM mpred GROUP BY label),
 w AS (SELECT label, CAST(sum(n_c) OVER () AS DOUBLE) / (count(*) OVER () * n_c) AS weight FROM cw),
 r AS (
@@ -754,7 +755,19 @@ register("flatten_metric_maps", f"WITH {BIN_PREDS},\n{RECORDS}\nSELECT {K}, {rnd
 
 register("evaluate_runs", f"""WITH {ALL_PREDS},
 {class_stats_cte('allp')},
-rep AS (SELECT {K}, cls, {ratio('2 * tp', 'support + predicted')} AS f1, support, tp FROM stats),
+rep AS (SELECT {K}, cls, {ratio('tp', 'predicted')} AS precision, {ratio('tp', 'support')} AS recall,
+               {ratio('2 * tp', 'support + predicted')} AS f1, support, tp FROM stats),
+lines AS (
+  SELECT {K}, CAST(cls AS VARCHAR) AS line, precision, recall, f1, CAST(support AS DOUBLE) AS support FROM rep
+  UNION ALL SELECT {K}, 'accuracy', NULL, NULL, sum(tp) / sum(support), CAST(sum(support) AS DOUBLE) FROM rep GROUP BY ALL
+  UNION ALL SELECT {K}, 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS DOUBLE) FROM rep GROUP BY {K}
+  UNION ALL SELECT {K}, 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+                   sum(f1 * support) / sum(support), CAST(sum(support) AS DOUBLE) FROM rep GROUP BY {K}),
+texts AS (
+  SELECT {K}, concat_ws(':', line, coalesce(CAST(CAST(round(precision * 1e6) AS BIGINT) AS VARCHAR), ''),
+                        coalesce(CAST(CAST(round(recall * 1e6) AS BIGINT) AS VARCHAR), ''),
+                        coalesce(CAST(CAST(round(f1 * 1e6) AS BIGINT) AS VARCHAR), ''), CAST(CAST(support * 1e6 AS BIGINT) AS VARCHAR)) AS t FROM lines),
+report AS (SELECT {K}, string_agg(t, ',' ORDER BY t) AS report FROM texts GROUP BY {K}),
 {curve_cte('allp')},
 {AP_CTE},
 {AUC_CTE},
@@ -774,10 +787,10 @@ cmrows AS (SELECT {K}, label, list(n ORDER BY pred) AS r FROM cm GROUP BY ALL),
 cma AS (SELECT {K}, CAST(to_json(list(r ORDER BY label)) AS VARCHAR) AS confusion_matrix FROM cmrows GROUP BY ALL)
 SELECT s.dataset, s.experiment, round(s.macro_f1, 6) AS macro_f1, round(s.accuracy, 6) AS accuracy,
        round(a.macro_avg_precision, 6) AS macro_avg_precision, round(x.roc_auc, 6) AS roc_auc,
-       round(e.ece, 6) AS expected_calibration_error, c.confusion_matrix
+       round(e.ece, 6) AS expected_calibration_error, c.confusion_matrix, report.report
 FROM (SELECT {K}, avg(f1) AS macro_f1, sum(tp) / sum(support) AS accuracy FROM rep GROUP BY ALL) s
 JOIN (SELECT {K}, avg(average_precision) AS macro_avg_precision FROM ap GROUP BY ALL) a USING ({K})
-JOIN aucx x USING ({K}) JOIN ece e USING ({K}) JOIN cma c USING ({K})""")
+JOIN aucx x USING ({K}) JOIN ece e USING ({K}) JOIN cma c USING ({K}) JOIN report USING ({K})""")
 
 CM_COLS = ["macro_f1", "accuracy", "macro_avg_precision", "roc_auc", "ece", "f1_0", "f1_1", "ap_0", "ap_1"]
 register("compare_models", f"""WITH {BIN_PREDS},
@@ -1011,7 +1024,9 @@ def pad_left(ids: str, L: int) -> str:
     return f"list_concat(list_transform(range({L} - len({ids})), lambda x: {TKN.PAD_ID}), {ids})"
 
 
-register("corpus_vocabulary", f"WITH {CORPUS},\n{VOCAB}\nSELECT token, id, count FROM vocab")
+register("corpus_vocabulary", f"""
+WITH every AS (SELECT unnest(regexp_extract_all(lower(text), {q(TKN.TOKEN_PATTERN)})) AS token FROM documents)
+SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) + 1 AS id, count(*) AS count FROM every GROUP BY token""")
 
 register("encode_tokens", f"""WITH {CORPUS},
 {VOCAB},

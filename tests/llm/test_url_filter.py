@@ -6,7 +6,8 @@ import re
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import types as T
 
-from textlab.llm.url_filter import BUCKETS, NGRAMS, RULES, labelled_urls, train, url_verdicts, with_host_and_path
+from textlab.llm.url_filter import (BAD_FAMILIES, BAD_WORDS, BUCKETS, GOOD_FAMILIES, GOOD_WORDS, NGRAMS, RULES, labelled_urls, train, url_verdicts,
+                                    with_host_and_path)
 
 PAGES = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("host", T.IntegerType()),
                       T.StructField("html", T.StringType()), T.StructField("rule", T.StringType())])
@@ -88,3 +89,36 @@ def test_only_jvm_expressions(spark):
     plan = url_verdicts(frame(spark, [(1, "http://a.b/")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
     assert with_host_and_path(labelled_urls(spark)).where("host = '' OR path = ''").isEmpty()
+
+
+def judged(spark, good, bad, test_good, test_bad):
+    """(precision, recall) on urls of words that training did not see, in names and paths it did not see either."""
+    labelled = labelled_urls(spark, good, bad)
+    urls = [(f"http://{w}-{t}.example.info/it/{len(w)}", b) for b, ws in ((0, test_good), (1, test_bad)) for w in ws for t in ("place", "page7")]
+    got = {r.page_id: r.verdict for r in url_verdicts(frame(spark, [(i, u) for i, (u, _) in enumerate(urls)]), labelled, rules=()).collect()}
+    blocked = [b for i, (_, b) in enumerate(urls) if got[i] == "block"]
+    return sum(blocked) / max(len(blocked), 1), sum(blocked) / sum(b for _, b in urls)
+
+
+def test_words_of_the_table_in_other_names(spark):
+    precision, recall = judged(spark, GOOD_WORDS, BAD_WORDS, GOOD_WORDS, BAD_WORDS)
+    print(f"known words: precision {precision:.3f} recall {recall:.3f}")
+    assert precision > 0.97 and recall > 0.8
+
+
+def test_held_out_words(spark):
+    """Every fourth word of every family is held out: other words of its family are known."""
+    out = lambda families, hold: [w for ws in families.values() for i, w in enumerate(ws) if (i % 4 == 1) == hold]
+    precision, recall = judged(spark, out(GOOD_FAMILIES, False), out(BAD_FAMILIES, False), out(GOOD_FAMILIES, True), out(BAD_FAMILIES, True))
+    print(f"held-out words: precision {precision:.3f} recall {recall:.3f}")
+    assert precision > 0.5 and recall > 0.2
+
+
+def test_held_out_families(spark):
+    """Words of families that training never saw: what spelling alone tells."""
+    hold = ("gambling", "malware", "nature", "work")
+    known = lambda families: [w for f, ws in families.items() if f not in hold for w in ws]
+    unseen = lambda families: [w for f, ws in families.items() if f in hold for w in ws]
+    precision, recall = judged(spark, known(GOOD_FAMILIES), known(BAD_FAMILIES), unseen(GOOD_FAMILIES), unseen(BAD_FAMILIES))
+    print(f"held-out families: precision {precision:.3f} recall {recall:.3f}")
+    assert precision > 0.4

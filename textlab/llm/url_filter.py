@@ -28,24 +28,59 @@ from .common import let
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
 NGRAMS = (3, 4, 5)
-BUCKETS = 1 << 14
+BUCKETS = 1 << 18  # the table has some 30,000 different n-grams: few share a bucket
+BAD_SHARE = 0.15   # of the urls to be judged; a name that says nothing is allowed
 BLOCK_FROM = 0.5
 
 # The labelled table: every word with every filler is the name of a labelled host;
 # what says nothing of the class (prefixes, endings, paths, order) is dealt alike.
-BAD_WORDS = ("casino", "poker", "bets", "pills", "viagra", "adult", "xxx", "spam", "ads", "track", "prize", "loans")
-GOOD_WORDS = ("news", "garden", "weather", "history", "school", "library", "recipes", "science", "travel", "music", "museum", "theatre",
-              "other", "nation", "thread", "letters", "shore", "winter", "stone", "river", "mountain", "python", "linux", "health",
-              "thesis", "earth", "north", "author", "then", "hat", "white", "and", "wheat", "sting", "thing", "red")
-FILLERS = ("online", "best", "my", "24", "land", "world", "shop", "city", "the", "")
+# The words come in families, so that a test can hold whole families out.
+BAD_FAMILIES = {
+    "gambling": "casino poker bets betting roulette jackpot slots blackjack baccarat bingo lottery lotto gamble gambling wager bookie sportsbook "
+                "craps keno payout dealer spins".split(),
+    "medicine": "pills viagra cialis levitra pharmacy pharma meds drugstore steroid steroids xanax valium tramadol ambien phentermine slimming "
+                "weightloss dietpill keto enlargement erection prescription".split(),
+    "adult": "adult xxx porn porno sexy sexcam nude nudes naked escort escorts hookup milf fetish webcam webcams erotic hentai camgirl strip "
+             "onlyfans hardcore swinger".split(),
+    "malware": "malware phishing trojan virus keylogger ransom botnet exploit spyware crack cracked keygen warez serials torrent torrents "
+               "hacked hacks cheats unlocker bypass rootkit".split(),
+    "money": "loans payday lender cashadvance credit debt refinance mortgage forex crypto bitcoin trading investment profits millionaire "
+             "getrich income pyramid ponzi doubling earnings moneyfast".split(),
+    "marketing": "spam ads track tracker tracking click clicks clickbait popup banner adserver affiliate promo promos traffic leads seo backlinks "
+                 "bulkmail mailer autosurf doorway".split(),
+    "fakes": "prize prizes winner giveaway gifts giftcard coupon coupons replica replicas counterfeit knockoff fakeid diploma rolex outlet "
+             "wholesale discount discounts cheap freebies bonus".split(),
+}
+GOOD_FAMILIES = {
+    "nature": "garden river mountain forest ocean island desert meadow valley lake shore stone winter summer autumn spring weather rain snow "
+              "storm flower tree birds wolf horse rabbit insects coral earth north south wheat orchard".split(),
+    "learning": "school library university college teacher student lesson history science physics chemistry biology geography mathematics "
+                "grammar language dictionary encyclopedia archive museum research thesis lecture reading writing author letters essay journal".split(),
+    "arts": "music theatre painting sculpture poetry novel cinema film photograph dance orchestra piano guitar violin concert festival gallery "
+            "ceramics drawing design architecture folklore legend story stories chapter".split(),
+    "life": "recipes kitchen bread cheese coffee tea vegetables soup dinner bakery family children parents wedding birthday house home furniture "
+            "knitting sewing pottery camping hiking cycling swimming running football tennis chess sailing fishing".split(),
+    "places": "city village harbour bridge street market station railway airport hotel castle church temple country nation travel journey "
+              "guide map atlas europe africa america asia london paris berlin tokyo madrid".split(),
+    "work": "company office business industry factory engineer doctor nurse hospital health clinic law court justice government parliament "
+            "council election news newspaper magazine radio weather report agency institute foundation society association".split(),
+    "technology": "python linux software hardware computer network database server program code developer internet browser telescope satellite "
+                  "robot battery energy electric machine engine vehicle bicycle camera science".split(),
+    "common": "other then there these those thing things hat white and red blue green black great small large little right left under over "
+              "between another together through whether however thread sting first second third hundred thousand morning evening question answer "
+              "reason number letter winter sister brother mother father nearer higher teacher leather ending handed standing".split(),
+}
+BAD_WORDS = tuple(w for words in BAD_FAMILIES.values() for w in words)
+GOOD_WORDS = tuple(w for words in GOOD_FAMILIES.values() for w in words)
+FILLERS = ("online", "best", "my", "24", "land", "world", "shop", "live", "the", "")
 PREFIXES = ("", "www.", "blog.", "m.")
 ENDINGS = (".example.com", ".example.org", ".example.net")
 PATHS = ("/en/41646", "/de/3633.html", "/article/2020/spring", "/es/22254/", "/fr/11385?page=2", "/about", "/posts/how-to-plant-trees")
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The built-in labelled table: url, bad (0 or 1)."""
-    words = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(bad).alias("bad")) for bad, ws in ((0, GOOD_WORDS), (1, BAD_WORDS)) for w in ws])
+def labelled_urls(spark: SparkSession, good=GOOD_WORDS, bad=BAD_WORDS) -> DataFrame:
+    """The built-in labelled table (or one of other words): url, bad (0 or 1)."""
+    words = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(b).alias("bad")) for b, ws in ((0, good), (1, bad)) for w in ws])
     dealt = lambda options, turn: F.get(F.array(*map(F.lit, options)), turn % len(options))
     w, f = F.col("w"), F.col("f")
     name = F.when((w + f) % 2 == 0, F.concat_ws("-", F.nullif("filler", F.lit("")), "word")).otherwise(
@@ -98,10 +133,14 @@ def with_features(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return HashingTF(numFeatures=buckets, inputCol="_grams", outputCol="_features").transform(grams).drop("_grams")
 
 
-def train(labelled: DataFrame, buckets: int = BUCKETS) -> LogisticRegressionModel:
-    """Fits on a small labelled table; the whole table is used."""
+def train(labelled: DataFrame, buckets: int = BUCKETS, bad_share: float | None = BAD_SHARE) -> LogisticRegressionModel:
+    """Fits on a small labelled table; the whole table is used. Good rows are weighted so that ``bad_share`` of the
+    weight is bad, as in the urls to be judged (None: as the table has it)."""
     rows = with_features(with_host_and_path(labelled.select("url", F.col("bad").cast("double").alias("label"))), buckets)
-    return LogisticRegression(featuresCol="_features", labelCol="label", regParam=0.01, maxIter=25, standardization=False).fit(rows)
+    n = rows.agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n")).first()
+    good = 1.0 if bad_share is None or not n["bad"] or n["bad"] == n["n"] else (1 - bad_share) / bad_share * n["bad"] / (n["n"] - n["bad"])
+    rows = rows.withColumn("_weight", F.when(F.col("label") == 1, 1.0).otherwise(good))
+    return LogisticRegression(featuresCol="_features", labelCol="label", weightCol="_weight", regParam=0.0003, maxIter=100, standardization=False).fit(rows)
 
 
 def url_verdicts(df: DataFrame, labelled: DataFrame | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url",

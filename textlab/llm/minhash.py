@@ -384,7 +384,8 @@ def verified(df: DataFrame, members: DataFrame, id_col: str, text_col: str, shin
     many = saved(members.join(sizes.select("root", parts.alias("parts")), "root").withColumn(
         "part", F.pmod(F.xxhash64("key"), F.col("parts"))), "candidates")
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("m", F.xxhash64("text"))
-    read = texts.join(many, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("m") == F.col("mark"))).select(
+    # a merge join at every size: the planner would broadcast small tables of candidates and shuffle large ones
+    read = texts.join(many.hint("merge"), F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("m") == F.col("mark"))).select(
         "root", "part", "parts", F.lit(0).cast("bigint").alias("other"), "key", F.col("text").cast("binary").alias("text"))
 
     def sets_of(rows):

@@ -57,22 +57,21 @@ def brute(spark, rows, gram, reach, least):
         by[g].append((key, m))
     hit = defaultdict(set)
     for places in by.values():
-        first_key, first = min(places, key=lambda p: (p[0][:2], p[1]) if len({q[0][:2] for q in places}) > 0 else p)
-        fl, fs, _ = wanted[first_key]
-        for key, m in places:
-            if (key, m) == (first_key, first):
-                continue
+        places.sort(key=lambda p: (p[0][:2], p[1]))
+        for n, (key, m) in enumerate(places):
             ls, starts, _ = wanted[key]
-            hit[key].add(m)
-            a, b = m - 1, first - 1
-            while a >= 0 and b >= 0 and starts[m] - starts[a] < reach and fs[first] - fs[b] < reach and ls[a][1] == fl[b][1]:
-                hit[key].add(a)
-                a, b = a - 1, b - 1
-            a, b = m + 1, first + 1
-            while a < len(ls) and b < len(fl) and starts[a] < starts[m + 1] + gram + reach - 1 \
-                    and fs[b] < fs[first + 1] + gram + reach - 1 and ls[a][1] == fl[b][1]:
-                hit[key].add(a)
-                a, b = a + 1, b + 1
+            for first_key, first in places[:n]:  # every earlier occurrence
+                fl, fs, _ = wanted[first_key]
+                hit[key].add(m)
+                a, b = m - 1, first - 1
+                while a >= 0 and b >= 0 and starts[m] - starts[a] < reach and fs[first] - fs[b] < reach and ls[a][1] == fl[b][1]:
+                    hit[key].add(a)
+                    a, b = a - 1, b - 1
+                a, b = m + 1, first + 1
+                while a < len(ls) and b < len(fl) and starts[a] < starts[m + 1] + gram + reach - 1 \
+                        and fs[b] < fs[first + 1] + gram + reach - 1 and ls[a][1] == fl[b][1]:
+                    hit[key].add(a)
+                    a, b = a + 1, b + 1
     out = {}
     for key, (ls, _, _) in wanted.items():
         gone, j = set(), 0
@@ -142,6 +141,35 @@ def test_planted_passages_go_and_clean_text_stays(spark):
         assert (got[i].removed_lines > 0) == (want != text)
 
 
+def test_earlier_fragments_hide_no_later_passage(spark):
+    rng = random.Random(21)
+    rows, whole = [], {}
+    for p in range(12):
+        lines = [words(rng, rng.randint(3, 9)) for _ in range(rng.randint(9, 14))]
+        while sum(len(x.split(" ")) for x in lines) < 51:
+            lines.append(words(rng, 6))
+        for n in range(8):  # fragments before, between and after the whole passages
+            own = [words(rng, 20), words(rng, 20)]
+            if n in (2, 4, 6, 7):
+                own[1:1] = lines
+                whole[100 * p + n] = lines
+            else:
+                a = rng.randint(0, 3)
+                b, left = a, 46  # short of a run
+                while b < len(lines) and left >= len(lines[b].split(" ")):
+                    left -= len(lines[b].split(" "))
+                    b += 1
+                own[1:1] = lines[a:b]
+            rows.append((100 * p + n, "\n".join(own)))
+    rng.shuffle(rows)
+    got = {r.doc_id: r.new_text for r in run(spark, rows)}
+    for i, text in rows:
+        if i in whole and i % 100 > 2:
+            assert got[i] == text.replace("\n".join(whole[i]) + "\n", ""), i
+        elif i % 100 < 2:
+            assert got[i] == text, i
+
+
 def test_hot_copies_and_repeats_within_one_text(spark):
     rng = random.Random(3)
     text = "\n".join(words(rng, 9) for _ in range(12))

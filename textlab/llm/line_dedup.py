@@ -7,15 +7,19 @@ with the least hash is selected: a fingerprint. A run of ``GRAM + REACH - 1`` wo
 (50) or more that two texts share holds a whole window, so both select the same
 gram in it, while only part of the grams is joined.
 
-Each fingerprint is matched with its earliest occurrence (by doc_id, then place) and
+Each fingerprint is matched with all its earlier occurrences (by doc_id, then place) and
 the match is extended line by line to both sides, as far as the neighbouring
-fingerprints reach; beyond those, their own matches go on. If the earliest text holds
-only a part of a passage, the match ends where that part does: a passage of little
-over 50 words that later texts share can stay, a longer one keep some words at an end. Matched lines that follow
+fingerprints reach; beyond those, their own matches go on. A line counts as matched if
+any earlier occurrence goes on alike up to it. The earliest occurrence settles most
+lines; where an occurrence goes on otherwise than that one, every further step is
+looked up among the occurrences that took the same steps: a step is known by
+(fingerprint, side, number of steps, hash of the lines so far) and the earliest to
+take it is a partial aggregate, so occurrences are never compared pair by pair and an
+earlier fragment of a passage hides nothing. Matched lines that follow
 one another make a run; runs of ``LEAST`` words or more are deleted, the first
 occurrence stays. A common short line alone is no run.
 
-The earliest occurrence of a fingerprint is a partial aggregate, so a passage that a
+The earliest occurrence of a fingerprint is a partial aggregate too, so a passage that a
 third of all texts share is combined map-side and its copies join one row. Only
 DataFrame functions run.
 
@@ -89,20 +93,39 @@ def same_ahead(ours: Column, theirs: Column) -> Column:
     return F.coalesce(F.get(differ, 0), n)
 
 
+def steps(lines: Column, sign: int, done: Column) -> Column:
+    """The steps of one side after the first ``done``: side, step, way (hash of the lines so far), at, line."""
+    way = F.transform(lines, lambda x: x["h"])
+    more = F.when(done < F.size(lines), F.sequence(done + 1, F.size(lines))).otherwise(F.array().cast("array<int>"))
+    return F.transform(more, lambda d: F.struct(
+        F.lit(sign).alias("side"), d.alias("step"), F.xxhash64(F.slice(way, F.lit(1), d)).alias("way"),
+        (F.col("at") + sign * d).alias("at"), F.get(lines, d - 1).alias("line")))
+
+
 def repeated_lines(prints: DataFrame) -> DataFrame:
-    """Lines of later matches: KEY, at, line."""
+    """Lines that an earlier occurrence of a fingerprint shares: KEY, at, line."""
     order = F.struct(F.col("id").isNull().alias("late"), *KEY, "at")
     hashes = lambda c: F.transform(c, lambda x: x["h"])
     first = saved(prints.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(
         order.alias("order"), hashes("left").alias("left"), hashes("right").alias("right"))).alias("first")).where("n > 1"), "repeated-fingerprints")
     # merge joins at every size: neither side is bounded, and AQE splits a hot fingerprint
-    pairs = prints.join(first.select(F.col("g1").alias("f1"), F.col("g2").alias("f2"), "first").hint("merge"),
+    pairs = prints.join(first.select(F.col("g1").alias("f1"), F.col("g2").alias("f2"), "n", "first").hint("merge"),
                         (F.col("g1") == F.col("f1")) & (F.col("g2") == F.col("f2"))).where(order != F.col("first.order"))
     reach = pairs.withColumns({"back": same_ahead(F.col("left"), F.col("first.left")), "on": same_ahead(F.col("right"), F.col("first.right"))})
     numbered = lambda c, sign, base: F.transform(c, lambda x, i: F.struct((F.col("at") + sign * (i + base)).alias("at"), x.alias("line")))
     run = F.concat(F.array(F.struct("at", "line")), F.slice(numbered("left", -1, 1), F.lit(1), F.col("back")),
                    F.slice(numbered("right", 1, 1), F.lit(1), F.col("on")))
-    return reach.select(*KEY, F.explode(run).alias("r")).select(*KEY, "r.at", "r.line")
+    sure = F.transform(run, lambda x: F.struct(F.lit(None).cast("int").alias("side"), F.lit(None).cast("int").alias("step"),
+                                               F.lit(None).cast("long").alias("way"), x["at"].alias("at"), x["line"].alias("line")))
+    # whoever shares a step past the parting from the first occurrence parts from it at the same place, so all of them are here
+    asked = F.when(F.col("n") > 2, F.concat(steps(F.col("left"), -1, F.col("back")), steps(F.col("right"), 1, F.col("on"))))
+    rows = saved(reach.select(*KEY, "g1", "g2", F.col("at").alias("from"), F.explode(F.concat(sure, F.coalesce(asked, F.slice(sure, 1, 0)))).alias("s"))
+                 .select(*KEY, "from", "s.*", *[F.when(F.col("s.side").isNotNull(), F.col(g)).alias(g) for g in ("g1", "g2")]), "matched-lines")
+    open_steps = rows.where("side IS NOT NULL").withColumn("order", F.struct(F.col("id").isNull().alias("late"), *KEY, "from"))
+    node = ("g1", "g2", "side", "step", "way")
+    earliest = open_steps.groupBy(*node).agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("first")).where("n > 1")
+    shared = open_steps.join(earliest.hint("merge"), list(node)).where(F.col("order") != F.col("first"))
+    return rows.where("side IS NULL").select(*KEY, "at", "line").unionByName(shared.select(*KEY, "at", "line"))
 
 
 def deletions(lines: DataFrame, least: int = LEAST) -> DataFrame:

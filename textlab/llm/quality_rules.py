@@ -207,10 +207,15 @@ def labelled_statistics(statistics: DataFrame, labels: DataFrame) -> DataFrame:
     return statistics.select(F.col("doc_id").alias("key"), *STATISTICS).join(marks, "key")
 
 
-def quality_verdicts(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, the statistics, base_failed, rule, kept."""
-    rows = saved(with_statistics(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-                 .select("doc_id", *STATISTICS), "text-statistics")
+def quality_verdicts(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                     row_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, the statistics, base_failed, rule, kept.
+
+    ``row_col`` names a column (a struct of all columns, say) to carry along as ``row``, so that
+    rows that share an id or have none keep their own verdict without a join."""
+    carried = [F.col(row_col).alias("row")] if row_col else []
+    rows = saved(with_statistics(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried))
+                 .select("doc_id", *STATISTICS, *(["row"] if row_col else [])), "text-statistics")
     rules = learn(labelled_statistics(rows, labels).where(~base_failed()))
     judged = rows.withColumn("base_failed", base_failed()).withColumn("rule", low_quality(rules))
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())

@@ -1,13 +1,15 @@
 """SimHash components against brute force over all pairs."""
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlab.llm.simhash import anchors, components, fingerprint, forest, links, simhash_components
+from textlab.llm.simhash import anchors, compared, components, fingerprint, forest, links, replicas, simhash_components
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
                      T.StructField("fp", T.StringType()), T.StructField("root", T.IntegerType())])
@@ -107,6 +109,51 @@ def test_links_and_components_match_brute_force(spark):
     assert [got.get(v, v) for v in values] == [least[w] for w in want]
 
 
+@pytest.mark.parametrize("large", [3, 40])
+def test_large_anchors_are_compared_block_by_block(spark, large):
+    rng = random.Random(11)
+    half = rng.getrandbits(32)
+    values = {half << 32 | rng.getrandbits(32) for _ in range(300)}  # one half is shared, so one anchor covers all
+    values |= {half | rng.getrandbits(32) << 32 for _ in range(100)} | {rng.getrandbits(64) for _ in range(50)}
+    for v in list(values)[:40]:
+        for _ in range(3):
+            v ^= (1 << rng.randrange(64)) | (1 << rng.randrange(64))
+            values.add(v)
+    values = sorted(np.array(list(values), np.uint64).view(np.int64).tolist())
+    df = spark.createDataFrame([(v,) for v in values], "fp long").repartition(4)
+    found = links(df, large=large)
+    got = {r.node: r.root for r in components(found).collect()}
+    want = brute_components([v & (2**64 - 1) for v in values])
+    least = {}
+    for v, w in zip(values, want):
+        least[w] = min(least.get(w, v), v)
+    assert [got.get(v, v) for v in values] == [least[w] for w in want]
+    sizes = Counter(r.anchor for r in compared(replicas(df), 4, large).where("anchor IS NOT NULL").collect())
+    assert sizes and min(sizes.values()) > large  # some were too large, and those came whole
+    want_sizes = Counter(r.anchor for r in replicas(df).collect())
+    assert sizes == {a: n for a, n in want_sizes.items() if n > large}
+
+
+@pytest.mark.parametrize("large", [1000, 15_000, 29_999])
+def test_an_anchor_over_many_batches_is_streamed(spark, large):
+    n = 30_000  # three Arrow batches of one anchor, small ones around it
+    df = spark.range(n).select(F.lit(5).cast("long").alias("anchor"), (F.col("id") * 64).alias("fp")).unionByName(
+        spark.createDataFrame([(1, 7), (1, 6), (9, 15), (9, 14), (9, 31 * 2**40)], "anchor long, fp long")).coalesce(1)
+    got = compared(df, 4, large).collect()
+    assert sorted((r.a, r.b) for r in got if r.anchor is None) == [(7, 6), (15, 14)]
+    assert sorted(r.a for r in got if r.anchor == 5) == [64 * i for i in range(n)]
+
+
+def test_rows_are_told_apart_by_their_own_column(spark):
+    text = "one text that several rows share word for word"
+    rows = [(None, text, 1), (None, text, 2), (3, text, 3), (3, text, 4), (3, "a different text with the same id here", 5),
+            (None, "nobody else says this at all", 6), (None, "nobody else says this at all", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(3)
+    got = {r.row: (r.doc_id, r.component_id, r.kept) for r in simhash_components(df, row_col="n").collect()}
+    assert got == {1: (None, 3, False), 2: (None, 3, False), 3: (3, 3, True), 4: (3, 3, False), 5: (3, 3, True),
+                   6: (None, None, True), 7: (None, None, False)}
+
+
 def test_documents(spark):
     rng = random.Random(10)
     words = [f"w{i}" for i in range(400)]

@@ -13,13 +13,17 @@ arithmetic, not by search), pairs are compared per anchor, and none is missed.
 
 Inside an anchor the fingerprints are linked as a spanning forest of their
 components, never as all pairs, so a group of thousands of near copies gives
-thousands of links. Components over all anchors come from alternating large-star
+thousands of links. An anchor that covers more than ``LARGE`` fingerprints (many can
+share one half) is not held by one task: its fingerprints are dealt to blocks by hash
+and every pair of blocks is one group, so memory stays bounded, the comparisons spread
+over the cluster and no pair is lost. Components over all anchors come from alternating large-star
 and small-star rounds on the links between distinct fingerprints.
 
 Defined results: null and empty texts (no words) have fingerprint zero, which
 links like any other; an empty table gives an empty result; repeated rows get one
 result each; ids are compared as they are, a component of only null ids has a
-null component id; further columns are ignored.
+null component id; further columns are ignored. With ``row_col`` one row of each
+component is kept: the one with the smallest id (null last), then the smallest row.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ from .common import saved
 SHINGLE = 4
 SEED = 42
 MAX_BITS = 4
+LARGE = 20_000  # fingerprints of one anchor that one task compares at once
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 # Code words of weight 2 away by syndrome s are the pairs (i, i ^ s) of positions 1..31.
@@ -69,15 +74,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                 seed: int = SEED) -> DataFrame:
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+                 seed: int = SEED, row_col: str | None = None) -> DataFrame:
+    """doc_id, row (if ``row_col`` is given) and fp of every row."""
+    told = [F.col(id_col).alias("doc_id"), *([F.col(row_col).alias("row")] if row_col else [])]
+    rows = df.select(*told, F.col(text_col).cast("string").cast("binary").alias("text"))
 
     def run(batches):
         for batch in batches:
-            found = [fingerprint(t or b"", shingle, seed) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            found = [fingerprint(t or b"", shingle, seed) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], [*batch.schema.names[:-1], "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    kinds = [f"{c.name} {c.dataType.simpleString()}" for c in rows.schema if c.name != "text"]
+    return rows.mapInArrow(run, ", ".join([*kinds, "fp bigint"]))
 
 
 # --------------------------------------------------------------------- anchors
@@ -137,37 +145,83 @@ def forest(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a or empty), np.concatenate(b or empty)
 
 
-def links(fps: DataFrame, most: int = MAX_BITS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints, enough to join every component."""
-    if most > 4:
-        raise ValueError("the anchors of this code cover pairs of at most 4 bits")
-    dealt = replicas(fps).repartition("anchor").sortWithinPartitions("anchor")
+def linked(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within every group of equal keys; the keys are sorted."""
+    edge = np.flatnonzero(np.diff(key)) + 1
+    starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
+    sizes = ends - starts
+    two = starts[sizes == 2]
+    near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= most
+    found = [(fp[two][near], fp[two + 1][near])]
+    found += [forest(fp[s:e], most) for s, e in zip(starts[sizes > 2], ends[sizes > 2])]
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def compared(groups: DataFrame, most: int, large: int | None) -> DataFrame:
+    """(a, b, anchor) from (anchor, fp): links of every anchor with a null anchor; the fingerprints
+    of an anchor that holds more than ``large`` come back as a, uncompared, with their anchor."""
+    dealt = groups.repartition("anchor").sortWithinPartitions("anchor")
+    names = ["a", "b", "anchor"]
 
     def run(batches):
-        held_anchor, held_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-        def linked(anchor, fp):
-            edge = np.flatnonzero(np.diff(anchor)) + 1
-            starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(anchor)]])
-            sizes = ends - starts
-            two = starts[sizes == 2]
-            near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= most
-            found = [(fp[two][near], fp[two + 1][near])]
-            found += [forest(fp[s:e], most) for s, e in zip(starts[sizes > 2], ends[sizes > 2])]
-            a, b = (np.concatenate(x) for x in zip(*found))
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b).view(np.int64)), pa.array(np.minimum(a, b).view(np.int64))], ["a", "b"])
+        held_anchor, held_fp, passed = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
+
+        def pairs(anchor, fp):
+            a, b = linked(anchor, fp, most)
+            none = pa.nulls(len(a), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b).view(np.int64)), pa.array(np.minimum(a, b).view(np.int64)), none], names)
+
+        def uncompared(anchor, fp):
+            return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.nulls(len(fp), pa.int64()), pa.array(anchor)], names)
 
         for batch in batches:
-            anchor = np.concatenate([held_anchor, batch.column(0).to_numpy()])
-            fp = np.concatenate([held_fp, batch.column(1).to_numpy().view(np.uint64)])
-            last = np.searchsorted(anchor, anchor[-1]) if len(anchor) else 0  # the last anchor may go on
+            anchor, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            if passed is not None:  # the rest of an anchor that is too large to hold
+                n = np.searchsorted(anchor, passed, "right")
+                if n:
+                    yield uncompared(anchor[:n], fp[:n])
+                if n == len(anchor):
+                    continue
+                anchor, fp, passed = anchor[n:], fp[n:], None
+            anchor, fp = np.concatenate([held_anchor, anchor]), np.concatenate([held_fp, fp])
+            if large is not None:
+                values, first, sizes = np.unique(anchor, return_index=True, return_counts=True)
+                for at, size in zip(first[sizes > large], sizes[sizes > large]):
+                    yield uncompared(anchor[at:at + size], fp[at:at + size])
+                small = np.repeat(sizes <= large, sizes)
+                if len(values) and sizes[-1] > large:
+                    passed = values[-1]
+                anchor, fp = anchor[small], fp[small]
+            # the last anchor may go on
+            last = len(anchor) if passed is not None else int(np.searchsorted(anchor, anchor[-1])) if len(anchor) else 0
             held_anchor, held_fp = anchor[last:], fp[last:]
             if last:
-                yield linked(anchor[:last], fp[:last])
+                yield pairs(anchor[:last], fp[:last])
         if len(held_anchor):
-            yield linked(held_anchor, held_fp)
+            yield pairs(held_anchor, held_fp)
+
+    return dealt.mapInArrow(run, "a bigint, b bigint, anchor bigint")
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+def block_pairs(large: DataFrame, size: int = LARGE) -> DataFrame:
+    """(anchor, fp) with every pair of blocks of an anchor as one group under a key of its own.
+
+    An anchor of n fingerprints has n / size blocks by hash; a fingerprint goes to every
+    pair that holds its block. Equal keys of different pairs would only add comparisons."""
+    n = large.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    blocks = large.join(n.hint("merge"), "anchor").withColumn("blocks", F.ceil(F.col("n") / size).cast("int")) \
+        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    other = blocks.select("anchor", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return other.select(F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other")).alias("anchor"), "fp")
+
+
+def links(fps: DataFrame, most: int = MAX_BITS, large: int = LARGE) -> DataFrame:
+    """Links (a, b) between distinct fingerprints, enough to join every component."""
+    if most > 4:
+        raise ValueError("the anchors of this code cover pairs of at most 4 bits")
+    found = saved(compared(replicas(fps), most, large), "anchor-links")
+    rest = block_pairs(found.where("anchor IS NOT NULL").select("anchor", F.col("a").alias("fp")), large)
+    return found.where("anchor IS NULL").select("a", "b").unionByName(compared(rest, most, None).select("a", "b")).distinct()
 
 
 # ------------------------------------------------------------------- components
@@ -194,13 +248,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                       most: int = MAX_BITS, seed: int = SEED) -> DataFrame:
-    """One row per input row: doc_id, fp, component_id (smallest doc_id reachable)."""
-    rows = saved(fingerprints(df, id_col, text_col, shingle, seed), "fingerprints")
-    distinct = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
+                       most: int = MAX_BITS, seed: int = SEED, row_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, fp, component_id (smallest doc_id reachable).
+
+    ``row_col`` names a column that tells rows apart, whatever their ids; it comes back as
+    ``row``, with ``kept``, true for one row of each component."""
+    rows = saved(fingerprints(df, id_col, text_col, shingle, seed, row_col), "fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("late"), *[c for c in rows.columns if c != "fp"]))
+    distinct = saved(rows.groupBy("fp").agg(least.alias("least")), "distinct-fingerprints")
     member = components(links(distinct, most))
     rooted = distinct.join(member, distinct["fp"] == member["node"], "left").select(
-        "fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+        "fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("first")), "root").select("fp", "first")
+    out = rows.join(named, "fp").withColumn("component_id", F.col("first.doc_id"))
+    if not row_col:
+        return out.select("doc_id", "fp", "component_id")
+    return out.select("row", "doc_id", "fp", "component_id", (F.col("row") == F.col("first.row")).alias("kept"))

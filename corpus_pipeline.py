@@ -5,8 +5,7 @@ Parquet and reread as the next stage's docs. The first four return the columns o
 ``documents``; the last returns one row per packed piece. A stage judges every row
 its predecessor kept.
 
-Filters tell documents apart by their id: rows that repeat an id count as one document,
-and a row without an id, which no verdict can name, passes. Mixing takes every row by itself.
+Every row is judged by itself: rows that repeat an id, or have none, get their own verdicts.
 """
 
 from __future__ import annotations
@@ -27,8 +26,8 @@ TOKENIZER = "word_bpe_49k.json"
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the learned decision list rejects go."""
-    rejected = quality_verdicts(docs, table(spark, sf_dir, "labels")).where("NOT kept")
-    return without(docs, rejected)
+    rows = docs.withColumn("_row", F.struct(*docs.columns))
+    return quality_verdicts(rows, table(spark, sf_dir, "labels"), row_col="_row").where("kept").select("row.*")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,14 +44,14 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id."""
-    found = simhash_components(docs)
-    return without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    rows, texts = numbered(docs, "simhash-rows")
+    gone = saved(simhash_components(texts, row_col="row").where("NOT kept").select("row"), "near-copies")
+    return rows.join(gone, "row", "left_anti").select("doc.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, so that sources meet their targets; shard by shard, shuffled."""
-    rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "mix-rows")  # numbers that stay
-    texts = rows.select("row", *[F.col("doc").getField(c).alias(c) for c in ("doc_id", "text", "source")])
+    rows, texts = numbered(docs, "mix-rows")
     taken = Mix(texts, row_col="row").stream()
     return rows.join(taken.select("row", "shard", "position"), "row").orderBy("shard", "position").select("doc.*")
 
@@ -62,10 +61,10 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Documents whose id is not among the ids of ``gone``."""
-    ids = saved(gone.select("doc_id").where("doc_id IS NOT NULL").distinct(), "rejected-ids")
-    return docs.join(ids, docs["doc_id"] == ids["doc_id"], "left_anti")
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(row, doc) with numbers that stay, as they are written once, and (row, doc_id, text, source)."""
+    rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), name)
+    return rows, rows.select("row", *[F.col("doc").getField(c).alias(c) for c in ("doc_id", "text", "source")])
 
 
 STAGES = [

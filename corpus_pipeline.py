@@ -6,6 +6,8 @@ Parquet and reread as the next stage's docs. The first four return the columns o
 its predecessor kept.
 
 Every row is judged by itself: rows that repeat an id, or have none, get their own verdicts.
+Filters know a row by its id and two hashes of its text, so no stage writes the texts
+a second time to number them.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ from textlab.llm.quality_rules import quality_verdicts
 from textlab.llm.simhash import simhash_components
 
 TOKENIZER = "word_bpe_49k.json"
+NAME = "__row_name"  # no column of documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the learned decision list rejects go."""
-    rows = docs.withColumn("_row", F.struct(*docs.columns))
-    return quality_verdicts(rows, table(spark, sf_dir, "labels"), row_col="_row").where("kept").select("row.*")
+    judged = quality_verdicts(docs.withColumn(NAME, name()), table(spark, sf_dir, "labels"), row_col=NAME)
+    rejected = saved(judged.where("NOT kept").select(F.col("row").alias(NAME)).distinct(), "rejected")
+    return docs.join(rejected, name() == F.col(NAME), "left_anti")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,15 +47,22 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id."""
-    rows, texts = numbered(docs, "simhash-rows")
-    gone = saved(simhash_components(texts, row_col="row").where("NOT kept").select("row"), "near-copies")
-    return rows.join(gone, "row", "left_anti").select("doc.*")
+    """One document of each near-duplicate group stays: the one with the smallest id.
+
+    Rows of one id and one text have one name; where such a name stays, the row of the
+    smallest hash over all columns does, picked by a partial aggregate."""
+    found = simhash_components(docs.withColumn(NAME, name()), row_col=NAME)
+    verdicts = saved(found.groupBy(F.col("row").alias(NAME), "kept").agg(F.count(F.lit(1)).alias("n")).where("NOT kept OR n > 1"), "near-copies")
+    single = docs.join(verdicts.select(NAME), name() == F.col(NAME), "left_anti")
+    twins = docs.join(verdicts.where("kept").select(NAME), name() == F.col(NAME), "left_semi")
+    one = twins.groupBy(name().alias(NAME)).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("doc"))
+    return single.unionByName(one.select("doc.*"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, so that sources meet their targets; shard by shard, shuffled."""
-    rows, texts = numbered(docs, "mix-rows")
+    rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "mix-rows")  # numbers that stay
+    texts = rows.select("row", *[F.col("doc").getField(c).alias(c) for c in ("doc_id", "text", "source")])
     taken = Mix(texts, row_col="row").stream()
     return rows.join(taken.select("row", "shard", "position"), "row").orderBy("shard", "position").select("doc.*")
 
@@ -61,10 +72,9 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
-def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(row, doc) with numbers that stay, as they are written once, and (row, doc_id, text, source)."""
-    rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), name)
-    return rows, rows.select("row", *[F.col("doc").getField(c).alias(c) for c in ("doc_id", "text", "source")])
+def name() -> Column:
+    """What tells a row apart: its id and two hashes of its text; never null, though its id may be."""
+    return F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), F.col("text")).alias("k2"))
 
 
 STAGES = [

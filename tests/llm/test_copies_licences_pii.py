@@ -117,6 +117,62 @@ def test_every_notice_is_found_within_its_edits():
             assert got["score"] > 0.7
 
 
+def damaged(part, k, rng):
+    """``part`` with exactly ``k`` letters replaced, dropped or doubled, none of them its first or last."""
+    chars = list(part)
+    inner = [i for i in range(1, len(chars) - 1) if chars[i] != " "]
+    for at in sorted(rng.sample(inner, k), reverse=True):
+        chars[at:at + 1] = rng.choice((["x"], [], [chars[at], "x"]))
+    return "".join(chars)
+
+
+def test_every_notice_is_found_at_its_edit_bound():
+    rng, scanner, found, planted = random.Random(5), Scanner(), 0, 0
+    for label, parts in NOTICES:
+        for _ in range(20):
+            text = "".join(damaged(part, k, rng) for part, k in parts)
+            got = scanner.scan(f"as stated above {text} see also".encode())
+            planted += 1
+            found += label in got["labels"].split(",")
+    assert found == planted
+
+
+def test_each_notice_gives_its_own_label_alone():
+    scanner = Scanner()
+    for label, parts in NOTICES:
+        phrase = "".join(part for part, _ in parts)
+        assert scanner.scan(f"see {phrase} here".encode())["labels"] == label, phrase
+
+
+def test_notices_as_people_write_them():
+    scanner = Scanner()
+    for text, labels in (
+            ("// SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl"),
+            ("# SPDX-License-Identifier: AGPL-3.0-only", "agpl"),
+            ("/* SPDX-License-Identifer: BSD-3-Clause */", "bsd-3"),
+            ("Text: https://creativecommons.org/licenses/by-sa/4.0/", "cc-by-sa"),
+            ("https://creativecommons.org/licenses/by-nc-sa/3.0/", "cc-by-nc"),
+            ("https://creativecommons.org/licenses/by/4.0/deed.en", "cc-by"),
+            ("https://creativecommons.org/publicdomain/zero/1.0/", "cc0"),
+            ("under the Creative Commons Attribution-ShareAlike 4.0 licence", "cc-by-sa"),
+            ("under the Creative Commons Attribution Share Alike licence", "cc-by-sa"),
+            ("Creative Commons Attribution 4.0 International", "cc-by"),
+            ("GNU Affero General Public License v3", "agpl"),
+            ("GNU Lesser General Public Licence", "lgpl"),
+            ("This is free and unencumbered software released in to the public domain.", "unlicense"),
+            ("In no event will the authors be held liable for any damage arising from the use of this software.", "zlib"),
+            ("with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\"", "0bsd"),
+            ("with or without fee is hereby granted, provided that the above copyright notice and this permission "
+             "notice appear in all copies.", "isc"),
+            ("Distributed under the Boost Software License, Version 1.0.", "boost"),
+            ("made available under the Eclipse Public Licence 2.0", "epl")):
+        assert scanner.scan(text.encode())["labels"] == labels, text
+    for text in ("the eclipse was seen by the public", "a common development of the city", "an open font of knowledge",
+                 "license identifier missing", "the creative commons of the village", "spdx license identifier proprietary",
+                 "neither the names nor the products", "free software in the public library"):
+        assert scanner.scan(text.encode())["labels"] == "", text
+
+
 def test_other_licences_do_not_match():
     scanner = Scanner()
     for text in ("under the mpl license", "apache license version 1", "licensed under cc by sa", "the license of the mit",

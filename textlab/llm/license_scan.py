@@ -39,6 +39,58 @@ NOTICES = (
     ("mpl-2", (("mozilla ", 1), ("public license ", 1), ("version 2", 0))),
     ("bsd", (("redistribution and use in source", 2), (" and binary forms", 1))),
     ("all-rights-reserved", (("all rights ", 1), ("reserved", 1))),
+    # names
+    ("agpl", (("gnu ", 0), ("affero ", 1), ("general public", 2), (" license", 1))),
+    ("lgpl", (("gnu ", 0), ("library ", 1), ("general public", 2), (" license", 1))),
+    ("artistic-2", (("artistic license", 1), (" 2 0", 0))),
+    ("boost", (("boost software", 1), (" license", 1))),
+    ("cddl", (("common development", 1), (" and distribution", 1), (" license", 1))),
+    ("epl", (("eclipse public license", 1),)),
+    ("eupl", (("european union", 1), (" public licence", 1))),
+    ("ms-pl", (("microsoft public license", 1),)),
+    ("ofl", (("sil open font license", 1),)),
+    # sentences that only one licence holds
+    ("mit", (("of this software and associated documentation files", 3), (" the software to deal in the software without restriction", 2))),
+    ("bsd-3", (("nor the names of its contributors", 2), (" may be used to endorse or promote products", 2))),
+    ("0bsd", (("with or without fee is hereby granted", 2), (" the software is provided as is", 1))),
+    ("isc", (("is hereby granted provided that the above copyright notice", 2), (" and this permission notice appear in all copies", 2))),
+    ("unlicense", (("this is free and unencumbered software", 2), (" released into the public domain", 2))),
+    ("zlib", (("in no event will the authors be held liable", 2), (" for any damages arising from the use of this software", 2))),
+    # Creative Commons by name and by address
+    ("cc0", (("creative commons", 1), (" zero", 0))),
+    ("cc0", (("creativecommons org", 1), (" publicdomain", 1), (" zero", 0))),
+    ("cc-by-sa", (("creative commons", 1), (" attribution", 1), (" sharealike", 1))),
+    ("cc-by-nd", (("creative commons", 1), (" attribution", 1), (" noderivatives", 1))),
+    ("cc-by", (("creative commons", 1), (" attribution", 1), (" 4 0", 0))),
+    ("cc-by", (("creative commons", 1), (" attribution", 1), (" 3 0", 0))),
+    ("cc-by", (("licensed under", 1), (" cc by 4 0", 0))),
+    ("cc-by", (("licensed under", 1), (" cc by 3 0", 0))),
+    ("cc-by", (("creativecommons org", 1), (" licenses", 1), (" by 4 0", 0))),
+    ("cc-by", (("creativecommons org", 1), (" licenses", 1), (" by 3 0", 0))),
+    ("cc-by-nc", (("creativecommons org", 1), (" licenses", 1), (" by nc", 0))),
+    ("cc-by-nd", (("creativecommons org", 1), (" licenses", 1), (" by nd", 0))),
+    ("cc-by-sa", (("creativecommons org", 1), (" licenses", 1), (" by sa", 0))),
+    # identifier lines; an exact part begins with its space, so no edit can run into another identifier
+    ("0bsd", (("spdx license identifier", 2), (" 0bsd", 0))),
+    ("agpl", (("spdx license identifier", 2), (" agpl", 0))),
+    ("apache-2", (("spdx license identifier", 2), (" apache 2 0", 0))),
+    ("boost", (("spdx license identifier", 2), (" bsl 1 0", 0))),
+    ("bsd", (("spdx license identifier", 2), (" bsd 2 clause", 0))),
+    ("bsd-3", (("spdx license identifier", 2), (" bsd 3 clause", 0))),
+    ("cc-by", (("spdx license identifier", 2), (" cc by 3 0", 0))),
+    ("cc-by", (("spdx license identifier", 2), (" cc by 4 0", 0))),
+    ("cc-by-nc", (("spdx license identifier", 2), (" cc by nc", 0))),
+    ("cc-by-nd", (("spdx license identifier", 2), (" cc by nd", 0))),
+    ("cc-by-sa", (("spdx license identifier", 2), (" cc by sa", 0))),
+    ("cc0", (("spdx license identifier", 2), (" cc0 1 0", 0))),
+    ("epl", (("spdx license identifier", 2), (" epl", 0))),
+    ("gpl", (("spdx license identifier", 2), (" gpl", 0))),
+    ("isc", (("spdx license identifier", 2), (" isc", 0))),
+    ("lgpl", (("spdx license identifier", 2), (" lgpl", 0))),
+    ("mit", (("spdx license identifier", 2), (" mit", 0))),
+    ("mpl-2", (("spdx license identifier", 2), (" mpl 2 0", 0))),
+    ("unlicense", (("spdx license identifier", 2), (" unlicense", 0))),
+    ("zlib", (("spdx license identifier", 2), (" zlib", 0))),
 )
 
 SCHEMA = ("doc_id {id}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, "

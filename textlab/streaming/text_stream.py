@@ -8,6 +8,8 @@ up exactly where it stopped (file source + file sink = exactly once).
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -15,12 +17,15 @@ from pyspark.sql.types import StructType
 
 def text_stream(spark: SparkSession, source_dir: str, schema: StructType, glob: str | None = None,
                 max_files_per_trigger: int | None = None) -> DataFrame:
+    """The Parquet files under ``source_dir``; with ``glob`` its files of that name, and all files of its folders of that name."""
     r = spark.readStream.schema(schema)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return r.parquet(source_dir)
+    if not glob:
+        return r.parquet(source_dir)
+    # in the path, not a filter of file names, which no part file of a folder passes; a plain name in braces stays a
+    # pattern, as Spark takes the base path from a plain one and refuses a file there
+    return r.parquet(os.path.join(source_dir, glob if set(glob) & set("*?[{") else "{%s}" % glob))
 
 
 def start_text_job(stream: DataFrame, columns: dict[str, Column], keep: list[str], sink_dir: str,
@@ -34,7 +39,11 @@ def start_text_job(stream: DataFrame, columns: dict[str, Column], keep: list[str
 
 
 def run_to_completion(query: StreamingQuery, timeout_s: float | None = None) -> None:
-    query.awaitTermination(timeout_s)
+    """Wait for the end; a job that fails, or is still running after ``timeout_s``, raises, as its sink is not whole."""
+    ended = query.awaitTermination(timeout_s)
     if query.exception():
         raise query.exception()
+    if ended is False:
+        query.stop()
+        raise TimeoutError(f"the stream was still running after {timeout_s} seconds")
 

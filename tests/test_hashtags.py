@@ -11,6 +11,7 @@ import duckdb
 import pytest
 
 from textlab.functions import text as T
+from textlab.operators import hashtags
 from textlab.operators.hashtags import best_split, segment_hashtags, social_clean
 
 
@@ -72,6 +73,25 @@ def test_repeated_and_null_ids_keep_their_own_text(spark):
     assert segment_hashtags(df).columns == df.columns and segment_hashtags(df.limit(0)).count() == 0
 
 
+def joins_of(monkeypatch, clean, df):
+    """Physical plans of every table a cleaner writes, and of its result."""
+    plans, real = [], hashtags.written
+
+    def written(table, name):
+        plans.append(table._jdf.queryExecution().executedPlan().toString())
+        return real(table, name)
+
+    monkeypatch.setattr(hashtags, "written", written)
+    plans.append(clean(df)._jdf.queryExecution().executedPlan().toString())
+    return plans
+
+
+def test_segmentation_sends_no_table_through_the_driver(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"hello world {i} #helloworld") for i in range(20)], "row_id long, text string")
+    plans = joins_of(monkeypatch, segment_hashtags, df)
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_a_very_long_tag(spark):
     rng = random.Random(3)
     tag = "".join(rng.choice("abcdefgh") for _ in range(20_000))

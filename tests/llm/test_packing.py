@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import types as T
 
-from textlab.llm.packing import Encoder, configurations, grouped, pack_documents, plan
+from textlab.llm.packing import Encoder, configurations, encoder_of, grouped, pack_documents, plan
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
@@ -123,3 +123,16 @@ def test_packed_documents(spark):
     n = check_places([(r.length, r.sequence_id, r.offset) for r in out], 4096)
     assert n <= plain_best_fit([r.length for r in out], 4096)
     assert pack_documents(df.limit(0), PATH).collect() == []
+
+
+def test_parts_are_learned_once_while_they_are_met(monkeypatch):
+    assert encoder_of(PATH) is encoder_of(PATH)  # by the tasks of a worker, not by each
+    encoder, learned = Encoder(PATH, most=200), []
+    learn = encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda new: (learned.extend(new), learn(new)))
+    letters = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(600)]
+    for i, rare in enumerate(letters):
+        text = f"often again {rare}zq"
+        want = np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert encoder.encode([text]) == [want] and len(encoder.known) + len(encoder.older) <= 210
+    assert learned.count("often") == learned.count("again") == 1 and len(learned) == 602

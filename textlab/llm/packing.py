@@ -33,6 +33,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left, insort
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -69,9 +70,10 @@ class Encoder:
     text's ids are the ids of its parts in order. Texts of Latin-1 letters, digits
     and plain marks are cut into those parts here (letter runs in lower case,
     single digits, runs of marks); others are cut at spaces and line feeds, which
-    no part crosses. Ids of short parts are kept in a bounded table; only unseen parts
-    reach the tokenizer, letter runs many to a call, as each ends with a word-end
-    token."""
+    no part crosses. Ids of short parts are kept in a bounded table of two halves: a full
+    half becomes the older one, whose parts come back when they are met again, and the one
+    before it goes. Only unseen parts reach the tokenizer, letter runs many to a call, as
+    each ends with a word-end token."""
 
     def __init__(self, path: str, most: int = CACHE_PARTS):
         from tokenizers import Tokenizer
@@ -80,6 +82,7 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def plain(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
@@ -98,10 +101,12 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [PARTS.findall(t.lower()) if SIMPLE.fullmatch(t) and "<|" not in t else t.replace("\n", " ").split(" ")
                  for t in texts]
-        parts = set().union(*split)
-        if len(self.known) + len(parts) > self.most:
-            self.known = {"": b""}
-        new = list(parts.difference(self.known))
+        if len(self.known) > self.most // 2:
+            self.known, self.older = {"": b""}, self.known
+        unmet = set().union(*split).difference(self.known)
+        again = unmet.intersection(self.older)
+        self.known.update((p, self.older[p]) for p in again)
+        new = list(unmet - again)
         self.learn(new)
         known = self.known
         out = [b"".join([known[p] for p in ps]) for ps in split]
@@ -111,6 +116,12 @@ class Encoder:
         return out
 
 
+@cache
+def encoder_of(tokenizer: str) -> Encoder:
+    """One encoder for all tasks of a worker process, so that a part is learned once and not by every task."""
+    return Encoder(tokenizer)
+
+
 def slices_by_chars(sizes: list[int], most: int = 2_000_000):
     """Consecutive ranges of texts with at most ``most`` characters (one text at least)."""
     start = total = 0
@@ -131,7 +142,7 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             column = batch.column(1).fill_null("")
             for lo, hi in slices_by_chars(pc.utf8_length(column).to_pylist()):

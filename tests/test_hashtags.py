@@ -12,7 +12,7 @@ import pytest
 
 from textlab.functions import text as T
 from textlab.operators import hashtags
-from textlab.operators.hashtags import best_split, segment_hashtags, social_clean
+from textlab.operators.hashtags import baseline_clean, best_split, segment_hashtags, social_clean
 
 
 def model(texts):
@@ -92,6 +92,12 @@ def test_segmentation_sends_no_table_through_the_driver(spark, monkeypatch):
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
 
 
+def test_the_baseline_cleaner_sends_no_table_through_the_driver(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"hello world {i} \U0001F600 #helloworld") for i in range(20)], "row_id long, text string")
+    plans = joins_of(monkeypatch, baseline_clean, df)
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_a_very_long_tag(spark):
     rng = random.Random(3)
     tag = "".join(rng.choice("abcdefgh") for _ in range(20_000))

@@ -98,6 +98,12 @@ def test_the_baseline_cleaner_sends_no_table_through_the_driver(spark, monkeypat
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
 
 
+def test_social_cleaning_sends_no_table_through_the_driver(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"hello @world {i} #helloworld :)") for i in range(20)], "row_id long, text string")
+    plans = joins_of(monkeypatch, social_clean, df)
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_a_very_long_tag(spark):
     rng = random.Random(3)
     tag = "".join(rng.choice("abcdefgh") for _ in range(20_000))
